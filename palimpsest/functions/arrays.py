@@ -1,85 +1,85 @@
-"""Array helpers for expressions that run inside one document row."""
+"""Array helpers for expressions that run inside one document row.
 
-from __future__ import annotations
-
-from collections.abc import Callable
+The row-level operators are written as SQL expression text: every function here and in the
+modules built on it takes and returns such text.
+"""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from __future__ import annotations
 
 # Appending to an array copies it. Folding in blocks keeps a long fold near linear.
 BLOCK = 256
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate `value` once and use it any number of times in `body`."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def quoted(value: str) -> str:
+    """A string literal, taken as it is written."""
+    if "'" in value:
+        raise ValueError("a literal may not contain a quote")
+    return f"r'{value}'"
+
+
+def text_literal(value: str) -> str:
+    """A string literal for any value."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def let(value: str, name: str, body: str) -> str:
+    """Evaluate `value` once and use it as `name` any number of times in `body`."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def empty_array(element: str) -> str:
+    return f"cast(array() as array<{element}>)"
 
 
-def empty_array(ddl: str) -> Column:
-    return F.array().cast(f"array<{ddl}>")
+def one_of(value: str, table: dict[str, str], otherwise: str = "cast(null as string)") -> str:
+    """Look `value` up in a small fixed table."""
+    cases = " ".join(f"when {text_literal(k)} then {text_literal(v)}" for k, v in table.items())
+    return f"case {value} {cases} else {otherwise} end"
 
 
-def last(array: Column) -> Column:
-    return F.try_element_at(array, F.lit(-1))
+def among(value: str, names: tuple[str, ...]) -> str:
+    return f"{value} in ({', '.join(text_literal(n) for n in names)})" if names else "false"
 
 
 def fold_to_array(
-    items: Column,
-    item_ddl: str,
-    step: Callable[[Column, Column], Column],
-    block: int = BLOCK,
-) -> Column:
+    items: str, element: str, state: str, item: str, step: str, block: int = BLOCK
+) -> str:
     """Left fold whose state is a growing array of which only the last element is read.
 
-    `step(state, item)` returns the new state; it may append to it or replace its last
-    element. Each block of items starts from the last element left by the block before.
+    `step` is the new state in terms of the names `state` and `item`; it may append to the
+    state or replace its last element. Each block of items starts from the last element left
+    by the block before.
     """
-    none = F.array().cast(f"array<{item_ddl}>")
-    no_blocks = F.array().cast(f"array<array<{item_ddl}>>")
-
-    def one_block(arr: Column) -> Callable[[Column, Column], Column]:
-        def run(done: Column, number: Column) -> Column:
-            seed = F.when(F.size(done) == 0, none).otherwise(F.slice(last(done), -1, 1))
-            return F.array_append(
-                done, F.aggregate(F.slice(arr, number * block + 1, F.lit(block)), seed, step)
-            )
-
-        return run
-
-    def all_blocks(arr: Column) -> Column:
-        numbers = F.sequence(F.lit(0), F.floor((F.size(arr) - 1) / block).cast("int"))
-        return F.when(F.size(arr) == 0, none).otherwise(
-            F.when(F.size(arr) <= block, F.aggregate(arr, none, step)).otherwise(
-                let(
-                    F.aggregate(numbers, no_blocks, one_block(arr)),
-                    # The last element of a block opens the next one, so drop it here.
-                    lambda done: F.flatten(
-                        F.transform(
-                            done,
-                            lambda part, i: F.when(
-                                i < F.size(done) - 1, F.slice(part, F.lit(1), F.size(part) - 1)
-                            ).otherwise(part),
-                        )
-                    ),
-                )
-            )
-        )
-
-    return let(items, all_blocks)
-
-
-def characters(text: Column) -> Column:
+    none, no_blocks = empty_array(element), empty_array(f"array<{element}>")
+    seed = f"if(size(done) = 0, {none}, slice(try_element_at(done, -1), -1, 1))"
+    one_block = (
+        f"array_append(done, aggregate(slice(all_items, block_no * {block} + 1, {block}), {seed}, "
+        f"({state}, {item}) -> {step}))"
+    )
+    blocks = (
+        f"aggregate(sequence(0, cast((size(all_items) - 1) div {block} as int)), {no_blocks}, "
+        f"(done, block_no) -> {one_block})"
+    )
+    # The last element of a block opens the next one, so it is dropped from its own.
+    joined = (
+        "flatten(transform(parts, (part, part_no) -> "
+        "if(part_no < size(parts) - 1, slice(part, 1, size(part) - 1), part)))"
+    )
+    folded = f"if(size(all_items) = 0, {none}, {let(blocks, 'parts', joined)})"
+    return let(items, "all_items", folded)
+
+
+def characters(text: str) -> str:
     """One element per code point; none for empty text."""
-    return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.split(text, ""))
+    return f"if(length({text}) = 0, {empty_array('string')}, split({text}, ''))"
 
 
-def keyed_draw(text: Column, place: str | Column, n: int, salt: str) -> Column:
+def keyed_draw(text: str, place: str, n: int, salt: str) -> str:
     """A repeatable draw from 0..n-1 that depends on the salt, the text and a place in it."""
-    place = F.lit(place) if isinstance(place, str) else place.cast("string")
-    digest = F.sha2(F.concat(F.lit(salt + ":"), text, F.lit(":"), place), 256)
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % F.lit(n)
+    digest = f"sha2(concat({text_literal(salt + ':')}, {text}, ':', {place}), 256)"
+    return f"(cast(conv(substring({digest}, 1, 8), 16, 10) as bigint) % {n})"
 
 
-def pick(values: tuple[str, ...], draw: Column) -> Column:
-    return F.get(F.array(*[F.lit(v) for v in values]), draw.cast("int"))
+def pick(values: tuple[str, ...], draw: str) -> str:
+    listed = ", ".join(text_literal(v) for v in values)
+    return f"get(array({listed}), cast({draw} as int))"

@@ -58,7 +58,7 @@ STANDARD_PATTERNS = {
     "PHONE_NUMBER": (r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\b\d{3}[ .-])\d{3}[ .-]\d{4}\b", 0.75),
     "CREDIT_CARD": (r"\b(?:\d{4}[ -]?){3}\d{1,4}\b", 0.9),
     "SSN": (r"\b\d{3}-\d{2}-\d{4}\b", 0.85),
-    "URL": (r"\bhttps?://[^\s<>\"']+", 0.6),
+    "URL": (r"\bhttps?://[^\s<>\x22\x27]+", 0.6),
 }
 
 # Scoring of pattern findings.

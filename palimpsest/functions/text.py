@@ -1,137 +1,129 @@
-"""Scalar text functions: character tests, check digits and the rewriting strategies."""
+"""Scalar text functions as SQL text: character tests, check digits and rewriting strategies."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from palimpsest.functions import constants as C
-from palimpsest.functions.arrays import characters, keyed_draw, let, pick
+from palimpsest.functions.arrays import characters, keyed_draw, let, pick, quoted
 
 DEFAULT_SALT = "palimpsest"
 # Digits in the wide sense: decimal digits plus super- and subscript ones.
 DIGIT = r"[\p{Nd}²³¹⁰⁴-⁹₀-₉]"
 
 
-def is_title_case(text: Column) -> Column:
-    """At least one capital, capitals only at word starts and no small letter at one."""
-    return (
-        text.rlike(r"[\p{Lu}\p{Lt}]")
-        & ~text.rlike(r"(?<=[\p{Lu}\p{Lt}\p{Ll}])[\p{Lu}\p{Lt}]")
-        & ~text.rlike(r"(?<![\p{Lu}\p{Lt}\p{Ll}])\p{Ll}")
-    )
+def matches(text: str, regex: str) -> str:
+    return f"({text} rlike {quoted(regex)})"
 
 
-def passes_luhn(text: Column) -> Column:
-    """Luhn check over the digits of `text`."""
-    digits = characters(F.reverse(F.regexp_replace(text, r"[^0-9]", "")))
+def is_title_case(text: str) -> str:
+    """At least one capital, capitals only at word starts and no small letter at one."""
+    capital = matches(text, r"[\p{Lu}\p{Lt}]")
+    inner_capital = matches(text, r"(?<=[\p{Lu}\p{Lt}\p{Ll}])[\p{Lu}\p{Lt}]")
+    small_start = matches(text, r"(?<![\p{Lu}\p{Lt}\p{Ll}])\p{Ll}")
+    return f"({capital} and not {inner_capital} and not {small_start})"
 
-    def weight(digit: Column, place: Column) -> Column:
-        value = digit.cast("int")
-        twice = value * 2
-        return F.when(place % 2 == 0, value).when(twice > 9, twice - 9).otherwise(twice)
 
-    total = F.aggregate(F.transform(digits, weight), F.lit(0), lambda acc, v: acc + v)
-    return total % 10 == 0
+def passes_luhn(text: str) -> str:
+    """Luhn check over the digits of `text`."""
+    digits = characters(f"reverse(regexp_replace({text}, '[^0-9]', ''))")
+    weight = (
+        "case when place % 2 = 0 then cast(digit as int) "
+        "when cast(digit as int) > 4 then cast(digit as int) * 2 - 9 "
+        "else cast(digit as int) * 2 end"
+    )
+    total = f"aggregate(transform({digits}, (digit, place) -> {weight}), 0, (sum, v) -> sum + v)"
+    return f"({total} % 10 = 0)"
 
 
-def safe_file_name(name: Column) -> Column:
+def safe_file_name(name: str) -> str:
     """File name reduced to its last path part and to letters, digits, `_`, `.` and `-`."""
-    base = F.regexp_replace(name, r"[/\\]+", " ")
-    joined = F.regexp_replace(F.trim(F.regexp_replace(base, r"\s+", " ")), " ", "_")
-    return F.regexp_replace(F.regexp_replace(joined, r"[^A-Za-z0-9_.-]", ""), r"^[._]+|[._]+$", "")
+    spaced = f"regexp_replace({name}, {quoted(r'[/\s]+')}, ' ')"
+    joined = f"replace(trim({spaced}), ' ', '_')"
+    plain = f"regexp_replace({joined}, '[^A-Za-z0-9_.-]', '')"
+    return f"regexp_replace({plain}, '^[._]+|[._]+$', '')"
 
 
-def bracketed(label: Column) -> Column:
-    return F.concat(F.lit("["), label, F.lit("]"))
+def bracketed(label: str) -> str:
+    return f"concat('[', {label}, ']')"
 
 
-def masked(text: Column) -> Column:
-    n = F.length(text)
-    inner = F.concat(F.substring(text, 1, 1), F.repeat(F.lit("*"), n - 2), F.substring(text, -1, 1))
-    return F.when(n <= 2, F.repeat(F.lit("*"), n)).otherwise(inner)
+def masked(text: str) -> str:
+    stars = f"repeat('*', length({text}) - 2)"
+    return (
+        f"if(length({text}) <= 2, repeat('*', length({text})), "
+        f"concat(substring({text}, 1, 1), {stars}, substring({text}, -1, 1)))"
+    )
 
 
-def partly_masked(text: Column) -> Column:
-    n = F.length(text)
-    inner = F.concat(F.substring(text, 1, 2), F.repeat(F.lit("*"), n - 4), F.substring(text, -2, 2))
-    return F.when(n <= 4, F.repeat(F.lit("*"), n)).otherwise(inner)
+def partly_masked(text: str) -> str:
+    stars = f"repeat('*', length({text}) - 4)"
+    return (
+        f"if(length({text}) <= 4, repeat('*', length({text})), "
+        f"concat(substring({text}, 1, 2), {stars}, substring({text}, -2, 2)))"
+    )
 
 
-def realistic(text: Column, label: Column, salt: str) -> Column:
-    person = F.concat(
-        pick(C.FIRST_NAMES, keyed_draw(text, "first", len(C.FIRST_NAMES), salt)),
-        F.lit(" "),
-        pick(C.LAST_NAMES, keyed_draw(text, "last", len(C.LAST_NAMES), salt)),
-    )
-    company = pick(C.COMPANIES, keyed_draw(text, "company", len(C.COMPANIES), salt))
+def realistic(text: str, label: str, salt: str) -> str:
+    first = pick(C.FIRST_NAMES, keyed_draw(text, "'first'", len(C.FIRST_NAMES), salt))
+    family = pick(C.LAST_NAMES, keyed_draw(text, "'last'", len(C.LAST_NAMES), salt))
+    company = pick(C.COMPANIES, keyed_draw(text, "'company'", len(C.COMPANIES), salt))
     return (
-        F.when(label == "PERSON", person)
-        .when(label == "ORGANIZATION", company)
-        .otherwise(bracketed(label))
+        f"case {label} when 'PERSON' then concat({first}, ' ', {family}) "
+        f"when 'ORGANIZATION' then {company} else {bracketed(label)} end"
     )
 
 
-def same_format(text: Column, salt: str) -> Column:
+def same_format(text: str, salt: str) -> str:
     """Digits become digits, capitals capitals, other letters small letters; the rest stays."""
+    ten = keyed_draw(text, "cast(place as string)", 10, salt)
+    letter = keyed_draw(text, "cast(place as string)", 26, salt)
+    surrogate = (
+        f"case when {matches('c', DIGIT)} then cast({ten} as string) "
+        f"when {matches('c', quoted_class('Lu'))} then char(65 + {letter}) "
+        f"when {matches('c', quoted_class('L'))} then char(97 + {letter}) else c end"
+    )
+    return f"array_join(transform({characters(text)}, (c, place) -> {surrogate}), '')"
 
-    def surrogate(char: Column, place: Column) -> Column:
-        return (
-            F.when(char.rlike(DIGIT), keyed_draw(text, place, 10, salt).cast("string"))
-            .when(char.rlike(r"\p{Lu}"), F.char(F.lit(65) + keyed_draw(text, place, 26, salt)))
-            .when(char.rlike(r"\p{L}"), F.char(F.lit(97) + keyed_draw(text, place, 26, salt)))
-            .otherwise(char)
-        )
 
-    return F.array_join(F.transform(characters(text), surrogate), "")
+def quoted_class(name: str) -> str:
+    return rf"\p{{{name}}}"
 
 
-def new_domain(text: Column, salt: str) -> Column:
-    local = F.regexp_replace(F.substring_index(text, "@", 1), "[a-zA-Z]", "x")
-    local = F.regexp_replace(local, "[0-9]", "0")
-    domain = pick(C.DOMAINS, keyed_draw(text, "domain", len(C.DOMAINS), salt))
-    return F.when(F.contains(text, F.lit("@")), F.concat(local, F.lit("@"), domain)).otherwise(text)
+def new_domain(text: str, salt: str) -> str:
+    local = f"regexp_replace(substring_index({text}, '@', 1), '[a-zA-Z]', 'x')"
+    domain = pick(C.DOMAINS, keyed_draw(text, "'domain'", len(C.DOMAINS), salt))
+    changed = f"concat(regexp_replace({local}, '[0-9]', '0'), '@', {domain})"
+    return f"if(contains({text}, '@'), {changed}, {text})"
 
 
-def private_address(text: Column, salt: str) -> Column:
-    third = keyed_draw(text, "third", 255, salt).cast("string")
-    fourth = keyed_draw(text, "fourth", 255, salt).cast("string")
-    return F.concat(F.lit("192.168."), third, F.lit("."), fourth)
+def private_address(text: str, salt: str) -> str:
+    third = keyed_draw(text, "'third'", 255, salt)
+    fourth = keyed_draw(text, "'fourth'", 255, salt)
+    return f"concat('192.168.', cast({third} as string), '.', cast({fourth} as string))"
 
 
-def hashed(text: Column) -> Column:
-    return F.substring(F.sha2(text, 256), 1, 16)
+def hashed(text: str) -> str:
+    return f"substring(sha2({text}, 256), 1, 16)"
 
 
-def encoded(text: Column) -> Column:
+def encoded(text: str) -> str:
     """`ENC_` and the code point of each character in hex. Reversible, so not a protection."""
-
-    def code(char: Column) -> Column:
-        return let(
-            F.lower(F.hex(F.ascii(char))),
-            lambda h: F.when(F.length(h) < 2, F.concat(F.lit("0"), h)).otherwise(h),
-        )
-
-    return F.concat(F.lit("ENC_"), F.array_join(F.transform(characters(text), code), ""))
+    code = let("lower(hex(ascii(c)))", "h", "if(length(h) < 2, concat('0', h), h)")
+    return f"concat('ENC_', array_join(transform({characters(text)}, c -> {code}), ''))"
 
 
 def rewritten(
-    text: Column,
-    label: Column,
-    strategy: Column,
-    preserve_format: Column,
-    realistic_names: Column,
-    salt: str = DEFAULT_SALT,
-) -> Column:
+    text: str, label: str, strategy: str, preserve: str, realistic_names: str, salt: str
+) -> str:
     """Replacement for one finding under its strategy."""
     return (
-        F.when(strategy == "mask", masked(text))
-        .when((strategy == "replace_realistic") & realistic_names, realistic(text, label, salt))
-        .when((strategy == "replace_format") & preserve_format, same_format(text, salt))
-        .when(strategy == "replace_partial", partly_masked(text))
-        .when(strategy == "replace_domain", new_domain(text, salt))
-        .when(strategy == "replace_network", private_address(text, salt))
-        .when(strategy == "hash", hashed(text))
-        .when(strategy == "encrypt", encoded(text))
-        .otherwise(bracketed(label))
+        f"case when {strategy} = 'mask' then {masked(text)} "
+        f"when {strategy} = 'replace_realistic' and {realistic_names} "
+        f"then {realistic(text, label, salt)} "
+        f"when {strategy} = 'replace_format' and {preserve} then {same_format(text, salt)} "
+        f"when {strategy} = 'replace_partial' then {partly_masked(text)} "
+        f"when {strategy} = 'replace_domain' then {new_domain(text, salt)} "
+        f"when {strategy} = 'replace_network' then {private_address(text, salt)} "
+        f"when {strategy} = 'hash' then {hashed(text)} "
+        f"when {strategy} = 'encrypt' then {encoded(text)} "
+        f"else {bracketed(label)} end"
     )

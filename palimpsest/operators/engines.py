@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import constants as C
-from palimpsest.functions.arrays import empty_array, let
+from palimpsest.functions.arrays import among, empty_array, let, one_of
 from palimpsest.functions.text import is_title_case
 from palimpsest.operators.fuse import with_context
 from palimpsest.operators.scan import FINDING, finding
 from palimpsest.operators.skew import HOT_ROWS, SALTS, hot_keys, split_hot
 
 RAW = "struct<engine:string,raw_label:string,start:int,end:int,score:double,word:string,seq:bigint>"
+RAW_FIELDS = ("engine", "raw_label", "start", "end", "score", "word", "seq")
 STATS = "struct<engine:string,n:bigint,total:double>"
 
 # Name of the label column in each engine's table.
@@ -49,101 +50,78 @@ def union_raw(tables: dict[str, DataFrame], key: str = "doc_id") -> DataFrame |
     return out
 
 
-def fault(raw: Column, text_chars: Column) -> Column:
-    """Why a row cannot be a finding, or null."""
-    scored = raw["engine"] != "spacy"
+def fault(raw: str, text_chars: str) -> str:
+    """Why a row cannot be a finding, or null. `raw` is a prefix of its fields, like `r.`."""
     return (
-        F.when(text_chars.isNull(), "unknown document")
-        .when(raw["raw_label"].isNull(), "no label")
-        .when(raw["start"].isNull() | raw["end"].isNull(), "no offsets")
-        .when(scored & raw["score"].isNull(), "no score")
-        .when(raw["start"] < 0, "start before text")
-        .when(raw["start"] >= raw["end"], "empty span")
-        .when(raw["end"] > text_chars, "end after text")
+        f"case when {text_chars} is null then 'unknown document' "
+        f"when {raw}raw_label is null then 'no label' "
+        f"when {raw}start is null or {raw}end is null then 'no offsets' "
+        f"when {raw}engine <> 'spacy' and {raw}score is null then 'no score' "
+        f"when {raw}start < 0 then 'start before text' "
+        f"when {raw}start >= {raw}end then 'empty span' "
+        f"when {raw}end > {text_chars} then 'end after text' end"
     )
 
 
 def rejected_rows(raw: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Malformed rows with the reason. They take no part in detection."""
     chars = docs.select(key, F.length("text").alias("_chars"))
-    fields = ["engine", "raw_label", "start", "end", "score"]
     return (
         raw.join(chars, key, "left")
-        .withColumn("reason", fault(F.struct(*[F.col(c).alias(c) for c in fields]), F.col("_chars")))
-        .where(F.col("reason").isNotNull())
-        .select(key, *fields, "reason")
+        .withColumn("reason", F.expr(fault("", "_chars")))
+        .where("reason is not null")
+        .select(key, "engine", "raw_label", "start", "end", "score", "reason")
     )
 
 
-def lookup(value: Column, table: dict[str, str]) -> Column:
-    out = F.when(F.lit(False), F.lit(None).cast("string"))
-    for k, v in table.items():
-        out = out.when(value == k, F.lit(v))
-    return out
-
-
-def ner_confidence(span_text: Column) -> Column:
+def ner_confidence(span: str) -> str:
     """Heuristic score of a named entity from its length and capitals, within 0..1."""
-    n = F.length(span_text)
     score = (
-        F.lit(0.8)
-        + F.when(n > 10, 0.1).otherwise(0.0)
-        + F.when(is_title_case(span_text), 0.05).otherwise(0.0)
+        f"0.8D + if(length({span}) > 10, 0.1D, 0.0D) + if({is_title_case(span)}, 0.05D, 0.0D)"
+        f" - if(length({span}) <= 2, 0.2D, 0.0D)"
     )
-    score = F.when(n <= 2, score - F.lit(0.2)).otherwise(score)
-    return F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0))
+    return f"least(greatest({score}, 0.0D), 1.0D)"
 
 
-def adapt(text: Column, raws: Column) -> Column:
+def adapt(raws: str, text: str = "text") -> str:
     """Raw rows of one document as findings, with each engine's labels, scores and cut."""
+    numbers = " ".join(f"when '{e}' then {i}" for i, e in enumerate(C.ENGINES))
+    transformer_label = one_of("upper(r.raw_label)", C.TRANSFORMER_LABELS, "r.raw_label")
+    shaped = finding(
+        start="r.start",
+        engine_no=f"case r.engine {numbers} end",
+        rule_no="cast(r.seq as int)",
+        end="r.end",
+        label=f"case r.engine when 'spacy' then {one_of('r.raw_label', C.NER_LABELS)} "
+        f"when 'transformers' then {transformer_label} else r.raw_label end",
+        text="if(r.engine = 'transformers', coalesce(r.word, span), span)",
+        confidence=f"if(r.engine = 'spacy', {ner_confidence('span')}, r.score)",
+        engine=one_of("r.engine", C.ENGINE_NAMES),
+        is_sensitive=f"case r.engine when 'spacy' then {among('r.raw_label', C.NER_SENSITIVE)} "
+        f"when 'transformers' then {among('upper(r.raw_label)', C.TRANSFORMER_SENSITIVE)} "
+        "else true end",
+    )
+    span = f"substring({text}, r.start + 1, r.end - r.start)"
+    cut = (
+        f"case f.engine when 'spacy' then {C.NER_THRESHOLD}D "
+        f"when 'transformer' then {C.TRANSFORMER_THRESHOLD}D else double('-infinity') end"
+    )
+    valid = f"filter({raws}, r -> {fault('r.', f'length({text})')} is null)"
+    found = f"transform({valid}, r -> {let(span, 'span', shaped)})"
+    wanted = f"filter({found}, f -> f.label is not null and f.confidence >= {cut})"
+    return f"cast({wanted} as array<{FINDING}>)"
+
 
-    def one(raw: Column) -> Column:
-        def shaped(span: Column) -> Column:
-            engine, label = raw["engine"], raw["raw_label"]
-            upper = F.upper(label)
-            return finding(
-                start=raw["start"],
-                engine_no=F.get(
-                    F.array(*[F.lit(i) for i in range(len(C.ENGINES))]),
-                    F.array_position(F.array(*[F.lit(e) for e in C.ENGINES]), engine).cast("int") - 1,
-                ),
-                rule_no=raw["seq"],
-                end=raw["end"],
-                label=F.when(engine == "spacy", lookup(label, C.NER_LABELS))
-                .when(engine == "transformers", F.coalesce(lookup(upper, C.TRANSFORMER_LABELS), label))
-                .otherwise(label),
-                text=F.when(engine == "transformers", F.coalesce(raw["word"], span)).otherwise(span),
-                confidence=F.when(engine == "spacy", ner_confidence(span)).otherwise(raw["score"]),
-                engine=lookup(engine, C.ENGINE_NAMES),
-                is_sensitive=F.when(engine == "spacy", label.isin(*C.NER_SENSITIVE))
-                .when(engine == "transformers", upper.isin(*C.TRANSFORMER_SENSITIVE))
-                .otherwise(F.lit(True)),
-            )
-
-        return let(F.substring(text, raw["start"] + 1, raw["end"] - raw["start"]), shaped)
-
-    def wanted(f: Column) -> Column:
-        cut = (
-            F.when(f["engine"] == "spacy", C.NER_THRESHOLD)
-            .when(f["engine"] == "transformer", C.TRANSFORMER_THRESHOLD)
-            .otherwise(F.lit(float("-inf")))
-        )
-        return f["label"].isNotNull() & (f["confidence"] >= cut)
-
-    valid = F.filter(raws, lambda r: fault(r, F.length(text)).isNull())
-    return F.filter(F.transform(valid, one), wanted).cast(f"array<{FINDING}>")
-
-
-def of_engines(findings: Column, engines: Column) -> Column:
-    """Findings whose engine key is among `engines`."""
-    names = F.transform(engines, lambda e: lookup(e, C.ENGINE_NAMES))
-    return F.filter(findings, lambda f: F.array_contains(names, f["engine"]))
+def of_engines(findings: str, engines: str) -> str:
+    """Findings whose engine key is among the array `engines`."""
+    names = f"transform({engines}, e -> {one_of('e', C.ENGINE_NAMES)})"
+    return let(names, "names", f"filter({findings}, f -> array_contains(names, f.engine))")
 
 
 def attach_raw(
     docs: DataFrame,
     raw: DataFrame,
-    engines: Column,
+    engines: str,
     context: bool = True,
     key: str = "doc_id",
     limit: int = HOT_ROWS,
@@ -156,14 +134,13 @@ def attach_raw(
     hot = hot_keys(raw, [key], limit)
     plain_raw, hot_raw = split_hot(raw, [key], hot)
     plain_docs, hot_docs = split_hot(docs, [key], hot)
-    fields = [f.split(":")[0] for f in RAW[len("struct<") : -1].split(",")]
-    nested = plain_raw.groupBy(key).agg(F.collect_list(F.struct(*fields)).alias("_raw"))
-    found = of_engines(adapt(F.col("text"), F.coalesce("_raw", empty_array(RAW))), engines)
+    nested = plain_raw.groupBy(key).agg(F.collect_list(F.struct(*RAW_FIELDS)).alias("_raw"))
+    found = F.expr(of_engines(adapt(f"coalesce(_raw, {empty_array(RAW)})"), engines))
     out = (
         plain_docs.join(nested, key, "left")
         .withColumn("ext_found", found)
-        .withColumn("ext_scored", empty_array(FINDING))
-        .withColumn("ext_stats", empty_array(STATS))
+        .withColumn("ext_scored", F.expr(empty_array(FINDING)))
+        .withColumn("ext_stats", F.expr(empty_array(STATS)))
         .drop("_raw")
     )
     if hot is None:
@@ -172,7 +149,7 @@ def attach_raw(
 
 
 def _hot_documents(
-    docs: DataFrame, raw: DataFrame, engines: Column, context: bool, key: str
+    docs: DataFrame, raw: DataFrame, engines: str, context: bool, key: str
 ) -> DataFrame:
     """Documents with very many raw rows.
 
@@ -180,22 +157,21 @@ def _hot_documents(
     only the surest, then longest, then first can win the merge, so one finding per start is
     kept, and their number is bounded by the length of the text. The counters come from all rows.
     """
-    fields = [f.split(":")[0] for f in RAW[len("struct<") : -1].split(",")]
     spread_raw = raw.select(
         key,
-        F.array(F.struct(*fields)).alias("_raw"),
+        F.array(F.struct(*RAW_FIELDS)).alias("_raw"),
         F.pmod(F.hash("start", "end", "raw_label", "score", "seq"), F.lit(SALTS)).alias("_salt"),
     )
-    copies = docs.withColumn("_engines", engines).select(
+    copies = docs.withColumn("_engines", F.expr(engines)).select(
         key, "text", "_engines", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
     )
     joined = spread_raw.join(copies, [key, "_salt"])
     found = joined.select(
         key,
         "text",
-        F.explode_outer(of_engines(adapt(F.col("text"), F.col("_raw")), F.col("_engines"))).alias("f"),
-    ).where(F.col("f").isNotNull())
-    scored = F.get(with_context(F.col("text"), F.array("f")), F.lit(0)) if context else F.col("f")
+        F.explode_outer(F.expr(of_engines(adapt("_raw"), "_engines"))).alias("f"),
+    ).where("f is not null")
+    scored = F.expr(f"get({with_context('array(f)')}, 0)") if context else F.col("f")
     rows = found.select(key, F.col("f").alias("raw"), scored.alias("f"))
     best = rows.groupBy(key, F.col("f.start").alias("_start")).agg(
         F.max_by(
@@ -215,7 +191,7 @@ def _hot_documents(
     return (
         docs.join(per_doc, key, "left")
         .join(stats, key, "left")
-        .withColumn("ext_found", empty_array(FINDING))
-        .withColumn("ext_scored", F.coalesce("ext_scored", empty_array(FINDING)))
-        .withColumn("ext_stats", F.coalesce("ext_stats", empty_array(STATS)))
+        .withColumn("ext_found", F.expr(empty_array(FINDING)))
+        .withColumn("ext_scored", F.expr(f"coalesce(ext_scored, {empty_array(FINDING)})"))
+        .withColumn("ext_stats", F.expr(f"coalesce(ext_stats, {empty_array(STATS)})"))
     )

@@ -2,121 +2,77 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from palimpsest.functions import constants as C
-from palimpsest.functions.arrays import fold_to_array, last, let
+from palimpsest.functions.arrays import among, fold_to_array, let, text_literal
 from palimpsest.operators.scan import FINDING, finding
 
 
-def context_window(text: Column, start: Column, end: Column, size: int = C.CONTEXT_WINDOW) -> Column:
+def context_window(text: str, start: str, end: str, size: int = C.CONTEXT_WINDOW) -> str:
     """Lower-case text around a span, cut at the ends of the text."""
-    first = F.greatest(start - size, F.lit(0))
-    return F.lower(F.substring(text, first + 1, F.least(end + size, F.length(text)) - first))
-
+    first = f"greatest({start} - {size}, 0)"
+    return (
+        f"lower(substring({text}, {first} + 1, least({end} + {size}, length({text})) - {first}))"
+    )
 
-def context_score(text: Column, label: Column, start: Column, end: Column) -> Column:
-    """Support from words of the label's category near the span."""
 
-    def boost(words: tuple[str, ...]) -> Column:
-        def hits(window: Column) -> Column:
-            total = F.lit(0)
-            for word in words:
-                total = total + F.contains(window, F.lit(word)).cast("int")
-            return total
+def context_score(text: str, f: str) -> str:
+    """Support for finding `f` from words of its label's category near the span."""
+    window = context_window(text, f"{f}.start", f"{f}.end")
+    boosts = ", ".join(f"{v}D" for v in C.CONTEXT_BOOST)
 
-        count = let(context_window(text, start, end), hits)
-        return F.get(F.array(*[F.lit(v) for v in C.CONTEXT_BOOST]), count)
+    def boost(category: str) -> str:
+        hits = " + ".join(
+            f"cast(contains(near, {text_literal(w)}) as int)" for w in C.CONTEXT_KEYWORDS[category]
+        )
+        return let(window, "near", f"get(array({boosts}), {hits})")
 
-    score = F.when(F.lit(False), F.lit(0.0))
-    for category, labels in C.CONTEXT_LABELS.items():
-        score = score.when(label.isin(*labels), boost(C.CONTEXT_KEYWORDS[category]))
-    for category, part in C.CONTEXT_LABEL_PART.items():
-        score = score.when(F.contains(label, F.lit(part)), boost(C.CONTEXT_KEYWORDS[category]))
-    return score.otherwise(F.lit(0.0))
+    cases = [
+        f"when {among(f'{f}.label', labels)} then {boost(category)}"
+        for category, labels in C.CONTEXT_LABELS.items()
+    ] + [
+        f"when contains({f}.label, {text_literal(part)}) then {boost(category)}"
+        for category, part in C.CONTEXT_LABEL_PART.items()
+    ]
+    return f"case {' '.join(cases)} else 0.0D end"
 
 
-def with_context(text: Column, findings: Column) -> Column:
+def with_context(findings: str, text: str = "text") -> str:
     """Findings with their context score added to the confidence, at most 1."""
+    rescored = finding("f", confidence="least(f.confidence + support, 1.0D)", context_score="support")
+    return f"transform({findings}, f -> {let(context_score(text, 'f'), 'support', rescored)})"
 
-    def rescored(f: Column) -> Column:
-        return let(
-            context_score(text, f["label"], f["start"], f["end"]),
-            lambda s: finding(
-                f["start"],
-                f["engine_no"],
-                f["rule_no"],
-                f["end"],
-                f["label"],
-                f["text"],
-                F.least(f["confidence"] + s, F.lit(1.0)),
-                f["engine"],
-                s,
-                f["is_sensitive"],
-            ),
-        )
 
-    return F.transform(findings, rescored)
-
-
-def merge_overlaps(findings: Column) -> Column:
+def merge_overlaps(findings: str) -> str:
     """Keep one finding of each overlap: the surer, then the longer, then the earlier one.
 
     A finding is compared with the current winner only, in order of start and arrival, so
     the winner's end decides what the next finding overlaps with.
     """
-
-    def step(kept: Column, new: Column) -> Column:
-        def against(old: Column) -> Column:
-            surer = new["confidence"] > old["confidence"]
-            longer = (new["confidence"] == old["confidence"]) & (
-                new["end"] - new["start"] > old["end"] - old["start"]
-            )
-            return (
-                F.when(F.size(kept) == 0, F.array(new))
-                .when(new["start"] >= old["end"], F.array_append(kept, new))
-                .when(
-                    surer | longer,
-                    F.array_append(F.slice(kept, F.lit(1), F.size(kept) - 1), new),
-                )
-                .otherwise(kept)
-            )
-
-        return let(last(kept), against)
-
-    return fold_to_array(F.array_sort(findings), FINDING, step)
-
-
-def above(findings: Column, threshold: Column | float) -> Column:
-    limit = F.lit(float(threshold)) if isinstance(threshold, (int, float)) else threshold
-    return F.filter(findings, lambda f: f["confidence"] >= limit)
-
-
-def mean_confidence(findings: Column) -> Column:
-    total = F.aggregate(findings, F.lit(0.0), lambda acc, f: acc + f["confidence"])
-    return F.when(F.size(findings) == 0, F.lit(0.0)).otherwise(total / F.size(findings))
+    better = (
+        "(new.confidence > old.confidence or "
+        "(new.confidence = old.confidence and new.end - new.start > old.end - old.start))"
+    )
+    step = let(
+        "try_element_at(kept, -1)",
+        "old",
+        "case when size(kept) = 0 then array(new) "
+        "when new.start >= old.end then array_append(kept, new) "
+        f"when {better} then array_append(slice(kept, 1, size(kept) - 1), new) else kept end",
+    )
+    return fold_to_array(f"array_sort({findings})", FINDING, "kept", "new", step)
 
 
-def analysis(found: Column, merged: Column, kept: Column) -> Column:
-    """Counters of the three stages and the mean confidence of what is kept."""
-    return F.struct(
-        F.size(found).alias("total_entities_found"),
-        F.size(merged).alias("entities_after_merge"),
-        F.size(kept).alias("entities_after_filter"),
-        mean_confidence(kept).alias("average_confidence"),
-    )
+def above(findings: str, threshold: str | float) -> str:
+    """Findings at or above a threshold, given as a number or as SQL text."""
+    limit = f"{float(threshold)}D" if isinstance(threshold, (int, float)) else threshold
+    return f"filter({findings}, f -> f.confidence >= {limit})"
 
 
-def engine_confidence(found: Column) -> Column:
-    """Mean confidence per engine that found anything, before context is added."""
+def mean_confidence(findings: str) -> str:
+    total = f"aggregate({findings}, 0.0D, (sum, f) -> sum + f.confidence)"
+    return f"if(size({findings}) = 0, 0.0D, {total} / size({findings}))"
 
-    def of(engine: str) -> Column:
-        name = C.ENGINE_NAMES[engine]
-        mine = F.filter(found, lambda f: f["engine"] == name)
-        return F.struct(F.lit(engine).alias("key"), mean_confidence(mine).alias("value"), F.size(mine).alias("n"))
 
-    pairs = F.filter(F.array(*[of(e) for e in C.ENGINES]), lambda p: p["n"] > 0)
-    return F.map_from_entries(
-        F.transform(pairs, lambda p: F.struct(p["key"].alias("key"), p["value"].alias("value")))
-    )
+def of_types(findings: str, types: tuple[str, ...] = C.DECLARED_ENTITY_TYPES) -> str:
+    """Findings whose label is on an allow-list."""
+    return f"filter({findings}, f -> {among('f.label', types)})"

@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import constants as C
-from palimpsest.functions.arrays import fold_to_array, last, let
+from palimpsest.functions.arrays import fold_to_array, let, one_of, text_literal
 from palimpsest.functions.text import DEFAULT_SALT, rewritten
-from palimpsest.operators.engines import lookup
 
 AUTO = "auto"
 AUDIT_METHOD = "advanced_anonymization"
@@ -16,91 +15,68 @@ OVERLAP_ERROR = "overlapping entities"
 
 
 def chosen_strategy(
-    label: Column, strategy: str = AUTO, table: dict[str, str] | None = None
-) -> Column:
+    label: str, strategy: str = AUTO, table: dict[str, str] | None = None
+) -> str:
     """The given strategy for every label, or with `auto` the label's own."""
     if strategy != AUTO:
-        return F.lit(strategy)
-    return F.coalesce(lookup(label, table or C.DEFAULT_STRATEGIES), F.lit(C.FALLBACK_STRATEGY))
+        return text_literal(strategy)
+    return one_of(label, table or C.DEFAULT_STRATEGIES, text_literal(C.FALLBACK_STRATEGY))
 
 
 def with_replacements(
-    entities: Column,
+    entities: str,
     strategy: str = AUTO,
     table: dict[str, str] | None = None,
-    preserve_format: Column | bool = True,
-    realistic_names: Column | bool = True,
+    preserve_format: str = "true",
+    realistic_names: str = "true",
     salt: str = DEFAULT_SALT,
-) -> Column:
+) -> str:
     """Entities with the strategy applied to each and the value that takes its place."""
-    preserve = F.lit(preserve_format) if isinstance(preserve_format, bool) else preserve_format
-    realistic = F.lit(realistic_names) if isinstance(realistic_names, bool) else realistic_names
-
-    def one(e: Column) -> Column:
-        return let(
-            chosen_strategy(e["label"], strategy, table),
-            lambda s: F.struct(
-                e["start"].alias("start"),
-                e["end"].alias("end"),
-                e["label"].alias("label"),
-                e["text"].alias("text"),
-                s.alias("strategy"),
-                rewritten(e["text"], e["label"], s, preserve, realistic, salt).alias("anonymized"),
-            ),
-        )
-
-    return F.transform(entities, one)
+    value = rewritten("e.text", "e.label", "how", preserve_format, realistic_names, salt)
+    item = (
+        "named_struct('start', e.start, 'end', e.end, 'label', e.label, 'text', e.text, "
+        f"'strategy', how, 'anonymized', {value})"
+    )
+    chosen = chosen_strategy("e.label", strategy, table)
+    return f"transform({entities}, e -> {let(chosen, 'how', item)})"
 
 
-def overlapping(items: Column) -> Column:
+def overlapping(items: str) -> str:
     """Whether any item starts before the one ahead of it has ended."""
-    return let(
-        items,
-        lambda a: F.exists(
-            F.transform(a, lambda e, i: e["start"] < F.coalesce(F.get(a, i - 1)["end"], F.lit(0))),
-            lambda bad: bad,
-        ),
-    )
+    clash = "transform(a, (e, i) -> e.start < coalesce(get(a, i - 1).end, 0))"
+    return let(items, "a", f"exists({clash}, bad -> bad)")
 
 
-def replace_spans(text: Column, items: Column, value: str = "anonymized") -> Column:
+def replace_spans(text: str, items: str, value: str = "anonymized") -> str:
     """Text with each span replaced by the item's value. Spans are in order and disjoint."""
-
-    def rebuilt(a: Column) -> Column:
-        def piece(e: Column, i: Column) -> Column:
-            before = F.coalesce(F.get(a, i - 1)["end"], F.lit(0))
-            return F.concat(F.substring(text, before + 1, e["start"] - before), e[value])
-
-        tail_from = F.coalesce(last(a)["end"], F.lit(0)) + 1
-        return F.when(F.size(a) == 0, text).otherwise(
-            F.concat(F.array_join(F.transform(a, piece), ""), F.substr(text, tail_from))
-        )
-
-    return let(items, rebuilt)
+    piece = let(
+        "coalesce(get(a, i - 1).end, 0)",
+        "done",
+        f"concat(substring({text}, done + 1, e.start - done), e.{value})",
+    )
+    tail = f"substr({text}, try_element_at(a, -1).end + 1)"
+    built = f"concat(array_join(transform(a, (e, i) -> {piece}), ''), {tail})"
+    return let(items, "a", f"if(size(a) = 0, {text}, {built})")
 
 
 def anonymize(
     docs: DataFrame,
     entities: str = "entities",
     text: str = "text",
-    **options: object,
+    **options: str,
 ) -> DataFrame:
     """Adds replacements, anonymized_text, entities_processed, success and error_message.
 
     A document whose entities overlap gets no text at all, never the unmasked one.
     """
     return (
-        docs.withColumn("replacements", with_replacements(F.col(entities), **options))
-        .withColumn("error_message", F.when(overlapping(F.col("replacements")), OVERLAP_ERROR))
+        docs.withColumn("replacements", F.expr(with_replacements(entities, **options)))
+        .withColumn("error_message", F.when(F.expr(overlapping("replacements")), OVERLAP_ERROR))
         .withColumn("success", F.col("error_message").isNull())
         .withColumn(
-            "anonymized_text",
-            F.when(F.col("success"), replace_spans(F.col(text), F.col("replacements"))),
-        )
-        .withColumn(
-            "entities_processed",
-            F.when(F.col("success"), F.size("replacements")).otherwise(F.lit(0)),
+            "anonymized_text", F.expr(f"if(success, {replace_spans(text, 'replacements')}, null)")
         )
+        .withColumn("entities_processed", F.expr("if(success, size(replacements), 0)"))
     )
 
 
@@ -136,24 +112,17 @@ def mapping_export(combined: DataFrame, include_hashes: bool = True) -> DataFram
     return combined.select(*columns)
 
 
-def restore_by_offsets(anonymized: Column, replacements: Column) -> Column:
+def restore_by_offsets(anonymized: str, replacements: str) -> str:
     """The exact original text, from the spans and the values they held."""
-
-    def step(done: Column, r: Column) -> Column:
-        shift = F.coalesce(last(done)["shift"], F.lit(0))
-        return F.array_append(
-            done,
-            F.struct(
-                (r["start"] + shift).alias("start"),
-                (r["start"] + shift + F.length(r["anonymized"])).alias("end"),
-                r["text"].alias("original"),
-                (shift + F.length(r["anonymized"]) - (r["end"] - r["start"])).alias("shift"),
-            ),
-        )
-
-    spans = fold_to_array(
-        replacements, "struct<start:int,end:int,original:string,shift:int>", step
+    item = (
+        "named_struct('start', r.start + shift, 'end', r.start + shift + length(r.anonymized), "
+        "'original', r.text, 'shift', shift + length(r.anonymized) - (r.end - r.start))"
+    )
+    step = let(
+        "coalesce(try_element_at(moved, -1).shift, 0)", "shift", f"array_append(moved, {item})"
     )
+    span = "struct<start:int,end:int,original:string,shift:int>"
+    spans = fold_to_array(replacements, span, "moved", "r", step)
     return replace_spans(anonymized, spans, "original")
 
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.functions.arrays import among, text_literal
 from palimpsest.operators.scan import finding
 from palimpsest.operators.skew import join_dimension
 
@@ -23,47 +24,28 @@ class MaskingRule:
     values: tuple[str, ...] = ()
 
 
-def apply_rules(entities: Column, rules: list[MaskingRule]) -> Column:
+def apply_rules(entities: str, rules: list[MaskingRule]) -> str:
     """Rules on the entities of one row. The last rule of a type counts."""
     last = {rule.entity_type: rule for rule in rules}
-    if not last:
-        return entities
-
-    def listed(text: Column, rule: MaskingRule) -> Column:
-        return text.isin(*rule.values) if rule.values else F.lit(False)
-
-    def drop(e: Column) -> Column:
-        out = F.when(F.lit(False), F.lit(False))
-        for rule in last.values():
-            mine = e["label"] == rule.entity_type
-            if rule.strategy == "skip":
-                out = out.when(mine, F.lit(True))
-            elif rule.strategy == "lower_threshold":
-                out = out.when(mine, e["confidence"] < rule.min_confidence)
-            elif rule.strategy == "whitelist":
-                out = out.when(mine, listed(e["text"], rule))
-        return out.otherwise(F.lit(False))
-
-    def raised(e: Column) -> Column:
-        out = F.when(F.lit(False), e["confidence"])
-        for rule in last.values():
-            if rule.strategy == "blacklist":
-                mine = (e["label"] == rule.entity_type) & listed(e["text"], rule)
-                out = out.when(mine, F.lit(1.0))
-        return finding(
-            e["start"],
-            e["engine_no"],
-            e["rule_no"],
-            e["end"],
-            e["label"],
-            e["text"],
-            out.otherwise(e["confidence"]),
-            e["engine"],
-            e["context_score"],
-            e["is_sensitive"],
-        )
-
-    return F.transform(F.filter(entities, lambda e: ~drop(e)), raised)
+    drop, raised = [], []
+    for rule in last.values():
+        mine = f"e.label = {text_literal(rule.entity_type)}"
+        if rule.strategy == "skip":
+            drop.append(mine)
+        elif rule.strategy == "lower_threshold":
+            drop.append(f"{mine} and e.confidence < {float(rule.min_confidence)}D")
+        elif rule.strategy == "whitelist":
+            drop.append(f"{mine} and {among('e.text', rule.values)}")
+        elif rule.strategy == "blacklist":
+            raised.append(f"{mine} and {among('e.text', rule.values)}")
+    out = entities
+    if drop:
+        out = f"filter({out}, e -> not ({' or '.join(f'({d})' for d in drop)}))"
+    if raised:
+        sure = " or ".join(f"({r})" for r in raised)
+        confidence = f"if({sure}, 1.0D, e.confidence)"
+        out = f"transform({out}, e -> {finding('e', confidence=confidence)})"
+    return out
 
 
 def apply_rule_table(entities: DataFrame, rules: DataFrame) -> DataFrame:

@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from itertools import groupby
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import constants as C
-from palimpsest.functions.arrays import empty_array, fold_to_array, last, let
+from palimpsest.functions.arrays import empty_array, fold_to_array, let, quoted, text_literal
 from palimpsest.functions.recognisers import Recogniser
-from palimpsest.functions.text import passes_luhn
+from palimpsest.functions.text import matches, passes_luhn
 
 SPAN = "struct<start:int,end:int,text:string>"
 
@@ -23,152 +23,108 @@ FINDING = (
     "struct<start:int,engine_no:int,rule_no:int,end:int,label:string,text:string,"
     "confidence:double,engine:string,context_score:double,is_sensitive:boolean>"
 )
+FIELDS = (
+    "start", "engine_no", "rule_no", "end", "label", "text", "confidence", "engine",
+    "context_score", "is_sensitive",
+)
 
 
-def finding(
-    start: Column,
-    engine_no: Column,
-    rule_no: Column,
-    end: Column,
-    label: Column,
-    text: Column,
-    confidence: Column,
-    engine: Column,
-    context_score: Column | None = None,
-    is_sensitive: Column | None = None,
-) -> Column:
-    return F.struct(
-        start.cast("int").alias("start"),
-        engine_no.cast("int").alias("engine_no"),
-        rule_no.cast("int").alias("rule_no"),
-        end.cast("int").alias("end"),
-        label.alias("label"),
-        text.alias("text"),
-        confidence.cast("double").alias("confidence"),
-        engine.alias("engine"),
-        (F.lit(0.0) if context_score is None else context_score).alias("context_score"),
-        (F.lit(True) if is_sensitive is None else is_sensitive).alias("is_sensitive"),
-    )
+def finding(old: str | None = None, **fields: str) -> str:
+    """A finding from its fields; with `old`, a copy of it with some fields changed."""
+    default = {"context_score": "0.0D", "is_sensitive": "true"}
+    parts = []
+    for name in FIELDS:
+        value = fields.get(name) or (f"{old}.{name}" if old else default[name])
+        parts.append(f"'{name}', {value}")
+    return f"named_struct({', '.join(parts)})"
 
 
-def match_spans(text: Column, regex: str) -> Column:
-    """All non-overlapping matches with offsets.
+def match_spans(found: str, gaps: str) -> str:
+    """Offsets of the matches of one pattern: running sums of gap and match lengths.
 
-    Splitting by the same pattern gives the gaps between the matches, so the offsets are
-    running sums of gap and match lengths.
+    Splitting a text by the pattern it was searched with gives the gaps.
     """
-
-    def place(matches: Column) -> Column:
-        def step(spans: Column, piece: Column) -> Column:
-            return let(
-                F.coalesce(last(spans)["end"], F.lit(0)) + piece["gap"],
-                lambda start: F.array_append(
-                    spans,
-                    F.struct(
-                        start.alias("start"),
-                        (start + F.length(piece["text"])).alias("end"),
-                        piece["text"].alias("text"),
-                    ),
-                ),
-            )
-
-        pieces = let(
-            F.split(text, regex, -1),
-            lambda gaps: F.transform(
-                matches,
-                lambda m, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), m.alias("text")),
-            ),
-        )
-        return fold_to_array(pieces, SPAN, step)
-
-    return let(
-        F.regexp_extract_all(text, F.lit(regex), F.lit(0)),
-        lambda m: F.when(F.size(m) == 0, empty_array(SPAN)).otherwise(place(m)),
+    span = (
+        "named_struct('start', span_from, 'end', span_from + length(piece.text), "
+        "'text', piece.text)"
+    )
+    step = let(
+        "coalesce(try_element_at(spans, -1).end, 0) + piece.gap",
+        "span_from",
+        f"array_append(spans, {span})",
     )
+    pieces = (
+        f"transform({found}, (m, i) -> "
+        f"named_struct('gap', length(get({gaps}, i)), 'text', m))"
+    )
+    return fold_to_array(pieces, SPAN, "spans", "piece", step)
 
 
-def pattern_confidence(matched: Column, base: float = C.PATTERN_BASE) -> Column:
+def pattern_confidence(text: str, base: float = C.PATTERN_BASE) -> str:
     """Base score, more for long values and for values with a separator, at most 1."""
-    longer = F.when(F.length(matched) > C.PATTERN_LONG_CHARS, C.PATTERN_LONG_BONUS).otherwise(0.0)
-    parted = F.when(matched.rlike("[-_]"), C.PATTERN_SEPARATOR_BONUS).otherwise(0.0)
-    return F.least(F.lit(float(base)) + longer + parted, F.lit(1.0))
+    longer = f"if(length({text}) > {C.PATTERN_LONG_CHARS}, {C.PATTERN_LONG_BONUS}D, 0.0D)"
+    parted = f"if({matches(text, '[-_]')}, {C.PATTERN_SEPARATOR_BONUS}D, 0.0D)"
+    return f"least({float(base)}D + {longer} + {parted}, 1.0D)"
 
 
-def _scan_one(text: Column, rule: Recogniser, rule_no: int, base: float) -> Column:
+def _hits(text: str, rule: Recogniser, rule_no: int) -> str:
+    """Matches of one rule and the gaps between them. The text is split only after a match."""
     engine_no = C.ENGINES.index(rule.engine) if rule.engine in C.ENGINES else len(C.ENGINES)
-
-    def as_finding(span: Column) -> Column:
-        return finding(
-            start=span["start"],
-            engine_no=F.lit(engine_no),
-            rule_no=F.lit(rule_no),
-            end=span["end"],
-            label=F.lit(rule.label),
-            text=span["text"],
-            confidence=(
-                pattern_confidence(span["text"], base) if rule.score is None else F.lit(rule.score)
-            ),
-            engine=F.lit(C.ENGINE_NAMES.get(rule.engine, rule.engine)),
-        )
-
-    spans = match_spans(text, rule.regex)
-    if rule.luhn:
-        spans = F.filter(spans, lambda s: passes_luhn(s["text"]))
-    return F.transform(spans, as_finding)
+    regex = quoted(rule.regex)
+    score = "cast(null as double)" if rule.score is None else f"{float(rule.score)}D"
+    return let(
+        f"regexp_extract_all({text}, {regex}, 0)",
+        "m",
+        f"named_struct('engine_no', {engine_no}, 'rule_no', {rule_no}, "
+        f"'label', {text_literal(rule.label)}, "
+        f"'engine', {text_literal(C.ENGINE_NAMES.get(rule.engine, rule.engine))}, "
+        f"'score', {score}, 'luhn', {str(rule.luhn).lower()}, 'found', m, "
+        f"'gaps', if(size(m) > 0, split({text}, {regex}, -1), null))",
+    )
 
 
 def scan_patterns(
-    text: Column, rules: list[Recogniser], base: float = C.PATTERN_BASE, first_rule: int = 0
-) -> Column:
+    rules: list[Recogniser], text: str = "text", base: float = C.PATTERN_BASE, first_rule: int = 0
+) -> str:
     """Array of findings of all `rules` in one text."""
+    if not rules:
+        return empty_array(FINDING)
     numbered = sorted(enumerate(rules, first_rule), key=lambda r: r[1].gate or "")
-    parts = []
+    groups = []
     for gate, members in groupby(numbered, key=lambda r: r[1].gate):
-        found = F.concat(*[_scan_one(text, rule, number, base) for number, rule in members])
-        parts.append(
-            found
-            if gate is None
-            else F.when(text.rlike(gate), found).otherwise(empty_array(FINDING))
-        )
-    if not parts:
-        return empty_array(FINDING)
-    return F.concat(*parts).cast(f"array<{FINDING}>")
+        hits = f"array({', '.join(_hits(text, rule, number) for number, rule in members)})"
+        groups.append(hits if gate is None else f"if({matches(text, gate)}, {hits}, null)")
+    passed = f"filter(array({', '.join(groups)}), g -> g is not null)"
+    hit_rules = f"filter(flatten({passed}), h -> size(h.found) > 0)"
+    spans = f"filter({match_spans('hit.found', 'hit.gaps')}, s -> not hit.luhn or {passes_luhn('s.text')})"
+    found = finding(
+        start="span.start",
+        engine_no="hit.engine_no",
+        rule_no="hit.rule_no",
+        end="span.end",
+        label="hit.label",
+        text="span.text",
+        confidence=f"coalesce(hit.score, {pattern_confidence('span.text', base)})",
+        engine="hit.engine",
+    )
+    return (
+        f"cast(flatten(transform({hit_rules}, hit -> transform({spans}, span -> {found}))) "
+        f"as array<{FINDING}>)"
+    )
 
 
 def explode_findings(
     docs: DataFrame, column: str, key: str = "doc_id", arrival: bool = True
 ) -> DataFrame:
     """Long table of findings. `seq` numbers them per document, by arrival or by position."""
-    items = F.col(column)
+    items = column
     if arrival:
-        items = F.transform(
-            F.array_sort(
-                F.transform(
-                    items,
-                    lambda f: F.struct(
-                        f["engine_no"].alias("engine_no"),
-                        f["rule_no"].alias("rule_no"),
-                        f["start"].alias("start"),
-                        f.alias("item"),
-                    ),
-                )
-            ),
-            lambda s: s["item"],
-        )
+        by_arrival = "named_struct('e', f.engine_no, 'r', f.rule_no, 's', f.start, 'item', f)"
+        items = f"transform(array_sort(transform({column}, f -> {by_arrival})), s -> s.item)"
     # The outer form keeps the scan from being repeated in a derived "not empty" filter.
+    shown = ["text", "label", "start", "end", "confidence", "engine", "context_score", "is_sensitive"]
     return (
-        docs.select(key, F.posexplode_outer(items).alias("seq", "f"))
-        .where(F.col("f").isNotNull())
-        .select(
-            key,
-            "seq",
-            F.col("f.text").alias("text"),
-            F.col("f.label").alias("label"),
-            F.col("f.start").alias("start"),
-            F.col("f.end").alias("end"),
-            F.col("f.confidence").alias("confidence"),
-            F.col("f.engine").alias("engine"),
-            F.col("f.context_score").alias("context_score"),
-            F.col("f.is_sensitive").alias("is_sensitive"),
-        )
+        docs.select(key, F.posexplode_outer(F.expr(items)).alias("seq", "f"))
+        .where("f is not null")
+        .select(key, "seq", *[f"f.{name}" for name in shown])
     )

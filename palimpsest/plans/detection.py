@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import constants as C
-from palimpsest.functions.arrays import empty_array
+from palimpsest.functions.arrays import empty_array, text_literal
 from palimpsest.functions.recognisers import (
     Recogniser,
     security_id_recognisers,
@@ -15,7 +15,7 @@ from palimpsest.functions.recognisers import (
 )
 from palimpsest.operators.engines import STATS, attach_raw, of_engines, union_raw
 from palimpsest.operators.fuse import above, mean_confidence, merge_overlaps, with_context
-from palimpsest.operators.scan import FINDING, scan_patterns
+from palimpsest.operators.scan import scan_patterns
 from palimpsest.operators.skew import HOT_ROWS
 
 ANALYZER_FIRST_RULE = 100
@@ -36,8 +36,8 @@ def detect(
     raw_tables: dict[str, DataFrame] | None = None,
     recognisers: list[Recogniser] | None = None,
     context: bool = True,
-    threshold: Column | float = C.DETECTION_THRESHOLD,
-    row_engines: Column | None = None,
+    threshold: str | float = C.DETECTION_THRESHOLD,
+    row_engines: str | None = None,
     key: str = "doc_id",
     limit: int = HOT_ROWS,
 ) -> DataFrame:
@@ -50,73 +50,64 @@ def detect(
     rules = default_recognisers(engines) if recognisers is None else recognisers
     tables = {e: t for e, t in (raw_tables or {}).items() if e in engines}
     sources = {r.engine for r in rules} | set(tables)
-    used = F.array(*[F.lit(e) for e in C.ENGINES if e in engines and e in sources])
-    used = used.cast("array<string>")
+    names = [e for e in C.ENGINES if e in engines and e in sources]
+    used = f"cast(array({', '.join(text_literal(n) for n in names)}) as array<string>)"
     if row_engines is not None:
-        used = F.array_intersect(used, row_engines)
+        used = f"array_intersect({used}, {row_engines})"
     analyzer = [r for r in rules if r.engine == "presidio"]
     others = [r for r in rules if r.engine != "presidio"]
-    found = F.concat(
-        scan_patterns(F.col("text"), analyzer, first_rule=ANALYZER_FIRST_RULE),
-        scan_patterns(F.col("text"), others),
+    found = (
+        f"concat({scan_patterns(analyzer, first_rule=ANALYZER_FIRST_RULE)}, "
+        f"{scan_patterns(others)})"
     )
     if row_engines is not None:
-        found = of_engines(found, F.col("engines_used"))
-    out = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("engines_used", used)
+        found = of_engines(found, "engines_used")
+    out = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn(
+        "engines_used", F.expr(used)
+    )
     raw = union_raw(tables, key)
+    scored = with_context("findings") if context else "findings"
     if raw is None:
-        out = out.withColumn("findings", found)
-        scored = F.col("findings")
         stats = empty_array(STATS)
+        out = out.withColumn("findings", F.expr(found))
     else:
-        out = attach_raw(out, raw, F.col("engines_used"), context, key, limit)
-        out = out.withColumn("findings", F.concat(found, "ext_found"))
-        scored = F.col("findings")
-        stats = F.col("ext_stats")
-    scored = with_context(F.col("text"), scored) if context else scored
-    if raw is not None:
-        scored = F.concat(scored, "ext_scored")
-    out = (
-        out.withColumn("merged", merge_overlaps(scored))
-        .withColumn("entities", above(F.col("merged"), threshold))
-        .withColumn("engine_confidence", engine_means(F.col("findings"), stats))
+        stats = "ext_stats"
+        out = attach_raw(out, raw, "engines_used", context, key, limit)
+        out = out.withColumn("findings", F.expr(f"concat({found}, ext_found)"))
+        scored = f"concat({scored}, ext_scored)"
+    counted = f"size(findings) + aggregate({stats}, 0L, (n, s) -> n + s.n)"
+    return (
+        out.withColumn("merged", F.expr(merge_overlaps(scored)))
+        .withColumn("entities", F.expr(above("merged", threshold)))
+        .withColumn("engine_confidence", F.expr(engine_means("findings", stats)))
         .withColumn(
             "analysis",
-            F.struct(
-                (
-                    F.size("findings")
-                    + F.aggregate(stats, F.lit(0).cast("bigint"), lambda acc, s: acc + s["n"])
-                ).alias("total_entities_found"),
-                F.size("merged").alias("entities_after_merge"),
-                F.size("entities").alias("entities_after_filter"),
-                mean_confidence(F.col("entities")).alias("average_confidence"),
+            F.expr(
+                f"named_struct('total_entities_found', {counted}, "
+                "'entities_after_merge', size(merged), 'entities_after_filter', size(entities), "
+                f"'average_confidence', {mean_confidence('entities')})"
             ),
         )
+        .drop("ext_found", "ext_scored", "ext_stats")
     )
-    return out.drop("ext_found", "ext_scored", "ext_stats")
 
 
-def engine_means(findings: Column, stats: Column) -> Column:
+def engine_means(findings: str, stats: str) -> str:
     """Mean confidence per engine with findings, before context; `stats` adds counted rows."""
-
-    def of(engine: str) -> Column:
-        name = C.ENGINE_NAMES[engine]
-        mine = F.filter(findings, lambda f: f["engine"] == name)
-        counted = F.filter(stats, lambda s: s["engine"] == name)
-        n = F.size(mine) + F.aggregate(
-            counted, F.lit(0).cast("bigint"), lambda acc, s: acc + s["n"]
-        )
-        total = F.aggregate(mine, F.lit(0.0), lambda acc, f: acc + f["confidence"])
-        total = total + F.aggregate(counted, F.lit(0.0), lambda acc, s: acc + s["total"])
-        return F.struct(F.lit(engine).alias("key"), total.alias("total"), n.alias("n"))
-
-    pairs = F.filter(F.array(*[of(e) for e in C.ENGINES]), lambda p: p["n"] > 0)
-    return F.map_from_entries(
-        F.transform(
-            pairs, lambda p: F.struct(p["key"].alias("key"), (p["total"] / p["n"]).alias("value"))
-        )
+    keys = ", ".join(
+        f"named_struct('key', {text_literal(k)}, 'name', {text_literal(v)})"
+        for k, v in C.ENGINE_NAMES.items()
+    )
+    own = f"filter({findings}, f -> f.engine = e.name)"
+    counted = f"filter({stats}, s -> s.engine = e.name)"
+    pair = (
+        f"named_struct('key', e.key, "
+        f"'n', size({own}) + aggregate({counted}, 0L, (n, s) -> n + s.n), "
+        f"'total', aggregate({own}, 0.0D, (t, f) -> t + f.confidence)"
+        f" + aggregate({counted}, 0.0D, (t, s) -> t + s.total))"
+    )
+    pairs = f"filter(transform(array({keys}), e -> {pair}), p -> p.n > 0)"
+    return (
+        f"map_from_entries(transform({pairs}, "
+        "p -> named_struct('key', p.key, 'value', p.total / p.n)))"
     )
-
-
-def empty_findings() -> Column:
-    return empty_array(FINDING)
