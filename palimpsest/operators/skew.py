@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,6 +65,19 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a checkpoint that outlives executors.
+
+    The folder is the one the session names; only a session without one, as in tests, gets
+    a folder of its own.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", "")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="palimpsest-"))
+    return df.checkpoint()
+
+
 def ordered_chunks(
     df: DataFrame, keys: list[str], position: Column, cuts: int = CUTS
 ) -> DataFrame:
@@ -79,3 +94,50 @@ def ordered_chunks(
     joined = join_dimension(placed, edges, keys, "inner")
     below = F.size(F.filter("_edges", lambda e: e < F.col("_at")))
     return joined.withColumn("chunk", below).drop("_at", "_edges")
+
+
+def chunk_carry(
+    df: DataFrame, keys: list[str], aggregates: list[Column], carried: list[Column]
+) -> DataFrame:
+    """Per chunk what the chunks before it add up to.
+
+    `aggregates` sum up one chunk; `carried` are expressions over `before`, a window of the
+    summed rows of the same key ahead of the chunk. A key has at most CUTS chunks.
+    """
+    sums = df.groupBy(*keys, "chunk").agg(*aggregates)
+    return sums.select(*keys, "chunk", *carried)
+
+
+def number_rows(
+    df: DataFrame,
+    keys: list[str],
+    order: list[Column],
+    position: Column,
+    name: str,
+    limit: int = HOT_ROWS,
+) -> DataFrame:
+    """Row number per key in `order`. `position` must grow with the first order column.
+
+    Keys with more than `limit` rows are numbered chunk by chunk, and each chunk starts
+    after the rows of the chunks before it.
+    """
+    plain, hot = split_hot(df, keys, hot_keys(df, keys, limit))
+    out = plain.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    if hot is None:
+        return out
+    chunked = ordered_chunks(hot, keys, position).repartition(*keys, "chunk")
+    inner = Window.partitionBy(*keys, "chunk").orderBy(*order)
+    before = (
+        Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    carry = chunk_carry(
+        chunked,
+        keys,
+        [F.count("*").alias("_n")],
+        [F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")],
+    )
+    numbered = join_dimension(
+        chunked.withColumn(name, F.row_number().over(inner)), carry, [*keys, "chunk"], "inner"
+    )
+    numbered = numbered.withColumn(name, (F.col(name) + F.col("_before")).cast("int"))
+    return out.unionByName(numbered.drop("chunk", "_before"))
