@@ -17,6 +17,7 @@ from palimpsest.operators.skew import (
     number_rows,
     split_hot,
 )
+from palimpsest.operators.stats import percent
 
 BOX = ["x1", "y1", "x2", "y2"]
 # Each box is compared with all kept ones, so suppression inside one row is for fewer boxes.
@@ -286,7 +287,7 @@ def display_boxes(boxes: DataFrame, key: str = "doc_id") -> DataFrame:
         key,
         "seq",
         F.col("class_name").alias("logo_type"),
-        F.format_string("%.0f%%", F.col("confidence") * 100).alias("confidence"),
+        percent(F.col("confidence")).alias("confidence"),
         F.format_string("%d px²", F.col("area")).alias("area"),
         F.format_string("(%d, %d) to (%d, %d)", *BOX).alias("position"),
     )

@@ -282,6 +282,11 @@ def timeline(runs: DataFrame) -> DataFrame:
     )
 
 
+def percent(value: Column) -> Column:
+    """Whole percent, halves to the even number."""
+    return F.concat(F.bround(value * 100, 0).cast("int").cast("string"), F.lit("%"))
+
+
 def display_entities(entities: DataFrame, key: str = "doc_id") -> DataFrame:
     """Entities as shown to people."""
     return entities.select(
@@ -289,7 +294,7 @@ def display_entities(entities: DataFrame, key: str = "doc_id") -> DataFrame:
         "seq",
         "text",
         F.col("label").alias("type"),
-        F.format_string("%.0f%%", F.col("confidence") * 100).alias("confidence"),
+        percent(F.col("confidence")).alias("confidence"),
         "engine",
         F.concat_ws("-", F.col("start").cast("string"), F.col("end").cast("string")).alias(
             "position"
