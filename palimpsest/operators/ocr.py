@@ -203,9 +203,9 @@ def page_text(
 ) -> DataFrame:
     """Text per document: lines from top to bottom, tokens from left to right.
 
-    Columns: key, part, full_text, tokens, total_confidence, used_fallback. Documents without
-    tokens have an empty text. `part` is 0 but for documents with more than `limit` tokens,
-    whose text is the concatenation of their parts.
+    Columns: key, part, parts, full_text, tokens, total_confidence, used_fallback. Documents
+    without tokens have an empty text. Documents with more than `limit` tokens may come in
+    several parts, and their text is the concatenation of these.
     """
     plain, hot = split_hot(tokens, [key], hot_keys(tokens, [key], limit))
     center = "cast(floor((t.y1 + t.y2) / 2) as int)"
@@ -248,6 +248,7 @@ def page_text(
     out = ids.join(gathered, key, "left").select(
         key,
         F.lit(0).alias("part"),
+        F.lit(1).alias("parts"),
         F.coalesce("full_text", F.lit("")).alias("full_text"),
         F.coalesce("tokens", F.lit(0)).cast("bigint").alias("tokens"),
         F.coalesce("total_confidence", F.lit(0.0)).alias("total_confidence"),
@@ -324,6 +325,7 @@ def _hot_text(used: DataFrame, key: str) -> DataFrame:
     return texts.select(
         key,
         "part",
+        (F.max("part").over(Window.partitionBy(key)) + 1).alias("parts"),
         F.concat(lead, "_text").alias("full_text"),
         "tokens",
         "total_confidence",

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.operators.skew import checkpointed
+
 
 STAGES = ("ocr", "pii", "logo", "anonymization")
 # Value ranges per level of the exact median; two levels leave few distinct values in one range.
@@ -14,66 +16,75 @@ MEDIAN_RANGES = 65_536
 def exact_median(df: DataFrame, value: str) -> DataFrame:
     """One row with the exact median of values in 0..1, null when there are none.
 
-    Values are counted per distinct value. Two rounds of range counts then find the ranges that
-    hold the middle, and only the values in these are put in order.
+    The values are counted per distinct value once; see `median_of_counts`.
+    """
+    known = df.where(F.col(value).isNotNull())
+    counts = known.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    return median_of_counts(checkpointed(counts))
+
+
+def median_of_counts(counts: DataFrame) -> DataFrame:
+    """Median of values `v` with their number `n`.
+
+    Two rounds of range counts find the narrow ranges that hold the middle, and only the values
+    in these are put in order.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(
-        F.count("*").alias("n")
-    )
     total = counts.agg(F.sum("n").alias("total"))
     # The middle row of an odd count, or the two middle rows of an even count.
-    wanted = total.select(
-        F.explode(
-            F.array_distinct(
-                F.array(F.expr("(total + 1) div 2"), F.expr("total div 2 + 1"))
-            )
-        ).alias("row")
-    )
-    level1 = F.floor(F.col("v") * MEDIAN_RANGES)
-    level2 = F.floor((F.col("v") * MEDIAN_RANGES - level1) * MEDIAN_RANGES)
-    placed = counts.withColumn("r1", level1).withColumn("r2", level2)
-    spots = wanted.select("row", F.lit(0).cast("bigint").alias("before"))
+    middle_rows = F.expr("array_distinct(array((total + 1) div 2, total div 2 + 1))")
+    wanted = total.select(F.explode(middle_rows).alias("row"))
+    coarse = F.floor(F.col("v") * MEDIAN_RANGES)
+    fine = F.floor((F.col("v") * MEDIAN_RANGES - coarse) * MEDIAN_RANGES)
+    placed = counts.withColumn("r1", coarse).withColumn("r2", fine)
+    spots = wanted.withColumn("before", F.lit(0).cast("bigint"))
     for level in (["r1"], ["r1", "r2"]):
-        here = placed
-        if len(level) > 1:
-            here = placed.join(F.broadcast(spots.select("r1").distinct()), "r1", "left_semi")
-        ranges = here.groupBy(*level).agg(F.sum("n").alias("n"))
-        # At most MEDIAN_RANGES rows per window here.
-        window = Window.partitionBy(*level[:-1]).orderBy(level[-1])
-        ranges = ranges.withColumn("upto", F.sum("n").over(window))
-        inside = (F.col("row") > F.col("before") + F.col("upto") - F.col("n")) & (
-            F.col("row") <= F.col("before") + F.col("upto")
-        )
+        outer = level[:-1]
+        ranges = placed.groupBy(*level).agg(F.sum("n").alias("n"))
+        if outer:
+            ranges = ranges.join(F.broadcast(spots), outer)
+        else:
+            ranges = ranges.crossJoin(F.broadcast(spots))
+        # At most MEDIAN_RANGES rows per window.
+        window = Window.partitionBy("row").orderBy(level[-1])
+        upto = F.col("before") + F.sum("n").over(window)
         spots = (
-            F.broadcast(spots)
-            .join(ranges, level[:-1], "inner")
-            if level[:-1]
-            else ranges.crossJoin(F.broadcast(spots))
-        )
-        spots = spots.where(inside).select(
-            "row", *level, (F.col("before") + F.col("upto") - F.col("n")).alias("before")
+            ranges.withColumn("upto", upto)
+            .where((F.col("row") > F.col("upto") - F.col("n")) & (F.col("row") <= F.col("upto")))
+            .select("row", *level, (F.col("upto") - F.col("n")).alias("before"))
         )
     last = placed.join(F.broadcast(spots), ["r1", "r2"])
-    upto = F.sum("n").over(Window.partitionBy("row").orderBy("v"))
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("row").orderBy("v"))
     middle = last.withColumn("upto", upto).where(
-        (F.col("row") > F.col("before") + F.col("upto") - F.col("n"))
-        & (F.col("row") <= F.col("before") + F.col("upto"))
+        (F.col("row") > F.col("upto") - F.col("n")) & (F.col("row") <= F.col("upto"))
     )
     return middle.agg(F.avg("v").alias("median"))
 
 
 def entity_statistics(entities: DataFrame) -> DataFrame:
-    """One row: totals, confidence statistics and sensitive entities; zeros when empty."""
-    stats = entities.agg(
-        F.count("*").alias("total_entities"),
+    """One row: totals, confidence statistics and sensitive entities; zeros when empty.
+
+    The entities are read once and reduced to counts per label, score and sensitivity; all
+    figures come from these.
+    """
+    counts = checkpointed(
+        entities.groupBy("label", "is_sensitive", F.col("confidence").alias("v")).agg(
+            F.count("*").alias("n")
+        )
+    )
+    n, v = F.col("n"), F.col("v")
+    rows = F.sum("n")
+    mean = F.try_divide(F.sum(n * v), rows)
+    square = F.try_divide(F.sum(n * v * v), rows)
+    stats = counts.agg(
+        F.coalesce(rows, F.lit(0)).alias("total_entities"),
         F.count_distinct("label").alias("unique_labels"),
-        F.avg("confidence").alias("mean_confidence"),
-        F.stddev_pop("confidence").alias("std_confidence"),
-        F.min("confidence").alias("min_confidence"),
-        F.max("confidence").alias("max_confidence"),
-        F.count_if("is_sensitive").alias("sensitive_entities"),
+        mean.alias("mean_confidence"),
+        F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("std_confidence"),
+        F.min("v").alias("min_confidence"),
+        F.max("v").alias("max_confidence"),
+        F.coalesce(F.sum(F.when(F.col("is_sensitive"), n)), F.lit(0)).alias("sensitive_entities"),
     )
-    median = exact_median(entities, "confidence").withColumnRenamed("median", "median_confidence")
+    median = median_of_counts(counts).withColumnRenamed("median", "median_confidence")
     return stats.crossJoin(F.broadcast(median))
 
 
@@ -91,11 +102,9 @@ def counts_rollup(entities: DataFrame) -> DataFrame:
 
 def type_share(entities: DataFrame) -> DataFrame:
     """Entities per label and their share of all."""
-    counts = counts_by(entities, "label")
-    total = counts.agg(F.sum("entities").alias("_total"))
-    return counts.crossJoin(F.broadcast(total)).select(
-        "label", "entities", (F.col("entities") / F.col("_total")).alias("share")
-    )
+    # The window spans the counted rows, one per label.
+    total = F.sum("entities").over(Window.partitionBy())
+    return counts_by(entities, "label").withColumn("share", F.col("entities") / total)
 
 
 def document_metrics(
@@ -168,18 +177,18 @@ def entity_type_analysis(entities: DataFrame, runs: DataFrame) -> DataFrame:
     good = runs.where("success")
     counts = counts_by(entities.join(good, "doc_id", "left_semi"), "label")
     docs = good.agg(F.count("*").alias("_docs"))
-    top = counts.agg(
-        F.min_by("label", F.struct((-F.col("entities")).alias("n"), F.col("label"))).alias("_top"),
-        F.sum("entities").alias("_all"),
-    )
+    # The windows span the counted rows, one per label.
+    everything = Window.partitionBy()
+    by_count = everything.orderBy(F.col("entities").desc(), F.col("label"))
     return (
-        counts.crossJoin(F.broadcast(docs))
-        .crossJoin(F.broadcast(top))
+        counts.withColumn("_all", F.sum("entities").over(everything))
+        .withColumn("most_common", F.row_number().over(by_count) == 1)
+        .crossJoin(F.broadcast(docs))
         .select(
             "label",
             "entities",
             _ratio(F.col("_all"), F.col("_docs")).alias("average_entities_per_document"),
-            (F.col("label") == F.col("_top")).alias("most_common"),
+            "most_common",
         )
     )
 

@@ -59,17 +59,14 @@ def recognised_text(
         tables = {e: t.join(limits, key) for e, t in ocr_tables.items()}
         threshold = F.col("opt_ocr_confidence")
     pages = ocr_documents(tables, docs, threshold=threshold, key=key)
-    parts = pages.where("part > 0")
-    split = parts.select(key).distinct().withColumn("_split", F.lit(True))
-    whole = pages.where("part = 0").join(split, key, "left")
-    text = whole.select(
+    whole = F.col("parts") == 1
+    text = pages.where("part = 0").select(
         key,
-        F.when(F.col("_split").isNull(), F.col("full_text")).alias("text"),
-        F.when(F.col("_split"), LONG_TEXT).alias("load_error"),
+        F.when(whole, F.col("full_text")).alias("text"),
+        F.when(~whole, LONG_TEXT).alias("load_error"),
         F.col("average_confidence").alias("ocr_confidence"),
     )
-    long_texts = pages.join(split.select(key), key, "left_semi")
-    return docs.join(text, key, "left"), long_texts
+    return docs.join(text, key, "left"), pages.where(~whole)
 
 
 def process_documents(

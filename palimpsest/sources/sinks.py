@@ -33,9 +33,10 @@ def export_detections(boxes: DataFrame, path: str, mode: str = "error") -> None:
 
 
 def export_mapping(rows: DataFrame, path: str, mode: str = "error") -> None:
-    """Mapping rows as JSON lines, each with the number of mappings."""
-    total = rows.agg(F.count("*").alias("total_mappings"))
-    rows.crossJoin(F.broadcast(total)).write.mode(mode).json(path)
+    """Mapping rows as JSON lines and, counted from what was written, their number."""
+    rows.write.mode(mode).json(f"{path}/mappings")
+    written = rows.sparkSession.read.schema(rows.schema).json(f"{path}/mappings")
+    written.agg(F.count("*").alias("total_mappings")).write.mode(mode).json(f"{path}/summary")
 
 
 def logo_rows(boxes: DataFrame, key: str = "doc_id", limit: int = HOT_ROWS) -> DataFrame:
