@@ -241,10 +241,10 @@ def page_text(
             "used_fallback",
         )
     )
-    if hot is None:
-        ids = docs.select(key)
-    else:
-        ids = docs.select(key).join(hot.select(key).distinct(), key, "left_anti")
+    ids = docs.select(key)
+    if hot is not None:
+        used_hot = _used_hot(hot, docs, use_fallback, key)
+        ids = ids.join(used_hot.select(key).distinct(), key, "left_anti")
     out = ids.join(gathered, key, "left").select(
         key,
         F.lit(0).alias("part"),
@@ -256,7 +256,7 @@ def page_text(
     )
     if hot is None:
         return out
-    return out.unionByName(_hot_text(_used_hot(hot, docs, use_fallback, key), key))
+    return out.unionByName(_hot_text(used_hot, key))
 
 
 def _hot_text(used: DataFrame, key: str) -> DataFrame:
