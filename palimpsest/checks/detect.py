@@ -147,8 +147,8 @@ QUERIES: dict[str, Query] = {
         spread(table(s, d, "documents")), security_recognisers()
     ),
     "security_findings_pages": lambda s, d: found_in(spread(page_texts(s, d)), security_recognisers()),
-    "security_findings_conversations": lambda s, d: found_in(
-        spread(turn_texts(s, d)), security_recognisers()
+    "conversation_findings": lambda s, d: found_in(
+        spread(turn_texts(s, d)), standard_recognisers() + security_recognisers(), 100
     ),
     "security_id_findings": lambda s, d: found_in(
         spread(table(s, d, "access_log")), security_id_recognisers()
@@ -214,7 +214,11 @@ ORACLES: dict[str, str] = {
     "security_findings_access_log": _found(LOG, "access_log", S.security_rules()),
     "security_findings_documents": _found("with recursive ", "documents", S.security_rules()),
     "security_findings_pages": _found(f"with recursive {PAGES}", "pages_text", S.security_rules()),
-    "security_findings_conversations": _found(f"with recursive {TURNS}", "turns", S.security_rules()),
+    "conversation_findings": _found(
+        f"with recursive {TURNS}",
+        "turns",
+        S.standard_rules() + [(r[0], r[1] + 105, *r[2:]) for r in S.security_rules()],
+    ),
     "security_id_findings": _found(LOG, "access_log", S.security_id_rules()),
     "standard_findings_documents": _found("with recursive ", "documents", S.standard_rules()),
     "standard_findings_access_log": _found(LOG, "access_log", S.standard_rules()),

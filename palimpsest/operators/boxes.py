@@ -142,7 +142,8 @@ def _suppress_hot(boxes: DataFrame, keys: list[str], iou: float) -> DataFrame:
         rivals = tops.select(
             *place, F.struct((-F.col("b.confidence")).alias("rank"), "b.seq").alias("_rival")
         )
-        met = join_dimension(near, rivals, place, "inner")
+        # One rival per cell, so no cell is crowded here.
+        met = near.join(rivals, place)
         mine = F.struct((-F.col("b.confidence")).alias("rank"), F.col("b.seq"))
         sure = (
             met.withColumn("_loses", F.col("_rival") < mine)

@@ -10,7 +10,7 @@ from palimpsest.functions.arrays import among, empty_array, let, one_of
 from palimpsest.functions.text import is_title_case
 from palimpsest.operators.fuse import with_context
 from palimpsest.operators.scan import FINDING, finding
-from palimpsest.operators.skew import HOT_ROWS, SALTS, hot_keys, split_hot
+from palimpsest.operators.skew import HOT_ROWS, SALTS, hot_keys, join_documents, split_hot
 
 RAW = "struct<engine:string,raw_label:string,start:int,end:int,score:double,word:string,seq:bigint>"
 RAW_FIELDS = ("engine", "raw_label", "start", "end", "score", "word", "seq")
@@ -63,11 +63,13 @@ def fault(raw: str, text_chars: str) -> str:
     )
 
 
-def rejected_rows(raw: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
+def rejected_rows(
+    raw: DataFrame, docs: DataFrame, key: str = "doc_id", limit: int = HOT_ROWS
+) -> DataFrame:
     """Malformed rows with the reason. They take no part in detection."""
     chars = docs.select(key, F.length("text").alias("_chars"))
     return (
-        raw.join(chars, key, "left")
+        join_documents(raw, chars, [key], "left", limit)
         .withColumn("reason", F.expr(fault("", "_chars")))
         .where("reason is not null")
         .select(key, "engine", "raw_label", "start", "end", "score", "reason")

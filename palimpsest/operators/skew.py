@@ -57,6 +57,26 @@ def join_dimension(
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
+def join_documents(
+    facts: DataFrame, docs: DataFrame, keys: list[str], how: str = "inner", limit: int = HOT_ROWS
+) -> DataFrame:
+    """Join many rows per document to one row per document.
+
+    Rows of documents with more than `limit` rows are spread over SALTS tasks, and only these
+    documents are repeated for it.
+    """
+    hot = hot_keys(facts, keys, limit)
+    plain, heavy = split_hot(facts, keys, hot)
+    if heavy is None:
+        return facts.join(docs, keys, how)
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    copies = docs.join(hot, keys, "left_semi").withColumn("_salt", salt)
+    salted = heavy.withColumn("_salt", F.pmod(F.xxhash64(*facts.columns), F.lit(SALTS)).cast("int"))
+    return plain.join(docs, keys, how).unionByName(
+        salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    )
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores when the input arrives in few pieces. Large inputs pass unchanged."""
     if df.isStreaming:

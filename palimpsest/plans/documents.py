@@ -23,21 +23,39 @@ from palimpsest.operators.ocr import ocr_documents
 from palimpsest.operators.rewrite import anonymize, audit_rows, mapping
 from palimpsest.operators.rules import MaskingRule, apply_rules
 from palimpsest.operators.scan import explode_findings
+from palimpsest.operators.skew import join_documents
 from palimpsest.plans.detection import detect
-from palimpsest.sources.intake import with_options
+from palimpsest.sources.intake import batch_documents, with_options
+from palimpsest.sources.sinks import save_batch_results
 
 LONG_TEXT = "text does not fit one row"
 
 
 @dataclass(frozen=True)
 class Processed:
-    """Tables of one run. `long_texts` holds page texts that come in several parts."""
+    """Tables of one run. `long_texts` holds page texts that come in several parts.
+
+    Every table is computed anew wherever it is used. A run of which several tables are needed
+    should be `written` first.
+    """
 
     documents: DataFrame
     logos: DataFrame | None
     removals: DataFrame | None
     long_texts: DataFrame | None = None
 
+    def written(self, path: str, mode: str = "error") -> Processed:
+        """The same run, computed once, stored under `path` and read from there."""
+        spark = self.documents.sparkSession
+        stored = {}
+        for name in ("documents", "logos", "removals", "long_texts"):
+            df = getattr(self, name)
+            if df is not None:
+                df.write.mode(mode).parquet(f"{path}/{name}")
+                df = spark.read.schema(df.schema).parquet(f"{path}/{name}")
+            stored[name] = df
+        return Processed(**stored)
+
     def entities(self) -> DataFrame:
         return explode_findings(self.documents, "entities", arrival=False)
 
@@ -56,7 +74,7 @@ def recognised_text(
     threshold: Column | float = C.OCR_THRESHOLD
     if "options" in docs.columns:
         limits = docs.select(key, "opt_ocr_confidence")
-        tables = {e: t.join(limits, key) for e, t in ocr_tables.items()}
+        tables = {e: join_documents(t, limits, [key]) for e, t in ocr_tables.items()}
         threshold = F.col("opt_ocr_confidence")
     pages = ocr_documents(tables, docs, threshold=threshold, key=key)
     whole = F.col("parts") == 1
@@ -149,7 +167,7 @@ def _logos(
     if have_options:
         settings += ["opt_logo_confidence", "opt_logo_removal_method"]
         threshold, method = F.col("opt_logo_confidence"), F.col("opt_logo_removal_method")
-    own = boxes.join(docs.select(key, *settings), key) if settings else boxes
+    own = join_documents(boxes, docs.select(key, *settings), [key]) if settings else boxes
     sure = sure_boxes(own, threshold)
     logos = classified(suppress(sure, key=key) if nms else sure, known)
     gone = removable(logos)
@@ -164,3 +182,20 @@ def cover_plan(
     """Regions to cover: token boxes (with image size) of documents with entities, and logos."""
     with_entities = run.documents.where("entities_found > 0")
     return redaction_plan(region_plan(tokens, method), with_entities, run.removals, key)
+
+
+def process_batch(
+    batches: DataFrame, column: str = "texts", path: str | None = None, **options: object
+) -> DataFrame:
+    """Process arrays of texts, each text under its own id, and save the results on request.
+
+    Failed documents are rows of the result. `batch_pos` restores the input order.
+    """
+    docs = batch_documents(batches, column)
+    if "total_time" not in docs.columns:
+        docs = docs.withColumn("total_time", F.lit(None).cast("double"))
+    done = process_documents(docs, **options).documents
+    if path is None:
+        return done
+    save_batch_results(done, path)
+    return done.sparkSession.read.schema(done.schema).parquet(f"{path}/processed")

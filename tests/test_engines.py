@@ -53,6 +53,8 @@ def test_adapters(spark, tables):
 def test_malformed_rows(spark, tables):
     docs, raw = tables
     rows = rejected_rows(union_raw(raw), docs).collect()
+    hot = rejected_rows(union_raw(raw), docs, limit=4).collect()
+    assert sorted(map(repr, hot)) == sorted(map(repr, rows))
     assert sorted(r.reason for r in rows) == [
         "empty span", "end after text", "no label", "no offsets", "no score", "start before text", "unknown document",
     ]

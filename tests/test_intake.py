@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.plans.documents import process_documents
+from palimpsest.plans.documents import process_batch, process_documents
 from palimpsest.sources import intake, sinks
 
 
@@ -125,3 +125,18 @@ def test_options_per_document(spark):
     assert rows[1].entities_found == 0 and rows[2].anonymized_text == "[EMPLOYEE_ID]"
     assert rows[3].entities_found == 1 and rows[3].anonymized_text != "[EMPLOYEE_ID]"
     assert rows[4].entities_found == 0
+
+
+def test_batch_job_keeps_order_and_saves(spark, tmp_path):
+    df = spark.createDataFrame([(["EMP123456", "none", "B-445566"],)], "texts array<string>")
+    done = process_batch(df, path=str(tmp_path / "b"), engines=("custom_patterns",))
+    assert [(r.doc_id, r.entities_found) for r in sinks.in_input_order(done).collect()] == [
+        ("batch_doc_0", 1), ("batch_doc_1", 0), ("batch_doc_2", 1)]
+    assert spark.read.json(str(tmp_path / "b" / "batch_summary")).first().average_processing_time == 0.0
+    assert process_batch(df).count() == 3
+
+
+def test_written_run(spark, run, tmp_path):
+    stored = run.written(str(tmp_path / "run"))
+    assert stored.entities().collect() == run.entities().collect()
+    assert stored.logos.count() == 2 and stored.long_texts is None
