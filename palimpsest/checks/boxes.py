@@ -62,8 +62,7 @@ def regions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def counts(spark: SparkSession, sf: str) -> DataFrame:
-    found = logos(spark, sf)
-    out = logo_counts(page_ids(spark, sf), found, removable(found))
+    out = logo_counts(page_ids(spark, sf), logos(spark, sf))
     return out.withColumn("logo_confidence", F.round("logo_confidence", 6))
 
 

@@ -262,17 +262,24 @@ def redaction_plan(
 
 
 def logo_counts(
-    docs: DataFrame, boxes: DataFrame, removed: DataFrame, key: str = "doc_id"
+    docs: DataFrame,
+    boxes: DataFrame,
+    selective: bool = True,
+    min_confidence: float = C.LOGO_REMOVAL_CONFIDENCE,
+    key: str = "doc_id",
 ) -> DataFrame:
-    """Found and removed logos per document, 0 where there are none."""
-    found = boxes.groupBy(key).agg(
-        F.count("*").alias("logos_found"), F.avg("confidence").alias("logo_confidence")
+    """Found and removed logos per document, 0 where there are none; one pass over the boxes."""
+    gone = F.col("confidence") >= min_confidence
+    if selective:
+        gone = gone & F.col("sensitive")
+    counts = boxes.groupBy(key).agg(
+        F.count("*").alias("logos_found"),
+        F.count_if(gone).alias("removed_logos"),
+        F.avg("confidence").alias("logo_confidence"),
     )
-    gone = removed.groupBy(key).agg(F.count("*").alias("removed_logos"))
     return (
         docs.select(key)
-        .join(found, key, "left")
-        .join(gone, key, "left")
+        .join(counts, key, "left")
         .select(
             key,
             F.coalesce("logos_found", F.lit(0)).alias("logos_found"),

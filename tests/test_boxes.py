@@ -80,7 +80,7 @@ def test_classes_and_removal(spark):
     assert tuple(pads["blur"][c] for c in ("x1", "y1", "x2", "y2")) == (0, 2, 98, 60)
     assert pads["other"].method == "black_box" and pads["replace"].y1 == 0
     docs = spark.createDataFrame([(1,), (2,), (3,)], "doc_id long")
-    counts = {r.doc_id: r for r in logo_counts(docs, found, gone).collect()}
+    counts = {r.doc_id: r for r in logo_counts(docs, found).collect()}
     assert (counts[1].logos_found, counts[1].removed_logos) == (2, 1)
     assert (counts[3].logos_found, counts[3].removed_logos, counts[3].logo_confidence) == (0, 0, 0.0)
     assert [r.name for r in class_names(logo_classes(spark)).collect()][:2] == ["microsoft", "google"]
