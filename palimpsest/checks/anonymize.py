@@ -187,7 +187,7 @@ _DOCUMENTS = (
     + ",\n"
     + S.rewritten_ctes("documents", S.auto_sql())
 )
-_KEPT = """select doc_id, text, label, start, "end",
+_KEPT = """select doc_id, text, label, start, "end"::INT as "end",
  case when label = 'BADGE_NUMBER' and text in ('B-000010', 'B-000020') then 1::DOUBLE
   else confidence end as confidence, engine, context_score, is_sensitive
 from entities where label <> 'ROOM_NUMBER' and not (label = 'SSN' and confidence < 0.99::DOUBLE)

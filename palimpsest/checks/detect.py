@@ -229,7 +229,7 @@ ORACLES: dict[str, str] = {
     "analyzer_findings": with_tables("access_log", "analyzer_raw")
     + f", f as ({S.raw_sql(None, None, 'analyzer_raw', 'access_log')}) {S.by_arrival('f')}",
     "rejected_findings": with_tables("access_log", "mixed_ner_raw")
-    + """ select doc_id, 'spacy' as engine, raw_label, start, end_pos as "end",
+    + """ select doc_id, 'spacy' as engine, raw_label, start, end_pos::INT as "end",
  case when start < 0 then 'start before text' when start >= end_pos then 'empty span'
   else 'end after text' end as reason
 from mixed_ner_raw join access_log using (doc_id)

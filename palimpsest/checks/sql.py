@@ -187,7 +187,7 @@ entities as (select * from merged where confidence >= {threshold}::DOUBLE)"""
 
 ENTITY_COLUMNS = (
     'doc_id, row_number() over (partition by doc_id order by {order})::INT - 1 as seq, text, label, '
-    'start, "end", confidence, engine, context_score, is_sensitive'
+    'start, "end"::INT as "end", confidence, engine, context_score, is_sensitive'
 )
 
 
