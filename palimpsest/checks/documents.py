@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +13,7 @@ from palimpsest.checks.ocr import ocr_tables, page_ctes, page_ids
 from palimpsest.checks.tables import table, with_tables
 from palimpsest.functions import constants as C
 from palimpsest.operators.ocr import easyocr_tokens, tesseract_tokens
+from palimpsest.operators.skew import shared_folder
 from palimpsest.plans.detection import detect
 from palimpsest.plans.documents import Processed, cover_plan, process_documents
 from palimpsest.sources import intake
@@ -209,17 +208,9 @@ def exported_detections(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def scratch(spark: SparkSession) -> str:
-    """A fresh folder where the cluster keeps checkpoints, or a local one in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", "")
-    if shared:
-        return f"{shared.rstrip('/')}/palimpsest-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="palimpsest-")
-
-
 def streamed(spark: SparkSession, sf: str) -> DataFrame:
     """Documents read as a stream, rewritten, appended to a table; the table is the result."""
-    folder = scratch(spark)
+    folder = shared_folder(spark)
     schema = table(spark, sf, "documents").schema
     stream = (
         spark.readStream.schema(schema)

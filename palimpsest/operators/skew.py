@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +41,16 @@ def split_hot(
     return df.join(hot, keys, "left_anti"), df.join(hot, keys, "left_semi")
 
 
+def row_salt(df: DataFrame) -> Column:
+    """A salt that depends on the row alone, so that a repeated task gives the same one."""
+    hashable = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    return F.pmod(F.xxhash64(*hashable), F.lit(SALTS)).cast("int")
+
+
+def every_salt() -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+
+
 def join_dimension(
     facts: DataFrame, dimension: DataFrame, keys: list[str], how: str = "left"
 ) -> DataFrame:
@@ -50,10 +61,8 @@ def join_dimension(
     """
     if dimension.limit(LISTED + 1).count() <= LISTED:
         return facts.join(F.broadcast(dimension), keys, how)
-    salted = facts.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
-    copies = dimension.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))
-    )
+    salted = facts.withColumn("_salt", row_salt(facts))
+    copies = dimension.withColumn("_salt", every_salt())
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
@@ -69,9 +78,8 @@ def join_documents(
     plain, heavy = split_hot(facts, keys, hot)
     if heavy is None:
         return facts.join(docs, keys, how)
-    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    copies = docs.join(hot, keys, "left_semi").withColumn("_salt", salt)
-    salted = heavy.withColumn("_salt", F.pmod(F.xxhash64(*facts.columns), F.lit(SALTS)).cast("int"))
+    copies = docs.join(hot, keys, "left_semi").withColumn("_salt", every_salt())
+    salted = heavy.withColumn("_salt", row_salt(heavy))
     return plain.join(docs, keys, how).unionByName(
         salted.join(copies, [*keys, "_salt"], how).drop("_salt")
     )
@@ -85,16 +93,24 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint that outlives executors.
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh folder all executors reach: below the checkpoint folder the session names.
 
-    The folder is the one the session names; only a session without one, as in tests, gets
-    a folder of its own.
+    Without one, a local session, as in tests, gets a temporary folder; a cluster is refused.
     """
+    named = spark.conf.get("spark.checkpoint.dir", "")
+    if named:
+        return f"{named.rstrip('/')}/palimpsest-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+    return tempfile.mkdtemp(prefix="palimpsest-")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a checkpoint that outlives executors."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", "")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="palimpsest-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -35,9 +35,10 @@ def boxes(spark):
     return spark.createDataFrame(rows, BOX), rows
 
 
-@pytest.mark.parametrize("limit", [2000, 0, 25])
-@pytest.mark.parametrize("by_class", [True, False])
-@pytest.mark.parametrize("iou", [0.5, 0.3])
+@pytest.mark.parametrize(
+    "limit, by_class, iou",
+    [(2000, True, 0.5), (2000, False, 0.3), (0, True, 0.5), (25, False, 0.3)],
+)
 def test_suppression(spark, boxes, limit, by_class, iou):
     df, rows = boxes
     got = {(r.doc_id, r.seq) for r in suppress(df, iou, by_class=by_class, limit=limit).collect()}

@@ -52,3 +52,17 @@ def test_most_common_type_ties_by_name(spark):
     out = {r.label: r for r in stats.entity_type_analysis(spark.createDataFrame(rows, ENTITY), runs).collect()}
     assert set(out) == {"A", "B"} and out["A"].most_common and not out["B"].most_common
     assert out["A"].average_entities_per_document == 1.0
+
+
+def test_large_dimension_is_joined_by_salt(spark, monkeypatch):
+    from palimpsest.operators import skew
+
+    facts = spark.range(500).selectExpr("id", "if(id % 3 = 0, 7, id % 20) as k")
+    dimension = spark.range(15).selectExpr("id as k", "id * 10 as v")
+    small = sorted(map(tuple, skew.join_dimension(facts, dimension, ["k"]).collect()), key=repr)
+    monkeypatch.setattr(skew, "LISTED", 3)
+    large = skew.join_dimension(facts, dimension, ["k"])
+    assert sorted(map(tuple, large.collect()), key=repr) == small
+    assert "_salt" not in large.columns
+    rows = skew.join_documents(facts, dimension, ["k"], "left", limit=50)
+    assert sorted(map(tuple, rows.collect()), key=repr) == small
