@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import chat, mixing, packing, quality
+from palimpsest.llm import chat, mixing, packing, quality, simhash, suffix
 from palimpsest.llm.shared import table, written
 
 #: Target weights of the mixing query and of the pipeline: sources below src10 are the domain "open", the rest "curated".
@@ -26,6 +26,10 @@ def domain(source: str = "source") -> F.Column:
     return F.when(number < 10, F.lit("open")).otherwise(F.lit("curated")).alias("domain")
 
 
+def op5_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix.deduplicated(table(spark, folder, "documents")).drop("kept")
+
+
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     entries = quality.apply_policy(quality.ledger(table(spark, folder, "documents")), "v2")
     base = F.col("failed").bitwiseAND(F.lit(quality.mask(quality.BASE))) != 0
@@ -34,6 +38,11 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    fingerprint = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
+    return simhash.near_duplicates(table(spark, folder, "documents")).select("doc_id", fingerprint, F.col("first.doc_id").alias("component_id"))
+
+
 def op8_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return chat.formatted(table(spark, folder, "conversations"))
 
@@ -47,5 +56,5 @@ def op10_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(written(docs, "sizes"), mix_weights(spark), budget_share=1.0, max_epochs=3, seed=MIX_SEED)
 
 
-QUERIES = {f.__name__: f for f in (op6_quality_rules, op8_chat_formatting, op9_token_packing, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op5_suffix_array_dedup, op6_quality_rules, op7_simhash_near_dedup, op8_chat_formatting, op9_token_packing, op10_source_mixing)}
 ORACLES: dict[str, str] = {}
