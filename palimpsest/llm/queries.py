@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import chat, mixing, packing, quality, simhash, suffix
+from palimpsest.llm import chat, decontaminate, mixing, packing, quality, simhash, suffix, toxicity
 from palimpsest.llm.shared import table, written
 
 #: Target weights of the mixing query and of the pipeline: sources below src10 are the domain "open", the rest "curated".
@@ -26,6 +26,17 @@ def domain(source: str = "source") -> F.Column:
     return F.when(number < 10, F.lit("open")).otherwise(F.lit("curated")).alias("domain")
 
 
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, folder, "labels"))
+    return toxicity.scored(docs.select("doc_id", toxicity.held_out().alias("held_out"), F.col("text").alias("_whole")), model, "_whole").drop("_whole")
+
+
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"), "n_windows", "first_word")
+
+
 def op5_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix.deduplicated(table(spark, folder, "documents")).drop("kept")
 
@@ -56,5 +67,5 @@ def op10_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(written(docs, "sizes"), mix_weights(spark), budget_share=1.0, max_epochs=3, seed=MIX_SEED)
 
 
-QUERIES = {f.__name__: f for f in (op5_suffix_array_dedup, op6_quality_rules, op7_simhash_near_dedup, op8_chat_formatting, op9_token_packing, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op4_decontamination, op5_suffix_array_dedup, op6_quality_rules, op7_simhash_near_dedup, op8_chat_formatting, op9_token_packing, op10_source_mixing)}
 ORACLES: dict[str, str] = {}
