@@ -37,6 +37,8 @@ LEGAL = np.array([[False, True, False], [False, False, True], [False, True, Fals
 FINAL = np.array([False, True, True])
 COSTS = {"merge": 1.0, "relabel": 2.0, "insert": 3.0, "system_merge": 0.5}
 BLOCK = 2048
+#: Turns handled in one call, about.
+GROUP = 8192
 HEADER, FOOTER = "<|{role}|>\n", "<|end|>\n"
 OTHER = 3  # code of a role that is none of ROLES
 FAR = 1e15
@@ -93,7 +95,7 @@ def _fold(codes: np.ndarray, tables: np.ndarray) -> np.ndarray:
     return table
 
 
-def repair(codes: list[int], enter: np.ndarray, leave: np.ndarray, options: dict) -> list[tuple[int, str, tuple[int, ...]]]:
+def repair(codes: list[int], enter: list[float], leave: list[float], options: dict) -> list[tuple[int, str, tuple[int, ...]]]:
     """The cheapest path through a stretch, given costs of the states before (4) and after it (3).
 
     For each turn: its role, the action and the roles of the empty turns inserted before it.
@@ -117,6 +119,16 @@ def repair(codes: list[int], enter: np.ndarray, leave: np.ndarray, options: dict
     return path[::-1]
 
 
+def _starts(rows: pd.DataFrame, keys: list[str]) -> list[int]:
+    """Where sorted rows begin a new key."""
+    new = np.zeros(len(rows), bool)
+    for key in keys:
+        values = rows[key].to_numpy()
+        new[1:] |= values[1:] != values[:-1]
+    new[:1] = True
+    return np.flatnonzero(new).tolist()
+
+
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Number the turns of sorted conversations inside a task and cut them into blocks."""
     from pyspark import TaskContext
@@ -156,48 +168,48 @@ def formatted(
     schema = "conv string, turn string, given_role string, code int, text string, part int, block long, place long"
     blocks = written(ordered.mapInPandas(_cut, schema), "turns")
 
+    groups = max(1, blocks.count() // GROUP)  # of whole blocks, so many small conversations share a call
+
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        codes = rows.sort_values("place")["code"].to_numpy()
-        return pd.DataFrame({"conv": [rows["conv"].iloc[0]], "part": [rows["part"].iloc[0]], "block": [rows["block"].iloc[0]], "table": [_fold(codes, tables).ravel().tolist()]})
-
-    def combine(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["part", "block"])
-        folded = [np.array(t).reshape(4, 3) for t in rows["table"]]
-        enter, leave = [np.array([FAR, FAR, FAR, 0.0])], [np.where(FINAL, 0.0, FAR / 4)]
-        for t in folded[:-1]:
-            enter.append(np.append((enter[-1][:, None] + t).min(axis=0), FAR))
-        for t in folded[:0:-1]:
-            leave.append((t[:3] + leave[-1][None, :]).min(axis=1))
-        return rows[["conv", "part", "block"]].assign(enter=[e.tolist() for e in enter], leave=[x.tolist() for x in leave[::-1]])
-
-    # the path is fixed block by block only up to ties: blocks of one conversation agree on their border states
-    def borders(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["part", "block"])
-        state, out = START, []
-        for enter, leave, flat in zip(rows["enter"], rows["leave"], rows["table"], strict=True):
-            total = np.array(flat).reshape(4, 3)[state] + np.array(leave)
-            after = int(total.argmin())
-            out.append((state, after))
-            state = after
-        return rows[["conv", "part", "block"]].assign(first=[a for a, _ in out], last=[b for _, b in out])
+        rows = rows.sort_values(["conv", "part", "block", "place"], ignore_index=True)
+        starts = _starts(rows, ["conv", "part", "block"])
+        codes = rows["code"].to_numpy()
+        folded = [_fold(codes[a:b], tables).ravel().tolist() for a, b in zip(starts, [*starts[1:], len(rows)], strict=True)]
+        return rows.loc[starts, ["conv", "part", "block"]].assign(table=folded)
 
-    keys = ["conv", "part", "block"]
-    folded = blocks.select(*keys, "place", "code").groupBy(keys).applyInPandas(fold, "conv string, part int, block long, table array<double>")
-    folded = written(folded, "tables")
-    ways = folded.groupBy("conv").applyInPandas(combine, "conv string, part int, block long, enter array<double>, leave array<double>")
-    ends = ways.join(folded, keys).groupBy("conv").applyInPandas(borders, "conv string, part int, block long, first int, last int")
+    def borders(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["conv", "part", "block"], ignore_index=True)
+        folded = np.array(rows["table"].tolist()).reshape(-1, 4, 3)
+        first, last = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+        starts = _starts(rows, ["conv"])
+        for a, b in zip(starts, [*starts[1:], len(rows)], strict=True):
+            leave = [np.where(FINAL, 0.0, FAR / 4)]
+            for table in folded[b - 1 : a : -1]:
+                leave.append((table[:3] + leave[-1]).min(axis=1))
+            state = START
+            for k in range(a, b):
+                first[k] = state
+                last[k] = state = int((folded[k][state] + leave[b - 1 - k]).argmin())
+        return rows[["conv", "part", "block"]].assign(first=first, last=last)
 
     def follow(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("place")
-        enter, leave = np.full(4, FAR), np.full(3, FAR)
-        enter[int(rows["first"].iloc[0])] = 0.0
-        leave[int(rows["last"].iloc[0])] = 0.0
-        path = repair(rows["code"].tolist(), enter, leave, options)
-        return rows.assign(state=[p[0] for p in path], action=[p[1] for p in path], more=[list(p[2]) for p in path])[
-            ["conv", "turn", "given_role", "text", "part", "place", "state", "action", "more"]
-        ]
-
-    done = blocks.join(ends, keys).groupBy(keys).applyInPandas(
+        rows = rows.sort_values(["conv", "part", "block", "place"], ignore_index=True)
+        starts = _starts(rows, ["conv", "part", "block"])
+        codes, path = rows["code"].tolist(), []
+        for a, b in zip(starts, [*starts[1:], len(rows)], strict=True):
+            enter, leave = [FAR] * 4, [FAR] * 3
+            enter[rows.at[a, "first"]] = leave[rows.at[a, "last"]] = 0.0
+            path += repair(codes[a:b], enter, leave, options)
+        found = {"state": [p[0] for p in path], "action": [p[1] for p in path], "more": [list(p[2]) for p in path]}
+        return rows[["conv", "turn", "given_role", "text", "part", "place"]].assign(**found)
+
+    keys = ["conv", "part", "block"]
+    group = lambda *by: F.pmod(F.xxhash64(*by), F.lit(groups)).alias("group")
+    folded = written(
+        blocks.select(*keys, "place", "code").groupBy(group(*keys)).applyInPandas(fold, "conv string, part int, block long, table array<double>"), "tables"
+    )
+    ends = folded.groupBy(group("conv")).applyInPandas(borders, "conv string, part int, block long, first int, last int")
+    done = blocks.join(ends, keys).groupBy(group(*keys)).applyInPandas(
         follow, "conv string, turn string, given_role string, text string, part int, place long, state int, action string, more array<int>"
     )
     return _rendered(done)
