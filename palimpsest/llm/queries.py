@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import chat, decontaminate, mixing, packing, quality, simhash, suffix, toxicity
+from palimpsest.llm import chat, decontaminate, line_chunks, mixing, packing, quality, simhash, style_tree, suffix, toxicity
 from palimpsest.llm.shared import table, written
 
 #: Target weights of the mixing query and of the pipeline: sources below src10 are the domain "open", the rest "curated".
@@ -26,12 +26,22 @@ def domain(source: str = "source") -> F.Column:
     return F.when(number < 10, F.lit("open")).otherwise(F.lit("curated")).alias("domain")
 
 
+def op1_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return style_tree.main_text(table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, folder, "labels"))
     return toxicity.scored(docs.select("doc_id", toxicity.held_out().alias("held_out"), F.col("text").alias("_whole")), model, "_whole").drop("_whole")
 
 
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cut = line_chunks.deduplicated(table(spark, folder, "documents").select("doc_id", "text"))
+    kept = F.coalesce("text", F.lit(""))
+    return cut.select("doc_id", "n_removed_chunks", "n_removed_lines", F.length(kept).cast("long").alias("n_kept_chars"), F.md5(kept).alias("kept_md5"))
+
+
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"), "n_windows", "first_word")
@@ -67,5 +77,56 @@ def op10_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(written(docs, "sizes"), mix_weights(spark), budget_share=1.0, max_epochs=3, seed=MIX_SEED)
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op4_decontamination, op5_suffix_array_dedup, op6_quality_rules, op7_simhash_near_dedup, op8_chat_formatting, op9_token_packing, op10_source_mixing)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_toxicity, op3_line_dedup, op4_decontamination, op5_suffix_array_dedup, op6_quality_rules, op7_simhash_near_dedup, op8_chat_formatting, op9_token_packing, op10_source_mixing)}
+ORACLES: dict[str, str] = {
+    # lines, rolling hash of two line hashes, chunks, and all but the first of equal chunks cut
+    "op3_line_dedup": """
+with lines as (
+  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) as i from documents
+), hashed as (select *, ('0x' || substr(md5(line), 1, 7))::bigint as h from lines
+), rolled as (
+  select *, case when (h + coalesce(lag(h) over (partition by doc_id order by i), 0) * 131) % 2147483647 % 3 = 0 then 1 else 0 end as ends from hashed
+), numbered as (
+  select *, coalesce(sum(ends) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as chunk from rolled
+), chunks as (select doc_id, chunk, count(*) as n, string_agg(line, chr(10) order by i) as body from numbered group by all
+), ranked as (
+  select *, case when n >= 2 then row_number() over (partition by body, n >= 2 order by doc_id, chunk) else 1 end as place from chunks
+), kept as (
+  select doc_id, count(*) filter (place > 1) as n_removed_chunks, coalesce(sum(n) filter (place > 1), 0)::bigint as n_removed_lines,
+    coalesce(string_agg(body, chr(10) order by chunk) filter (place = 1), '') as body from ranked group by doc_id
+)
+select doc_id, n_removed_chunks, n_removed_lines, length(body)::bigint as n_kept_chars, md5(body) as kept_md5 from kept""",
+    "op6_quality_rules": """
+with words as (
+  select doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents
+), each as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from words
+), windows as (
+  select doc_id, i, lead(word, 1) over p as w2, lead(word, 2) over p as w3, word from each window p as (partition by doc_id order by i)
+), counted as (
+  select doc_id, i, count(*) over (partition by doc_id, word, w2, w3) as times from windows where w3 is not null
+), repeated as (
+  select doc_id, count(distinct i + k) as n_repeat_words from counted, (select unnest([0, 1, 2]) as k) where times > 1 group by doc_id
+), lines as (
+  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line from documents
+), lined as (
+  select doc_id, count(*) as n_lines, count(*) - count(distinct line) as n_dup_lines from lines where regexp_matches(line, '[^\\x20\\x09-\\x0D]') group by doc_id
+), kinds as (select doc_id, word, count(*) as n from each group by all
+), worded as (
+  select doc_id, count(*) as n_kinds, max(n) as top, coalesce(sum(n) filter (upper(word) = word and lower(word) <> word and len(word) > 1), 0) as n_capital,
+    coalesce(sum(n) filter (regexp_matches(word, '[!?][!?]$')), 0) as n_marked from kinds group by doc_id
+), m as (
+  select doc_id, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
+    length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, coalesce(n_dup_lines, 0)::bigint as n_dup_lines,
+    coalesce(n_repeat_words, 0)::bigint as n_repeat_words, coalesce(n_lines, 0) as n_lines, coalesce(n_kinds, 0) as n_kinds, coalesce(top, 0) as top,
+    coalesce(n_capital, 0) as n_capital, coalesce(n_marked, 0) as n_marked
+  from words left join repeated using (doc_id) left join lined using (doc_id) left join worded using (doc_id)
+), bits as (
+  select *, (case when n_words < 50 then 1 else 0 end + case when 100 * n_repeat_words > 50 * n_words then 2 else 0 end
+    + case when 2 * n_symbols > n_words then 4 else 0 end + case when n_lines >= 4 and 100 * n_dup_lines > 40 * n_lines then 8 else 0 end
+    + case when word_chars < 2 * n_words then 16 else 0 end + case when word_chars > 20 * n_words then 32 else 0 end
+    + case when 2 * n_capital > n_words then 64 else 0 end + case when 2 * n_marked > n_words then 128 else 0 end
+    + case when 100 * top > 40 * n_words then 256 else 0 end
+    + case when n_words >= 50 and 20 * n_kinds < n_words and n_words < 2000 then 512 else 0 end)::bigint as failed_rules from m
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_rules & 3 <> 0 as base_failed, failed_rules = 0 as kept, failed_rules from bits""",
+}

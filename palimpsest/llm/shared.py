@@ -20,7 +20,7 @@ def written(frame: DataFrame, label: str) -> DataFrame:
     """``frame`` written to the shared folder and read again: a lost executor costs no earlier step."""
     spark = frame.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    frame.write.parquet(path, compression="zstd")
     return spark.read.schema(frame.schema).parquet(path)
 
 
