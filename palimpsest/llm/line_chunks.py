@@ -54,30 +54,30 @@ def chunks_of(text: str) -> Column:
 
 def repeated_chunks(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The occurrences to remove: document key and ``line``, the first line of the chunk."""
-    keyed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), *document_key(doc_id, text), F.col(text).alias("_text"))
-    chunks = keyed.select("doc_id", *KEY, F.explode(chunks_of("_text")).alias("c")).where(F.col("c.lines") >= LEAST_LINES)
+    keyed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), *document_key(doc_id, text), F.col(text).alias("__text"))
+    chunks = keyed.select("doc_id", *KEY, F.explode(chunks_of("__text")).alias("c")).where(F.col("c.lines") >= LEAST_LINES)
     ident = [F.xxhash64("c.text").alias("h1"), F.xxhash64(F.lit(7), "c.text").alias("h2")]
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_hash", F.col("c.line").alias("line"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__hash", F.col("c.line").alias("line"))
     texts = chunks.groupBy(*ident, F.col("c.text").alias("text")).agg(F.count("*").alias("n"), F.min(place).alias("first"))
     # a hash that two different texts share is left alone
     known = texts.groupBy("h1", "h2").agg(F.count("*").alias("texts"), F.max("n").alias("n"), F.max("first").alias("first")).where("texts = 1 and n > 1")
     spots = chunks.select("doc_id", *KEY, F.col("c.line").alias("line"), *ident)
     again = spots.join(known.select("h1", "h2", "first"), ["h1", "h2"])
-    same = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first._hash") == F.col("_hash")) & (F.col("first.line") == F.col("line"))
+    same = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.__hash") == F.col("__hash")) & (F.col("first.line") == F.col("line"))
     return again.where(~same).select(*KEY, "line").distinct()
 
 
 def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with repeated chunks cut from ``text``; ``n_removed_chunks`` and ``n_removed_lines`` are added."""
-    gone = repeated_chunks(docs, text, doc_id).groupBy(KEY).agg(F.collect_set("line").alias("_gone"))  # at most the lines of a text
+    gone = repeated_chunks(docs, text, doc_id).groupBy(KEY).agg(F.collect_set("line").alias("__gone"))  # at most the lines of a text
     columns = [c for c in docs.columns if c not in ("n_removed_chunks", "n_removed_lines")]
     joined = docs.select(*columns, *document_key(doc_id, text)).join(gone, KEY, "left")
-    listed = lambda c: F.array_contains("_gone", c["line"])
+    listed = lambda c: F.array_contains("__gone", c["line"])
     parts = lambda chunks: F.struct(
         F.array_join(F.transform(F.filter(chunks, lambda c: ~listed(c)), lambda c: c["text"]), "\n").alias("kept"),
         F.aggregate(F.filter(chunks, listed), F.lit(0), lambda n, c: n + c["lines"]).cast("long").alias("lines"),
     )
-    cut = joined.where("_gone is not null").withColumn("_cut", _let(chunks_of(text), parts))
-    cut = cut.select("*", F.col("_cut.kept").alias("_kept"), F.size("_gone").cast("long").alias("n_removed_chunks"), F.col("_cut.lines").alias("n_removed_lines"))
-    plain = joined.where("_gone is null").select(*columns, F.lit(0).cast("long").alias("n_removed_chunks"), F.lit(0).cast("long").alias("n_removed_lines"))
-    return plain.unionByName(cut.select(*(F.col("_kept").alias(text) if c == text else F.col(c) for c in columns), "n_removed_chunks", "n_removed_lines"))
+    cut = joined.where("__gone is not null").withColumn("__cut", _let(chunks_of(text), parts))
+    cut = cut.select("*", F.col("__cut.kept").alias("__kept"), F.size("__gone").cast("long").alias("n_removed_chunks"), F.col("__cut.lines").alias("n_removed_lines"))
+    plain = joined.where("__gone is null").select(*columns, F.lit(0).cast("long").alias("n_removed_chunks"), F.lit(0).cast("long").alias("n_removed_lines"))
+    return plain.unionByName(cut.select(*(F.col("__kept").alias(text) if c == text else F.col(c) for c in columns), "n_removed_chunks", "n_removed_lines"))

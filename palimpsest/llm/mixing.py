@@ -109,37 +109,45 @@ def mix(
     levels: Sequence[str] = LEVELS,
     doc_id: str = "doc_id",
     tokens: str = "n_tokens",
+    columns: Sequence[str] | None = None,
+    copies: str = "copies",
 ) -> DataFrame:
     """``docs`` (with the level columns and a token count) plus ``copies``: in how many epochs the document is taken.
 
-    The budget is ``budget`` tokens, or ``budget_share`` of all there are. Documents taken in no epoch are left out.
+    ``columns`` names the level columns of ``docs`` where they differ from those of ``weights``. The budget is ``budget`` tokens, or ``budget_share`` of all there are. Documents taken in no epoch are left out.
     """
     levels = list(levels)
-    key = [F.coalesce(F.col(level).cast("string"), F.lit("")).alias(f"_{level}") for level in levels]
-    own = [f"_{level}" for level in levels]
-    keyed = docs.select("*", *key, F.coalesce(F.col(tokens), F.lit(0)).cast("long").alias("_tokens"))
-    sizes = keyed.groupBy(own).agg(F.sum("_tokens").alias("tokens"))
+    key = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"__{level}") for level, c in zip(levels, columns or levels, strict=True)]
+    own = [f"__{level}" for level in levels]
+    keyed = docs.select("*", *key, F.coalesce(F.col(tokens), F.lit(0)).cast("long").alias("__tokens"))
+    sizes = keyed.groupBy(own).agg(F.sum("__tokens").alias("tokens"))
     total = F.floor(F.sum("tokens").over(Window.partitionBy()) * F.lit(budget_share)) if budget is None else F.lit(budget)
-    named = weights.select(*(F.col(level).cast("string").alias(f"_{level}") for level in levels), "weight")
-    quotas = leaf_budgets(sizes.withColumn("_total", total.cast("long")), named, F.col("_total"), max_epochs, own)
+    named = weights.select(*(F.col(level).cast("string").alias(f"__{level}") for level in levels), "weight")
+    quotas = leaf_budgets(sizes.withColumn("__total", total.cast("long")), named, F.col("__total"), max_epochs, own)
     quotas = quotas.where("tokens > 0 and quota > 0").select(
-        *own, F.expr("quota div tokens").alias("_epochs"), F.expr("quota % tokens").alias("_rest")
+        *own, F.expr("quota div tokens").alias("__epochs"), F.expr("quota % tokens").alias("__rest")
     )
-    placed = keyed.join(quotas, own).withColumn("_key", order_key(seed, F.col("_epochs"), doc_id))
-    bucket = F.substring("_key", 1, BUCKET_DIGITS)
-    light = keyed.select(*own, doc_id, "_tokens").join(quotas, own).where("_rest > 0")
-    sums = light.groupBy(*own, "_rest", F.substring(order_key(seed, F.col("_epochs"), doc_id), 1, BUCKET_DIGITS).alias("_bucket")).agg(F.sum("_tokens").alias("sum"))
-    running = Window.partitionBy(*own).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    cut = sums.withColumn("_before", F.coalesce(F.sum("sum").over(running), F.lit(0))).where("_before < _rest and _before + sum >= _rest")
+    placed = keyed.join(quotas, own).withColumn("__key", order_key(seed, F.col("__epochs"), doc_id))
+    bucket = F.substring("__key", 1, BUCKET_DIGITS)
+    light = keyed.select(*own, doc_id, "__tokens").join(quotas, own).where("__rest > 0")
+    sums = light.groupBy(*own, "__rest", F.substring(order_key(seed, F.col("__epochs"), doc_id), 1, BUCKET_DIGITS).alias("__bucket")).agg(F.sum("__tokens").alias("sum"))
+    running = Window.partitionBy(*own).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    cut = sums.withColumn("__before", F.coalesce(F.sum("sum").over(running), F.lit(0))).where("__before < __rest and __before + sum >= __rest")
     # the cut exists for each leaf with a rest: its tokens are more than the rest
-    placed = placed.join(cut.select(*own, F.col("_bucket").alias("_cut"), "_before"), own, "left").withColumn("_bucket", bucket)
-    inside = placed.where("_bucket = _cut")
-    start = Window.partitionBy(*own, "_bucket").orderBy("_key", F.col(doc_id), "_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    inside = inside.withColumn("_more", (F.col("_before") + F.coalesce(F.sum("_tokens").over(start), F.lit(0)) < F.col("_rest")).cast("int"))
-    outside = placed.where("_cut is null or _bucket <> _cut").withColumn("_more", F.coalesce((F.col("_bucket") < F.col("_cut")).cast("int"), F.lit(0)))
+    placed = placed.join(cut.select(*own, F.col("__bucket").alias("__cut"), "__before"), own, "left").withColumn("__bucket", bucket)
+    inside = placed.where("__bucket = __cut")
+    start = Window.partitionBy(*own, "__bucket").orderBy("__key", F.col(doc_id), "__tokens").rowsBetween(Window.unboundedPreceding, -1)
+    inside = inside.withColumn("__more", (F.col("__before") + F.coalesce(F.sum("__tokens").over(start), F.lit(0)) < F.col("__rest")).cast("int"))
+    outside = placed.where("__cut is null or __bucket <> __cut").withColumn("__more", F.coalesce((F.col("__bucket") < F.col("__cut")).cast("int"), F.lit(0)))
     return (
         outside.unionByName(inside)
-        .withColumn("copies", F.col("_epochs") + F.col("_more"))
-        .where("copies > 0")
-        .select(*docs.columns, "copies")
+        .withColumn("__copies", F.col("__epochs") + F.col("__more"))
+        .where("__copies > 0")
+        .select(*(c for c in docs.columns if c != copies), F.col("__copies").alias(copies))
     )
+
+
+def repeated(taken: DataFrame, copies: str = "copies") -> DataFrame:
+    """A row for each copy."""
+    columns = [c for c in taken.columns if c != copies]
+    return taken.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), copies)).alias("__copy")).drop("__copy")

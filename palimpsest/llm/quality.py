@@ -100,7 +100,7 @@ def ledger(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
     """Columns ``keep``, all measures and ``failed`` (a long with a bit per failed rule). Reads each text once."""
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     schema = ", ".join([*([fields] if keep else []), *(f"{m} long" for m in MEASURES)])
-    measured = docs.select(*keep, F.col(text).cast("binary").alias("_text")).mapInArrow(_measured, schema)
+    measured = docs.select(*keep, F.col(text).cast("binary").alias("__text")).mapInArrow(_measured, schema)
     return measured.withColumn("failed", failure_bits())
 
 

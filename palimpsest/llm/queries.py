@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import chat, decontaminate, line_chunks, mixing, packing, quality, simhash, style_tree, suffix, toxicity
@@ -21,9 +21,9 @@ def mix_weights(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(MIX_WEIGHTS), "domain string, lang string, source string, weight long")
 
 
-def domain(source: str = "source") -> F.Column:
+def domain(source: str = "source") -> Column:
     number = F.expr(f"try_cast(regexp_extract({source}, '([0-9]+)$', 1) as int)")
-    return F.when(number < 10, F.lit("open")).otherwise(F.lit("curated")).alias("domain")
+    return F.when(number < 10, F.lit("open")).otherwise(F.lit("curated"))
 
 
 def op1_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
@@ -73,11 +73,17 @@ def op9_token_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", domain(), "lang", "source", mixing.token_count().alias("n_tokens"))
+    docs = table(spark, folder, "documents").select("doc_id", domain().alias("domain"), "lang", "source", mixing.token_count().alias("n_tokens"))
     return mixing.mix(written(docs, "sizes"), mix_weights(spark), budget_share=1.0, max_epochs=3, seed=MIX_SEED)
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_toxicity, op3_line_dedup, op4_decontamination, op5_suffix_array_dedup, op6_quality_rules, op7_simhash_near_dedup, op8_chat_formatting, op9_token_packing, op10_source_mixing)}
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_toxicity, op3_line_dedup, op4_decontamination, op5_suffix_array_dedup, op6_quality_rules, op7_simhash_near_dedup, op8_chat_formatting, op9_token_packing, op10_source_mixing, pipeline)}
 ORACLES: dict[str, str] = {
     # lines, rolling hash of two line hashes, chunks, and all but the first of equal chunks cut
     "op3_line_dedup": """

@@ -39,9 +39,9 @@ def document_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     The hash of the text only has to tell rows of one id apart (or rows without an id).
     """
     return [
-        F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("_id"),
-        F.xxhash64(F.col(text), F.col(doc_id).isNull()).alias("_hash"),
+        F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("__id"),
+        F.xxhash64(F.col(text), F.col(doc_id).isNull()).alias("__hash"),
     ]
 
 
-KEY = ["_id", "_hash"]
+KEY = ["__id", "__hash"]

@@ -69,8 +69,8 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
             found = np.array([fingerprint(t.as_py()) for t in batch.column(3)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found)], names=["doc_id", *KEY, "fp"])
 
-    parts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), *document_key(doc_id, text), F.col(text).cast("binary").alias("_text"))
-    return parts.mapInArrow(run, "doc_id long, _id long, _hash long, fp long")
+    parts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), *document_key(doc_id, text), F.col(text).cast("binary").alias("__text"))
+    return parts.mapInArrow(run, "doc_id long, __id long, __hash long, fp long")
 
 
 class Shards:
@@ -212,8 +212,8 @@ def linked(points: DataFrame, radius: int = RADIUS, shard_points: int = SHARD_PO
 
 
 def components(fps: DataFrame, radius: int = RADIUS, **shape: int) -> DataFrame:
-    """For each distinct ``fp``: ``first``, the first document of its component (``missing``, ``doc_id``, ``_hash``)."""
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "_hash")).alias("first")
+    """For each distinct ``fp``: ``first``, the first document of its component (``missing``, ``doc_id``, ``__hash``)."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "__hash")).alias("first")
     points = written(fps.groupBy("fp").agg(first), "points")
     root = roots(written(linked(points, radius, **shape), "links"))
     rooted = points.join(root, points["fp"] == root["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
@@ -229,6 +229,6 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, **shape: int) -> Data
 def deduplicated(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest id. All columns stay."""
     found = near_duplicates(docs, radius)
-    stays = found.where(F.col("first")["doc_id"].eqNullSafe(F.col("doc_id")) & (F.col("first")["_hash"] == F.col("_hash"))).select(*KEY).distinct()
+    stays = found.where(F.col("first")["doc_id"].eqNullSafe(F.col("doc_id")) & (F.col("first")["__hash"] == F.col("__hash"))).select(*KEY).distinct()
     keyed = docs.select("*", *document_key())
     return keyed.join(stays, KEY, "left_semi").dropDuplicates(KEY).drop(*KEY)

@@ -221,7 +221,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found.append([(b.text, b.path, b.main, b.plain, xxhash.xxh64_intdigest(b.text) - 2**63) for b in blocks])
             shapes.append([(p, f) for p, f in dict(children).items()])
         columns = [*batch.columns[: n - 2], pa.array(hosts), _structs(found, block), _structs(shapes, shape)]
-        yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[: n - 2], "_host", "_blocks", "_shapes"])
+        yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[: n - 2], "__host", "__blocks", "__shapes"])
 
 
 def _structs(rows: list[list[tuple]], kind: pa.StructType) -> pa.Array:
@@ -232,17 +232,17 @@ def _structs(rows: list[list[tuple]], kind: pa.StructType) -> pa.Array:
 def importances(parsed: DataFrame) -> DataFrame:
     """For each host and node: ``pages`` and ``importance``."""
     entropy = lambda: F.when(F.sum("n") > 1, (F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")) / F.log(F.sum("n"))).otherwise(F.lit(1.0))
-    shapes = parsed.select("_host", F.explode("_shapes").alias("s")).select("_host", F.element_at("s.path", -1).alias("node"), F.col("s.feature").alias("feature")).where("node is not null")
-    look = shapes.groupBy("_host", "node", "feature").agg(F.count("*").alias("n")).groupBy("_host", "node").agg(entropy().alias("look"), F.sum("n").alias("shaped"))
-    texts = parsed.select("_host", F.explode("_blocks").alias("b")).select("_host", F.col("b.path").alias("path"), F.col("b.feature").alias("feature"), F.length("b.text").alias("size"))
-    leaves = texts.groupBy("_host", "path", "feature").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
-    leaves = leaves.groupBy("_host", "path").agg(entropy().alias("content"), F.sum("size").alias("size"), F.sum("n").alias("blocks"))
-    below = leaves.select("_host", F.explode("path").alias("node"), "content", "size", "blocks").groupBy("_host", "node").agg(
+    shapes = parsed.select("__host", F.explode("__shapes").alias("s")).select("__host", F.element_at("s.path", -1).alias("node"), F.col("s.feature").alias("feature")).where("node is not null")
+    look = shapes.groupBy("__host", "node", "feature").agg(F.count("*").alias("n")).groupBy("__host", "node").agg(entropy().alias("look"), F.sum("n").alias("shaped"))
+    texts = parsed.select("__host", F.explode("__blocks").alias("b")).select("__host", F.col("b.path").alias("path"), F.col("b.feature").alias("feature"), F.length("b.text").alias("size"))
+    leaves = texts.groupBy("__host", "path", "feature").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    leaves = leaves.groupBy("__host", "path").agg(entropy().alias("content"), F.sum("size").alias("size"), F.sum("n").alias("blocks"))
+    below = leaves.select("__host", F.explode("path").alias("node"), "content", "size", "blocks").groupBy("__host", "node").agg(
         (F.sum(F.col("content") * F.col("size")) / F.sum("size")).alias("content"), F.sum("blocks").alias("blocks")
     )
-    both = below.join(look, ["_host", "node"], "left")
+    both = below.join(look, ["__host", "node"], "left")
     importance = F.col("content") * BELOW + F.coalesce("look", "content") * (1 - BELOW)
-    return both.select("_host", "node", F.coalesce("shaped", "blocks").alias("pages"), importance.alias("importance"))
+    return both.select("__host", "node", F.coalesce("shaped", "blocks").alias("pages"), importance.alias("importance"))
 
 
 def main_text(pages: DataFrame, low: float = LOW, least_pages: int = PAGES, page: str = "html", url: str = "url") -> DataFrame:
@@ -250,24 +250,24 @@ def main_text(pages: DataFrame, low: float = LOW, least_pages: int = PAGES, page
     columns = [c for c in pages.columns if c not in (page, "text", "n_chars")]
     kept = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in columns)
     schema = ", ".join(
-        [kept] * bool(columns) + ["_host string", "_blocks array<struct<text string, path array<bigint>, main int, plain boolean, feature bigint>>", "_shapes array<struct<path array<bigint>, feature bigint>>"]
+        [kept] * bool(columns) + ["__host string", "__blocks array<struct<text string, path array<bigint>, main int, plain boolean, feature bigint>>", "__shapes array<struct<path array<bigint>, feature bigint>>"]
     )
-    parsed = pages.select(*columns, F.col(url).alias("_url"), F.col(page).alias("_page")).mapInArrow(_parsed, schema)
+    parsed = pages.select(*columns, F.col(url).alias("__url"), F.col(page).alias("__page")).mapInArrow(_parsed, schema)
     parsed = written(parsed, "pages")
     nodes = importances(parsed)
     lows = written(nodes.where((F.col("importance") < low) & (F.col("pages") >= least_pages)), "low")
     none = F.array().cast("array<bigint>")
     if lows.isEmpty():
-        judged = parsed.withColumn("_low", none)
+        judged = parsed.withColumn("__low", none)
     else:
         # of each page only the nodes that may be removed: outside an article, or more than plain paragraphs inside one
-        may = F.array_distinct(F.flatten(F.transform(F.filter("_blocks", lambda b: (b["main"] == 0) | ~b["plain"]), lambda b: b["path"])))
-        lists = parsed.select("_host", F.explode(may).alias("node")).distinct().join(lows, ["_host", "node"])
-        by_host = lists.groupBy("_host").agg(F.collect_set("node").alias("_low"))  # nodes of a host's template
+        may = F.array_distinct(F.flatten(F.transform(F.filter("__blocks", lambda b: (b["main"] == 0) | ~b["plain"]), lambda b: b["path"])))
+        lists = parsed.select("__host", F.explode(may).alias("node")).distinct().join(lows, ["__host", "node"])
+        by_host = lists.groupBy("__host").agg(F.collect_set("node").alias("__low"))  # nodes of a host's template
         by_host = F.broadcast(by_host) if lists.count() <= BROADCAST else by_host
-        judged = parsed.join(by_host, "_host", "left").withColumn("_low", F.coalesce("_low", none))
-    free = lambda b: F.when(b["main"] == 0, ~F.arrays_overlap(b["path"], F.col("_low"))).otherwise(
-        b["plain"] | F.arrays_overlap(F.slice(b["path"], 1, b["main"]), F.col("_low")) | ~F.arrays_overlap(b["path"], F.col("_low"))
+        judged = parsed.join(by_host, "__host", "left").withColumn("__low", F.coalesce("__low", none))
+    free = lambda b: F.when(b["main"] == 0, ~F.arrays_overlap(b["path"], F.col("__low"))).otherwise(
+        b["plain"] | F.arrays_overlap(F.slice(b["path"], 1, b["main"]), F.col("__low")) | ~F.arrays_overlap(b["path"], F.col("__low"))
     )
-    text = F.array_join(F.transform(F.filter("_blocks", free), lambda b: b["text"]), "\n\n")
+    text = F.array_join(F.transform(F.filter("__blocks", free), lambda b: b["text"]), "\n\n")
     return judged.select(*columns, text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

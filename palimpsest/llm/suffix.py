@@ -140,7 +140,7 @@ def _repeats(length: int):
         context = np.searchsorted(starts, a, side="right") - 1
         own = rows.iloc[context]
         first = own["first"].to_numpy() + a - starts[context]
-        found = pd.DataFrame({"_id": own["_id"].to_numpy(), "_hash": own["_hash"].to_numpy(), "first": first, "count": b - a})
+        found = pd.DataFrame({"__id": own["__id"].to_numpy(), "__hash": own["__hash"].to_numpy(), "first": first, "count": b - a})
         return found[(own["n"] == 1).to_numpy()]
 
     return run
@@ -165,25 +165,25 @@ def _strings(length: int):
 
 def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, shard_bytes: int = SHARD_BYTES, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Runs of repeated strings: document key, ``first`` (first byte of the first string) and ``count`` (of strings)."""
-    keyed = docs.select(*document_key(doc_id, text), F.col(text).cast("binary").alias("_text"))
+    keyed = docs.select(*document_key(doc_id, text), F.col(text).cast("binary").alias("__text"))
     context = ["anchor", "c1", "c2"]
-    filed = written(keyed.mapInArrow(_filed(length, gram), "_id long, _hash long, first long, count long, anchor long, c1 long, c2 long"), "contexts")
+    filed = written(keyed.mapInArrow(_filed(length, gram), "__id long, __hash long, first long, count long, anchor long, c1 long, c2 long"), "contexts")
     seen = filed.groupBy(context).agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "first", "count")).alias("at"))
     seen = written(seen, "seen")
     kinds = seen.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
     whole = filed.join(seen.where("n > 1").select(*context), context, "left_semi").select(*KEY, "first", "count")
     mixed = seen.join(kinds, "anchor").select("anchor", "kinds", "n", "at.*")
     wanted = mixed.groupBy(KEY).agg(F.collect_list(F.struct("anchor", "kinds", "n", "first", "count")).alias("pieces"))  # at most the contexts of a text
-    piece = F.substring(F.col("_text"), F.col("p.first").cast("int") + 1, F.col("p.count").cast("int") + length - 1)
-    pieces = keyed.join(wanted, KEY).select(*KEY, "_text", F.explode("pieces").alias("p"))
+    piece = F.substring(F.col("__text"), F.col("p.first").cast("int") + 1, F.col("p.count").cast("int") + length - 1)
+    pieces = keyed.join(wanted, KEY).select(*KEY, "__text", F.explode("pieces").alias("p"))
     pieces = pieces.select(*KEY, "p.anchor", "p.kinds", "p.n", "p.first", piece.alias("piece"))
     pieces = written(pieces, "pieces")
     total = pieces.where(F.col("kinds") <= hot).agg(F.sum(F.length("piece"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
     sharded = pieces.where(F.col("kinds") <= hot).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    schema = "_id long, _hash long, first long, count long"
+    schema = "__id long, __hash long, first long, count long"
     by_array = sharded.groupBy("shard").applyInPandas(_repeats(length), schema)
-    single = pieces.where(F.col("kinds") > hot).select(*KEY, "first", "n", "piece").mapInArrow(_strings(length), "_id long, _hash long, first long, w1 long, w2 long, n long")
+    single = pieces.where(F.col("kinds") > hot).select(*KEY, "first", "n", "piece").mapInArrow(_strings(length), "__id long, __hash long, first long, w1 long, w2 long, n long")
     counted = single.groupBy("w1", "w2").agg(F.sum("n").alias("times")).where("times > 1")
     by_count = single.where("n = 1").join(counted.select("w1", "w2"), ["w1", "w2"], "left_semi").select(*KEY, "first", F.lit(1).cast("long").alias("count"))
     return whole.unionByName(by_array).unionByName(by_count)
@@ -214,6 +214,6 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, text: str = "text", doc_
     """doc_id, n_bytes, n_removed, n_spans, ``kept`` (the remaining bytes) and kept_sha256 for every row of ``docs``."""
     runs = repeated_strings(docs, length, text=text, doc_id=doc_id, **limits)
     gathered = runs.groupBy(KEY).agg(F.collect_list(F.struct("first", "count")).alias("runs"))  # at most a text's strings
-    keyed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), *document_key(doc_id, text), F.col(text).cast("binary").alias("_text"))
-    joined = keyed.join(gathered, KEY, "left").select("doc_id", "_text", "runs")
+    keyed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), *document_key(doc_id, text), F.col(text).cast("binary").alias("__text"))
+    joined = keyed.join(gathered, KEY, "left").select("doc_id", "__text", "runs")
     return joined.mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")

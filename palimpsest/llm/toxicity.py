@@ -194,16 +194,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = VO
     return Model(voters, _linear((signs - centre) / scale, post), centre, scale, toxic / total)
 
 
-def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+def scored(docs: DataFrame, model: Model, text: str = "text", score: str = "score", predicted: str = "predicted") -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on), in place of columns of those names."""
-    columns = [c for c in docs.columns if c not in ("score", "predicted")]
+    columns = [c for c in docs.columns if c not in (score, predicted)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signs = Signs(model.voters)
         for batch in batches:
             values = np.array([signs.of(t.as_py() or "") for t in batch.column(batch.num_columns - 1)]).reshape(-1, signs.size)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(model.scores(values))], names=[*batch.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(model.scores(values))], names=[*batch.schema.names[:-1], score])
 
-    plain = docs.select(*columns, F.col(text).alias("_text"))
-    schema = StructType([*docs.select(*columns).schema.fields]).add("score", DoubleType())
-    return plain.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    plain = docs.select(*columns, F.col(text).alias("__text"))
+    schema = StructType([*docs.select(*columns).schema.fields]).add(score, DoubleType())
+    return plain.mapInArrow(run, schema).withColumn(predicted, (F.col(score) >= 0.5).cast("int"))
