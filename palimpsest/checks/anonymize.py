@@ -39,7 +39,7 @@ RULES = [
     MaskingRule("SECURITY_ID", "whitelist", values=("B-000007",)),
     MaskingRule("ROOM_NUMBER", "skip"),
     MaskingRule("SSN", "lower_threshold", min_confidence=0.99),
-    MaskingRule("PERSON", "whitelist", values=("John Smith", "Jane Brown")),
+    MaskingRule("PERSON", "whitelist", values=("Aino Okafor", "Bela Tanaka")),
     MaskingRule("BADGE_NUMBER", "blacklist", values=("B-000010", "B-000020")),
     MaskingRule("ACCESS_CARD", "keep"),
 ]
@@ -191,7 +191,7 @@ _KEPT = """select doc_id, text, label, start, "end"::INT as "end",
  case when label = 'BADGE_NUMBER' and text in ('B-000010', 'B-000020') then 1::DOUBLE
   else confidence end as confidence, engine, context_score, is_sensitive
 from entities where label <> 'ROOM_NUMBER' and not (label = 'SSN' and confidence < 0.99::DOUBLE)
- and not (label = 'PERSON' and text in ('John Smith', 'Jane Brown'))
+ and not (label = 'PERSON' and text in ('Aino Okafor', 'Bela Tanaka'))
  and not (label = 'SECURITY_ID' and text = 'B-000007')"""
 _FORMATTED = {
     k: ("replace" if v == "replace_format" else v) for k, v in C.DEFAULT_STRATEGIES.items()

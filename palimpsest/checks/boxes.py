@@ -69,7 +69,7 @@ def counts(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "logos_classified": logos,
     "logos_ranked": lambda s, d: ranked(raw(s, d)).select(*BOX, "rank"),
-    "logos_top": lambda s, d: top_boxes(raw(s, d)).select(*BOX, "rank"),
+    "logos_top": lambda s, d: top_boxes(raw(s, d), k=3).select(*BOX, "rank"),
     "logos_suppressed": lambda s, d: suppress(raw(s, d)).select(*BOX),
     "logos_suppressed_across_classes": lambda s, d: suppress(raw(s, d), by_class=False).select(*BOX),
     "logo_removal_plan": plan,
@@ -93,7 +93,7 @@ def suppressed_sql(keys: str) -> str:
         "greatest(least(k.x2, b.x2) - greatest(k.x1, b.x1), 0)::DOUBLE"
         " * greatest(least(k.y2, b.y2) - greatest(k.y1, b.y1), 0)"
     )
-    union = f"((k.x2 - k.x1) * (k.y2 - k.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - {inter})"
+    union = f"(greatest(k.x2 - k.x1, 0) * greatest(k.y2 - k.y1, 0) + greatest(b.x2 - b.x1, 0) * greatest(b.y2 - b.y1, 0) - {inter})"
     on = " and ".join(f"o.{k} = w.{k}" for k in keys.split(", "))
     selected = ", ".join(f"o.{k}" for k in keys.split(", "))
     return f"""{_HEAD}, numbered as (select *, row_number() over (partition by {keys}
@@ -125,7 +125,7 @@ ORACLES: dict[str, str] = {
     "logos_ranked": f"""{_HEAD} select *, row_number() over (partition by doc_id
  order by confidence desc, seq)::INT as rank from detections_raw""",
     "logos_top": f"""{_HEAD} select * from (select *, row_number() over (partition by doc_id
- order by confidence desc, seq)::INT as rank from detections_raw) where rank <= 100""",
+ order by confidence desc, seq)::INT as rank from detections_raw) where rank <= 3""",
     "logos_suppressed": suppressed_sql("doc_id, class_id"),
     "logos_suppressed_across_classes": suppressed_sql("doc_id"),
     "logo_removal_plan": f"""{_HEAD}, {LOGO_CTES} select doc_id, seq, class_id, confidence, {padded('pad')},

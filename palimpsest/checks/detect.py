@@ -27,7 +27,10 @@ from palimpsest.sources.intake import entity_catalogue, unknown_labels
 Query = Callable[[SparkSession, str], DataFrame]
 
 PAGES = "pages_text as (select page_id as doc_id, html as text from pages)"
-TURNS = "turns as (select conv_id * 1000 + turn as doc_id, text from conversations)"
+TURNS = (
+    "turns as (select conv_id * 1000 + turn as doc_id, text || ' Ref B-' || lpad(cast(conv_id as string), 6, '0')"
+    " || ' from 10.0.' || cast(turn % 256 as string) || '.9' as text from conversations)"
+)
 
 
 def page_texts(spark: SparkSession, sf: str) -> DataFrame:
@@ -35,8 +38,10 @@ def page_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def turn_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns with a badge and an address each."""
+    values = "concat(text, ' Ref B-', lpad(cast(conv_id as string), 6, '0'), ' from 10.0.', cast(turn % 256 as string), '.9')"
     return table(spark, sf, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text"
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.expr(values).alias("text")
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.checks import sql as S
@@ -12,12 +12,11 @@ from palimpsest.checks.boxes import LOGO_CTES, logos
 from palimpsest.checks.ocr import ocr_tables, page_ctes, page_ids
 from palimpsest.checks.tables import table, with_tables
 from palimpsest.functions import constants as C
-from palimpsest.operators.ocr import easyocr_tokens, tesseract_tokens
 from palimpsest.operators.skew import shared_folder
 from palimpsest.plans.detection import detect
-from palimpsest.plans.documents import Processed, cover_plan, process_documents
+from palimpsest.plans.documents import Processed, process_batch, process_documents
 from palimpsest.sources import intake
-from palimpsest.sources.sinks import detection_rows, reports, responses
+from palimpsest.sources.sinks import detection_rows, in_input_order, reports, responses
 from palimpsest.streaming.streams import anonymized_stream, run_available
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -135,17 +134,23 @@ def removals(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def covers(spark: SparkSession, sf: str) -> DataFrame:
-    """Regions of all page tokens of documents with entities, and the logos to remove."""
-    run = process_documents(
+def plain_run(spark: SparkSession, sf: str) -> Processed:
+    return process_documents(
         scans(spark, sf).drop("options"),
         ocr_tables=ocr_tables(spark, sf),
         boxes=table(spark, sf, "detections_raw"),
     )
-    tables = ocr_tables(spark, sf)
-    tokens = easyocr_tokens(tables["easyocr"]).unionByName(tesseract_tokens(tables["tesseract"]))
-    sized = tokens.join(scans(spark, sf).select("doc_id", "width", "height"), "doc_id")
-    return cover_plan(sized, run, F.lit("blur"))
+
+
+def covers(spark: SparkSession, sf: str) -> DataFrame:
+    """Regions of the page tokens that count of documents with entities, and the logos to remove."""
+    return plain_run(spark, sf).regions
+
+
+def image_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Audit rows of scanned documents; images of those with entities are covered."""
+    rows = plain_run(spark, sf).audit(F.lit("2024-01-01 00:00:00"))
+    return rows.select("doc_id", "entities_processed", "text_anonymized", "image_anonymized")
 
 
 def failing(spark: SparkSession, sf: str) -> DataFrame:
@@ -168,7 +173,10 @@ def failing(spark: SparkSession, sf: str) -> DataFrame:
 
 RESPONSE = (
     "struct<success:boolean,document_id:bigint,extracted_text:string,anonymized_text:string,"
-    "entities:array<struct<text:string,label:string,start:int,end:int,confidence:double>>,"
+    "entities:array<struct<text:string,label:string,start:int,end:int,confidence:double,"
+    "engine:string,is_sensitive:boolean>>,"
+    "processing_metrics:struct<total_time:double,confidence_scores:struct<pii:double,logo:double>,"
+    "entities_found:bigint,logos_found:bigint>,"
     "logos:array<struct<class_name:string,confidence:double,bbox:array<int>,area:bigint>>,"
     "anonymization_mapping:array<struct<original:string,anonymized:string>>>"
 )
@@ -176,17 +184,24 @@ RESPONSE = (
 
 def response_rows(spark: SparkSession, sf: str) -> DataFrame:
     """JSON responses, read back so that their content can be compared."""
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.lit(1.5).alias("total_time"))
     run = process_documents(docs, boxes=table(spark, sf, "detections_raw"))
     out = responses(run.documents, run.logos)
-    parsed = out.select("part", F.from_json("response", RESPONSE).alias("r"))
+    parsed = out.select(F.from_json("response", RESPONSE).alias("r"))
     return parsed.select(
-        "part",
         F.col("r.success").alias("success"),
         F.col("r.document_id").alias("doc_id"),
         F.sha2("r.extracted_text", 256).alias("text_hash"),
         F.sha2("r.anonymized_text", 256).alias("anonymized_hash"),
-        F.expr("array_join(transform(r.entities, e -> e.label), ',')").alias("labels"),
+        F.expr(
+            "array_join(transform(r.entities, e -> concat_ws(' ', e.label, e.engine, "
+            "cast(e.is_sensitive as string))), ',')"
+        ).alias("labels"),
+        F.col("r.processing_metrics.total_time").alias("total_time"),
+        F.round("r.processing_metrics.confidence_scores.pii", 6).alias("pii_score"),
+        F.round("r.processing_metrics.confidence_scores.logo", 6).alias("logo_score"),
+        F.col("r.processing_metrics.entities_found").alias("entities_found"),
+        F.col("r.processing_metrics.logos_found").alias("logos_found"),
         F.expr(
             "array_join(transform(r.logos, l -> concat(l.class_name, ' ', "
             "array_join(transform(l.bbox, x -> cast(x as string)), ' '))), ',')"
@@ -223,6 +238,36 @@ def streamed(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(out.schema).parquet(f"{folder}/out")
 
 
+def batches(spark: SparkSession, sf: str) -> DataFrame:
+    """One batch per conversation: its turns, each with a badge and an address."""
+    contact = "concat(text, ' Ref B-', lpad(cast(conv_id as string), 6, '0'), ' or turn', turn, '@mail.example.org')"
+    return (
+        table(spark, sf, "conversations")
+        .select("conv_id", "turn", F.col("text").alias("said"), F.expr(contact).alias("text"))
+        .groupBy("conv_id")
+        .agg(F.sort_array(F.collect_list(F.struct("turn", "said", "text"))).alias("turns"))
+        .select("conv_id", F.expr("transform(turns, t -> t.text)").alias("texts"))
+    )
+
+
+def batch_job(spark: SparkSession, sf: str) -> DataFrame:
+    """Several batches in one job: their results are saved and read back."""
+    done = process_batch(batches(spark, sf), path=shared_folder(spark), batch_key="conv_id")
+    return done.select(
+        "doc_id", "conv_id", "batch_pos", "success", "anonymized_text", F.col("entities_found").cast("bigint").alias("entities_found")
+    )
+
+
+def batch_in_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Results in the order their texts came in; the place each takes when written so."""
+    done = in_input_order(process_batch(batches(spark, sf), batch_key="conv_id"), "conv_id", "batch_pos")
+    folder = f"{shared_folder(spark)}/ordered"
+    done.select("doc_id").withColumn("at", F.monotonically_increasing_id()).write.parquet(folder)
+    stored = spark.read.schema("doc_id string, at bigint").parquet(folder)
+    window = Window.orderBy("at")
+    return stored.select("doc_id", (F.row_number().over(window) - 1).alias("place"))
+
+
 def reduced_engines(spark: SparkSession, sf: str) -> DataFrame:
     """An engine without table finds nothing and is not listed as used."""
     done = detect(table(spark, sf, "access_log"), engines=("spacy", "transformers", "custom_patterns"))
@@ -241,6 +286,9 @@ QUERIES: dict[str, Query] = {
     "processed_documents": job,
     "processed_removals": removals,
     "redaction_plan": covers,
+    "image_audit": image_audit,
+    "batch_job": batch_job,
+    "batch_in_order": batch_in_order,
     "failed_documents": failing,
     "response_rows": response_rows,
     "report_rows": report_rows,
@@ -289,6 +337,15 @@ _DOCS = S.detection("", "documents", S.all_rules(), 0.8) + ",\n" + S.rewritten_c
 )
 _WITH_LOGOS = _DOCS.replace("with recursive ", f"{with_tables('detections_raw')}, {LOGO_CTES},\n", 1)
 
+_TURNS = S.detection(
+    """with recursive batch_texts as (select *, 'batch_doc_' || conv_id || '_' || batch_pos as doc_id from (
+ select conv_id, (row_number() over (partition by conv_id order by turn, text) - 1)::INT as batch_pos,
+ text || ' Ref B-' || lpad(conv_id::VARCHAR, 6, '0') || ' or turn' || turn || '@mail.example.org' as text from conversations))""",
+    "batch_texts",
+    S.all_rules(),
+    0.8,
+) + ",\n" + S.rewritten_ctes("batch_texts", S.auto_sql())
+
 ORACLES: dict[str, str] = {
     "request_images": """select doc_id, 0 as batch_pos, 'scan ' || doc_id || '.png' as document_id,
  case when text <> '' then sha256(text) end as content_hash,
@@ -331,7 +388,7 @@ from (select *, case method when 'inpaint' then 5 else 0 end as pad
     "redaction_plan": f"""{_PLAIN}, {LOGO_CTES} select * from (
  select doc_id, 'text' as source, seq, greatest(0, x1)::INT as x1, greatest(0, y1)::INT as y1,
   least(width, x2)::INT as x2, least(height, y2)::INT as y2, 'blur' as method
- from (select *, {SIZES} from tokens) where doc_id in (select doc_id from entities))
+ from (select *, place as seq, {SIZES} from (select * exclude (seq) from used)) where doc_id in (select doc_id from entities))
 where x2 > x1 and y2 > y1
 union all select doc_id, 'logo', seq, greatest(0, x1 - 5)::INT, greatest(0, y1 - 5)::INT,
  least(width, x2 + 5)::INT, least(height, y2 + 5)::INT, 'inpaint'
@@ -341,14 +398,23 @@ from (select *, {SIZES} from logos where confidence >= 0.7::DOUBLE and sensitive
  case when r.doc_id % 9 <> 0 then r.anonymized_text end as anonymized_text,
  case when r.doc_id % 9 <> 0 then r.entities_processed else 0 end::BIGINT as entities_found
 from rewritten r join documents d using (doc_id)""",
-    "response_rows": f"""{_WITH_LOGOS} select 0 as part, true as success, d.doc_id,
+    "response_rows": f"""{_WITH_LOGOS} select true as success, d.doc_id,
  sha256(d.text) as text_hash, sha256(r.anonymized_text) as anonymized_hash,
- coalesce(e.labels, '') as labels, coalesce(l.logos, '') as logos, r.entities_processed::BIGINT as mappings
+ coalesce(e.labels, '') as labels, coalesce(l.logos, '') as logos, r.entities_processed::BIGINT as mappings,
+ 1.5::DOUBLE as total_time, round(coalesce(e.c, 0), 6) as pii_score, round(coalesce(l.c, 0), 6) as logo_score,
+ r.entities_processed::BIGINT as entities_found, coalesce(l.n, 0) as logos_found
 from documents d join rewritten r using (doc_id)
-left join (select doc_id, string_agg(label, ',' order by start) as labels from entities group by all) e
+left join (select doc_id, string_agg(label || ' ' || engine || ' ' || is_sensitive::VARCHAR, ',' order by start) as labels,
+ avg(confidence) as c from entities group by all) e
  using (doc_id)
 left join (select doc_id, string_agg(class_name || ' ' || x1 || ' ' || y1 || ' ' || x2 || ' ' || y2, ','
-  order by confidence desc, seq) as logos from logos group by all) l using (doc_id)""",
+  order by confidence desc, seq) as logos, avg(confidence) as c, count(*) as n from logos group by all) l using (doc_id)""",
+    "image_audit": f"""{_PLAIN},\n{S.rewritten_ctes('scan_text', S.auto_sql())} select r.doc_id, r.entities_processed,
+ length(r.anonymized_text) > 0 as text_anonymized, r.entities_processed > 0 as image_anonymized from rewritten r""",
+    "batch_job": f"""{_TURNS} select r.doc_id as doc_id, t.conv_id, t.batch_pos, true as success, r.anonymized_text,
+ r.entities_processed::BIGINT as entities_found from rewritten r join batch_texts t using (doc_id)""",
+    "batch_in_order": f"""{_TURNS} select r.doc_id as doc_id,
+ row_number() over (order by t.conv_id, t.batch_pos)::INT - 1 as place from rewritten r join batch_texts t using (doc_id)""",
     "report_rows": f"""{_WITH_LOGOS} select d.doc_id as document_id, 1.5::DOUBLE as processing_time,
  r.entities_processed::BIGINT as entities_found, coalesce(l.n, 0) as logos_found
 from documents d join rewritten r using (doc_id)

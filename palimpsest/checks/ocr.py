@@ -17,6 +17,8 @@ from palimpsest.operators.ocr import (
     tesseract_tokens,
     two_engines,
 )
+from palimpsest.operators.skew import shared_folder
+from palimpsest.sources.sinks import export_ocr
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,11 +53,22 @@ def decision(spark: SparkSession, sf: str) -> DataFrame:
     return fallback_decision(both(spark, sf), page_ids(spark, sf))
 
 
+def exported_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Text blocks of the JSON export, read back from what was written."""
+    ids = page_ids(spark, sf)
+    blocks = combined_tokens(both(spark, sf), ids)
+    folder = f"{shared_folder(spark)}/ocr"
+    export_ocr(ocr_documents(ocr_tables(spark, sf), ids), folder, blocks=blocks)
+    block = "place:int,text:string,confidence:double,bbox:array<int>,engine:string,language:string"
+    stored = spark.read.schema(f"doc_id bigint, text_blocks array<struct<{block}>>").json(folder)
+    rows = stored.select("doc_id", F.explode("text_blocks").alias("b")).select("doc_id", "b.*")
+    return rows.withColumn("bbox", F.array_join(F.col("bbox").cast("array<string>"), ","))
+
+
 def pages(spark: SparkSession, sf: str, **options: object) -> DataFrame:
     out = ocr_documents(ocr_tables(spark, sf), page_ids(spark, sf), **options)
     return out.select(
         "doc_id",
-        "part",
         "full_text",
         "tokens",
         F.round("average_confidence", 6).alias("average_confidence"),
@@ -72,6 +85,7 @@ QUERIES: dict[str, Query] = {
     "ocr_combined_tokens": lambda s, d: combined_tokens(both(s, d), page_ids(s, d)).select(
         "doc_id", "place", "text", "confidence", "engine"
     ),
+    "ocr_text_blocks": exported_blocks,
     "ocr_page_text": lambda s, d: pages(s, d),
     "ocr_page_text_one_engine": lambda s, d: pages(s, d, use_fallback=False),
     "ocr_page_text_swapped": lambda s, d: pages(s, d, primary="tesseract", fallback="easyocr"),
@@ -111,7 +125,7 @@ lines as (select doc_id, line, string_agg(text, ' ' order by x1, y1, place) as t
  from lined group by doc_id, line),
 texts as (select doc_id, string_agg(t, chr(10) order by line) as full_text from lines group by doc_id),
 means as (select doc_id, count(*) as tokens, avg(confidence) as mean from used group by doc_id),
-page as (select i.doc_id, 0 as part, coalesce(x.full_text, '') as full_text,
+page as (select i.doc_id, coalesce(x.full_text, '') as full_text,
   coalesce(m.tokens, 0) as tokens, round(coalesce(m.mean, 0), 6) as average_confidence,
   coalesce(a.use_fallback and {asked} and a.fallback_tokens > 0, false) as used_fallback
  from ids i left join texts x using (doc_id) left join means m using (doc_id)
@@ -127,6 +141,8 @@ ORACLES: dict[str, str] = {
     "ocr_fallback_decision": f"""{_HEAD}, {page_ctes()} select doc_id, tokens,
  round(mean_confidence, 6) as mean_confidence, chars, fallback_tokens, use_fallback from asked""",
     "ocr_combined_tokens": f"{_HEAD}, {page_ctes()} select doc_id, place, text, confidence, engine from used",
+    "ocr_text_blocks": f"""{_HEAD}, {page_ctes()} select doc_id, place, text, confidence,
+ x1 || ',' || y1 || ',' || x2 || ',' || y2 as bbox, engine, language from used""",
     "ocr_page_text": f"{_HEAD}, {page_ctes()} select * from page",
     "ocr_page_text_one_engine": f"{_HEAD}, {page_ctes(fallback=False)} select * from page",
     "ocr_page_text_swapped": f"{_HEAD}, {page_ctes(swap=True)} select * from page",

@@ -4,63 +4,63 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-FIRST = "split_part('John,Jane,Michael,Sarah,David,Emily,Robert,Lisa', ',', cast(user_id % 8 as int) + 1)"
+FIRST = "split_part('Aino,Bela,Chidi,Dalia,Enzo,Freja,Goran,Hana', ',', cast(user_id % 8 as int) + 1)"
 FAMILY = (
-    "split_part('Smith,Johnson,Williams,Brown,Jones,Garcia,Miller,Davis', ',', "
+    "split_part('Okafor,Lindqvist,Marek,Tanaka,Novak,Sorel,Ibarra,Weiss', ',', "
     "cast(event_id % 8 as int) + 1)"
 )
 
 ACCESS_LOG = f"""
 select event_id as doc_id, 'evt' || cast(event_id % 20 as string) as source,
- 'Employee ' || {FIRST} || ' ' || {FAMILY}
- || ' (ID: EMP' || lpad(cast(user_id as string), 6, '0') || ') used badge B-'
+ 'Visitor: ' || {FIRST} || ' ' || {FAMILY}
+ || ', staff id EMP' || lpad(cast(user_id as string), 6, '0') || ', passed the gate with B-'
  || lpad(cast(event_id as string), 6, '0')
  || case cast(event_id % 6 as int)
-  when 0 then ' on system SYS-PROD-' || lpad(cast(user_id % 100 as string), 2, '0')
-   || ' at IP address 10.' || cast(user_id % 256 as string) || '.'
+  when 0 then ' for server SYS-PROD-' || lpad(cast(user_id % 100 as string), 2, '0')
+   || ' from host 10.' || cast(user_id % 256 as string) || '.'
    || cast(event_id % 256 as string) || '.7.'
-  when 1 then ' with card AC-' || lpad(cast(event_id as string), 6, '0') || ' under POL-SEC-'
+  when 1 then ' and token AC-' || lpad(cast(event_id as string), 6, '0') || ' as in POL-SEC-'
    || cast(2000 + user_id % 30 as string) || '.'
-  when 2 then ' in ROOM-' || cast(100 + user_id % 900 as string) || 'B and '
-   || cast(100 + event_id % 900 as string) || ' office, audit AUD-2024-'
+  when 2 then ' to ROOM-' || cast(100 + user_id % 900 as string) || 'B next to '
+   || cast(100 + event_id % 900 as string) || ' office, log AUD-2024-'
    || lpad(cast(event_id as string), 8, 'X') || '.'
-  when 3 then ' mail user' || cast(user_id as string) || '@corp.example.com phone (555) '
+  when 3 then ' mail user' || cast(user_id as string) || '@mail.example.org or call (555) '
    || cast(100 + user_id % 900 as string) || '-'
    || lpad(cast(event_id % 10000 as string), 4, '0') || '.'
-  when 4 then ' credential CRED-' || lpad(cast(event_id as string), 6, '0')
-   || '-A mac 00:1a:2b:3c:4d:' || lpad(cast(event_id % 90 as string), 2, '0') || '.'
-  else ' ssn 123-45-' || lpad(cast(event_id % 10000 as string), 4, '0')
-   || ' credit card 4532-1234-5678-' || lpad(cast(user_id % 10000 as string), 4, '0') || '.'
+  when 4 then ' key CRED-' || lpad(cast(event_id as string), 6, '0')
+   || '-Q on device 02:4c:6e:80:9a:' || lpad(cast(event_id % 90 as string), 2, '0') || '.'
+  else ' insured 321-54-' || lpad(cast(event_id % 10000 as string), 4, '0')
+   || ' paid by card 5105-1051-0510-' || lpad(cast(user_id % 10000 as string), 4, '0') || '.'
   end as text
 from events"""
 
 NER_RAW = f"""
-select event_id as doc_id, 'PERSON' as raw_label, 9 as start,
- 9 + length({FIRST}) + 1 + length({FAMILY}) as end_pos
-from events where event_id % 3 <> 0"""
+select event_id as doc_id, 'PERSON' as raw_label, 10 as start,
+ 10 + length({FIRST}) + 1 + length({FAMILY}) as end_pos
+from events"""
 
 TRANSFORMER_RAW = f"""
 select event_id as doc_id,
- split_part('PER,ORG,LOC,MISC,XYZ', ',', cast(user_id % 5 as int) + 1) as entity_group, 9 as start,
- 9 + length({FIRST}) as end_pos,
+ split_part('PER,ORG,LOC,MISC,XYZ', ',', cast(user_id % 5 as int) + 1) as entity_group, 10 as start,
+ 10 + length({FIRST}) as end_pos,
  cast(60 + event_id % 40 as double) / cast(100 as double) as score
-from events where event_id % 4 = 1"""
+from events"""
 
 ANALYZER_RAW = f"""
 select event_id as doc_id, case when user_id % 2 = 0 then 'PERSON' else 'TITLE' end as entity_type,
- case when user_id % 2 = 0 then 9 else 0 end as start,
- case when user_id % 2 = 0 then 9 + length({FIRST}) else 8 end as end_pos,
+ case when user_id % 2 = 0 then 10 else 0 end as start,
+ case when user_id % 2 = 0 then 10 + length({FIRST}) else 7 end as end_pos,
  cast(50 + event_id % 50 as double) / cast(100 as double) as score
-from events where event_id % 5 = 2"""
+from events"""
 
 # Named-entity rows over several labels, with some rows that no document can hold.
 MIXED_NER_RAW = f"""
 select event_id as doc_id,
  split_part('PERSON,ORG,GPE,DATE,TIME,MONEY,CARDINAL,ORDINAL,NORP', ',', cast(user_id % 9 as int) + 1)
   as raw_label,
- case when event_id % 13 = 0 then -3 else 9 end as start,
- case when event_id % 17 = 0 then 2000 when event_id % 19 = 0 then 9
-  when event_id % 7 = 0 then 11 else 9 + length({FIRST}) end as end_pos
+ case when event_id % 13 = 0 then -3 else 10 end as start,
+ case when event_id % 17 = 0 then 2000 when event_id % 19 = 0 then 10
+  when event_id % 7 = 0 then 12 else 10 + length({FIRST}) end as end_pos
 from events"""
 
 LI = """
@@ -75,7 +75,7 @@ select l_orderkey as doc_id, rn as seq,
  cast(50 + (l_partkey * 7 + rn) % 50 as double) / cast(100 as double) as confidence,
  cast((l_partkey % 8) * 60 as int) as x1, cast((l_suppkey % 6) * 17 as int) as y1,
  cast((l_partkey % 8) * 60 + 50 as int) as x2, cast((l_suppkey % 6) * 17 + 12 + rn % 3 as int) as y2
-from li where l_orderkey % 11 <> 0"""
+from li"""
 
 TESSERACT = """
 select l_orderkey as doc_id, rn as seq,

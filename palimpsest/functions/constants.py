@@ -52,6 +52,9 @@ SECURITY_ID_PATTERNS = (
 )
 SECURITY_ID_SCORE = 0.8
 
+# Fewest digits of a card number.
+CARD_DIGITS = 13
+
 # Our own patterns for the standard types, with their scores.
 STANDARD_PATTERNS = {
     "EMAIL_ADDRESS": (r"\b[A-Z0-9._%+-]+@[A-Z0-9-]+(?:\.[A-Z0-9-]+)*\.[A-Z]{2,}\b", 0.95),

@@ -23,15 +23,16 @@ def is_title_case(text: str) -> str:
 
 
 def passes_luhn(text: str) -> str:
-    """Luhn check over the digits of `text`."""
-    digits = characters(f"reverse(regexp_replace({text}, '[^0-9]', ''))")
+    """Luhn check over the digits of `text`. Other digits than 0-9 leave too few for a card number."""
+    bare = f"regexp_replace({text}, '[^0-9]', '')"
+    digits = characters(f"reverse({bare})")
     weight = (
         "case when place % 2 = 0 then cast(digit as int) "
         "when cast(digit as int) > 4 then cast(digit as int) * 2 - 9 "
         "else cast(digit as int) * 2 end"
     )
     total = f"aggregate(transform({digits}, (digit, place) -> {weight}), 0, (sum, v) -> sum + v)"
-    return f"({total} % 10 = 0)"
+    return f"(length({bare}) >= {C.CARD_DIGITS} and {total} % 10 = 0)"
 
 
 def safe_file_name(name: str) -> str:

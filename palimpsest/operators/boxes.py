@@ -69,13 +69,13 @@ def top_boxes(boxes: DataFrame, k: int = C.LOGO_MAX_DETECTIONS, key: str = "doc_
 
 
 def overlaps(a: str, b: str, iou: float) -> str:
-    """Whether two boxes share more than `iou` of their union."""
+    """Whether two boxes share more than `iou` of their union. A box turned inside out has no area."""
     wide = f"greatest(least({a}.x2, {b}.x2) - greatest({a}.x1, {b}.x1), 0)"
     high = f"greatest(least({a}.y2, {b}.y2) - greatest({a}.y1, {b}.y1), 0)"
     inter = f"cast({wide} as double) * {high}"
 
     def area(box: str) -> str:
-        return f"cast({box}.x2 - {box}.x1 as double) * ({box}.y2 - {box}.y1)"
+        return f"cast(greatest({box}.x2 - {box}.x1, 0) as double) * greatest({box}.y2 - {box}.y1, 0)"
 
     return f"({inter} > {float(iou)}D * ({area(a)} + {area(b)} - {inter}))"
 
@@ -245,7 +245,7 @@ def region_plan(
 def redaction_plan(
     tokens: DataFrame,
     entity_docs: DataFrame,
-    logos: DataFrame,
+    logos: DataFrame | None,
     key: str = "doc_id",
 ) -> DataFrame:
     """Everything to cover: all token regions of documents with entities, and the logos.
@@ -254,11 +254,10 @@ def redaction_plan(
     """
     columns = [key, "source", "seq", *BOX, "method"]
     text = tokens.join(entity_docs.select(key).distinct(), key, "left_semi")
-    return (
-        text.withColumn("source", F.lit("text"))
-        .select(*columns)
-        .unionByName(logos.withColumn("source", F.lit("logo")).select(*columns))
-    )
+    planned = text.withColumn("source", F.lit("text")).select(*columns)
+    if logos is None:
+        return planned
+    return planned.unionByName(logos.withColumn("source", F.lit("logo")).select(*columns))
 
 
 def logo_counts(

@@ -8,13 +8,11 @@ from pyspark.sql import functions as F
 from palimpsest.functions import constants as C
 from palimpsest.functions.arrays import among, empty_array, let, one_of
 from palimpsest.functions.text import is_title_case
-from palimpsest.operators.fuse import with_context
 from palimpsest.operators.scan import FINDING, finding
-from palimpsest.operators.skew import HOT_ROWS, SALTS, hot_keys, join_documents, split_hot
+from palimpsest.operators.skew import join_documents
 
 RAW = "struct<engine:string,raw_label:string,start:int,end:int,score:double,word:string,seq:bigint>"
 RAW_FIELDS = ("engine", "raw_label", "start", "end", "score", "word", "seq")
-STATS = "struct<engine:string,n:bigint,total:double>"
 
 # Name of the label column in each engine's table.
 LABEL_COLUMNS = {"presidio": "entity_type", "spacy": "raw_label", "transformers": "entity_group"}
@@ -63,13 +61,11 @@ def fault(raw: str, text_chars: str) -> str:
     )
 
 
-def rejected_rows(
-    raw: DataFrame, docs: DataFrame, key: str = "doc_id", limit: int = HOT_ROWS
-) -> DataFrame:
+def rejected_rows(raw: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Malformed rows with the reason. They take no part in detection."""
     chars = docs.select(key, F.length("text").alias("_chars"))
     return (
-        join_documents(raw, chars, [key], "left", limit)
+        join_documents(raw, chars, [key], "left")
         .withColumn("reason", F.expr(fault("", "_chars")))
         .where("reason is not null")
         .select(key, "engine", "raw_label", "start", "end", "score", "reason")
@@ -120,80 +116,11 @@ def of_engines(findings: str, engines: str) -> str:
     return let(names, "names", f"filter({findings}, f -> array_contains(names, f.engine))")
 
 
-def attach_raw(
-    docs: DataFrame,
-    raw: DataFrame,
-    engines: str,
-    context: bool = True,
-    key: str = "doc_id",
-    limit: int = HOT_ROWS,
-) -> DataFrame:
-    """Documents with the findings of the raw rows beside their text.
+def attach_raw(docs: DataFrame, raw: DataFrame, engines: str, key: str = "doc_id") -> DataFrame:
+    """Documents with `ext_found`, the findings of their raw rows, beside the text.
 
-    Adds `ext_found` (findings as delivered), `ext_scored` and `ext_stats`. The last two are
-    filled only for documents with more than `limit` raw rows, see `_hot_documents`.
+    The findings of a document are part of its row, so they are gathered there whatever their number.
     """
-    hot = hot_keys(raw, [key], limit)
-    plain_raw, hot_raw = split_hot(raw, [key], hot)
-    plain_docs, hot_docs = split_hot(docs, [key], hot)
-    nested = plain_raw.groupBy(key).agg(F.collect_list(F.struct(*RAW_FIELDS)).alias("_raw"))
+    nested = raw.groupBy(key).agg(F.collect_list(F.struct(*RAW_FIELDS)).alias("_raw"))
     found = F.expr(of_engines(adapt(f"coalesce(_raw, {empty_array(RAW)})"), engines))
-    out = (
-        plain_docs.join(nested, key, "left")
-        .withColumn("ext_found", found)
-        .withColumn("ext_scored", F.expr(empty_array(FINDING)))
-        .withColumn("ext_stats", F.expr(empty_array(STATS)))
-        .drop("_raw")
-    )
-    if hot is None:
-        return out
-    return out.unionByName(_hot_documents(hot_docs, hot_raw, engines, context, key))
-
-
-def _hot_documents(
-    docs: DataFrame, raw: DataFrame, engines: str, context: bool, key: str
-) -> DataFrame:
-    """Documents with very many raw rows.
-
-    Their rows are spread over SALTS tasks and scored there. Of the findings with one start
-    only the surest, then longest, then first can win the merge, so one finding per start is
-    kept, and their number is bounded by the length of the text. The counters come from all rows.
-    """
-    spread_raw = raw.select(
-        key,
-        F.array(F.struct(*RAW_FIELDS)).alias("_raw"),
-        F.pmod(F.hash("start", "end", "raw_label", "score", "seq"), F.lit(SALTS)).alias("_salt"),
-    )
-    copies = docs.withColumn("_engines", F.expr(engines)).select(
-        key, "text", "_engines", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
-    )
-    joined = spread_raw.join(copies, [key, "_salt"])
-    found = joined.select(
-        key,
-        "text",
-        F.explode_outer(F.expr(of_engines(adapt("_raw"), "_engines"))).alias("f"),
-    ).where("f is not null")
-    scored = F.expr(f"get({with_context('array(f)')}, 0)") if context else F.col("f")
-    rows = found.select(key, F.col("f").alias("raw"), scored.alias("f"))
-    best = rows.groupBy(key, F.col("f.start").alias("_start")).agg(
-        F.max_by(
-            "f",
-            F.struct(
-                F.col("f.confidence"), F.col("f.end"), -F.col("f.engine_no"), -F.col("f.rule_no")
-            ),
-        ).alias("f")
-    )
-    per_doc = best.groupBy(key).agg(F.collect_list("f").alias("ext_scored"))
-    stats = (
-        rows.groupBy(key, F.col("raw.engine").alias("engine"))
-        .agg(F.count("*").alias("n"), F.sum("raw.confidence").alias("total"))
-        .groupBy(key)
-        .agg(F.collect_list(F.struct("engine", "n", "total")).alias("ext_stats"))
-    )
-    return (
-        docs.join(per_doc, key, "left")
-        .join(stats, key, "left")
-        .withColumn("ext_found", F.expr(empty_array(FINDING)))
-        .withColumn("ext_scored", F.expr(f"coalesce(ext_scored, {empty_array(FINDING)})"))
-        .withColumn("ext_stats", F.expr(f"coalesce(ext_stats, {empty_array(STATS)})"))
-    )
+    return docs.join(nested, key, "left").withColumn("ext_found", found).drop("_raw")

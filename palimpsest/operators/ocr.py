@@ -2,7 +2,7 @@
 
 A page normally holds some hundred tokens, so its tokens are gathered into one row and all
 decisions are made there, after a single shuffle. Documents with more than `limit` tokens are
-processed chunk by chunk instead and give their text in several rows.
+processed chunk by chunk instead, and the texts of the chunks are joined in the end.
 """
 
 from __future__ import annotations
@@ -203,9 +203,8 @@ def page_text(
 ) -> DataFrame:
     """Text per document: lines from top to bottom, tokens from left to right.
 
-    Columns: key, part, parts, full_text, tokens, total_confidence, used_fallback. Documents
-    without tokens have an empty text. Documents with more than `limit` tokens may come in
-    several parts, and their text is the concatenation of these.
+    Columns: key, full_text, tokens, total_confidence, used_fallback. Documents without tokens
+    have an empty text.
     """
     plain, hot = split_hot(tokens, [key], hot_keys(tokens, [key], limit))
     center = "cast(floor((t.y1 + t.y2) / 2) as int)"
@@ -247,8 +246,6 @@ def page_text(
         ids = ids.join(used_hot.select(key).distinct(), key, "left_anti")
     out = ids.join(gathered, key, "left").select(
         key,
-        F.lit(0).alias("part"),
-        F.lit(1).alias("parts"),
         F.coalesce("full_text", F.lit("")).alias("full_text"),
         F.coalesce("tokens", F.lit(0)).cast("bigint").alias("tokens"),
         F.coalesce("total_confidence", F.lit(0.0)).alias("total_confidence"),
@@ -260,7 +257,7 @@ def page_text(
 
 
 def _hot_text(used: DataFrame, key: str) -> DataFrame:
-    """Page text of documents with very many tokens, as parts."""
+    """Page text of documents with very many tokens, built in parts."""
     order = [F.col(c) for c in ("y1", "x1", "_rank", "slot", "seq")]
     position = F.col("y1").cast("double") * 1e6 + F.col("x1") + (F.col("_rank") + 1) / 2
     chunks = ordered_chunks(used, [key], position).repartition(key, "chunk")
@@ -322,15 +319,22 @@ def _hot_text(used: DataFrame, key: str) -> DataFrame:
     lead = (
         F.when(previous.isNull(), "").when(previous == F.col("_first_line"), " ").otherwise("\n")
     )
-    return texts.select(
-        key,
-        "part",
-        (F.max("part").over(Window.partitionBy(key)) + 1).alias("parts"),
-        F.concat(lead, "_text").alias("full_text"),
-        "tokens",
-        "total_confidence",
-        "used_fallback",
+    pieces = texts.select(
+        key, F.struct("part", F.concat(lead, "_text").alias("text")).alias("piece"), "tokens", "total_confidence", "used_fallback"
     )
+    # at most CUTS pieces of a text that is one row in the end
+    return pieces.groupBy(key).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list("piece")), lambda p: p["text"]), "").alias("full_text"),
+        F.sum("tokens").alias("tokens"),
+        F.sum("total_confidence").alias("total_confidence"),
+        F.first("used_fallback").alias("used_fallback"),
+    )
+
+
+def text_blocks(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Tokens that count as exported: text, confidence, bounding box, engine and language, in order."""
+    box = F.array("x1", "y1", "x2", "y2").alias("bbox")
+    return tokens.select(key, "place", "text", "confidence", box, "engine", "language")
 
 
 def ocr_documents(
@@ -344,10 +348,24 @@ def ocr_documents(
     limit: int = HOT_ROWS,
 ) -> DataFrame:
     """Text and mean confidence per document from the token tables of one or two engines."""
+    tokens = all_tokens(tables, primary, fallback, threshold, key)
+    return with_mean(page_text(tokens, docs, use_fallback, key, limit))
+
+
+def all_tokens(
+    tables: dict[str, DataFrame],
+    primary: str = "easyocr",
+    fallback: str = "tesseract",
+    threshold: Column | float = C.OCR_THRESHOLD,
+    key: str = "doc_id",
+) -> DataFrame:
+    """Sure enough tokens of both engines."""
     first = engine_tokens(tables, primary, threshold, key)
     second = engine_tokens(tables, fallback, threshold, key)
-    tokens = two_engines(first, second, key)
-    text = page_text(tokens, docs, use_fallback, key, limit)
+    return two_engines(first, second, key)
+
+
+def with_mean(text: DataFrame) -> DataFrame:
     return text.withColumn(
         "average_confidence",
         F.coalesce(F.try_divide("total_confidence", "tokens"), F.lit(0.0)),

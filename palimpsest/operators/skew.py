@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,7 +12,6 @@ from pyspark.sql import types as T
 HOT_ROWS = 200_000
 # Keys or rows that may be listed on the driver or broadcast after being counted.
 LISTED = 10_000
-SALTS = 64
 CUTS = 512
 
 
@@ -41,48 +39,22 @@ def split_hot(
     return df.join(hot, keys, "left_anti"), df.join(hot, keys, "left_semi")
 
 
-def row_salt(df: DataFrame) -> Column:
-    """A salt that depends on the row alone, so that a repeated task gives the same one."""
-    hashable = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
-    return F.pmod(F.xxhash64(*hashable), F.lit(SALTS)).cast("int")
-
-
-def every_salt() -> Column:
-    return F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-
-
 def join_dimension(
     facts: DataFrame, dimension: DataFrame, keys: list[str], how: str = "left"
 ) -> DataFrame:
-    """Join to a table that is usually small.
+    """Join to a table with one row per key.
 
-    The table is broadcast once it is known to have at most LISTED rows. A larger one is
-    joined by shuffle, with the fact rows of each key spread over SALTS tasks.
+    Spark broadcasts it where its measured size allows, and else splits the fact rows of
+    crowded partitions at run time. Nothing is counted before, no row is copied.
     """
-    if dimension.limit(LISTED + 1).count() <= LISTED:
-        return facts.join(F.broadcast(dimension), keys, how)
-    salted = facts.withColumn("_salt", row_salt(facts))
-    copies = dimension.withColumn("_salt", every_salt())
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    return facts.join(dimension, keys, how)
 
 
 def join_documents(
-    facts: DataFrame, docs: DataFrame, keys: list[str], how: str = "inner", limit: int = HOT_ROWS
+    facts: DataFrame, docs: DataFrame, keys: list[str], how: str = "inner"
 ) -> DataFrame:
-    """Join many rows per document to one row per document.
-
-    Rows of documents with more than `limit` rows are spread over SALTS tasks, and only these
-    documents are repeated for it.
-    """
-    hot = hot_keys(facts, keys, limit)
-    plain, heavy = split_hot(facts, keys, hot)
-    if heavy is None:
-        return facts.join(docs, keys, how)
-    copies = docs.join(hot, keys, "left_semi").withColumn("_salt", every_salt())
-    salted = heavy.withColumn("_salt", row_salt(heavy))
-    return plain.join(docs, keys, how).unionByName(
-        salted.join(copies, [*keys, "_salt"], how).drop("_salt")
-    )
+    """Join many rows per document to one row per document, as `join_dimension`."""
+    return join_dimension(facts, docs, keys, how)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -96,14 +68,11 @@ def spread(df: DataFrame) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder all executors reach: below the checkpoint folder the session names.
 
-    Without one, a local session, as in tests, gets a temporary folder; a cluster is refused.
+    Without one, as in tests, it is below the warehouse.
     """
     named = spark.conf.get("spark.checkpoint.dir", "")
-    if named:
-        return f"{named.rstrip('/')}/palimpsest-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    return tempfile.mkdtemp(prefix="palimpsest-")
+    base = named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_between"
+    return f"{base.rstrip('/')}/palimpsest-{uuid.uuid4().hex}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

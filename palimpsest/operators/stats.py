@@ -74,17 +74,16 @@ def entity_statistics(entities: DataFrame) -> DataFrame:
     n, v = F.col("n"), F.col("v")
     rows = F.sum("n")
     mean = F.try_divide(F.sum(n * v), rows)
-    square = F.try_divide(F.sum(n * v * v), rows)
-    stats = counts.agg(
+    stats = counts.crossJoin(F.broadcast(counts.agg(mean.alias("_mean")))).agg(  # one row
         F.coalesce(rows, F.lit(0)).alias("total_entities"),
         F.count_distinct("label").alias("unique_labels"),
         mean.alias("mean_confidence"),
-        F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("std_confidence"),
+        F.sqrt(F.try_divide(F.sum(n * (v - F.col("_mean")) * (v - F.col("_mean"))), rows)).alias("std_confidence"),
         F.min("v").alias("min_confidence"),
         F.max("v").alias("max_confidence"),
         F.coalesce(F.sum(F.when(F.col("is_sensitive"), n)), F.lit(0)).alias("sensitive_entities"),
     )
-    median = median_of_counts(counts).withColumnRenamed("median", "median_confidence")
+    median = median_of_counts(counts.groupBy("v").agg(F.sum("n").alias("n"))).withColumnRenamed("median", "median_confidence")
     return stats.crossJoin(F.broadcast(median))
 
 

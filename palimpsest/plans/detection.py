@@ -6,17 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import constants as C
-from palimpsest.functions.arrays import empty_array, text_literal
+from palimpsest.functions.arrays import text_literal
 from palimpsest.functions.recognisers import (
     Recogniser,
     security_id_recognisers,
     security_recognisers,
     standard_recognisers,
 )
-from palimpsest.operators.engines import STATS, attach_raw, of_engines, union_raw
+from palimpsest.operators.engines import attach_raw, of_engines, union_raw
 from palimpsest.operators.fuse import above, mean_confidence, merge_overlaps, with_context
 from palimpsest.operators.scan import scan_patterns
-from palimpsest.operators.skew import HOT_ROWS
 
 ANALYZER_FIRST_RULE = 100
 
@@ -39,7 +38,6 @@ def detect(
     threshold: str | float = C.DETECTION_THRESHOLD,
     row_engines: str | None = None,
     key: str = "doc_id",
-    limit: int = HOT_ROWS,
 ) -> DataFrame:
     """Adds findings, merged, entities, analysis, engine_confidence and engines_used.
 
@@ -67,44 +65,36 @@ def detect(
     )
     raw = union_raw(tables, key)
     scored = with_context("findings") if context else "findings"
-    if raw is None:
-        stats = empty_array(STATS)
-        out = out.withColumn("findings", F.expr(found))
-    else:
-        stats = "ext_stats"
-        out = attach_raw(out, raw, "engines_used", context, key, limit)
-        out = out.withColumn("findings", F.expr(f"concat({found}, ext_found)"))
-        scored = f"concat({scored}, ext_scored)"
-    counted = f"size(findings) + aggregate({stats}, 0L, (n, s) -> n + s.n)"
+    if raw is not None:
+        out = attach_raw(out, raw, "engines_used", key)
+        found = f"concat({found}, ext_found)"
+    out = out.withColumn("findings", F.expr(found))
     return (
         out.withColumn("merged", F.expr(merge_overlaps(scored)))
         .withColumn("entities", F.expr(above("merged", threshold)))
-        .withColumn("engine_confidence", F.expr(engine_means("findings", stats)))
+        .withColumn("engine_confidence", F.expr(engine_means("findings")))
         .withColumn(
             "analysis",
             F.expr(
-                f"named_struct('total_entities_found', {counted}, "
+                f"named_struct('total_entities_found', size(findings), "
                 "'entities_after_merge', size(merged), 'entities_after_filter', size(entities), "
                 f"'average_confidence', {mean_confidence('entities')})"
             ),
         )
-        .drop("ext_found", "ext_scored", "ext_stats")
+        .drop("ext_found")
     )
 
 
-def engine_means(findings: str, stats: str) -> str:
-    """Mean confidence per engine with findings, before context; `stats` adds counted rows."""
+def engine_means(findings: str) -> str:
+    """Mean confidence per engine with findings, before context."""
     keys = ", ".join(
         f"named_struct('key', {text_literal(k)}, 'name', {text_literal(v)})"
         for k, v in C.ENGINE_NAMES.items()
     )
     own = f"filter({findings}, f -> f.engine = e.name)"
-    counted = f"filter({stats}, s -> s.engine = e.name)"
     pair = (
-        f"named_struct('key', e.key, "
-        f"'n', size({own}) + aggregate({counted}, 0L, (n, s) -> n + s.n), "
-        f"'total', aggregate({own}, 0.0D, (t, f) -> t + f.confidence)"
-        f" + aggregate({counted}, 0.0D, (t, s) -> t + s.total))"
+        f"named_struct('key', e.key, 'n', size({own}), "
+        f"'total', aggregate({own}, 0.0D, (t, f) -> t + f.confidence))"
     )
     pairs = f"filter(transform(array({keys}), e -> {pair}), p -> p.n > 0)"
     return (

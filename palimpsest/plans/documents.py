@@ -19,7 +19,7 @@ from palimpsest.operators.boxes import (
     sure_boxes,
 )
 from palimpsest.operators.fuse import mean_confidence
-from palimpsest.operators.ocr import ocr_documents
+from palimpsest.operators.ocr import all_tokens, combined_tokens, page_text, with_mean
 from palimpsest.operators.rewrite import anonymize, audit_rows, mapping
 from palimpsest.operators.rules import MaskingRule, apply_rules
 from palimpsest.operators.scan import explode_findings
@@ -28,12 +28,10 @@ from palimpsest.plans.detection import detect
 from palimpsest.sources.intake import batch_documents, with_options
 from palimpsest.sources.sinks import save_batch_results
 
-LONG_TEXT = "text does not fit one row"
-
 
 @dataclass(frozen=True)
 class Processed:
-    """Tables of one run. `long_texts` holds page texts that come in several parts.
+    """Tables of one run: documents, logos, logo removals, text blocks that count, regions to cover.
 
     Every table is computed anew wherever it is used. A run of which several tables are needed
     should be `written` first.
@@ -42,13 +40,14 @@ class Processed:
     documents: DataFrame
     logos: DataFrame | None
     removals: DataFrame | None
-    long_texts: DataFrame | None = None
+    blocks: DataFrame | None = None
+    regions: DataFrame | None = None
 
     def written(self, path: str, mode: str = "error") -> Processed:
         """The same run, computed once, stored under `path` and read from there."""
         spark = self.documents.sparkSession
         stored = {}
-        for name in ("documents", "logos", "removals", "long_texts"):
+        for name in ("documents", "logos", "removals", "blocks", "regions"):
             df = getattr(self, name)
             if df is not None:
                 df.write.mode(mode).parquet(f"{path}/{name}")
@@ -69,22 +68,19 @@ class Processed:
 def recognised_text(
     docs: DataFrame, ocr_tables: dict[str, DataFrame], key: str = "doc_id"
 ) -> tuple[DataFrame, DataFrame]:
-    """Documents with their page text, and the texts in parts of documents too long for a row."""
+    """Documents with their page text, and the tokens that count."""
     tables = ocr_tables
     threshold: Column | float = C.OCR_THRESHOLD
     if "options" in docs.columns:
         limits = docs.select(key, "opt_ocr_confidence")
         tables = {e: join_documents(t, limits, [key]) for e, t in ocr_tables.items()}
         threshold = F.col("opt_ocr_confidence")
-    pages = ocr_documents(tables, docs, threshold=threshold, key=key)
-    whole = F.col("parts") == 1
-    text = pages.where("part = 0").select(
-        key,
-        F.when(whole, F.col("full_text")).alias("text"),
-        F.when(~whole, LONG_TEXT).alias("load_error"),
-        F.col("average_confidence").alias("ocr_confidence"),
+    tokens = all_tokens(tables, threshold=threshold, key=key)
+    pages = with_mean(page_text(tokens, docs, key=key))
+    text = pages.select(
+        key, F.col("full_text").alias("text"), F.col("average_confidence").alias("ocr_confidence"), F.col("tokens").alias("text_blocks")
     )
-    return docs.join(text, key, "left"), pages.where(~whole)
+    return docs.join(text, key, "left"), combined_tokens(tokens, docs, key=key)
 
 
 def process_documents(
@@ -96,17 +92,20 @@ def process_documents(
     rules: list[MaskingRule] | None = None,
     engines: tuple[str, ...] = C.DOCUMENT_ENGINES,
     nms: bool = False,
+    region_method: str = C.REGION_METHOD_FALLBACK,
     key: str = "doc_id",
 ) -> Processed:
     """Process documents with text, or with OCR tokens in `ocr_tables`.
 
     A document may carry `options`, `load_error` (it then fails with that message), and the
-    image's `width` and `height`. Failed documents stay in the result without any text.
+    image's `width` and `height`. Failed documents stay in the result without any text. With image
+    sizes and OCR tokens the run has the regions to cover, and `image_anonymized` says which
+    documents have any of their text covered.
     """
     own = with_options(docs)
-    long_texts = None
+    blocks = regions = None
     if ocr_tables:
-        own, long_texts = recognised_text(own, ocr_tables, key)
+        own, blocks = recognised_text(own, ocr_tables, key)
     if "load_error" not in own.columns:
         own = own.withColumn("load_error", F.lit(None).cast("string"))
     own = own.withColumn("text", F.when(F.col("load_error").isNull(), F.col("text")))
@@ -149,7 +148,13 @@ def process_documents(
     done = done.withColumn("logos_found", F.coalesce("logos_found", F.lit(0))).withColumn(
         "logo_confidence", F.coalesce("logo_confidence", F.lit(0.0))
     )
-    return Processed(done, logos, removals, long_texts)
+    sized = {"width", "height"} <= set(docs.columns)
+    if blocks is not None and sized:
+        covered = F.col("success") & (F.col("entities_found") > 0) & (F.col("text_blocks") > 0)
+        done = done.withColumn("image_anonymized", covered)
+        own_blocks = join_documents(blocks, docs.select(key, "width", "height"), [key])
+        regions = cover_plan(own_blocks, done, removals, F.lit(region_method), key)
+    return Processed(done, logos, removals, blocks, regions)
 
 
 def _logos(
@@ -177,21 +182,26 @@ def _logos(
 
 
 def cover_plan(
-    tokens: DataFrame, run: Processed, method: Column, key: str = "doc_id"
+    blocks: DataFrame, docs: DataFrame, removals: DataFrame | None, method: Column, key: str = "doc_id"
 ) -> DataFrame:
-    """Regions to cover: token boxes (with image size) of documents with entities, and logos."""
-    with_entities = run.documents.where("entities_found > 0")
-    return redaction_plan(region_plan(tokens, method), with_entities, run.removals, key)
+    """Regions to cover: blocks (with image size) of documents with entities, and logos."""
+    planned = region_plan(blocks, method).withColumn("seq", F.col("place"))
+    return redaction_plan(planned, docs.where("image_anonymized"), removals, key)
 
 
 def process_batch(
-    batches: DataFrame, column: str = "texts", path: str | None = None, **options: object
+    batches: DataFrame,
+    column: str = "texts",
+    path: str | None = None,
+    batch_key: str | None = None,
+    **options: object,
 ) -> DataFrame:
     """Process arrays of texts, each text under its own id, and save the results on request.
 
-    Failed documents are rows of the result. `batch_pos` restores the input order.
+    `batch_key` names a column that tells batches apart; it becomes part of the ids. Failed
+    documents are rows of the result. `batch_pos` restores the input order.
     """
-    docs = batch_documents(batches, column)
+    docs = batch_documents(batches, column, batch_key=batch_key)
     if "total_time" not in docs.columns:
         docs = docs.withColumn("total_time", F.lit(None).cast("double"))
     done = process_documents(docs, **options).documents

@@ -17,9 +17,11 @@ REQUEST = f"struct<images:array<struct<image:string,filename:string>>,options:{O
 
 # Output tables of the external engines.
 SCHEMAS = {
-    "spacy": "doc_id bigint, raw_label string, start int, end_pos int",
-    "transformers": "doc_id bigint, entity_group string, start int, end_pos int, score double",
-    "presidio": "doc_id bigint, entity_type string, start int, end_pos int, score double",
+    "spacy": "doc_id bigint, raw_label string, start int, end_pos int, seq bigint",
+    "transformers": "doc_id bigint, entity_group string, start int, end_pos int, score double, "
+    "word string, seq bigint",
+    "presidio": "doc_id bigint, entity_type string, start int, end_pos int, score double, "
+    "seq bigint",
     "easyocr": "doc_id bigint, seq int, quad array<struct<x:double,y:double>>, text string, "
     "confidence double",
     "tesseract": "doc_id bigint, seq int, text string, conf int, left_px int, top_px int, "
@@ -45,15 +47,30 @@ def read_engine_output(
     return spark.read.schema(SCHEMAS[engine]).format(fmt).load(path)
 
 
-def batch_documents(batches: DataFrame, column: str, id_column: str | None = None) -> DataFrame:
-    """One row per element of an array of texts. An id that is missing is `batch_doc_<place>`."""
-    default = F.concat(F.lit("batch_doc_"), F.col("batch_pos").cast("string"))
+def default_id(place: str, batch_key: str | None) -> Column:
+    """`batch_doc_<place>`, with the batch's key before the place where there are several batches."""
+    parts = [F.lit("batch_doc_")]
+    if batch_key is not None:
+        parts += [F.col(batch_key).cast("string"), F.lit("_")]
+    return F.concat(*parts, F.col(place).cast("string"))
+
+
+def batch_documents(
+    batches: DataFrame, column: str, id_column: str | None = None, batch_key: str | None = None
+) -> DataFrame:
+    """One row per element of an array of texts.
+
+    An id that is missing is `batch_doc_<place>`, unique in one batch. Several batches need a
+    `batch_key`, which becomes part of it.
+    """
     rows = batches.select("*", F.posexplode(column).alias("batch_pos", "text")).drop(column)
     given = F.col(id_column).cast("string") if id_column else F.lit(None).cast("string")
-    return rows.withColumn("doc_id", F.coalesce(given, default))
+    return rows.withColumn("doc_id", F.coalesce(given, default_id("batch_pos", batch_key)))
 
 
-def parse_requests(bodies: DataFrame, body: str = "body") -> DataFrame:
+def parse_requests(
+    bodies: DataFrame, body: str = "body", batch_key: str | None = None
+) -> DataFrame:
     """One row per image of a batch request, with its place, file name, payload and options."""
     request = F.from_json(F.col(body), REQUEST)
     kept = [c for c in bodies.columns if c != body]
@@ -67,9 +84,7 @@ def parse_requests(bodies: DataFrame, body: str = "body") -> DataFrame:
         .select(
             *kept,
             "batch_pos",
-            F.coalesce(
-                "_image.filename", F.concat(F.lit("batch_doc_"), F.col("batch_pos").cast("string"))
-            ).alias("document_id"),
+            F.coalesce("_image.filename", default_id("batch_pos", batch_key)).alias("document_id"),
             F.coalesce("_image.image", F.lit("")).alias("image"),
             "options",
         )
@@ -113,13 +128,18 @@ def with_options(docs: DataFrame, options: str | None = "options") -> DataFrame:
     return out
 
 
-def reject_reason(columns: list[str]) -> Column:
+def reject_reason(
+    columns: list[str],
+    max_text_chars: int = C.MAX_TEXT_CHARS,
+    max_file_bytes: int = C.MAX_FILE_BYTES,
+    max_batch: int = C.MAX_BATCH,
+) -> Column:
     """First broken intake rule of a row, or null. Rules on absent columns are skipped."""
     extension = F.lower(F.regexp_extract("filename", r"\.([^.]+)$", 1))
     rules = {
-        "text": (F.length("text") > C.MAX_TEXT_CHARS, "text too long"),
-        "size_bytes": (F.col("size_bytes") > C.MAX_FILE_BYTES, "file too large"),
-        "batch_pos": (F.col("batch_pos") >= C.MAX_BATCH, "batch too large"),
+        "text": (F.length("text") > max_text_chars, "text too long"),
+        "size_bytes": (F.col("size_bytes") > max_file_bytes, "file too large"),
+        "batch_pos": (F.col("batch_pos") >= max_batch, "batch too large"),
         "mime": (~F.col("mime").isin(*C.ALLOWED_MIME), "type not allowed"),
         "filename": (~extension.isin(*C.ALLOWED_EXTENSIONS), "extension not allowed"),
     }
@@ -127,8 +147,8 @@ def reject_reason(columns: list[str]) -> Column:
     return F.coalesce(*reasons, F.lit(None).cast("string"))
 
 
-def validate(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("reject_reason", reject_reason(docs.columns))
+def validate(docs: DataFrame, **limits: int) -> DataFrame:
+    return docs.withColumn("reject_reason", reject_reason(docs.columns, **limits))
 
 
 def accepted(validated: DataFrame) -> DataFrame:

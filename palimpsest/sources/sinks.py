@@ -2,27 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.operators.boxes import BOX
-from palimpsest.operators.skew import HOT_ROWS, number_rows
 from palimpsest.operators.stats import batch_summary
 
-# A response row holds at most this many logos; further ones follow in rows of their own.
-LOGOS_PER_ROW = 10_000
 
-
-def export_ocr(analysis: DataFrame, path: str, fmt: str = "json", mode: str = "error") -> None:
-    """OCR results as JSON lines, or the page texts alone."""
+def export_ocr(
+    analysis: DataFrame, path: str, fmt: str = "json", mode: str = "error", blocks: DataFrame | None = None, key: str = "doc_id"
+) -> None:
+    """OCR results as JSON lines, with their text blocks if given, or the page texts alone."""
     if fmt.lower() == "json":
-        analysis.write.mode(mode).json(path)
+        ocr_results(analysis, blocks, key).write.mode(mode).json(path)
     elif fmt.lower() == "txt":
         analysis.select("full_text").write.mode(mode).text(path)
     else:
         raise ValueError(f"Unsupported format: {fmt}")
 
 
+def ocr_results(analysis: DataFrame, blocks: DataFrame | None, key: str = "doc_id") -> DataFrame:
+    """Page results with `text_blocks`, an array in reading order of the engines' tokens that count."""
+    if blocks is None:
+        return analysis
+    block = F.struct("place", "text", "confidence", F.array(*BOX).alias("bbox"), "engine", "language")
+    lists = blocks.groupBy(key).agg(F.array_sort(F.collect_list(block)).alias("text_blocks"))
+    return analysis.join(lists, key, "left")
+
+
 def detection_rows(boxes: DataFrame, key: str = "doc_id") -> DataFrame:
     """Detections in their exported form."""
     return boxes.select(key, F.array(*BOX).alias("bbox"), "confidence", "class_name", "area")
@@ -39,25 +46,39 @@ def export_mapping(rows: DataFrame, path: str, mode: str = "error") -> None:
     written.agg(F.count("*").alias("total_mappings")).write.mode(mode).json(f"{path}/summary")
 
 
-def logo_rows(boxes: DataFrame, key: str = "doc_id", limit: int = HOT_ROWS) -> DataFrame:
-    """Logos per document as arrays of bounded length, numbered by `part`."""
-    order = [F.col("confidence").desc(), F.col("seq")]
-    numbered = number_rows(boxes, [key], order, -F.col("confidence"), "_rank", limit)
-    part = F.floor((F.col("_rank") - 1) / LOGOS_PER_ROW).cast("int")
-    logo = F.struct("_rank", "class_name", "confidence", F.array(*BOX).alias("bbox"), "area")
+def logo_rows(boxes: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Logos per document as one array, the surest first."""
+    logo = F.struct(
+        (-F.col("confidence")).alias("_rank"), "seq", "class_name", "confidence", F.array(*BOX).alias("bbox"), "area"
+    )
     bare = (
         "transform(_logos, l -> named_struct('class_name', l.class_name, 'confidence', "
         "l.confidence, 'bbox', l.bbox, 'area', l.area))"
     )
-    return (
-        numbered.groupBy(key, part.alias("part"))
-        .agg(F.array_sort(F.collect_list(logo)).alias("_logos"))
-        .select(key, "part", F.expr(bare).alias("logos"))
+    rows = boxes.groupBy(key).agg(F.array_sort(F.collect_list(logo)).alias("_logos"))
+    return rows.select(key, F.expr(bare).alias("logos"))
+
+
+TIMES = ("total_time", "ocr_time", "pii_detection_time", "logo_detection_time", "anonymization_time")
+SCORES = {"ocr": "ocr_confidence", "pii": "pii_confidence", "logo": "logo_confidence"}
+
+
+def processing_metrics(columns: list[str]) -> Column:
+    """Times, confidence scores and counts of a document; null where a column is absent."""
+
+    def own(name: str, kind: str) -> Column:
+        return (F.col(name) if name in columns else F.lit(None)).cast(kind)
+
+    return F.struct(
+        *[own(t, "double").alias(t) for t in TIMES],
+        F.struct(*[own(c, "double").alias(k) for k, c in SCORES.items()]).alias("confidence_scores"),
+        own("entities_found", "bigint").alias("entities_found"),
+        own("logos_found", "bigint").alias("logos_found"),
     )
 
 
 def responses(docs: DataFrame, boxes: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One JSON response per document; `part` counts further rows of documents with many logos.
+    """One JSON response per document.
 
     `docs` carries text, entities, replacements, anonymized_text, success and error_message.
     """
@@ -67,9 +88,7 @@ def responses(docs: DataFrame, boxes: DataFrame, key: str = "doc_id") -> DataFra
         "'is_sensitive', e.is_sensitive))"
     )
     pairs = "transform(replacements, r -> named_struct('original', r.text, 'anonymized', r.anonymized))"
-    joined = docs.join(logo_rows(boxes, key), key, "left").withColumn(
-        "part", F.coalesce("part", F.lit(0))
-    )
+    joined = docs.join(logo_rows(boxes, key), key, "left")
     body = F.struct(
         F.col("success"),
         F.col(key).alias("document_id"),
@@ -77,10 +96,11 @@ def responses(docs: DataFrame, boxes: DataFrame, key: str = "doc_id") -> DataFra
         F.col("anonymized_text"),
         F.expr(entity).alias("entities"),
         F.coalesce("logos", F.array()).alias("logos"),
+        processing_metrics(docs.columns).alias("processing_metrics"),
         F.expr(pairs).alias("anonymization_mapping"),
         F.col("error_message"),
     )
-    return joined.select(key, "part", F.to_json(body).alias("response"))
+    return joined.select(key, F.to_json(body).alias("response"))
 
 
 def reports(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -103,7 +123,7 @@ def save_batch_results(docs: DataFrame, path: str, mode: str = "error") -> None:
     """
     spark = docs.sparkSession
     docs.write.mode(mode).parquet(f"{path}/processed")
-    done = spark.read.parquet(f"{path}/processed")
+    done = spark.read.schema(docs.schema).parquet(f"{path}/processed")
     batch_summary(done).write.mode(mode).json(f"{path}/batch_summary")
     good = done.where("success")
     good.select("doc_id", "anonymized_text").write.mode(mode).parquet(f"{path}/anonymized_text")
@@ -125,6 +145,6 @@ def save_batch_results(docs: DataFrame, path: str, mode: str = "error") -> None:
     ).write.mode(mode).json(f"{path}/errors")
 
 
-def in_input_order(docs: DataFrame, position: str = "batch_pos") -> DataFrame:
-    """Rows in the order they came in; sort only where a sink needs it."""
-    return docs.orderBy(position)
+def in_input_order(docs: DataFrame, *position: str) -> DataFrame:
+    """Rows in the order they came in, by `batch_pos` alone or the columns given; sort only where a sink needs it."""
+    return docs.orderBy(*(position or ("batch_pos",)))

@@ -101,17 +101,33 @@ def test_sinks(spark, run, tmp_path):
         sinks.export_ocr(page, str(tmp_path / "x"), "xml")
 
 
-def test_logos_of_one_document_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(sinks, "LOGOS_PER_ROW", 10)
+def test_logos_of_one_document_are_one_row(spark):
     boxes = spark.createDataFrame(
         [(1, i, "c", (i % 7) / 10, 0, 0, i, i, 5) for i in range(35)],
         "doc_id long, seq int, class_name string, confidence double, x1 int, y1 int, x2 int, y2 int, area long",
     )
-    for limit in (200_000, 0):
-        rows = sinks.logo_rows(boxes, limit=limit).orderBy("part").collect()
-        assert [len(r.logos) for r in rows] == [10, 10, 10, 5]
-        scores = [logo.confidence for r in rows for logo in r.logos]
-        assert scores == sorted(scores, reverse=True)
+    (row,) = sinks.logo_rows(boxes).collect()
+    scores = [logo.confidence for logo in row.logos]
+    assert len(scores) == 35 and scores == sorted(scores, reverse=True)
+
+
+def test_limits_are_arguments(spark):
+    docs = spark.createDataFrame([("abc", 0), ("a", 3)], "text string, batch_pos int")
+    assert [r.reject_reason for r in intake.validate(docs).collect()] == [None, None]
+    strict = intake.validate(docs, max_text_chars=2, max_batch=3).collect()
+    assert [r.reject_reason for r in strict] == ["text too long", "batch too large"]
+
+
+def test_ids_of_several_batches_differ(spark):
+    df = spark.createDataFrame([(7, ["a", "b"]), (8, ["c"])], "batch long, texts array<string>")
+    rows = intake.batch_documents(df, "texts", batch_key="batch").orderBy("doc_id").collect()
+    assert [r.doc_id for r in rows] == ["batch_doc_7_0", "batch_doc_7_1", "batch_doc_8_0"]
+
+
+def test_engine_tables_keep_their_words(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "PER", 0, 3, 0.9, "Ann", 4)], intake.SCHEMAS["transformers"])
+    rows.write.parquet(str(tmp_path / "t"))
+    assert intake.read_engine_output(spark, "transformers", str(tmp_path / "t")).first().word == "Ann"
 
 
 def test_options_per_document(spark):
@@ -139,4 +155,4 @@ def test_batch_job_keeps_order_and_saves(spark, tmp_path):
 def test_written_run(spark, run, tmp_path):
     stored = run.written(str(tmp_path / "run"))
     assert stored.entities().collect() == run.entities().collect()
-    assert stored.logos.count() == 2 and stored.long_texts is None
+    assert stored.logos.count() == 2 and stored.blocks is None and stored.regions is None

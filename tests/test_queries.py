@@ -10,7 +10,9 @@ import pytest
 import __spark_entry__ as entry
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+OWN = [m for m in entry.MODULES if not m.__name__.startswith("palimpsest.llm")]
+QUERIES = {name: query for m in OWN for name, query in m.QUERIES.items()}
+SQL = {name: sql for m in OWN for name, sql in m.ORACLES.items()}
 
 
 @pytest.fixture(scope="module")
