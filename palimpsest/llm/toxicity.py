@@ -32,7 +32,7 @@ from palimpsest.llm.shared import written
 #: Marked rows that the model is fitted on, at most.
 SAMPLE = 20_000
 #: Lexicon voters, at most, and how a candidate qualifies: rows with it, and log odds of its rate.
-VOTERS, SUPPORT, LOG_ODDS = 300, 6, 2.0
+VOTERS, SUPPORT, LOG_ODDS = 200, 6, 2.0
 BEGINNINGS = (4, 5, 6, 7)
 FOLDS = 5
 #: How often a row is marked toxic if it isn't, and if it is.
@@ -183,12 +183,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = VO
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signs = Signs(voters)
         for batch in batches:
-            found = [signs.of(t.as_py()).tolist() for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), batch.column(1)], names=["signs", "toxic"])
+            found = [signs.of(t.as_py()).astype("<f4").tobytes() for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1)], names=["signs", "toxic"])
 
-    got = rows.mapInArrow(read, "signs array<double>, toxic int").collect()  # at most ``sample`` rows
-    signs, marks = np.array([r["signs"] for r in got]), np.array([r["toxic"] for r in got], float)
-    votes = np.column_stack([signs[:, : len(voters) + len(PATTERNS)] > 0, marks]).astype(float)
+    got = rows.mapInArrow(read, "signs binary, toxic int").toArrow()  # at most ``sample`` rows of about a kilobyte
+    marks = got["toxic"].to_numpy().astype(np.float32)
+    signs = np.frombuffer(b"".join(got["signs"].to_pylist()), "<f4").reshape(len(marks), -1)
+    votes = np.column_stack([signs[:, : len(voters) + len(PATTERNS)] > 0, marks]).astype(np.float32)
     post, _, _ = label_model(votes, marks)
     centre, scale = signs.mean(axis=0), signs.std(axis=0) + 1e-3
     return Model(voters, _linear((signs - centre) / scale, post), centre, scale, toxic / total)
