@@ -53,10 +53,8 @@ def leaf_budgets(
         nodes = nodes.join(given, levels[:depth], "left").withColumn(f"w{depth}", F.coalesce(f"w{depth}", F.lit(default_weight).cast("long")))
     for depth in range(len(levels), 0, -1):
         # a node of weight 0 gives nothing, and so adds nothing to what its ancestors can give
-        below = F.col("cap") if depth == len(levels) else F.col(f"cap{depth + 1}")
+        below = F.col("cap") if depth == len(levels) else F.col(f"cap{depth}")
         nodes = nodes.withColumn(f"usable{depth}", F.when(F.col(f"w{depth}") > 0, below).otherwise(0))
-        if depth == len(levels):
-            nodes = nodes.withColumn(f"cap{depth}", F.col(f"usable{depth}"))
         parents = levels[: depth - 1]
         first = F.row_number().over(Window.partitionBy(*levels[:depth]).orderBy(*levels)) == 1
         nodes = nodes.withColumn("_first", F.when(first, F.col(f"usable{depth}")).otherwise(0))
