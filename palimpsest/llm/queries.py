@@ -83,6 +83,44 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
 
 
+def _mixing_sql() -> str:
+    """Leaves and their quotas as ``final``: each level's quota shared by weight, full children first."""
+    given = ", ".join("(" + ", ".join("null" if v is None else repr(v) for v in row) + ")" for row in MIX_WEIGHTS)
+    keys = ("domain", "la", "so")
+    levels = []
+    for k in (1, 2, 3):
+        own, over = ", ".join(keys[:k]), f"partition by {', '.join(keys[: k - 1])}" if k > 1 else ""
+        order = f"{over} order by cap::double / weight, {keys[k - 1]}"
+        levels.append(f"""
+child{k} as (select {own}, max(u{k}) as cap, max(w{k}) as weight, max(q{k - 1}) as parent from level{k - 1} group by {own}
+), line{k} as (
+  select *, coalesce(sum(cap) over ({order} rows between unbounded preceding and 1 preceding), 0)::bigint as caps,
+    sum(weight) over ({order} rows between current row and unbounded following)::bigint as weights from child{k} where cap > 0 and weight > 0
+), full{k} as (
+  select *, min(case when cap * weights <= (parent - caps) * weight then 1 else 0 end)
+    over ({order} rows between unbounded preceding and current row) as full_up from line{k}
+), share{k} as (
+  select {own}, case when full_up = 1 then cap else ((parent - min(caps) filter (full_up = 0) over ({over})) * weight)
+    // (max(weights) filter (full_up = 0) over ({over})) end as q{k} from full{k}
+), level{k} as (select level{k - 1}.*, coalesce(q{k}, 0)::bigint as q{k} from level{k - 1} left join share{k} using ({own}))""")
+    return f"""given(domain, lang, source, weight) as (values {given}
+), sized as (
+  select doc_id, case when try_cast(regexp_extract(source, '([0-9]+)$', 1) as int) < 10 then 'open' else 'curated' end as domain, lang, source,
+    coalesce(lang, '') as la, coalesce(source, '') as so, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as n_tokens from documents
+), leaves as (select domain, la, so, sum(n_tokens)::bigint as tokens from sized group by all
+), weighed as (
+  select l.*, 3 * tokens as cap3, coalesce(a.weight, 1) as w1, coalesce(b.weight, 1) as w2, coalesce(c.weight, 1) as w3 from leaves l
+  left join (select * from given where lang is null and source is null) a on a.domain = l.domain
+  left join (select * from given where lang is not null and source is null) b on b.domain = l.domain and b.lang = l.la
+  left join (select * from given where source is not null) c on c.domain = l.domain and c.lang = l.la and c.source = l.so
+), u3 as (select *, case when w3 > 0 then cap3 else 0 end as u3 from weighed
+), u2 as (select *, case when w2 > 0 then sum(u3) over (partition by domain, la) else 0 end::bigint as u2 from u3
+), firsts as (select *, case when row_number() over (partition by domain, la order by so) = 1 then u2 else 0 end as once from u2
+), level0 as (
+  select *, case when w1 > 0 then sum(once) over (partition by domain) else 0 end::bigint as u1, (sum(tokens) over ())::bigint as q0 from firsts
+),{",".join(levels)}, final as (select domain, la, so, tokens, q3 as quota from level3)"""
+
+
 QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_toxicity, op3_line_dedup, op4_decontamination, op5_suffix_array_dedup, op6_quality_rules, op7_simhash_near_dedup, op8_chat_formatting, op9_token_packing, op10_source_mixing, pipeline)}
 ORACLES: dict[str, str] = {
     # lines, rolling hash of two line hashes, chunks, and all but the first of equal chunks cut
@@ -135,4 +173,32 @@ with words as (
     + case when n_words >= 50 and 20 * n_kinds < n_words and n_words < 2000 then 512 else 0 end)::bigint as failed_rules from m
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_rules & 3 <> 0 as base_failed, failed_rules = 0 as kept, failed_rules from bits""",
+    # all windows that start with a shingle of an item, compared by counts of shingles (every item has five words or more)
+    "op4_decontamination": """
+with split as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x20\\x09-\\x0D]+') as w from documents
+), shingled as (
+  select doc_id, unnest(range(0, len(w) - 4)) as pos, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) as s,
+    len(w) - 4 as n from split where len(w) >= 5
+), items as (select item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x20\\x09-\\x0D]+') as w from benchmark
+), needles as (
+  select item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) as s, len(w) - 4 as m from items where len(w) >= 5
+), counted as (select item_id, s, m, count(*) as times from needles group by all
+), hits as (select doc_id, pos, s, n, item_id, m, times from shingled join counted using (s)
+), inside as (
+  select a.doc_id, a.item_id, a.pos, any_value(a.n) as n, any_value(a.m) as m, b.s, least(count(*), any_value(b.times)) as common
+  from hits a join hits b on a.doc_id = b.doc_id and a.item_id = b.item_id and b.pos between a.pos and a.pos + a.m - 1 group by a.doc_id, a.item_id, a.pos, b.s
+), compared as (
+  select doc_id, item_id, pos, sum(common)::double / (any_value(m) + least(any_value(m), any_value(n) - pos) - sum(common)) as similarity from inside group by doc_id, item_id, pos
+)
+select doc_id, item_id, round(max(similarity), 6) as similarity, count(*) as n_windows, arg_min(pos, (-similarity, pos))::int as first_word
+from compared where similarity >= 0.8 group by doc_id, item_id""",
+    "op10_source_mixing": f"""
+with {_mixing_sql()}
+select doc_id, domain, d.lang, d.source, n_tokens, epochs + more as copies
+from (
+  select *, case when rest > 0 and coalesce(sum(n_tokens) over (partition by domain, la, so order by key, doc_id, n_tokens
+    rows between unbounded preceding and 1 preceding), 0) < rest then 1 else 0 end as more
+  from (select *, md5('{MIX_SEED}:' || epochs || ':' || doc_id) as key from (
+    select sized.*, quota // tokens as epochs, quota % tokens as rest from sized join final using (domain, la, so) where quota > 0 and tokens > 0))
+) d where epochs + more > 0""",
 }
