@@ -59,7 +59,7 @@ def classified(boxes: DataFrame, classes: DataFrame) -> DataFrame:
 def ranked(boxes: DataFrame, key: str = "doc_id", limit: int = HOT_ROWS) -> DataFrame:
     """Boxes numbered per document as `rank`, the surest first."""
     order = [F.col("confidence").desc(), F.col("seq")]
-    return number_rows(boxes, [key], order, -F.col("confidence"), "rank", limit)
+    return number_rows(boxes, [key], order, -F.col("confidence"), "rank", limit, F.col("seq"))
 
 
 def top_boxes(boxes: DataFrame, k: int = C.LOGO_MAX_DETECTIONS, key: str = "doc_id") -> DataFrame:

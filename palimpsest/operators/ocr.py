@@ -172,9 +172,9 @@ def combined_tokens(
     if hot is None:
         return out
     used = _used_hot(hot, docs, use_fallback, key)
-    numbered = number_rows(
-        used, [key], [F.col("_rank"), F.col("slot"), F.col("seq")], F.col("_rank"), "place", limit
-    )
+    order = [F.col("_rank"), F.col("slot"), F.col("seq")]
+    tie = F.col("slot") * F.lit(1 << 32) + F.col("seq")
+    numbered = number_rows(used, [key], order, F.col("_rank"), "place", limit, tie)
     numbered = numbered.withColumn("place", F.col("place") - 1)
     return out.unionByName(numbered.select(*out.columns))
 

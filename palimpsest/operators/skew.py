@@ -84,21 +84,32 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def ordered_chunks(
-    df: DataFrame, keys: list[str], position: Column, cuts: int = CUTS
+    df: DataFrame, keys: list[str], position: Column, tie: Column | None = None, cuts: int = CUTS
 ) -> DataFrame:
     """Cut the rows of each key into ranges of `position`, numbered in order as `chunk`.
 
-    For hot keys only: the cut points are quantiles, found with partial aggregation.
-    Rows with the same position share a chunk.
+    For hot keys only: the cut points are quantiles, found with partial aggregation. Rows with
+    the same position share a chunk; one that holds a single position is cut further by `tie`.
     """
-    placed = df.withColumn("_at", position.cast("double"))
+    first = _cut(df.withColumn("_at", position.cast("double")), keys, "chunk", cuts)
+    if tie is None:
+        return first.drop("_at")
+    place = [*keys, "chunk"]
+    level = first.groupBy(*place).agg((F.min("_at") == F.max("_at")).alias("_level"))
+    tied = join_dimension(first, level, place, "inner")
+    tied = tied.withColumn("_at", F.when(F.col("_level"), tie.cast("double")).otherwise(F.lit(0.0)))
+    second = _cut(tied.drop("_level"), place, "_part", cuts).drop("_at")
+    return second.withColumn("chunk", F.col("chunk") * cuts + F.col("_part")).drop("_part")
+
+
+def _cut(placed: DataFrame, keys: list[str], name: str, cuts: int) -> DataFrame:
+    """Number the ranges between quantiles of `_at` per key."""
     points = [i / cuts for i in range(1, cuts)]
     edges = placed.groupBy(*keys).agg(
         F.array_distinct(F.percentile_approx("_at", points, 10 * cuts)).alias("_edges")
     )
-    joined = join_dimension(placed, edges, keys, "inner")
     below = F.size(F.filter("_edges", lambda e: e < F.col("_at")))
-    return joined.withColumn("chunk", below).drop("_at", "_edges")
+    return join_dimension(placed, edges, keys, "inner").withColumn(name, below).drop("_edges")
 
 
 def chunk_carry(
@@ -107,7 +118,7 @@ def chunk_carry(
     """Per chunk what the chunks before it add up to.
 
     `aggregates` sum up one chunk; `carried` are expressions over `before`, a window of the
-    summed rows of the same key ahead of the chunk. A key has at most CUTS chunks.
+    summed rows of the same key ahead of the chunk. A key has few chunks, whatever its rows.
     """
     sums = df.groupBy(*keys, "chunk").agg(*aggregates)
     return sums.select(*keys, "chunk", *carried)
@@ -120,8 +131,9 @@ def number_rows(
     position: Column,
     name: str,
     limit: int = HOT_ROWS,
+    tie: Column | None = None,
 ) -> DataFrame:
-    """Row number per key in `order`. `position` must grow with the first order column.
+    """Row number per key in `order`. `position` must grow with the first order column, `tie` with the rest.
 
     Keys with more than `limit` rows are numbered chunk by chunk, and each chunk starts
     after the rows of the chunks before it.
@@ -130,7 +142,7 @@ def number_rows(
     out = plain.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     if hot is None:
         return out
-    chunked = ordered_chunks(hot, keys, position).repartition(*keys, "chunk")
+    chunked = ordered_chunks(hot, keys, position, tie).repartition(*keys, "chunk")
     inner = Window.partitionBy(*keys, "chunk").orderBy(*order)
     before = (
         Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)

@@ -3,6 +3,8 @@ import statistics
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from palimpsest.operators import stats
 
 ENTITY = "doc_id long, label string, engine string, confidence double, is_sensitive boolean"
@@ -71,3 +73,14 @@ def test_large_dimension_is_not_copied(spark):
         assert joined.count() == 500 and "Generate" not in joined._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_equal_positions_are_cut_by_the_next_column(spark):
+    from palimpsest.operators import skew
+
+    rows = spark.range(5000).selectExpr("1 as k", "0.5D as at", "id as seq").repartition(7)
+    chunks = skew.ordered_chunks(rows, ["k"], F.col("at"), F.col("seq"))
+    assert chunks.select("chunk").distinct().count() > 100
+    order = [F.col("at"), F.col("seq")]
+    numbered = skew.number_rows(rows, ["k"], order, F.col("at"), "n", 10, F.col("seq"))
+    assert numbered.where("n = seq + 1").count() == 5000
