@@ -33,7 +33,7 @@ from palimpsest.llm.induced import common_prefixes, suffix_array
 from palimpsest.llm.shared import KEY, document_key, written
 
 LENGTH = 400
-GRAM = 64
+GRAM = 160
 #: Different contexts under one anchor, from which its strings are counted instead.
 HOT = 4000
 #: Bytes of context in a shard, about.
