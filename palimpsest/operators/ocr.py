@@ -7,6 +7,8 @@ processed chunk by chunk instead, and the texts of the chunks are joined in the
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -154,15 +156,31 @@ def _gathered(tokens: DataFrame, use_fallback: bool, key: str) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class Counted:
+    """Documents that were counted to have very many tokens, if any."""
+
+    hot: DataFrame | None
+
+    def split(self, tokens: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+        return split_hot(tokens, [key], self.hot)
+
+
+def count_tokens(tokens: DataFrame, key: str = "doc_id", limit: int = HOT_ROWS) -> Counted:
+    """Count once, for all tables made of the same tokens."""
+    return Counted(hot_keys(tokens, [key], limit))
+
+
 def combined_tokens(
     tokens: DataFrame,
     docs: DataFrame,
     use_fallback: bool = True,
     key: str = "doc_id",
     limit: int = HOT_ROWS,
+    counted: Counted | None = None,
 ) -> DataFrame:
     """Tokens that count, numbered as `place` in combined order."""
-    plain, hot = split_hot(tokens, [key], hot_keys(tokens, [key], limit))
+    plain, hot = (counted or count_tokens(tokens, key, limit)).split(tokens, key)
     out = (
         _gathered(plain, use_fallback, key)
         .select(key, F.posexplode_outer("used").alias("place", "t"))
@@ -200,13 +218,14 @@ def page_text(
     use_fallback: bool = True,
     key: str = "doc_id",
     limit: int = HOT_ROWS,
+    counted: Counted | None = None,
 ) -> DataFrame:
     """Text per document: lines from top to bottom, tokens from left to right.
 
     Columns: key, full_text, tokens, total_confidence, used_fallback. Documents without tokens
     have an empty text.
     """
-    plain, hot = split_hot(tokens, [key], hot_keys(tokens, [key], limit))
+    plain, hot = (counted or count_tokens(tokens, key, limit)).split(tokens, key)
     center = "cast(floor((t.y1 + t.y2) / 2) as int)"
     placed = (
         "array_sort(transform(used, (t, i) -> named_struct('y1', t.y1, 'x1', t.x1, 'place', i, "

@@ -19,7 +19,7 @@ from palimpsest.operators.boxes import (
     sure_boxes,
 )
 from palimpsest.operators.fuse import mean_confidence
-from palimpsest.operators.ocr import all_tokens, combined_tokens, page_text, with_mean
+from palimpsest.operators.ocr import all_tokens, combined_tokens, count_tokens, page_text, with_mean
 from palimpsest.operators.rewrite import anonymize, audit_rows, mapping
 from palimpsest.operators.rules import MaskingRule, apply_rules
 from palimpsest.operators.scan import explode_findings
@@ -76,11 +76,12 @@ def recognised_text(
         tables = {e: join_documents(t, limits, [key]) for e, t in ocr_tables.items()}
         threshold = F.col("opt_ocr_confidence")
     tokens = all_tokens(tables, threshold=threshold, key=key)
-    pages = with_mean(page_text(tokens, docs, key=key))
+    counted = count_tokens(tokens, key)
+    pages = with_mean(page_text(tokens, docs, key=key, counted=counted))
     text = pages.select(
         key, F.col("full_text").alias("text"), F.col("average_confidence").alias("ocr_confidence"), F.col("tokens").alias("text_blocks")
     )
-    return docs.join(text, key, "left"), combined_tokens(tokens, docs, key=key)
+    return docs.join(text, key, "left"), combined_tokens(tokens, docs, key=key, counted=counted)
 
 
 def process_documents(
