@@ -56,6 +56,9 @@ NOISE = frozenset(
     "social share sharing related recommended recommendations comment comments commentlist disqus reply replies respond widget widgets toolbar pagination pager "
     "copyright search searchbox hidden contentinfo complementary dialog form".split()
 )
+#: What makes an article element something else than the article, and words that take a name's noise away ("no-sidebar").
+ASIDE_ARTICLES = frozenset("ad ads advert comment comments promo recommended related reply sponsored teaser".split())
+MODIFIERS = frozenset("no has with without is layout".split())
 HEADERS = frozenset(("header", "siteheader", "pageheader", "banner"))
 MAIN = frozenset(("article", "main"))
 
@@ -99,10 +102,10 @@ def _sign(tag: str, attributes: str, in_main: bool) -> tuple[str, bool]:
         hidden |= key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value) is not None)
     if "main" in names and "role" in attributes.lower():
         tag = "main" if tag in ("div", "section") else tag
-    parts = {p for name in names for p in NAMES.split(name)}
-    noise = bool(parts & NOISE) or (not in_main and (tag == "header" or bool(parts & HEADERS)))
+    parts = {p for name in names if not MODIFIERS & {*NAMES.split(name)} for p in NAMES.split(name)}
+    noise = bool(parts & (ASIDE_ARTICLES if tag == "article" else NOISE)) or (not in_main and (tag == "header" or bool(parts & HEADERS)))
     shape = sorted({re.sub(r"\d+", "0", name) for name in names})
-    return ".".join([tag, *shape]), tag in DROPPED or hidden or (noise and tag not in ("html", "body", "main", "article"))
+    return ".".join([tag, *shape]), tag in DROPPED or hidden or (noise and tag not in ("html", "body", "main"))
 
 
 def parse(page: str) -> tuple[list[Block], list[tuple[tuple[int, ...], int]]]:

@@ -237,6 +237,7 @@ def test_pages_are_parsed_like_browsers_do():
     page = """<header>Site</header><article><header><h1>T</h1></header><p class=lead>a &lt;b&gt; 3 < 4</p><div class="share-box">S</div><aside>n</aside>
       <form>f<input></form><script>var t="</p>";</script><section id="comments"><p>c</p></section></article><p>out</p><!-- x --><footer>f</footer>"""
     assert text_of(page) == ["T", "a <b> 3 < 4"]
+    assert text_of("<div class=no-sidebar><article>a</article><article class='comment odd'>c</article></div>") == ["a"]
     assert text_of("") == [] and text_of("plain") == ["plain"] and text_of("<a title='x>y'>t</a>") == ["t"]
     assert text_of("<div hidden>h</div><div style='display: none'>h</div><div class='ad'>h</div><div class='headline'>k</div>") == ["k"]
 
