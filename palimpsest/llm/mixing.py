@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import WORD, whole
+from palimpsest.llm.shared import WORD, whole, written
 
 LEVELS = ("domain", "lang", "source")
 #: Hex digits of the order key that name its bucket.
@@ -62,7 +62,8 @@ def leaf_budgets(
             nodes = nodes.withColumn(f"cap{depth - 1}", F.sum("_first").over(Window.partitionBy(*parents)))
     nodes = nodes.withColumn("quota0", budget)
     for depth in range(1, len(levels) + 1):
-        nodes = _fill(nodes, depth, levels)
+        # a row per leaf: written, so that the plan doesn't double at each level
+        nodes = _fill(written(nodes, "leaves"), depth, levels)
     return nodes.select(*levels, "tokens", F.col(f"quota{len(levels)}").alias("quota"))
 
 
@@ -125,6 +126,7 @@ def mix(
     quotas = quotas.where("tokens > 0 and quota > 0").select(
         *own, F.expr("quota div tokens").alias("__epochs"), F.expr("quota % tokens").alias("__rest")
     )
+    quotas = written(quotas, "quotas")
     placed = keyed.join(quotas, own).withColumn("__key", order_key(seed, F.col("__epochs"), doc_id))
     bucket = F.substring("__key", 1, BUCKET_DIGITS)
     light = keyed.select(*own, doc_id, "__tokens").join(quotas, own).where("__rest > 0")
