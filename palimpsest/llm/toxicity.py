@@ -30,7 +30,7 @@ from pyspark.sql.types import DoubleType, StructType
 from palimpsest.llm.shared import written
 
 #: Marked rows that the model is fitted on, at most.
-SAMPLE = 20_000
+SAMPLE = 10_000
 #: Lexicon voters, at most, and how a candidate qualifies: rows with it, and log odds of its rate.
 VOTERS, SUPPORT, LOG_ODDS = 200, 6, 2.0
 BEGINNINGS = (4, 5, 6, 7)
@@ -119,7 +119,7 @@ def _rates(votes: np.ndarray, post: np.ndarray) -> np.ndarray:
     """How often each voter speaks on rows of label 0 and of label 1, drawn a little to its overall rate."""
     speaking = votes.mean(axis=0)
     rates = [(p @ votes + 0.1 * speaking) / (p.sum() + 0.1) for p in (1 - post, post)]
-    return np.clip(np.stack(rates), 1e-4, 1 - 1e-4)
+    return np.clip(np.stack(rates), 1e-4, 1 - 1e-4).astype(votes.dtype)
 
 
 def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,7 +129,7 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 60) -> tuple
     the label are measured under that guess, and each voter is weighted down by those it repeats; otherwise a family
     of voters that always speak together would become the label. Expectation maximisation follows.
     """
-    post = 0.02 + 0.96 * start
+    post = (0.02 + 0.96 * start).astype(votes.dtype)
     rates = _rates(votes, post)
     rest = votes - (post[:, None] * rates[1] + (1 - post)[:, None] * rates[0])
     rest /= np.sqrt((rest**2).mean(axis=0)) + 1e-9
@@ -142,7 +142,7 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 60) -> tuple
         says = votes @ (weight * (np.log(rates[1]) - np.log(rates[0])))
         silent = (1 - votes) @ (weight * (np.log1p(-rates[1]) - np.log1p(-rates[0])))
         new = 1 / (1 + np.exp(-np.clip(np.log(share / (1 - share)) + says + silent, -40, 40)))
-        moved, post = np.abs(new - post).max(), new
+        moved, post = np.abs(new - post).max(), new.astype(votes.dtype)
         if moved < 1e-4:
             break
     return post, rates, weight
