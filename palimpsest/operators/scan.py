@@ -57,7 +57,9 @@ def match_spans(found: str, gaps: str) -> str:
         f"transform({found}, (m, i) -> "
         f"named_struct('gap', length(get({gaps}, i)), 'text', m))"
     )
-    return fold_to_array(pieces, SPAN, "spans", "piece", step)
+    # Most values match once, and then there is nothing to sum up.
+    only = f"named_struct('start', length(get({gaps}, 0)), 'end', length(get({gaps}, 0)) + length(get({found}, 0)), 'text', get({found}, 0))"
+    return f"if(size({found}) = 1, array({only}), {fold_to_array(pieces, SPAN, 'spans', 'piece', step)})"
 
 
 def pattern_confidence(text: str, base: float = C.PATTERN_BASE) -> str:
