@@ -133,8 +133,10 @@ def mix(
     sums = light.groupBy(*own, "__rest", F.substring(order_key(seed, F.col("__epochs"), doc_id), 1, BUCKET_DIGITS).alias("__bucket")).agg(F.sum("__tokens").alias("sum"))
     running = Window.partitionBy(*own).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     cut = sums.withColumn("__before", F.coalesce(F.sum("sum").over(running), F.lit(0))).where("__before < __rest and __before + sum >= __rest")
-    # the cut exists for each leaf with a rest: its tokens are more than the rest
-    placed = placed.join(cut.select(*own, F.col("__bucket").alias("__cut"), "__before"), own, "left").withColumn("__bucket", bucket)
+    # the cut exists for each leaf with a rest: its tokens are more than the rest. A row per leaf, written, so
+    # that Spark knows its size and need not shuffle the documents by leaf
+    cut = written(cut.select(*own, F.col("__bucket").alias("__cut"), "__before"), "cuts")
+    placed = placed.join(cut, own, "left").withColumn("__bucket", bucket)
     inside = placed.where("__bucket = __cut")
     start = Window.partitionBy(*own, "__bucket").orderBy("__key", F.col(doc_id), "__tokens").rowsBetween(Window.unboundedPreceding, -1)
     inside = inside.withColumn("__more", (F.col("__before") + F.coalesce(F.sum("__tokens").over(start), F.lit(0)) < F.col("__rest")).cast("int"))
