@@ -42,6 +42,12 @@ def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select("doc_id", "n_removed_chunks", "n_removed_lines", F.length(kept).cast("long").alias("n_kept_chars"), F.md5(kept).alias("kept_md5"))
 
 
+def op3_passage_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cut = line_chunks.without_passages(table(spark, folder, "documents").select("doc_id", "text"))
+    kept = F.coalesce("text", F.lit(""))
+    return cut.select("doc_id", "n_removed_lines", F.length(kept).cast("long").alias("n_kept_chars"), F.md5(kept).alias("kept_md5"))
+
+
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"), "n_windows", "first_word")
@@ -121,7 +127,7 @@ child{k} as (select {own}, max(u{k}) as cap, max(w{k}) as weight, max(q{k - 1})
 ),{",".join(levels)}, final as (select domain, la, so, tokens, q3 as quota from level3)"""
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_toxicity, op3_line_dedup, op4_decontamination, op5_suffix_array_dedup, op6_quality_rules, op7_simhash_near_dedup, op8_chat_formatting, op9_token_packing, op10_source_mixing, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_toxicity, op3_line_dedup, op3_passage_dedup, op4_decontamination, op5_suffix_array_dedup, op6_quality_rules, op7_simhash_near_dedup, op8_chat_formatting, op9_token_packing, op10_source_mixing, pipeline)}
 ORACLES: dict[str, str] = {
     # lines, rolling hash of two line hashes, chunks, and all but the first of equal chunks cut
     "op3_line_dedup": """
@@ -140,6 +146,19 @@ with lines as (
     coalesce(string_agg(body, chr(10) order by chunk) filter (place = 1), '') as body from ranked group by doc_id
 )
 select doc_id, n_removed_chunks, n_removed_lines, length(body)::bigint as n_kept_chars, md5(body) as kept_md5 from kept""",
+    # every two neighbouring lines that aren't blank; all but the first place of a pair cut, with the blank lines between
+    "op3_passage_dedup": """
+with lines as (
+  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) as i from documents
+), pairs as (
+  select doc_id, i, line, lead(line) over p as after, lead(i) over p as until from lines where regexp_matches(line, '[^\\x20\\x09-\\x0D]') window p as (partition by doc_id order by i)
+), ranked as (select *, row_number() over (partition by line, after order by doc_id, i) as place from pairs where after is not null
+), gone as (select distinct doc_id, unnest(range(i, until + 1)) as i, true as cut from ranked where place > 1
+), kept as (
+  select doc_id, count(cut)::bigint as n_removed_lines, coalesce(string_agg(line, chr(10) order by i) filter (cut is null), '') as body
+  from lines left join gone using (doc_id, i) group by doc_id
+)
+select doc_id, n_removed_lines, length(body)::bigint as n_kept_chars, md5(body) as kept_md5 from kept""",
     "op6_quality_rules": """
 with words as (
   select doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents

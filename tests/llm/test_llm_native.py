@@ -116,6 +116,34 @@ def test_line_chunks(spark):
     assert {r.doc_id: bool(r.text) for r in none}[5] and line_chunks.deduplicated(docs.limit(0)).count() == 0
 
 
+def test_short_passages_go_wherever_they_stand(spark):
+    rng = random.Random(8)
+    passages = [[f"passage {p} line {k}" for k in range(2 + p % 3)] for p in range(6)]
+    texts = [None, "", "one", "one", "\n \n"]
+    for d in range(60):
+        own = lambda: [f"own {d} {rng.random()}" for _ in range(rng.randrange(3))]  # noqa: B023, E731
+        gap = rng.choice(["\n", "\n\n", "\n \n\n"])
+        texts.append(gap.join([*own(), *rng.choice(passages), f"middle {d}", *rng.choice(passages), *own()]))
+    seen, want = set(), {}
+    for d, text in enumerate(texts):
+        lines = (text or "").split("\n")
+        full = [i for i, line in enumerate(lines) if line.strip()]
+        gone = set()
+        for a, b in zip(full, full[1:], strict=False):
+            if (lines[a], lines[b]) in seen:
+                gone |= set(range(a, b + 1))
+            seen.add((lines[a], lines[b]))
+        want[d] = None if text is None else "\n".join(line for i, line in enumerate(lines) if i not in gone)
+    docs = docs_of(spark, texts)
+    got = line_chunks.without_passages(docs).collect()
+    assert {r.doc_id: r.text for r in got} == want
+    assert sum("passage" in line for t in want.values() for line in (t or "").split("\n")) == sum(map(len, passages))
+    left = [r.text for r in line_chunks.deduplicated(docs).collect()]
+    assert sum("passage" in line for t in left for line in (t or "").split("\n")) > sum(map(len, passages))  # chunks keep most of them
+    twice = line_chunks.without_passages(docs_of(spark, [texts[9], texts[9]], [5, 5])).collect()
+    assert twice[0].text == twice[1].text and line_chunks.without_passages(docs.limit(0)).count() == 0
+
+
 def shares(tree, budget):
     """Water filling of a tree {name: (weight, capacity or tree)}."""
     cap = lambda node: node if isinstance(node, int) else sum(cap(c) for w, c in node.values() if w > 0)
