@@ -5,10 +5,11 @@ node's presentation importance is the normalised entropy of its sequences of chi
 content importance that of the texts found there: what looks and reads the same on every page scores near 0,
 what differs near 1. Branches whose combined importance is low are removed from each page, with what marks
 itself as something other than the article (menus, footers, adverts, forms, ...). If a page has an article or main element,
-text outside it is left out. Inside one, a branch goes only if it is low while the whole element isn't, and is more
-than plain paragraphs: hosts full of copies keep their articles.
+text outside it is left out. A branch goes only while the whole (article or main element, else the page) isn't low, and
+what differs more than the whole does stays; inside an article it must be more than plain paragraphs. Equal pages of a host
+have one vote. So hosts full of copies keep their text.
 
-Pages are parsed once, in tasks; the tree is counted per (host, path, text) with partial sums, so a host with a
+Pages are parsed once, in tasks; equal pages are found by host and hash, and the tree is counted per (host, path, text) with partial sums, so a host with a
 third of all pages is spread like any other. Verdicts are broadcast when counted to be few, else joined.
 
 Defined results: null and empty pages give an empty text; equal rows are separate pages; pages without a usable address
@@ -24,7 +25,7 @@ from urllib.parse import urlsplit
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.shared import written
@@ -74,7 +75,7 @@ class _Node:
 
     def __init__(self, tag: str, sign: str, parent: _Node | None, drop: bool) -> None:
         self.tag, self.sign = tag, sign
-        self.path: tuple[int, ...] = (*parent.path, xxhash.xxh64_intdigest(f"{parent.path[-1] if parent.path else 0}>{sign}") - 2**63) if parent else ()
+        self.path: tuple[int, ...] = (*parent.path, xxhash.xxh64_intdigest(f"{parent.path[-1]}>{sign}") - 2**63) if parent else (0,)
         self.drop = drop or bool(parent and parent.drop)
         self.main = len(self.path) if tag in MAIN and not (parent and parent.main) else parent.main if parent else 0
         self.plain = sign in PLAIN and (parent is None or not parent.main or parent.plain)
@@ -82,7 +83,7 @@ class _Node:
 
 
 class Block:
-    """A block of text, the path to it and how deep its article or main element lies (0: outside any)."""
+    """A block of text, the path to it and place of its article or main element in it (0: outside any)."""
 
     __slots__ = ("text", "path", "main", "plain")
 
@@ -198,7 +199,7 @@ def parse(page: str) -> tuple[list[Block], list[tuple[tuple[int, ...], int]]]:
         if not match[3].endswith("/") or tag not in ("path", "svg", "use"):
             stack.append(node)
     flush_at(0)
-    while len(stack) > 1:
+    while stack:
         pop()
     return blocks, shapes
 
@@ -211,20 +212,32 @@ def host_of(url: str | None) -> str:
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    block = pa.struct([("text", pa.string()), ("path", pa.list_(pa.int64())), ("main", pa.int32()), ("plain", pa.bool_()), ("feature", pa.int64())])
-    shape = pa.struct([("path", pa.list_(pa.int64())), ("feature", pa.int64())])
+    block = pa.struct([("text", pa.string()), ("node", pa.int64())])
+    told = pa.struct([("path", pa.list_(pa.int64())), ("main", pa.int32()), ("plain", pa.bool_()), ("feature", pa.int64()), ("size", pa.int64())])
+    shape = pa.struct([("node", pa.int64()), ("feature", pa.int64())])
     for batch in batches:
-        hosts, found, shapes = [], [], []
+        hosts, found, texts, shapes, same = [], [], [], [], []
         n = batch.num_columns
         for url, page in zip(batch.column(n - 2).to_pylist(), batch.column(n - 1), strict=True):
             blocks, children = parse(page.as_py() or "")
             if any(b.main for b in blocks):
                 blocks = [b for b in blocks if b.main]
             hosts.append(host_of(url))
-            found.append([(b.text, b.path, b.main, b.plain, xxhash.xxh64_intdigest(b.text) - 2**63) for b in blocks])
-            shapes.append([(p, f) for p, f in dict(children).items()])
-        columns = [*batch.columns[: n - 2], pa.array(hosts), _structs(found, block), _structs(shapes, shape)]
-        yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[: n - 2], "__host", "__blocks", "__shapes"])
+            found.append([(b.text, b.path[-1]) for b in blocks])
+            texts.append(_texts(blocks))
+            shapes.append([(p[-1], f) for p, f in dict(children).items()])
+            same.append(_hash(repr(([(b.path[-1], b.text) for b in blocks], shapes[-1]))))
+        columns = [*batch.columns[: n - 2], pa.array(hosts), _structs(found, block), _structs(texts, told), _structs(shapes, shape), pa.array(same, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[: n - 2], "__host", "__blocks", "__texts", "__shapes", "__same"])
+
+
+def _texts(blocks: list[Block]) -> list[tuple]:
+    """What the tree learns from a page: path, place of the article in it, kind, hash and length of its texts."""
+    return [(b.path, b.main, b.plain, _hash(b.text), len(b.text)) for b in blocks]
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) - 2**63
 
 
 def _structs(rows: list[list[tuple]], kind: pa.StructType) -> pa.Array:
@@ -232,45 +245,61 @@ def _structs(rows: list[list[tuple]], kind: pa.StructType) -> pa.Array:
     return pa.array([[dict(zip(names, x, strict=True)) for x in row] for row in rows], pa.list_(kind))
 
 
-def importances(parsed: DataFrame) -> DataFrame:
-    """For each host and node: ``pages`` and ``importance``."""
-    entropy = lambda: F.when(F.sum("n") > 1, (F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")) / F.log(F.sum("n"))).otherwise(F.lit(1.0))
-    shapes = parsed.select("__host", F.explode("__shapes").alias("s")).select("__host", F.element_at("s.path", -1).alias("node"), F.col("s.feature").alias("feature")).where("node is not null")
-    look = shapes.groupBy("__host", "node", "feature").agg(F.count("*").alias("n")).groupBy("__host", "node").agg(entropy().alias("look"), F.sum("n").alias("shaped"))
-    texts = parsed.select("__host", F.explode("__blocks").alias("b")).select("__host", F.col("b.path").alias("path"), F.col("b.feature").alias("feature"), F.length("b.text").alias("size"))
-    leaves = texts.groupBy("__host", "path", "feature").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
-    leaves = leaves.groupBy("__host", "path").agg(entropy().alias("content"), F.sum("size").alias("size"), F.sum("n").alias("blocks"))
-    below = leaves.select("__host", F.explode("path").alias("node"), "content", "size", "blocks").groupBy("__host", "node").agg(
-        (F.sum(F.col("content") * F.col("size")) / F.sum("size")).alias("content"), F.sum("blocks").alias("blocks")
+def importances(leaves: DataFrame, shapes: DataFrame) -> DataFrame:
+    """For each host and node: ``pages``, ``content`` and ``importance``."""
+    look = shapes.groupBy("__host", "node", "feature").agg(F.count("*").alias("n")).groupBy("__host", "node").agg(_entropy().alias("look"), F.sum("n").alias("shaped"))
+    below = leaves.select("__host", F.explode("path").alias("node"), "content", "size", "pages").groupBy("__host", "node").agg(
+        (F.sum(F.col("content") * F.col("size")) / F.sum("size")).alias("content"), F.max("pages").alias("pages")
     )
     both = below.join(look, ["__host", "node"], "left")
     importance = F.col("content") * BELOW + F.coalesce("look", "content") * (1 - BELOW)
-    return both.select("__host", "node", F.coalesce("shaped", "blocks").alias("pages"), importance.alias("importance"))
+    return both.select("__host", "node", F.coalesce("shaped", "pages").alias("pages"), "content", importance.alias("importance"))
+
+
+def _entropy() -> Column:
+    """Entropy of the counts ``n``, 1 if all are 1."""
+    return F.when(F.sum("n") > 1, (F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")) / F.log(F.sum("n"))).otherwise(F.lit(1.0))
+
+
+def low_leaves(parsed: DataFrame, low: float, least_pages: int) -> DataFrame:
+    """For each host the nodes whose own text is removed.
+
+    Such a node lies in a low branch, below an article or main element or else the page, whose content isn't low as a
+    whole, and differs less than that content does. Equal pages of a host have one vote.
+    """
+    votes = parsed.select("__host", "__same", "__texts", "__shapes").dropDuplicates(["__host", "__same"])
+    texts = votes.select("__host", F.explode("__texts").alias("t")).select("__host", "t.*")
+    leaves = texts.groupBy("__host", "path", "main", "plain", "feature").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    leaves = written(leaves.groupBy("__host", "path", "main", "plain").agg(_entropy().alias("content"), F.sum("size").alias("size"), F.sum("n").alias("pages")), "leaves")
+    shapes = votes.select("__host", F.explode("__shapes").alias("s")).select("__host", "s.*")
+    nodes = written(importances(leaves, shapes), "nodes")
+    top = F.greatest("main", F.lit(1))  # place of the article or of the page in the path
+    may = leaves.where("main = 0 or not plain").select(
+        "__host", F.element_at("path", -1).alias("leaf"), "content", F.element_at("path", top).alias("whole"), F.explode(F.slice("path", top + 1, F.size("path"))).alias("node")
+    )
+    lows = nodes.where((F.col("importance") < low) & (F.col("pages") >= least_pages)).select("__host", "node")
+    wholes = nodes.where(F.col("content") * BELOW >= low).select("__host", F.col("node").alias("whole"), F.col("content").alias("all"))
+    return may.join(lows, ["__host", "node"]).join(wholes, ["__host", "whole"]).where("content < all").select("__host", "leaf").distinct()
 
 
 def main_text(pages: DataFrame, low: float = LOW, least_pages: int = PAGES, page: str = "html", url: str = "url") -> DataFrame:
     """``pages`` without ``page``, with ``text`` and ``n_chars``."""
     columns = [c for c in pages.columns if c not in (page, "text", "n_chars")]
     kept = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in columns)
-    schema = ", ".join(
-        [kept] * bool(columns) + ["__host string", "__blocks array<struct<text string, path array<bigint>, main int, plain boolean, feature bigint>>", "__shapes array<struct<path array<bigint>, feature bigint>>"]
-    )
+    schema = ", ".join([kept] * bool(columns) + [
+        "__host string", "__blocks array<struct<text string, node bigint>>", "__texts array<struct<path array<bigint>, main int, plain boolean, feature bigint, size bigint>>",
+        "__shapes array<struct<node bigint, feature bigint>>", "__same bigint",
+    ])
     parsed = pages.select(*columns, F.col(url).alias("__url"), F.col(page).alias("__page")).mapInArrow(_parsed, schema)
     parsed = written(parsed, "pages")
-    nodes = importances(parsed)
-    lows = written(nodes.where((F.col("importance") < low) & (F.col("pages") >= least_pages)), "low")
+    lows = written(low_leaves(parsed, low, least_pages), "low")
     none = F.array().cast("array<bigint>")
-    if lows.isEmpty():
+    many = lows.count()
+    if not many:
         judged = parsed.withColumn("__low", none)
     else:
-        # of each page only the nodes that may be removed: outside an article, or more than plain paragraphs inside one
-        may = F.array_distinct(F.flatten(F.transform(F.filter("__blocks", lambda b: (b["main"] == 0) | ~b["plain"]), lambda b: b["path"])))
-        lists = parsed.select("__host", F.explode(may).alias("node")).distinct().join(lows, ["__host", "node"])
-        by_host = lists.groupBy("__host").agg(F.collect_set("node").alias("__low"))  # nodes of a host's template
-        by_host = F.broadcast(by_host) if lists.count() <= BROADCAST else by_host
+        by_host = lows.groupBy("__host").agg(F.collect_set("leaf").alias("__low"))  # nodes of a host's template
+        by_host = F.broadcast(by_host) if many <= BROADCAST else by_host
         judged = parsed.join(by_host, "__host", "left").withColumn("__low", F.coalesce("__low", none))
-    free = lambda b: F.when(b["main"] == 0, ~F.arrays_overlap(b["path"], F.col("__low"))).otherwise(
-        b["plain"] | F.arrays_overlap(F.slice(b["path"], 1, b["main"]), F.col("__low")) | ~F.arrays_overlap(b["path"], F.col("__low"))
-    )
-    text = F.array_join(F.transform(F.filter("__blocks", free), lambda b: b["text"]), "\n\n")
+    text = F.array_join(F.transform(F.filter("__blocks", lambda b: ~F.array_contains("__low", b["node"])), lambda b: b["text"]), "\n\n")
     return judged.select(*columns, text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -254,3 +254,21 @@ def test_low_branches_are_removed_per_host(spark):
     assert got[101].text == "Same\n\n" + "Part 1 of a story. " * 3 + "Part 1 of a story."  # a branch that is the same on all pages, beside text that isn't
     assert got[203].text.startswith("Same\n\nRead our terms\n\nPart 0")  # a host of copies keeps its articles
     assert style_tree.main_text(pages.limit(0)).count() == 0
+
+
+def tree_texts(spark, pages):
+    """Extracted text of each (host, page)."""
+    rows = [(k, f"http://{host}/{k}", page) for k, (host, page) in enumerate(pages)]
+    got = style_tree.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return [r.text for r in sorted(got, key=lambda r: r.page_id)]
+
+
+def test_copies_do_not_empty_other_pages(spark):
+    page = lambda k: "<html><body><div class=top>Welcome</div><div class=story>" + "".join(f"<p>Part {j} of story {k}, told at length</p>" for j in range(8)) + "</div></body></html>"
+    stamped = lambda k: page(0).replace("</body>", f"<div class=stamp>{k}</div></body>")
+    got = tree_texts(spark, [("copies.org", page(0))] * 1000 + [("copies.org", page(k)) for k in range(1, 21)] + [("near.org", stamped(k)) for k in range(1000)] + [("near.org", page(k)) for k in range(1, 21)])
+    assert len(set(got[:1000])) == 1 and "Part 7 of story 0" in got[0]
+    for k in range(1, 21):
+        assert got[999 + k].startswith("Part 0") and got[999 + k].endswith(f"Part 7 of story {k}, told at length")
+        assert f"Part 7 of story {k}, told" in got[2019 + k]  # near copies: the whole page is low, so it stays
+    assert all("Part 7 of story 0" in t for t in got[1020:2020])
