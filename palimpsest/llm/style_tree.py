@@ -2,12 +2,11 @@
 
 The pages of a host are merged into one tree whose nodes are paths of tags with their class and id names. A
 node's presentation importance is the normalised entropy of its sequences of children over the pages, its
-content importance that of the texts found there: what looks and reads the same on every page scores near 0,
-what differs near 1. Branches whose combined importance is low are removed from each page, with what marks
+content importance that of each page's whole sequence of texts there, both by the number of pages: what looks and reads
+the same on every page scores near 0, what differs near 1. Branches whose combined importance is low are removed from each page, with what marks
 itself as something other than the article (menus, footers, adverts, forms, ...). If a page has an article or main element,
 text outside it is left out. A branch goes only while the whole (article or main element, else the page) isn't low, and
-what differs more than the whole does stays; inside an article it must be more than plain paragraphs. Equal pages of a host
-have one vote. So hosts full of copies keep their text.
+what differs more than the whole does stays. Equal pages of a host have one vote. So hosts full of copies keep their text.
 
 Pages are parsed once, in tasks; equal pages are found by host and hash, and the tree is counted per (host, path, text) with partial sums, so a host with a
 third of all pages is spread like any other. Verdicts are broadcast when counted to be few, else joined.
@@ -47,7 +46,6 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter nobr output progress q rp rt ruby s samp small span "
     "strike strong sub sup time tt u var wbr img td th".split()
 )
-PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li blockquote pre table tbody thead tr td th dl dt dd figure figcaption article main".split())
 #: A new tag of the key closes an open tag of the value.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: Names (class, id, role) of what is no article.
@@ -71,24 +69,23 @@ NAMES = re.compile(r"[^a-zA-Z]+")
 
 
 class _Node:
-    __slots__ = ("tag", "sign", "path", "drop", "main", "plain", "children")
+    __slots__ = ("tag", "sign", "path", "drop", "main", "children")
 
     def __init__(self, tag: str, sign: str, parent: _Node | None, drop: bool) -> None:
         self.tag, self.sign = tag, sign
         self.path: tuple[int, ...] = (*parent.path, xxhash.xxh64_intdigest(f"{parent.path[-1]}>{sign}") - 2**63) if parent else (0,)
         self.drop = drop or bool(parent and parent.drop)
         self.main = len(self.path) if tag in MAIN and not (parent and parent.main) else parent.main if parent else 0
-        self.plain = sign in PLAIN and (parent is None or not parent.main or parent.plain)
         self.children: list[str] = []
 
 
 class Block:
     """A block of text, the path to it and place of its article or main element in it (0: outside any)."""
 
-    __slots__ = ("text", "path", "main", "plain")
+    __slots__ = ("text", "path", "main")
 
     def __init__(self, text: str, node: _Node) -> None:
-        self.text, self.path, self.main, self.plain = text, node.path, node.main, node.plain
+        self.text, self.path, self.main = text, node.path, node.main
 
 
 def _sign(tag: str, attributes: str, in_main: bool) -> tuple[str, bool]:
@@ -213,7 +210,7 @@ def host_of(url: str | None) -> str:
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     block = pa.struct([("text", pa.string()), ("node", pa.int64())])
-    told = pa.struct([("path", pa.list_(pa.int64())), ("main", pa.int32()), ("plain", pa.bool_()), ("feature", pa.int64()), ("size", pa.int64())])
+    told = pa.struct([("path", pa.list_(pa.int64())), ("main", pa.int32()), ("feature", pa.int64()), ("size", pa.int64())])
     shape = pa.struct([("node", pa.int64()), ("feature", pa.int64())])
     for batch in batches:
         hosts, found, texts, shapes, same = [], [], [], [], []
@@ -225,15 +222,26 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hosts.append(host_of(url))
             found.append([(b.text, b.path[-1]) for b in blocks])
             texts.append(_texts(blocks))
-            shapes.append([(p[-1], f) for p, f in dict(children).items()])
+            shapes.append(_shapes(children))
             same.append(_hash(repr(([(b.path[-1], b.text) for b in blocks], shapes[-1]))))
         columns = [*batch.columns[: n - 2], pa.array(hosts), _structs(found, block), _structs(texts, told), _structs(shapes, shape), pa.array(same, pa.int64())]
         yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[: n - 2], "__host", "__blocks", "__texts", "__shapes", "__same"])
 
 
 def _texts(blocks: list[Block]) -> list[tuple]:
-    """What the tree learns from a page: path, place of the article in it, kind, hash and length of its texts."""
-    return [(b.path, b.main, b.plain, _hash(b.text), len(b.text)) for b in blocks]
+    """What the tree learns from a page: for each path the place of the article in it, the hash of all texts there in order, and their length."""
+    found: dict[tuple[int, ...], tuple[int, list[str]]] = {}
+    for b in blocks:
+        found.setdefault(b.path, (b.main, []))[1].append(b.text)
+    return [(path, main, _hash("\n".join(texts)), sum(map(len, texts))) for path, (main, texts) in found.items()]
+
+
+def _shapes(children: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int]]:
+    """For each node the hash of the children of all its elements on the page."""
+    found: dict[int, list[int]] = {}
+    for path, feature in children:
+        found.setdefault(path[-1], []).append(feature)
+    return [(node, features[0] if len(features) == 1 else _hash(repr(features))) for node, features in found.items()]
 
 
 def _hash(text: str) -> int:
@@ -269,12 +277,12 @@ def low_leaves(parsed: DataFrame, low: float, least_pages: int) -> DataFrame:
     """
     votes = parsed.select("__host", "__same", "__texts", "__shapes").dropDuplicates(["__host", "__same"])
     texts = votes.select("__host", F.explode("__texts").alias("t")).select("__host", "t.*")
-    leaves = texts.groupBy("__host", "path", "main", "plain", "feature").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
-    leaves = written(leaves.groupBy("__host", "path", "main", "plain").agg(_entropy().alias("content"), F.sum("size").alias("size"), F.sum("n").alias("pages")), "leaves")
+    leaves = texts.groupBy("__host", "path", "main", "feature").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    leaves = written(leaves.groupBy("__host", "path", "main").agg(_entropy().alias("content"), F.sum("size").alias("size"), F.sum("n").alias("pages")), "leaves")
     shapes = votes.select("__host", F.explode("__shapes").alias("s")).select("__host", "s.*")
     nodes = written(importances(leaves, shapes), "nodes")
     top = F.greatest("main", F.lit(1))  # place of the article or of the page in the path
-    may = leaves.where("main = 0 or not plain").select(
+    may = leaves.select(
         "__host", F.element_at("path", -1).alias("leaf"), "content", F.element_at("path", top).alias("whole"), F.explode(F.slice("path", top + 1, F.size("path"))).alias("node")
     )
     lows = nodes.where((F.col("importance") < low) & (F.col("pages") >= least_pages)).select("__host", "node")
@@ -287,7 +295,7 @@ def main_text(pages: DataFrame, low: float = LOW, least_pages: int = PAGES, page
     columns = [c for c in pages.columns if c not in (page, "text", "n_chars")]
     kept = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in columns)
     schema = ", ".join([kept] * bool(columns) + [
-        "__host string", "__blocks array<struct<text string, node bigint>>", "__texts array<struct<path array<bigint>, main int, plain boolean, feature bigint, size bigint>>",
+        "__host string", "__blocks array<struct<text string, node bigint>>", "__texts array<struct<path array<bigint>, main int, feature bigint, size bigint>>",
         "__shapes array<struct<node bigint, feature bigint>>", "__same bigint",
     ])
     parsed = pages.select(*columns, F.col(url).alias("__url"), F.col(page).alias("__page")).mapInArrow(_parsed, schema)

@@ -272,3 +272,12 @@ def test_copies_do_not_empty_other_pages(spark):
         assert got[999 + k].startswith("Part 0") and got[999 + k].endswith(f"Part 7 of story {k}, told at length")
         assert f"Part 7 of story {k}, told" in got[2019 + k]  # near copies: the whole page is low, so it stays
     assert all("Part 7 of story 0" in t for t in got[1020:2020])
+
+
+def test_lists_that_are_the_same_on_every_page_go(spark):
+    menu = "<ul>" + "".join(f"<li>Choice {j}</li>" for j in range(20)) + "</ul>"
+    page = lambda k: f"<body>{menu}<div class=story><p>Story {k}, which is longer</p>{f'<p>and different {k} </p>' * 20}</div><div class=end>Made by us</div></body>"
+    inside = lambda k: f"<article><h4>Read this first</h4>{f'<p>Story {k} is different</p>' * 3}<blockquote>Our terms</blockquote></article>"
+    got = tree_texts(spark, [("menu.org", page(k)) for k in range(12)] + [("inside.org", inside(k)) for k in range(12)])
+    assert all(t.startswith(f"Story {k}, which") and t.endswith(f"and different {k}") for k, t in enumerate(got[:12]))
+    assert got[12:] == ["\n\n".join([f"Story {k} is different"] * 3) for k in range(12)]
