@@ -4,7 +4,8 @@ The pages of a host are merged into one tree whose nodes are paths of tags with
 node's presentation importance is the normalised entropy of its sequences of children over the pages, its
 content importance that of each page's whole sequence of texts there, both by the number of pages: what looks and reads
 the same on every page scores near 0, what differs near 1. Branches whose combined importance is low are removed from each page, with what marks
-itself as something other than the article (menus, footers, adverts, forms, ...). If a page has an article or main element,
+itself as something other than the article (menus, footers, adverts, forms, ...); a mere name does so only if the branch
+holds neither the only article nor most of the page. If a page has an article or main element,
 text outside it is left out. A branch goes only while the whole (article or main element, else the page) isn't low, and
 what differs more than the whole does stays. Equal pages of a host have one vote. So hosts full of copies keep their text.
 
@@ -55,6 +56,15 @@ NOISE = frozenset(
     "social share sharing related recommended recommendations comment comments commentlist disqus reply replies respond widget widgets toolbar pagination pager "
     "copyright search searchbox hidden contentinfo complementary dialog form".split()
 )
+#: Names that say nothing as a part of a longer one, unless the rest of it is such a thing ("share-box", not "share-price").
+WEAK = frozenset("hidden form search share related".split())
+THINGS = frozenset("articles bar box button buttons content field icons input items links list panel posts section stories tools widget wrap wrapper".split())
+#: Names of the article; beside them only whole names count as noise.
+CONTENT = frozenset("article body content entry main post story text".split())
+#: What is never the article, however long.
+SURE = frozenset(
+    "ad ads advert adverts advertisement advertising adsense comment comments commentlist consent cookie cookies disqus gdpr promo recommended reply replies respond sponsor sponsored".split()
+)
 #: What makes an article element something else than the article, and words that take a name's noise away ("no-sidebar").
 ASIDE_ARTICLES = frozenset("ad ads advert comment comments promo recommended related reply sponsored teaser".split())
 MODIFIERS = frozenset("no has with without is layout".split())
@@ -69,29 +79,50 @@ NAMES = re.compile(r"[^a-zA-Z]+")
 
 
 class _Node:
-    __slots__ = ("tag", "sign", "path", "drop", "main", "children")
+    __slots__ = ("tag", "sign", "path", "drop", "named", "held", "main", "children")
 
-    def __init__(self, tag: str, sign: str, parent: _Node | None, drop: bool) -> None:
+    def __init__(self, tag: str, sign: str, parent: _Node | None, drop: bool, named: int = 0, number: int = 0) -> None:
         self.tag, self.sign = tag, sign
         self.path: tuple[int, ...] = (*parent.path, xxhash.xxh64_intdigest(f"{parent.path[-1]}>{sign}") - 2**63) if parent else (0,)
         self.drop = drop or bool(parent and parent.drop)
         self.main = len(self.path) if tag in MAIN and not (parent and parent.main) else parent.main if parent else 0
+        # the outermost element that a name calls noise, (number of it, how sure); of an article the one it lies in is ``held``
+        own, above = ((number, named) if named else None), parent.named if parent else None
+        begins = bool(self.main and parent and not parent.main)
+        self.held = above if begins else parent.held if parent else None
+        self.named = own if begins or above is None else (above[0], max(above[1], named))
         self.children: list[str] = []
 
 
 class Block:
     """A block of text, the path to it and place of its article or main element in it (0: outside any)."""
 
-    __slots__ = ("text", "path", "main")
+    __slots__ = ("text", "path", "main", "named", "held")
 
     def __init__(self, text: str, node: _Node) -> None:
-        self.text, self.path, self.main = text, node.path, node.main
+        self.text, self.path, self.main, self.named, self.held = text, node.path, node.main, node.named, node.held
+
+
+def _noise(names: list[str], words: frozenset[str]) -> set[str]:
+    """The ``words`` that are a whole name, or the first or last part of one."""
+    found = {*words} & {*names}
+    article = bool(CONTENT & set(names))
+    for name in names:
+        parts = [p for p in NAMES.split(name) if p]
+        if len(parts) == 1 and not article:
+            found |= words & set(parts)
+        if len(parts) < 2 or article or MODIFIERS & set(parts):
+            continue
+        for word, rest in ((parts[0], parts[1:]), (parts[-1], parts[:-1])):
+            if word in words and (word not in WEAK or (THINGS | WEAK) & set(rest)):
+                found.add(word)
+    return found
 
 
-def _sign(tag: str, attributes: str, in_main: bool) -> tuple[str, bool]:
-    """Tag with class and id names, and whether the names or attributes say that it is no article."""
+def _sign(tag: str, attributes: str, in_main: bool) -> tuple[str, bool, int]:
+    """Tag with class and id names, whether it is no article, and whether names say so: 0, 1 or 2 (for sure)."""
     if not attributes.strip():
-        return tag, tag in DROPPED or (tag == "header" and not in_main)
+        return tag, tag in DROPPED or (tag == "header" and not in_main), 0
     names, hidden = [], False
     for key, *values in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), "".join(values).lower()
@@ -100,10 +131,31 @@ def _sign(tag: str, attributes: str, in_main: bool) -> tuple[str, bool]:
         hidden |= key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value) is not None)
     if "main" in names and "role" in attributes.lower():
         tag = "main" if tag in ("div", "section") else tag
-    parts = {p for name in names if not MODIFIERS & {*NAMES.split(name)} for p in NAMES.split(name)}
-    noise = bool(parts & (ASIDE_ARTICLES if tag == "article" else NOISE)) or (not in_main and (tag == "header" or bool(parts & HEADERS)))
+    noise = _noise(names, ASIDE_ARTICLES if tag == "article" else NOISE if in_main else NOISE | HEADERS)
     shape = sorted({re.sub(r"\d+", "0", name) for name in names})
-    return ".".join([tag, *shape]), tag in DROPPED or hidden or (noise and tag not in ("html", "body", "main"))
+    named = 0 if not noise or tag in ("html", "body", "main") else 2 if noise & SURE or tag == "article" else 1
+    drop = tag in DROPPED or hidden or (tag == "header" and not in_main) or (named > 0 and tag in INLINE)
+    return ".".join([tag, *shape]), drop, named
+
+
+def chosen(blocks: list[Block]) -> list[Block]:
+    """The blocks that may be the page's text: of the article if there is one, without branches that names call noise.
+
+    Such a branch counts for all that if it holds the only article, or more text than the rest of a page without one
+    (the tree still removes what is the same on every page), unless its name is sure.
+    """
+    plain = [b for b in blocks if not b.named and not b.held]
+    article = [b for b in plain if b.main] or [b for b in blocks if b.main and not b.named and b.held and b.held[1] == 1]
+    if article:
+        return article
+    sizes: dict[int, int] = {}
+    for b in blocks:
+        if b.named and b.named[1] == 1 and not b.held:
+            sizes[b.named[0]] = sizes.get(b.named[0], 0) + len(b.text)
+    largest = max(sizes, key=sizes.__getitem__, default=None)
+    if largest is None or sizes[largest] <= sum(len(b.text) for b in plain):
+        return plain
+    return [b for b in blocks if not b.held and (not b.named or b.named == (largest, 1))]
 
 
 def parse(page: str) -> tuple[list[Block], list[tuple[tuple[int, ...], int]]]:
@@ -185,20 +237,20 @@ def parse(page: str) -> tuple[list[Block], list[tuple[tuple[int, ...], int]]]:
         if tag in VOID:
             stack[-1].children.append(tag)
             continue
-        sign, drop = _sign(tag, match[3], bool(stack[-1].main))
+        sign, drop, named = _sign(tag, match[3], bool(stack[-1].main))
         stack[-1].children.append(sign)
         if tag in RAW:
             ending = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = ending.end() if ending else len(page)
             continue
-        node = _Node(sign.split(".")[0] if sign.startswith("main") else tag, sign, stack[-1], drop)
+        node = _Node(sign.split(".")[0] if sign.startswith("main") else tag, sign, stack[-1], drop, named, at)
         node.tag = node.tag if node.tag in MAIN else tag
         if not match[3].endswith("/") or tag not in ("path", "svg", "use"):
             stack.append(node)
     flush_at(0)
     while stack:
         pop()
-    return blocks, shapes
+    return chosen(blocks), shapes
 
 
 def host_of(url: str | None) -> str:
@@ -217,8 +269,6 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = batch.num_columns
         for url, page in zip(batch.column(n - 2).to_pylist(), batch.column(n - 1), strict=True):
             blocks, children = parse(page.as_py() or "")
-            if any(b.main for b in blocks):
-                blocks = [b for b in blocks if b.main]
             hosts.append(host_of(url))
             found.append([(b.text, b.path[-1]) for b in blocks])
             texts.append(_texts(blocks))

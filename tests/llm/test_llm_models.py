@@ -281,3 +281,16 @@ def test_lists_that_are_the_same_on_every_page_go(spark):
     got = tree_texts(spark, [("menu.org", page(k)) for k in range(12)] + [("inside.org", inside(k)) for k in range(12)])
     assert all(t.startswith(f"Story {k}, which") and t.endswith(f"and different {k}") for k, t in enumerate(got[:12]))
     assert got[12:] == ["\n\n".join([f"Story {k} is different"] * 3) for k in range(12)]
+
+
+@pytest.mark.parametrize("name", ["overflow-hidden", "content sidebar-right", "search-results", "share-price", "sidebar-right", "search"])
+def test_names_do_not_remove_the_whole_text(name):
+    assert text_of(f"<body><div class='menu'>m</div><div class='{name}'><p>The text</p><p>goes on</p></div><p>end</p></body>") == ["The text", "goes on", "end"]
+    assert text_of(f"<body><div class='{name}'><p>x</p><article>a<div class='ad-box'>b</div></article></div></body>") == ["a"]
+
+
+def test_names_still_remove_what_is_beside_the_text():
+    noise = "".join(f"<div class='{n}'>n</div>" for n in ("main-menu", "sidebar-left", "search-form", "share-box", "related-posts", "site-header", "ad1", "cookie-notice"))
+    assert text_of(f"<body>{noise}<p>The text of the page</p></body>") == ["The text of the page"]
+    assert text_of("<p>Text</p><div id='comments'><article>longer than the text</article></div>") == ["Text"]
+    assert text_of("<p>Text</p><div class='comment-list'>longer than the text</div>") == ["Text"]
