@@ -1,27 +1,24 @@
-"""Benchmark decontamination with SimHash windows and multi-index Hamming blocks.
+"""Benchmark decontamination with windows that start at shared shingles.
 
 An item of n words is looked for in windows of n words. A window counts if the weighted Jaccard similarity of
 its shingles (``SHINGLE`` words, repeats weigh) with the item's is ``SIMILARITY`` or more.
 
 1. Windows: a window that shares shingles with an item can be moved on, without losing any, until it starts
    with a shared shingle. So windows start where a text has a shingle of an item; other places can't be better.
-2. Fingerprints: equal windows are one. Each gets a 64-bit SimHash of its shingles.
-3. Multi-index: a fingerprint within ``RADIUS`` of an item's differs in at most RADIUS // BANDS bits in some
-   band. All such values of each band of each item are listed, so equality of a band finds every pair in the radius.
-4. Pairs within the radius are compared exactly, by counts of shingles.
+2. Equal windows are one. Each is compared exactly, by counts of shingles, with the items that share its first one: a
+   filter by fingerprints would lose pairs whose fingerprints happen to lie far apart.
 
 Everything is built from DataFrame functions. The shingles of the benchmark are broadcast only when they are
 counted to be few (``BROADCAST``), else joined with a shuffle. Texts are shingled whole; there is no cap.
 
 Defined results: words are compared in lower case; items under ``SHINGLE`` words are one shingle of their own
-length; null or empty items and texts match nothing; equal rows (and items) are each reported; other columns are not carried;
+length; null or empty items and texts match nothing; equal rows are each reported; items without an id are told apart by their words; other columns are not carried;
 an empty table gives an empty result. Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 from functools import reduce
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,11 +27,9 @@ from palimpsest.llm.shared import KEY, document_key, whole, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: At a similarity of 0.8 fingerprints differ in 10 bits on average, with a spread of 3.
-RADIUS = 20
-BANDS = (10, 9, 9, 9, 9, 9, 9)
 #: Shingles of the benchmark that may be broadcast.
 BROADCAST = 1_000_000
+ITEM = ["item_id", "item_text"]
 
 
 def words(text: str | Column) -> Column:
@@ -48,43 +43,6 @@ def shingles(listed: str, size: int) -> Column:
     return F.when(F.size(listed) >= size, hashed).otherwise(F.array().cast("array<bigint>"))
 
 
-def simhash(hashes: Column, longest: int) -> Column:
-    """Bit b is set if it is set in over half of the hashes. Several counters share a long, 16 or 32 bits each."""
-    lane = 16 if longest < 1 << 15 else 32
-    ones = sum(1 << (lane * k) for k in range(64 // lane))
-    adding = lambda j: lambda a, h: a + F.shiftrightunsigned(h, j).bitwiseAND(F.lit(ones))
-    bits = []
-    size = F.size(hashes)
-    for j in range(lane):
-        counters = F.aggregate(hashes, F.lit(0).cast("bigint"), adding(j))
-        for k in range(64 // lane):
-            count = F.shiftrightunsigned(counters, lane * k).bitwiseAND(F.lit((1 << lane) - 1))
-            bit = 1 << (j + lane * k)
-            bits.append((count, bit - (1 << 64) if bit >> 63 else bit))
-    chosen = [F.when(2 * count > size, F.lit(bit)).otherwise(F.lit(0)).cast("bigint") for count, bit in bits]
-    return reduce(lambda a, b: a.bitwiseOR(b), chosen)
-
-
-def bands(fp: Column) -> list[Column]:
-    """Each band's value, with the band's number."""
-    out, at = [], 0
-    for number, width in enumerate(BANDS):
-        value = F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
-        out.append(F.struct(F.lit(number).alias("band"), value.alias("value")))
-        at += width
-    return out
-
-
-def _near_values(radius: int) -> Column:
-    """For each band, all patterns of at most ``radius // len(BANDS)`` flipped bits."""
-    flips = []
-    for number, width in enumerate(BANDS):
-        for k in range(radius // len(BANDS) + 1):
-            flips += [(number, sum(1 << b for b in chosen)) for chosen in combinations(range(width), k)]
-    listed = ", ".join(f"struct({n} as band, {f} as flip)" for n, f in flips)
-    return F.expr(f"array({listed})")
-
-
 def similarity(a: Column, b: Column) -> Column:
     """Weighted Jaccard of two arrays of hashes."""
     plain = (F.size(F.array_distinct(a)) == F.size(a)) & (F.size(F.array_distinct(b)) == F.size(b))
@@ -95,10 +53,12 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def contaminated(
-    docs: DataFrame, items: DataFrame, least: float = SIMILARITY, radius: int = RADIUS, text: str = "text", doc_id: str = "doc_id", broadcast: int = BROADCAST
+    docs: DataFrame, items: DataFrame, least: float = SIMILARITY, text: str = "text", doc_id: str = "doc_id", broadcast: int = BROADCAST
 ) -> DataFrame:
     """For each document and item that it holds: doc_id, the document key, item_id, similarity (the best), n_windows, first_word."""
     listed = items.select("item_id", words("text").alias("item_words")).where(F.size("item_words") > 0).dropDuplicates()
+    listed = listed.withColumn("item", F.md5(F.to_json(F.struct("item_id", "item_words"))))
+    listed = listed.withColumn("item_text", F.when(F.col("item_id").isNull(), F.col("item")).otherwise(F.lit("")))  # tells items without an id apart
     listed = listed.withColumn("k", F.least(F.size("item_words"), F.lit(SHINGLE)))
     sizes = sorted(row["k"] for row in listed.select("k").distinct().collect())  # at most SHINGLE numbers
     if not sizes:
@@ -109,7 +69,7 @@ def contaminated(
     small = (lambda frame: F.broadcast(frame)) if many <= broadcast else (lambda frame: frame)
 
     keyed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), *document_key(doc_id, text), words(text).alias("words"))
-    starts = listed.select("item_id", "k", F.size("item_shingles").alias("m"), F.explode("item_shingles").alias("h")).dropDuplicates()
+    starts = listed.select("item", "k", F.size("item_shingles").alias("m"), F.explode("item_shingles").alias("h")).dropDuplicates()
     marks = starts.select("k", "h").distinct()
     hits = reduce(
         DataFrame.unionByName,
@@ -136,23 +96,15 @@ def contaminated(
     cut = written(cut.select(*KEY, "k", "at", "h", "m", *content, "window"), "windows")
 
     ident = ["k", "h", "m", "w1", "w2"]
-    kept = cut.groupBy(ident).agg(F.first("window").alias("window")).withColumn("fp", simhash(F.col("window"), longest))
-    pairs = kept.join(small(starts), ["k", "h", "m"])
-    item_fp = listed.select("item_id", "k", "item_shingles", simhash(F.col("item_shingles"), longest).alias("item_fp")).dropDuplicates(["item_id", "item_shingles"])
-    near = item_fp.withColumn("band", F.explode(F.array(*bands(F.col("item_fp"))))).withColumn("flip", F.explode(_near_values(radius)))
-    near = near.where("flip.band = band.band").select(
-        "item_id", "k", F.col("band.band").alias("band"), F.col("band.value").bitwiseXOR(F.col("flip.flip")).alias("value"), "item_fp", "item_shingles"
-    )
-    banded = pairs.select(*ident, "item_id", "window", "fp", F.explode(F.array(*bands(F.col("fp")))).alias("b"))
-    found = banded.select(*ident, "item_id", "window", "fp", "b.*").join(near, ["item_id", "k", "band", "value"])
-    found = found.where((F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius) & (F.size("item_shingles") == F.col("m")))
-    found = found.dropDuplicates([*ident, "item_id", "item_fp"]).withColumn("similarity", similarity(F.col("window"), F.col("item_shingles")))
-    found = written(found.where(F.col("similarity") >= least).select(*ident, "item_id", "similarity"), "matches")
+    kept = cut.groupBy(ident).agg(F.first("window").alias("window"))
+    compared = kept.join(small(starts), ["k", "h", "m"]).join(small(listed.select("item", *ITEM, "item_shingles")), "item")
+    found = compared.withColumn("similarity", similarity(F.col("window"), F.col("item_shingles")))
+    found = written(found.where(F.col("similarity") >= least).select(*ident, *ITEM, "similarity"), "matches")
 
-    best = cut.select(*KEY, "at", *ident).join(found, ident).groupBy(*KEY, "item_id").agg(
+    best = cut.select(*KEY, "at", *ident).join(found, ident).groupBy(*KEY, *ITEM).agg(
         F.max("similarity").alias("similarity"), F.countDistinct("at").alias("n_windows"), F.min_by("at", F.struct(-F.col("similarity"), "at")).alias("first_word")
     )
-    return keyed.select("doc_id", *KEY).join(best, KEY)
+    return keyed.select("doc_id", *KEY).join(best.drop("item_text"), KEY)
 
 
 def clean(docs: DataFrame, items: DataFrame, **options: float) -> DataFrame:

@@ -78,6 +78,19 @@ def test_decontamination_finds_what_brute_force_finds(spark):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_needs_no_item_id_and_no_luck(spark):
+    rng = random.Random(4)
+    items = [" ".join(f"v{rng.randrange(10**6)}" for _ in range(13)) for _ in range(20000)]
+    docs = docs_of(spark, [item.rsplit(" ", 1)[0] + " other" for item in items])  # 8 of 10 shingles shared
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = decontaminate.contaminated(docs, bench)
+    assert found.where("doc_id = item_id and round(similarity, 6) = 0.8").count() == len(items)
+    some = docs_of(spark, [items[0], items[1], items[0] + " and " + items[1], "free of them all, every one"])
+    unnamed = spark.createDataFrame([(None, items[0]), (None, items[1])], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontaminate.contaminated(some, unnamed).collect()) == [0, 1, 2, 2]
+    assert [r.doc_id for r in decontaminate.clean(some, unnamed).collect()] == [3]
+
+
 def chunked(text):
     import hashlib
 
