@@ -1,12 +1,12 @@
-"""Registered queries of the ten operators, with SQL where it can express them."""
+"""Registered queries of the operators, with SQL where it can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import chat, decontaminate, line_chunks, mixing, packing, quality, simhash, style_tree, suffix, toxicity
-from palimpsest.llm.shared import table, written
+from palimpsest.llm import chat, decontaminate, line_chunks, mixing, packing, periodic, quality, simhash, style_tree, suffix, toxicity
+from palimpsest.llm.shared import WORD, table, written
 
 #: Target weights of the mixing query and of the pipeline: sources below src10 are the domain "open", the rest "curated".
 MIX_WEIGHTS = (
@@ -83,6 +83,28 @@ def op10_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(written(docs, "sizes"), mix_weights(spark), budget_share=1.0, max_epochs=3, seed=MIX_SEED)
 
 
+def with_planted_period(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text`` where the contract's tenth of the documents goes on from word a in periods of p words."""
+    hashed = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    chosen = F.when(F.col("h") % 10 == 0, F.regexp_extract_all(F.col("text"), F.lit(f"({WORD})"), F.lit(1)))
+    split = hashed.withColumn("w", chosen).withColumn("n", F.size("w")).withColumn("g", F.floor(F.col("h") / 10))
+    placed = split.withColumn("a", F.when(F.col("n") > 0, F.expr("cast(pmod(g, n) as int)")))
+    placed = placed.withColumn("p", F.expr("cast(1 + (n - a) div (3 + pmod(g, 8)) as int)"))
+    tail = F.expr("slice(flatten(array_repeat(slice(w, a + 1, p), cast((n - a + p - 1) div p as int))), 1, n - a)")
+    return placed.select("doc_id", F.when(F.col("n") > 0, F.array_join(F.concat(F.expr("slice(w, 1, a)"), tail), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic.periodic_runs(with_planted_period(table(spark, folder, "documents")))
+    # exact below 2**26 words: unequal quotients of so small numbers differ as doubles too
+    best = F.array_max(F.transform("runs", lambda r: F.struct((r["length"] / r["period"]).alias("times"), (-r["start"]).alias("s"), (-r["period"]).alias("p"), r["length"].alias("length"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.s")).alias("start"), "best.length", (-F.col("best.p")).alias("period"),
+        F.expr("(1000 * best.length) div (-best.p)").alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -127,7 +149,7 @@ child{k} as (select {own}, max(u{k}) as cap, max(w{k}) as weight, max(q{k - 1})
 ),{",".join(levels)}, final as (select domain, la, so, tokens, q3 as quota from level3)"""
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_toxicity, op3_line_dedup, op3_passage_dedup, op4_decontamination, op5_suffix_array_dedup, op6_quality_rules, op7_simhash_near_dedup, op8_chat_formatting, op9_token_packing, op10_source_mixing, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_toxicity, op3_line_dedup, op3_passage_dedup, op4_decontamination, op5_suffix_array_dedup, op6_quality_rules, op7_simhash_near_dedup, op8_chat_formatting, op9_token_packing, op10_source_mixing, op11_periodic_runs, pipeline)}
 ORACLES: dict[str, str] = {
     # lines, rolling hash of two line hashes, chunks, and all but the first of equal chunks cut
     "op3_line_dedup": """
