@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import chat, decontaminate, line_chunks, mixing, packing, periodic, quality, simhash, spelling, style_tree, suffix, toxicity
+from palimpsest.llm import chat, decontaminate, line_chunks, mixing, packing, periodic, quality, secret_scan, simhash, spelling, style_tree, suffix, toxicity
 from palimpsest.llm.shared import WORD, table, written
 
 #: Target weights of the mixing query and of the pipeline: sources below src10 are the domain "open", the rest "curated".
@@ -105,6 +105,17 @@ def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_scan.secrets(table(spark, folder, "documents"))
+    names = F.array(*(F.lit(k) for k in secret_scan.KINDS))
+    base = F.filter("spans", lambda s: s["probability"].isNull())
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", *(count(k).alias(f"n_{secret_scan.KINDS[k]}") for k in range(3)), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), count(3).alias("n_network")
+    )
+
+
 def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     hashed = F.crc32(F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("")), "run").cast("binary"))
     at = F.pmod(hashed, F.length("run")).cast("int")
@@ -157,7 +168,7 @@ child{k} as (select {own}, max(u{k}) as cap, max(w{k}) as weight, max(q{k - 1})
 ),{",".join(levels)}, final as (select domain, la, so, tokens, q3 as quota from level3)"""
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_toxicity, op3_line_dedup, op3_passage_dedup, op4_decontamination, op5_suffix_array_dedup, op6_quality_rules, op7_simhash_near_dedup, op8_chat_formatting, op9_token_packing, op10_source_mixing, op11_periodic_runs, op13_spelling_variants, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_toxicity, op3_line_dedup, op3_passage_dedup, op4_decontamination, op5_suffix_array_dedup, op6_quality_rules, op7_simhash_near_dedup, op8_chat_formatting, op9_token_packing, op10_source_mixing, op11_periodic_runs, op12_secret_scan, op13_spelling_variants, pipeline)}
 ORACLES: dict[str, str] = {
     # lines, rolling hash of two line hashes, chunks, and all but the first of equal chunks cut
     "op3_line_dedup": """
