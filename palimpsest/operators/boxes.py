@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import constants as C
 from palimpsest.functions.arrays import one_of
+from palimpsest.operators.components import components
+from palimpsest.operators.ordered import stored
 from palimpsest.operators.skew import (
     HOT_ROWS,
     checkpointed,
@@ -22,6 +27,8 @@ from palimpsest.operators.stats import percent
 BOX = ["x1", "y1", "x2", "y2"]
 # Each box is compared with all kept ones, so suppression inside one row is for fewer boxes.
 SUPPRESSION_ROWS = 2_000
+# Boxes that one task goes through in order, looking up the kept ones near each.
+SWEPT_ROWS = 200_000
 
 
 def logo_classes(spark: SparkSession, path: str | None = None) -> DataFrame:
@@ -86,8 +93,14 @@ def suppress(
     key: str = "doc_id",
     by_class: bool = True,
     limit: int = SUPPRESSION_ROWS,
+    swept: int = SWEPT_ROWS,
 ) -> DataFrame:
-    """Drop boxes that overlap a kept, surer box of the same document and class."""
+    """Drop boxes that overlap a kept, surer box of the same document and class.
+
+    Groups of up to `limit` boxes are compared inside one row, groups of up to `swept` are gone through by one task with
+    a grid. Larger groups fall apart into components of the grid first, each of them a group; what is
+    larger still goes in rounds.
+    """
     keys = [key, "class_id"] if by_class else [key]
     plain, hot = split_hot(boxes, keys, hot_keys(boxes, keys, limit))
     item = F.struct(
@@ -108,11 +121,116 @@ def suppress(
     )
     if hot is None:
         return out
-    return out.unionByName(_suppress_hot(hot, keys, iou))
+    many, more = split_hot(hot, keys, hot_keys(hot, keys, swept))
+    out = out.unionByName(_swept(many, keys, iou))
+    return out if more is None else out.unionByName(_suppress_parts(more, keys, iou, swept))
+
+
+def _swept(boxes: DataFrame, group: list[str], iou: float) -> DataFrame:
+    """Suppression of each group in one task."""
+    return boxes.groupBy(*group).applyInArrow(_sweep(iou), boxes.schema)
+
+
+def _sweep(iou: float) -> Callable[[pa.Table], pa.Table]:
+    """Go through the boxes, the surest first, and keep each that no kept box near it overlaps.
+
+    Kept boxes stand in a grid by size and position. Few of them fit into the cells near a box, since they overlap little, so
+    the work grows with the number of boxes alone.
+    """
+    steps = math.ceil(math.log2(1 / iou))
+
+    def run(rows: pa.Table) -> pa.Table:
+        x1, y1, x2, y2 = (rows[c].to_numpy().astype(np.int64) for c in BOX)
+        order = np.lexsort((y2, x2, y1, x1, rows["seq"].to_numpy(), -rows["confidence"].to_numpy()))
+        grid: dict[tuple[int, int], dict[tuple[int, int], list[tuple[int, int, int, int]]]] = {}
+        stays = []
+        for k in order.tolist():
+            a, b, c, d = int(x1[k]), int(y1[k]), int(x2[k]), int(y2[k])
+            wide, high = c - a, d - b
+            if wide <= 0 or high <= 0:
+                stays.append(k)  # without an area it overlaps nothing
+                continue
+            own = (wide.bit_length() - 1, high.bit_length() - 1)
+            if not _hit(grid, own, steps, iou, a, b, c, d):
+                stays.append(k)
+                cell = ((a + c) >> (own[0] + 1), (b + d) >> (own[1] + 1))
+                grid.setdefault(own, {}).setdefault(cell, []).append((a, b, c, d))
+        return rows.take(pa.array(stays, pa.int64()))
+
+    return run
+
+
+def _hit(
+    grid: dict, own: tuple[int, int], steps: int, iou: float, a: int, b: int, c: int, d: int
+) -> bool:
+    """Whether a kept box of a like size, in a cell that is near enough, shares more than `iou`."""
+    for (sw, sh), cells in grid.items():
+        if abs(sw - own[0]) > steps or abs(sh - own[1]) > steps:
+            continue
+        reach_x, reach_y = c - a + (2 << sw), d - b + (2 << sh)  # twice how far the centres may lie apart
+        for cx in range((a + c - reach_x) >> (sw + 1), ((a + c + reach_x) >> (sw + 1)) + 1):
+            for cy in range((b + d - reach_y) >> (sh + 1), ((b + d + reach_y) >> (sh + 1)) + 1):
+                for p, q, r, s in cells.get((cx, cy), ()):
+                    inter = float(max(min(c, r) - max(a, p), 0)) * max(min(d, s) - max(b, q), 0)
+                    area = float(c - a) * (d - b) + float(r - p) * (s - q)
+                    if inter > iou * (area - inter):
+                        return True
+    return False
+
+
+def _in_cells(boxes: DataFrame) -> DataFrame:
+    """Boxes with an area, in cells by size and position."""
+    return (
+        boxes.withColumn("_sw", F.floor(F.log2(F.col("x2") - F.col("x1"))).cast("int"))
+        .withColumn("_sh", F.floor(F.log2(F.col("y2") - F.col("y1"))).cast("int"))
+        .withColumn("_cx", F.expr("cast(floor((x1 + x2) / 2 / pow(2, _sw)) as bigint)"))
+        .withColumn("_cy", F.expr("cast(floor((y1 + y2) / 2 / pow(2, _sh)) as bigint)"))
+    )
+
+
+def _suppress_parts(boxes: DataFrame, keys: list[str], iou: float, swept: int) -> DataFrame:
+    """Suppression of groups that fall apart into components of neighbouring cells.
+
+    Cells are nodes, and edges go to the occupied cells that a box of theirs could overlap; boxes of two
+    components never overlap. A node is a hash: two cells that share one only join their components.
+    """
+    solid = "x2 > x1 and y2 > y1"
+    placed = stored(_in_cells(boxes.where(solid)))
+    cells = ["_sw", "_sh", "_cx", "_cy"]
+    node = F.xxhash64(*keys, *cells)
+    occupied = stored(placed.select(*keys, *cells).distinct().withColumn("node", node))
+    near = _linked_cells(occupied, iou).select(F.col("node").alias("a"), node.alias("b"))
+    edges = near.join(occupied.select(F.col("node").alias("b")), "b", "left_semi")
+    labels = components(occupied.select("node"), edges)
+    parts = placed.withColumn("node", node).join(labels, "node").drop("node", *cells)
+    group = [*keys, "root"]
+    parts, large = split_hot(stored(parts), group, hot_keys(parts, group, swept))
+    out = _swept(parts, group, iou).drop("root").select(*boxes.columns)
+    out = out.unionByName(boxes.where(f"not ({solid})"))
+    return out if large is None else out.unionByName(_suppress_hot(large.select(*boxes.columns), keys, iou))
+
+
+def _linked_cells(occupied: DataFrame, iou: float) -> DataFrame:
+    """For each cell, all cells that may hold a box overlapping one of its own, from its own width class up."""
+    steps = math.ceil(math.log2(1 / iou))
+
+    def cells(at: str, size: str, scale: str) -> Column:
+        # the centres of two boxes that meet lie less than both widths apart
+        reach = f"(pow(2, {size}) + pow(2, {scale}))"
+        low, high = f"({at} * pow(2, {size}) - {reach})", f"(({at} + 1) * pow(2, {size}) + {reach})"
+        return F.explode(F.expr(f"sequence(cast(floor({low} / pow(2, {scale})) as bigint), cast(floor({high} / pow(2, {scale})) as bigint))"))
+
+    moved = occupied.withColumns({f"_of{c}": F.col(c) for c in ("_sw", "_sh", "_cx", "_cy")})
+    return (
+        moved.withColumn("_sw", F.explode(F.sequence(F.col("_of_sw"), F.col("_of_sw") + steps)))
+        .withColumn("_sh", F.explode(F.sequence(F.col("_of_sh") - steps, F.col("_of_sh") + steps)))
+        .withColumn("_cx", cells("_of_cx", "_of_sw", "_sw"))
+        .withColumn("_cy", cells("_of_cy", "_of_sh", "_sh"))
+    )
 
 
 def _suppress_hot(boxes: DataFrame, keys: list[str], iou: float) -> DataFrame:
-    """Suppression for groups of very many boxes, in rounds over a grid.
+    """Suppression for components of very many boxes, in rounds over a grid.
 
     Boxes that overlap enough are alike in size and close in position, so each box falls in a
     cell of its size class and only neighbouring cells matter. In each round the best box of
@@ -126,14 +244,7 @@ def _suppress_hot(boxes: DataFrame, keys: list[str], iou: float) -> DataFrame:
     flat = boxes.where("not (x2 > x1 and y2 > y1)")
     best = solid.groupBy(*keys, *BOX).agg(F.min_by(whole, order).alias("b"))
     cells = ["_sw", "_sh", "_cx", "_cy"]
-    pending = (
-        best.select("b.*")
-        .withColumn("_sw", F.floor(F.log2(F.col("x2") - F.col("x1"))).cast("int"))
-        .withColumn("_sh", F.floor(F.log2(F.col("y2") - F.col("y1"))).cast("int"))
-        .withColumn("_cx", F.expr("cast(floor((x1 + x2) / 2 / pow(2, _sw)) as bigint)"))
-        .withColumn("_cy", F.expr("cast(floor((y1 + y2) / 2 / pow(2, _sh)) as bigint)"))
-    )
-    pending = checkpointed(pending)
+    pending = checkpointed(_in_cells(best.select("b.*")))
     kept = flat
     place = [*keys, *cells]
     while not pending.isEmpty():

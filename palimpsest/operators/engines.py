@@ -81,8 +81,12 @@ def ner_confidence(span: str) -> str:
     return f"least(greatest({score}, 0.0D), 1.0D)"
 
 
-def adapt(raws: str, text: str = "text") -> str:
-    """Raw rows of one document as findings, with each engine's labels, scores and cut."""
+def adapt(raws: str, text: str = "text", chars: str | None = None, span: str | None = None) -> str:
+    """Raw rows of one document as findings, with each engine's labels, scores and cut.
+
+    `chars` and `span` may stand for the length of the text and the span of row `r`, where the text isn't at hand.
+    """
+    chars = chars or f"length({text})"
     numbers = " ".join(f"when '{e}' then {i}" for i, e in enumerate(C.ENGINES))
     transformer_label = one_of("upper(r.raw_label)", C.TRANSFORMER_LABELS, "r.raw_label")
     shaped = finding(
@@ -99,12 +103,12 @@ def adapt(raws: str, text: str = "text") -> str:
         f"when 'transformers' then {among('upper(r.raw_label)', C.TRANSFORMER_SENSITIVE)} "
         "else true end",
     )
-    span = f"substring({text}, r.start + 1, r.end - r.start)"
+    span = span or f"substring({text}, r.start + 1, r.end - r.start)"
     cut = (
         f"case f.engine when 'spacy' then {C.NER_THRESHOLD}D "
         f"when 'transformer' then {C.TRANSFORMER_THRESHOLD}D else double('-infinity') end"
     )
-    valid = f"filter({raws}, r -> {fault('r.', f'length({text})')} is null)"
+    valid = f"filter({raws}, r -> {fault('r.', chars)} is null)"
     found = f"transform({valid}, r -> {let(span, 'span', shaped)})"
     wanted = f"filter({found}, f -> f.label is not null and f.confidence >= {cut})"
     return f"cast({wanted} as array<{FINDING}>)"

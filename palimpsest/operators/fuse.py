@@ -15,9 +15,9 @@ def context_window(text: str, start: str, end: str, size: int = C.CONTEXT_WINDOW
     )
 
 
-def context_score(text: str, f: str) -> str:
-    """Support for finding `f` from words of its label's category near the span."""
-    window = context_window(text, f"{f}.start", f"{f}.end")
+def context_score(text: str, f: str, window: str | None = None) -> str:
+    """Support for finding `f` from words of its label's category near the span (or in a `window` cut before)."""
+    window = window or context_window(text, f"{f}.start", f"{f}.end")
     boosts = ", ".join(f"{v}D" for v in C.CONTEXT_BOOST)
 
     def boost(category: str) -> str:
@@ -36,10 +36,10 @@ def context_score(text: str, f: str) -> str:
     return f"case {' '.join(cases)} else 0.0D end"
 
 
-def with_context(findings: str, text: str = "text") -> str:
+def with_context(findings: str, text: str = "text", window: str | None = None) -> str:
     """Findings with their context score added to the confidence, at most 1."""
     rescored = finding("f", confidence="least(f.confidence + support, 1.0D)", context_score="support")
-    return f"transform({findings}, f -> {let(context_score(text, 'f'), 'support', rescored)})"
+    return f"transform({findings}, f -> {let(context_score(text, 'f', window), 'support', rescored)})"
 
 
 def merge_overlaps(findings: str) -> str:
