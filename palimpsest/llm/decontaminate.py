@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import KEY, document_key, whole, written
+from palimpsest.llm.shared import KEY, document_key, own_names, whole, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -107,6 +107,7 @@ def contaminated(
     return keyed.select("doc_id", *KEY).join(best.drop("item_text"), KEY)
 
 
+@own_names()
 def clean(docs: DataFrame, items: DataFrame, **options: float) -> DataFrame:
     """``docs`` without the documents that hold an item. All columns stay."""
     bad = contaminated(docs, items, **options).select(*KEY).distinct()

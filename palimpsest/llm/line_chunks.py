@@ -24,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import KEY, document_key, whole
+from palimpsest.llm.shared import KEY, document_key, own_names, whole
 
 #: Factor, modulus and divisor of the rolling hash: one boundary in DIVISOR lines.
 FACTOR, MODULUS, DIVISOR = 131, 2**31 - 1, 3
@@ -71,6 +71,7 @@ def repeated_chunks(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     return again.where(~same).select(*KEY, "line").distinct()
 
 
+@own_names()
 def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with repeated chunks cut from ``text``; ``n_removed_chunks`` and ``n_removed_lines`` are added."""
     gone = repeated_chunks(docs, text, doc_id).groupBy(KEY).agg(F.collect_set("line").alias("__gone"))  # at most the lines of a text
@@ -113,6 +114,7 @@ def repeated_pairs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     return pairs.join(known, ["h1", "h2"]).where(F.struct("none", *KEY, "line") != F.col("first")).select(*KEY, "line", "until")
 
 
+@own_names()
 def without_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with repeated passages of two lines or more cut from ``text``; ``n_removed_lines`` is added."""
     gone = repeated_pairs(docs, text, doc_id).groupBy(KEY).agg(F.collect_set(F.struct("line", "until")).alias("__gone"))  # at most the lines of a text

@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import WORD, whole, written
+from palimpsest.llm.shared import WORD, own_names, whole, written
 
 LEVELS = ("domain", "lang", "source")
 #: Hex digits of the order key that name its bucket.
@@ -98,6 +98,7 @@ def order_key(seed: int, epoch: Column, doc_id: str = "doc_id") -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
 
 
+@own_names()
 def mix(
     docs: DataFrame,
     weights: DataFrame,
@@ -149,6 +150,7 @@ def mix(
     )
 
 
+@own_names()
 def repeated(taken: DataFrame, copies: str = "copies") -> DataFrame:
     """A row for each copy."""
     columns = [c for c in taken.columns if c != copies]

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +26,30 @@ def written(frame: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def own_names(place: int = 0) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
+    """For operators that keep their caller's columns and add helpers of their own, whose names start with ``_``.
+
+    Columns of argument ``place`` that start so are given a name drawn for this call, in the arguments that name them too,
+    and have their own name again in the result. So no helper can stand for a column of the caller's.
+    """
+
+    def around(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @wraps(operator)
+        def run(*given, **named):
+            docs = given[place]
+            drawn = {c: f"own{uuid.uuid4().hex}" for c in docs.columns if c.startswith("_")}
+            if not drawn:
+                return operator(*given, **named)
+            meant = lambda x: drawn.get(x, x) if isinstance(x, str) else tuple(meant(y) for y in x) if isinstance(x, (list, tuple)) else x
+            rest = [docs.withColumnsRenamed(drawn) if k == place else meant(x) for k, x in enumerate(given)]
+            out = operator(*rest, **{k: meant(x) for k, x in named.items()})
+            return out.withColumnsRenamed({new: old for old, new in drawn.items()})
+
+        return run
+
+    return around
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

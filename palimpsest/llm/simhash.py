@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.components import roots
-from palimpsest.llm.shared import KEY, document_key, written
+from palimpsest.llm.shared import KEY, document_key, own_names, written
 
 SHINGLE_WORDS = 4
 SEED = 42
@@ -249,6 +249,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, **shape: int) -> Data
     return fps.join(components(fps, radius, **shape), "fp")
 
 
+@own_names()
 def deduplicated(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest id. All columns stay."""
     found = near_duplicates(docs, radius)

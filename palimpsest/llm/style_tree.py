@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import written
+from palimpsest.llm.shared import own_names, written
 
 #: A branch is low below this importance, seen on at least this many pages of the host.
 LOW, PAGES = 0.2, 5
@@ -340,6 +340,7 @@ def low_leaves(parsed: DataFrame, low: float, least_pages: int) -> DataFrame:
     return may.join(lows, ["__host", "node"]).join(wholes, ["__host", "whole"]).where("content < all").select("__host", "leaf").distinct()
 
 
+@own_names()
 def main_text(pages: DataFrame, low: float = LOW, least_pages: int = PAGES, page: str = "html", url: str = "url") -> DataFrame:
     """``pages`` without ``page``, with ``text`` and ``n_chars``."""
     columns = [c for c in pages.columns if c not in (page, "text", "n_chars")]

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from palimpsest.llm.shared import written
+from palimpsest.llm.shared import own_names, written
 
 #: Marked rows that the model is fitted on, at most.
 SAMPLE = 10_000
@@ -195,6 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = VO
     return Model(voters, _linear((signs - centre) / scale, post), centre, scale, toxic / total)
 
 
+@own_names()
 def scored(docs: DataFrame, model: Model, text: str = "text", score: str = "score", predicted: str = "predicted") -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on), in place of columns of those names."""
     columns = [c for c in docs.columns if c not in (score, predicted)]
