@@ -12,27 +12,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm import decontaminate, mixing, packing, simhash, toxicity
 from palimpsest.llm.queries import MIX_SEED, domain, mix_weights
-from palimpsest.llm.shared import table, written
+from palimpsest.llm.shared import own_names, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+@own_names(1)
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly supervised classifier doesn't call toxic. It learns from the marked rows that aren't held out."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.scored(docs, model, score="__score", predicted="__predicted").where("__predicted = 0").select(*docs.columns)
 
 
+@own_names(1)
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of SimHash near duplicates, the one with the smallest id."""
     return simhash.deduplicated(docs)
 
 
+@own_names(1)
 def benchmarks_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+@own_names(1)
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents by target weights, as many tokens as there are; a document taken in several epochs stands in as many rows."""
     sized = docs.select("*", domain().alias("__of"), mixing.token_count().alias("__size"))
