@@ -166,11 +166,13 @@ class Network:
         w, half = self.weights, WIDTH // 2
         sizes = np.array([len(x) for x in windows], np.int64)
         starts = np.cumsum(np.append(0, sizes[:-1]))
-        symbols = np.concatenate([np.full(half, OUTSIDE), *windows, np.full(half, OUTSIDE)])
+        gap = np.full(half, OUTSIDE)
+        symbols = np.concatenate([gap, *(x for window in windows for x in (window, gap))])  # no window sees into the next
         n = int(sizes.sum())
+        at = np.arange(n) + half * np.repeat(np.arange(len(windows)), sizes)
         raw = np.tile(w["conv_bias"], (n, 1))
         for k in range(WIDTH):
-            raw += w["conv"][k][symbols[k : k + n]]
+            raw += w["conv"][k][symbols[at + k]]
         active = np.maximum(raw, 0)
         # three parts of each window: before, the candidate, behind
         parts = np.stack([starts, starts + AROUND, starts + sizes - AROUND], axis=1).ravel()
@@ -179,7 +181,7 @@ class Network:
         mean = np.add.reduceat(active, parts, axis=0)[1::3] / inner[:, None]
         pooled = np.concatenate([most.reshape(len(windows), -1), mean, np.log(inner)[:, None]], axis=1)
         hidden = np.maximum(pooled @ w["hidden"] + w["hidden_bias"], 0)
-        return hidden @ w["out"] + w["out_bias"][0], {"symbols": symbols, "active": active, "parts": parts, "most": most, "inner": inner, "pooled": pooled, "hidden": hidden, "n": n}
+        return hidden @ w["out"] + w["out_bias"][0], {"symbols": symbols, "at": at, "active": active, "parts": parts, "most": most, "inner": inner, "pooled": pooled, "hidden": hidden, "n": n}
 
     def gradient(self, seen: dict, by_logit: np.ndarray) -> dict[str, np.ndarray]:
         w, n = self.weights, seen["n"]
@@ -194,7 +196,7 @@ class Network:
         active = (active + np.repeat(mean, lengths, axis=0)) * (seen["active"] > 0)
         conv = np.zeros_like(w["conv"])
         for k in range(WIDTH):
-            symbols = seen["symbols"][k : k + n]
+            symbols = seen["symbols"][seen["at"] + k]
             order = np.argsort(symbols, kind="stable")
             first = np.flatnonzero(np.append(True, np.diff(symbols[order]) != 0))
             conv[k][symbols[order][first]] = np.add.reduceat(active[order], first, axis=0)
