@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.checks import sql as S
@@ -16,7 +16,7 @@ from palimpsest.operators.skew import shared_folder
 from palimpsest.plans.detection import detect
 from palimpsest.plans.documents import Processed, process_batch, process_documents
 from palimpsest.sources import intake
-from palimpsest.sources.sinks import detection_rows, in_input_order, reports, responses
+from palimpsest.sources.sinks import detection_rows, reports, responses, written_in_order
 from palimpsest.streaming.streams import anonymized_stream, run_available
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -260,12 +260,9 @@ def batch_job(spark: SparkSession, sf: str) -> DataFrame:
 
 def batch_in_order(spark: SparkSession, sf: str) -> DataFrame:
     """Results in the order their texts came in; the place each takes when written so."""
-    done = in_input_order(process_batch(batches(spark, sf), batch_key="conv_id"), "conv_id", "batch_pos")
-    folder = f"{shared_folder(spark)}/ordered"
-    done.select("doc_id").withColumn("at", F.monotonically_increasing_id()).write.parquet(folder)
-    stored = spark.read.schema("doc_id string, at bigint").parquet(folder)
-    window = Window.orderBy("at")
-    return stored.select("doc_id", (F.row_number().over(window) - 1).alias("place"))
+    done = process_batch(batches(spark, sf), batch_key="conv_id").select("doc_id", "conv_id", "batch_pos")
+    placed = written_in_order(done, f"{shared_folder(spark)}/ordered", "conv_id", "batch_pos")
+    return placed.select("doc_id", F.col("place").cast("int").alias("place"))
 
 
 def reduced_engines(spark: SparkSession, sf: str) -> DataFrame:

@@ -14,13 +14,12 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import constants as C
 from palimpsest.functions.arrays import fold_to_array
+from palimpsest.operators.ordered import RANGE_ROWS, in_ranges, numbered
 from palimpsest.operators.skew import (
     HOT_ROWS,
     chunk_carry,
     hot_keys,
     join_dimension,
-    number_rows,
-    ordered_chunks,
     split_hot,
 )
 
@@ -178,6 +177,7 @@ def combined_tokens(
     key: str = "doc_id",
     limit: int = HOT_ROWS,
     counted: Counted | None = None,
+    rows: int = RANGE_ROWS,
 ) -> DataFrame:
     """Tokens that count, numbered as `place` in combined order."""
     plain, hot = (counted or count_tokens(tokens, key, limit)).split(tokens, key)
@@ -191,10 +191,9 @@ def combined_tokens(
         return out
     used = _used_hot(hot, docs, use_fallback, key)
     order = [F.col("_rank"), F.col("slot"), F.col("seq")]
-    tie = F.col("slot") * F.lit(1 << 32) + F.col("seq")
-    numbered = number_rows(used, [key], order, F.col("_rank"), "place", limit, tie)
-    numbered = numbered.withColumn("place", F.col("place") - 1)
-    return out.unionByName(numbered.select(*out.columns))
+    placed = numbered(used, [key], order, "place", rows)
+    placed = placed.withColumn("place", (F.col("place") - 1).cast("int"))
+    return out.unionByName(placed.select(*out.columns))
 
 
 def _used_hot(tokens: DataFrame, docs: DataFrame, use_fallback: bool, key: str) -> DataFrame:
@@ -219,6 +218,7 @@ def page_text(
     key: str = "doc_id",
     limit: int = HOT_ROWS,
     counted: Counted | None = None,
+    rows: int = RANGE_ROWS,
 ) -> DataFrame:
     """Text per document: lines from top to bottom, tokens from left to right.
 
@@ -272,14 +272,13 @@ def page_text(
     )
     if hot is None:
         return out
-    return out.unionByName(_hot_text(used_hot, key))
+    return out.unionByName(_hot_text(used_hot, key, rows))
 
 
-def _hot_text(used: DataFrame, key: str) -> DataFrame:
-    """Page text of documents with very many tokens, built in parts."""
+def _hot_text(used: DataFrame, key: str, rows: int) -> DataFrame:
+    """Page text of documents with very many tokens, built in ranges of about `rows` tokens of the full order."""
     order = [F.col(c) for c in ("y1", "x1", "_rank", "slot", "seq")]
-    position = F.col("y1").cast("double") * 1e6 + F.col("x1") + (F.col("_rank") + 1) / 2
-    chunks = ordered_chunks(used, [key], position).repartition(key, "chunk")
+    chunks = in_ranges(used, [F.col(key), *order], "chunk", rows)
     chunks = chunks.withColumn("yc", F.floor((F.col("y1") + F.col("y2")) / 2).cast("int"))
     inner = Window.partitionBy(key, "chunk").orderBy(*order)
     outer = Window.partitionBy(key).orderBy("chunk")
@@ -311,7 +310,7 @@ def _hot_text(used: DataFrame, key: str) -> DataFrame:
     )
     lined = join_dimension(flagged, carry, [key, "chunk"], "inner")
     lined = lined.withColumn("line", F.col("_line") + F.col("_offset")).drop("chunk")
-    parts = ordered_chunks(lined, [key], F.col("line") * 1e6 + F.col("x1"))
+    parts = in_ranges(lined, [F.col(c) for c in (key, "line", "x1", "y1", "_rank", "slot", "seq")], "chunk", rows)
     item = F.struct("line", "x1", "y1", "_rank", "slot", "seq", "text")
     texts = parts.groupBy(key, F.col("chunk").alias("part")).agg(
         F.array_sort(F.collect_list(item)).alias("_lines"),
@@ -341,7 +340,7 @@ def _hot_text(used: DataFrame, key: str) -> DataFrame:
     pieces = texts.select(
         key, F.struct("part", F.concat(lead, "_text").alias("text")).alias("piece"), "tokens", "total_confidence", "used_fallback"
     )
-    # at most CUTS pieces of a text that is one row in the end
+    # a piece holds many tokens, and the text is one row in the end
     return pieces.groupBy(key).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list("piece")), lambda p: p["text"]), "").alias("full_text"),
         F.sum("tokens").alias("tokens"),

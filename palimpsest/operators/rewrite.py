@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimpsest.functions import constants as C
 from palimpsest.functions.arrays import fold_to_array, let, one_of, text_literal
@@ -12,6 +18,8 @@ from palimpsest.functions.text import DEFAULT_SALT, rewritten
 AUTO = "auto"
 AUDIT_METHOD = "advanced_anonymization"
 OVERLAP_ERROR = "overlapping entities"
+# Values that are put back one after another; each is a pass over the text.
+FEW_VALUES = 16
 
 
 def chosen_strategy(
@@ -126,11 +134,14 @@ def restore_by_offsets(anonymized: str, replacements: str) -> str:
     return replace_spans(anonymized, spans, "original")
 
 
-def restore_by_mapping(docs: DataFrame, mappings: DataFrame, key: str = "doc_id") -> DataFrame:
+def restore_by_mapping(
+    docs: DataFrame, mappings: DataFrame, key: str = "doc_id", few: int = FEW_VALUES
+) -> DataFrame:
     """Put originals back by value, longest replacement first.
 
     Exact only where no two originals share a replacement, which `is_reversible` tells. A
-    document has at most as many mapping rows as its text has spans.
+    document has at most as many mapping rows as its text has spans. Up to `few` of them are replaced one after
+    another; more are found in one pass over the text.
     """
     # Of originals sharing a replacement the one placed last by the right-to-left rewrite counts.
     swapped = mappings.groupBy(key, "anonymized").agg(
@@ -152,11 +163,73 @@ def restore_by_mapping(docs: DataFrame, mappings: DataFrame, key: str = "doc_id"
         F.col("anonymized_text"),
         lambda t, m: F.replace(t, m["anonymized"], m["original"]),
     )
-    return docs.join(lists, key, "left").select(
-        key,
-        F.coalesce(restored, "anonymized_text").alias("restored_text"),
-        (F.coalesce("_shared", F.lit(1)) == 1).alias("is_reversible"),
-    )
+    reversible = (F.coalesce("_shared", F.lit(1)) == 1).alias("is_reversible")
+    joined = docs.join(lists, key, "left")
+    many = F.coalesce(F.size("_items"), F.lit(0)) > few
+    one_by_one = joined.where(~many).select(key, F.coalesce(restored, "anonymized_text").alias("restored_text"), reversible)
+    values = F.transform("_items", lambda m: F.struct(m["anonymized"].alias("anonymized"), m["original"].alias("original")))
+    given = joined.where(many).select(key, reversible, F.col("anonymized_text").alias("_text"), values.alias("_values"))
+    schema = T.StructType([*given.select(key, "is_reversible").schema, T.StructField("restored_text", T.StringType())])
+    return one_by_one.unionByName(given.mapInArrow(_restored, schema))
+
+
+def _restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pairs = ([(v["anonymized"], v["original"]) for v in values] for values in batch.column(3).to_pylist())
+        texts = [None if t is None else restored_text(t, p) for t, p in zip(batch.column(2).to_pylist(), pairs, strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], names=[*batch.schema.names[:2], "restored_text"])
+
+
+def restored_text(text: str, pairs: list[tuple[str, str]]) -> str:
+    """What replacing each value by its original, pair after pair, makes of the text.
+
+    An automaton finds all values in one pass. They are put back in the order of the pairs, and the surroundings of each
+    are looked through once more as they then are: a value that overlaps another, or that comes about only through what was put
+    back, would be replaced differently one by one, so then it is done one by one.
+    """
+    places: dict[str, tuple[int, int]] = {}  # of each value its first pair and its last
+    for k, (value, _) in enumerate(pairs):
+        if value:
+            places[value] = (places[value][0] if value in places else k, k)
+    automaton = ahocorasick.Automaton()
+    for value, (first, last) in places.items():
+        automaton.add_word(value, (first, last, len(value)))
+    if not places:
+        return text
+    automaton.make_automaton()
+    found = sorted((end + 1 - size, end + 1, k) for end, (k, _, size) in automaton.iter(text))
+    if any(b[0] < a[1] for a, b in itertools.pairwise(found)):
+        return _one_by_one(text, pairs)
+    # the text as a list of gaps and values in turn; values become originals one by one
+    edges = [0, *(x for a, b, _ in found for x in (a, b)), len(text)]
+    parts = [text[a:b] for a, b in itertools.pairwise(edges)]
+    reach = max(map(len, places)) - 1
+    for n in sorted(range(len(found)), key=lambda n: (found[n][2], n)):
+        at, k = 2 * n + 1, found[n][2]
+        parts[at] = pairs[k][1]
+        before, behind = _beside(parts, at, -1, reach), _beside(parts, at, 1, reach)
+        first, last = len(before), len(before) + len(parts[at])
+        for end, (_, latest, size) in automaton.iter(before + parts[at] + behind):
+            touches = end + 1 > first and end + 1 - size < last if last > first else end + 1 > first > end + 1 - size
+            if touches and latest > k:
+                return _one_by_one(text, pairs)
+    return "".join(parts)
+
+
+def _beside(parts: list[str], at: int, step: int, reach: int) -> str:
+    """The `reach` characters before or behind a part."""
+    out, at = "", at + step
+    while 0 <= at < len(parts) and len(out) < reach:
+        out = parts[at] + out if step < 0 else out + parts[at]
+        at += step
+    return out[-reach:] if step < 0 and reach else out[:reach]
+
+
+def _one_by_one(text: str, pairs: list[tuple[str, str]]) -> str:
+    for value, original in pairs:
+        if value:
+            text = text.replace(value, original)
+    return text
 
 
 def audit_rows(docs: DataFrame, run_ts: Column, key: str = "doc_id") -> DataFrame:

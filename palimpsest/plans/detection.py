@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import constants as C
-from palimpsest.functions.arrays import text_literal
+from palimpsest.functions.arrays import empty_array, text_literal
 from palimpsest.functions.recognisers import (
     Recogniser,
     security_id_recognisers,
     security_recognisers,
     standard_recognisers,
 )
-from palimpsest.operators.engines import attach_raw, of_engines, union_raw
+from palimpsest.operators.engines import RAW, adapt, attach_raw, of_engines, union_raw
 from palimpsest.operators.fuse import above, mean_confidence, merge_overlaps, with_context
 from palimpsest.operators.scan import scan_patterns
 
@@ -38,16 +38,18 @@ def detect(
     threshold: str | float = C.DETECTION_THRESHOLD,
     row_engines: str | None = None,
     key: str = "doc_id",
+    raw_column: str | None = None,
 ) -> DataFrame:
     """Adds findings, merged, entities, analysis, engine_confidence and engines_used.
 
     `raw_tables` holds the output of external engines by engine key; an engine without
     table and without recognisers finds nothing and is not listed as used. `row_engines`
-    narrows the engines per row.
+    narrows the engines per row. `raw_column` names an array of engine rows that the documents carry already, as
+    those of a stream do.
     """
     rules = default_recognisers(engines) if recognisers is None else recognisers
     tables = {e: t for e, t in (raw_tables or {}).items() if e in engines}
-    sources = {r.engine for r in rules} | set(tables)
+    sources = {r.engine for r in rules} | (set(tables) if raw_column is None else set(engines))
     names = [e for e in C.ENGINES if e in engines and e in sources]
     used = f"cast(array({', '.join(text_literal(n) for n in names)}) as array<string>)"
     if row_engines is not None:
@@ -68,6 +70,8 @@ def detect(
     if raw is not None:
         out = attach_raw(out, raw, "engines_used", key)
         found = f"concat({found}, ext_found)"
+    if raw_column is not None:
+        found = f"concat({found}, {of_engines(adapt(f'coalesce({raw_column}, {empty_array(RAW)})'), 'engines_used')})"
     out = out.withColumn("findings", F.expr(found))
     return (
         out.withColumn("merged", F.expr(merge_overlaps(scored)))

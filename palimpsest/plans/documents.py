@@ -202,6 +202,8 @@ def process_batch(
     `batch_key` names a column that tells batches apart; it becomes part of the ids. Failed
     documents are rows of the result. `batch_pos` restores the input order.
     """
+    if batch_key is None and len(batches.select(F.lit(1)).limit(2).collect()) > 1:
+        raise ValueError("several batches need a batch_key, or their documents share ids")
     docs = batch_documents(batches, column, batch_key=batch_key)
     if "total_time" not in docs.columns:
         docs = docs.withColumn("total_time", F.lit(None).cast("double"))

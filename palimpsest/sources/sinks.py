@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.operators.boxes import BOX
+from palimpsest.operators.ordered import running_counts, stored
+from palimpsest.operators.skew import join_dimension
 from palimpsest.operators.stats import batch_summary
 
 
@@ -117,34 +121,123 @@ def reports(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def save_batch_results(docs: DataFrame, path: str, mode: str = "error") -> None:
-    """Write processed documents, then summary, texts, results and errors derived from them.
+    """Write processed documents, then summary, texts, results and errors derived from them: all of them, or nothing.
 
-    The processed table is written once and read back, so nothing is computed twice.
+    The processed table is written once and read back, so nothing is computed twice. Everything is written to a
+    folder beside `path`, which takes its name when it is whole: a run that fails leaves no half-written set at `path`, and one
+    that is repeated starts anew. With mode `overwrite` the set before goes only then.
     """
+    if mode not in ("error", "overwrite"):
+        raise ValueError(f"Unsupported mode: {mode}")
     spark = docs.sparkSession
-    docs.write.mode(mode).parquet(f"{path}/processed")
-    done = spark.read.schema(docs.schema).parquet(f"{path}/processed")
-    batch_summary(done).write.mode(mode).json(f"{path}/batch_summary")
+    folders = _file_system(spark, path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if mode == "error" and folders.exists(target):
+        raise FileExistsError(path)
+    own = f"{path.rstrip('/')}.part-{uuid.uuid4().hex}"
+    docs.write.parquet(f"{own}/processed")
+    done = spark.read.schema(docs.schema).parquet(f"{own}/processed")
+    batch_summary(done).write.json(f"{own}/batch_summary")
     good = done.where("success")
-    good.select("doc_id", "anonymized_text").write.mode(mode).parquet(f"{path}/anonymized_text")
+    good.select("doc_id", "anonymized_text").write.parquet(f"{own}/anonymized_text")
+    ocr = F.col("ocr_confidence") if "ocr_confidence" in docs.columns else F.lit(None)
     good.select(
         "doc_id",
         F.length("text").alias("extracted_text_length"),
         "entities_found",
         "logos_found",
         "total_time",
+        ocr.cast("double").alias("ocr_confidence"),
         "pii_confidence",
         "logo_confidence",
         F.expr(
             "transform(replacements, r -> "
             "named_struct('original', r.text, 'anonymized', r.anonymized))"
         ).alias("anonymization_mapping"),
-    ).write.mode(mode).json(f"{path}/processing_results")
+    ).write.json(f"{own}/processing_results")
     done.where("not success").select(
         "doc_id", F.coalesce("error_message", F.lit("Unknown error")).alias("error")
-    ).write.mode(mode).json(f"{path}/errors")
+    ).write.json(f"{own}/errors")
+    if mode == "overwrite":
+        folders.delete(target, True)
+    if not folders.rename(spark._jvm.org.apache.hadoop.fs.Path(own), target):
+        raise FileExistsError(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    """The file system of a path, as Spark reaches it."""
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+RESULT = (
+    "doc_id {key}, extracted_text_length int, entities_found bigint, logos_found bigint, total_time double, ocr_confidence double, "
+    "pii_confidence double, logo_confidence double, anonymization_mapping array<struct<original:string,anonymized:string>>"
+)
+
+
+def saved_batch(spark: SparkSession, path: str) -> DataFrame:
+    """A saved set as one row per document: text and results of those that succeeded, the error of the others, and the number of
+    documents in the summary."""
+    processed = spark.read.parquet(f"{path}/processed")
+    key = processed.schema["doc_id"].dataType.simpleString()
+    texts = spark.read.parquet(f"{path}/anonymized_text")
+    results = spark.read.schema(RESULT.format(key=key)).json(f"{path}/processing_results")
+    errors = spark.read.schema(f"doc_id {key}, error string").json(f"{path}/errors")
+    summary = spark.read.schema("total_documents bigint, successful bigint, failed bigint").json(f"{path}/batch_summary")
+    rows = processed.select("doc_id", "success").join(texts, "doc_id", "left").join(results, "doc_id", "left").join(errors, "doc_id", "left")
+    return rows.crossJoin(F.broadcast(summary))  # the summary is one row
 
 
 def in_input_order(docs: DataFrame, *position: str) -> DataFrame:
     """Rows in the order they came in, by `batch_pos` alone or the columns given; sort only where a sink needs it."""
     return docs.orderBy(*(position or ("batch_pos",)))
+
+
+def written_in_order(docs: DataFrame, path: str, *position: str) -> DataFrame:
+    """Rows written in input order and read back with `place`, their number from 0 in that order.
+
+    The sort leaves ranges in order, and a row's place in its own range is known as it is written. What comes before a
+    range are the counts of those ahead of it, a row each; no task sees more rows than a range has.
+    """
+    at = F.monotonically_increasing_id()
+    in_input_order(docs, *position).withColumn("_at", at).write.parquet(path)
+    stored = docs.sparkSession.read.schema(docs.withColumn("_at", at).schema).parquet(path)
+    parts = stored.withColumn("_part", F.shiftright("_at", 33))
+    counts = parts.groupBy("_part").agg(F.count("*").alias("_n"))
+    placed = join_dimension(parts, running_counts(counts, "_part", "_n", "_before"), ["_part"])
+    own = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn("place", F.col("_before") + own).drop("_at", "_part", "_before")
+
+
+def write_bucketed(df: DataFrame, table: str, key: str = "doc_id", buckets: int = 200, mode: str = "error") -> DataFrame:
+    """A table of the session's catalogue, bucketed and sorted by document, and read back.
+
+    Tables of one number of buckets meet and are gathered per document without a shuffle. Choose the number so that a bucket of the
+    largest table is a partition's worth; a document with a large share of the rows makes its bucket long.
+    """
+    df.write.mode(mode).bucketBy(buckets, key).sortBy(key).format("parquet").saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
+def upsert_mapping(new: DataFrame, path: str, run: str, parts: int = 64) -> None:
+    """Bring the mapping (`original`, `anonymized`) of a run into a mapping table; later runs win.
+
+    `run` tells runs apart and orders them. The table is partitioned by a hash of the value, and only partitions that the run has
+    values of are rewritten, in one commit. Bringing the same run in again changes nothing.
+    """
+    spark = new.sparkSession
+    schema = "original string, anonymized string, run string, part int"
+    own = new.select("original", "anonymized", F.lit(run).alias("run"), F.pmod(F.xxhash64("original"), F.lit(parts)).cast("int").alias("part"))
+    own = stored(own)
+    rows = own
+    if _file_system(spark, path).exists(spark._jvm.org.apache.hadoop.fs.Path(path)):
+        touched = [r.part for r in own.select("part").distinct().collect()]  # at most `parts` numbers
+        rows = own.unionByName(spark.read.schema(schema).parquet(path).where(F.col("part").isin(touched)))
+    latest = rows.groupBy("part", "original").agg(F.max(F.struct("run", "anonymized")).alias("l"))
+    out = latest.select("original", "l.anonymized", "l.run", "part").repartition("part")
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+
+
+def stored_mapping(spark: SparkSession, path: str) -> DataFrame:
+    """The mapping table: one replacement per original."""
+    return spark.read.schema("original string, anonymized string, run string, part int").parquet(path).drop("part")

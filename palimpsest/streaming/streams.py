@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from palimpsest.functions import constants as C
+from palimpsest.operators.engines import RAW_FIELDS
 from palimpsest.operators.rewrite import anonymize
 from palimpsest.plans.detection import detect
 
@@ -60,3 +65,85 @@ def run_available(out: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
     query.awaitTermination()
     return query
+
+
+RAW_ROW = "engine string, raw_label string, start int, end int, score double, word string, seq bigint"
+
+
+def with_engine_rows(
+    docs: DataFrame, raw: DataFrame, wait: str = "10 minutes", key: str = "doc_id", at: str = "ts"
+) -> DataFrame:
+    """A stream of documents (`key`, `text`, `at`) met with a stream of engine rows (as of `union_raw`).
+
+    A document is held until documents of `wait` later have come. It goes on with the engine rows that came by then, as
+    `raw`; rows that come later, or for a document that is not held, go on by themselves with `late` set, so none is lost without a
+    trace. Documents alone move the clock, so engine rows need no time of their own. The state is the documents within
+    `wait` and their engine rows; what is remembered of a document after that is that it has gone, for as long again.
+    """
+    empty_row = F.lit(None).cast(f"struct<{_colons(RAW_ROW)}>")
+    left = docs.select(key, F.col(at), F.unix_millis(at).alias("ms"), F.coalesce("text", F.lit("")).alias("text"), empty_row.alias("row"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in ((at, "timestamp"), ("ms", "bigint"), ("text", "string"))]
+    right = raw.select(key, *none, F.struct(*RAW_FIELDS).alias("row"))
+    events = left.unionByName(right).withWatermark(at, wait)
+    kind = docs.schema[key].dataType.simpleString()
+    out = f"{key} {kind}, late boolean, text string, raw array<struct<{_colons(RAW_ROW)}>>"
+    state = f"text string, gone boolean, raw array<struct<{_colons(RAW_ROW)}>>, due long"
+    hold = int(docs.sparkSession.sql(f"select cast(interval {wait} as interval day to second) as i").first()["i"].total_seconds() * 1000)
+    return events.groupBy(key).applyInPandasWithState(
+        _held(hold, key), out, state, "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
+def _colons(fields: str) -> str:
+    return ", ".join(f.replace(" ", ": ", 1) for f in fields.split(", "))
+
+
+def _plain_row(row: dict) -> tuple:
+    """An engine row in plain numbers, as the state takes them."""
+    kinds = {"start": int, "end": int, "seq": int, "score": float}
+    return tuple(None if row[f] is None or row[f] != row[f] else kinds.get(f, str)(row[f]) for f in RAW_FIELDS)
+
+
+def _held(hold: int, key: str) -> Callable:
+    """What to do with the events of one document, its state being text, whether it has gone, and its engine rows so far."""
+
+    def run(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        text, gone, raw, due = state.get if state.exists else (None, False, [], 0)
+        raw = [tuple(r) for r in raw]
+        rows = lambda late, t, r: pd.DataFrame({key: [keys[0]], "late": [late], "text": [t], "raw": [[dict(zip(RAW_FIELDS, x, strict=True)) for x in r]]})
+        now = state.getCurrentWatermarkMs()
+
+        def kept(until: int) -> None:
+            state.update((text, gone, raw, until))
+            state.setTimeoutTimestamp(max(until, now + 1))
+
+        if state.hasTimedOut:
+            if gone:
+                state.remove()
+            elif text is None and due == 0:  # engine rows that came before the clock was known
+                kept(now + hold)
+            else:
+                yield rows(text is None, text, raw)
+                text, gone, raw = None, True, []
+                kept(max(due, now) + hold)
+            return
+        late = []
+        for batch in batches:
+            for event in batch.to_dict("records"):
+                if event["row"] is None:
+                    if not gone:
+                        text, due = event["text"], int(event["ms"])
+                else:
+                    (late if gone else raw).append(_plain_row(event["row"]))
+        if late:
+            yield rows(True, None, late)
+        if text is None and not gone:
+            due = now + hold if now else 0
+        kept(due)
+
+    return run
+
+
+def deliveries(batches: DataFrame, batch_key: str, at: str = "ts", lateness: str = "1 day") -> DataFrame:
+    """A stream of batches in which one that is delivered again within `lateness` counts once."""
+    return batches.withWatermark(at, lateness).dropDuplicatesWithinWatermark([batch_key])
