@@ -1,14 +1,18 @@
-"""Suffix arrays by induced sorting, in numpy, and common prefixes in text order.
+"""Suffix arrays by induced sorting, and common prefixes in text order.
 
-The scans of induced sorting are done in batches: the entries of a stretch of the array are induced together
-as long as none of them lands inside the stretch, and the stretch ends where the first one does. The result is
-that of the entry-by-entry scan. Work is linear in the length, apart from sorting inside a batch.
+Types, buckets and names are numpy arrays. The two scans, in which each entry may put another one ahead of itself, take one of two ways.
+Where buckets are long (the bytes of a text), they go in batches: the entries of a stretch of the array are induced together
+as long as none of them lands inside the stretch, and the stretch ends where the first one does. Where they are short (the names of
+deeper levels), they are loops over lists, with what they look up worked out beforehand. Either way the result is that of the
+entry-by-entry scan, and work is linear in the length, apart from sorting symbols inside a batch or bucket.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+#: Entries per bucket, on average, from which scans go in batches.
+CROWDED = 500
 LEAST, MOST = 64, 1 << 16
 
 
@@ -62,13 +66,54 @@ def _induce(s: np.ndarray, lms: np.ndarray, s_type: np.ndarray, counts: np.ndarr
     """Sort all suffixes (or LMS substrings) from the order of ``lms``."""
     n = len(s)
     ends = np.cumsum(counts)
-    sa = np.full(n, -1, np.int64)
-    back, _, _ = _stable_ranks(s[lms][::-1])
-    sa[ends[s[lms]] - 1 - back[::-1]] = lms
+    # ``lms`` stand at the ends of their buckets, in their order
+    keys = s[lms]
+    order = np.argsort(keys, kind="stable")
+    upto = np.bincount(keys, minlength=len(counts))
+    first = np.cumsum(upto) - upto
+    start = np.full(n, n, np.int64)  # n: nothing yet
+    start[(ends - upto)[keys[order]] + np.arange(len(lms)) - first[keys[order]]] = lms[order]
+    # for each suffix the bucket of the one before it, where that is of the type in question
+    if n > CROWDED * len(counts):
+        return _induced_in_batches(start, s, s_type, ends, counts)
+    before = np.append(-1, s[:-1])
+    before_type = np.append(True, s_type[:-1])
+    left = np.append(np.where(before_type, -1, before), -1).tolist()
+    right = np.append(np.where(before_type, before, -1), -1)
+    right[0] = -1
+    right = right.tolist()
+    sa = start.tolist()
+    head = (ends - counts).tolist()
+    for j in sa:  # the list grows ahead of the loop
+        bucket = left[j]
+        if bucket >= 0:
+            place = head[bucket]
+            sa[place] = j - 1
+            head[bucket] = place + 1
+    found = np.array(sa)
+    put = found < n
+    put[put] = s_type[found[put]]
+    found[put] = n
+    found[0] = n - 1  # the sentinel
+    sa = found.tolist()
+    tail = (ends - 1).tolist()
+    tail[0] = 0
+    for j in reversed(sa):
+        bucket = right[j]
+        if bucket >= 0:
+            place = tail[bucket]
+            sa[place] = j - 1
+            tail[bucket] = place - 1
+    return np.array(sa)
+
+
+def _induced_in_batches(sa: np.ndarray, s: np.ndarray, s_type: np.ndarray, ends: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    n = len(s)
+    sa[sa == n] = -1
     _scan(sa, s, ~s_type, ends - counts, True)
-    filled = sa >= 0
-    filled[filled] = s_type[sa[filled]]
-    sa[filled] = -1
+    smaller = sa >= 0
+    smaller[smaller] = s_type[sa[smaller]]
+    sa[smaller] = -1
     sa[0] = n - 1  # the sentinel
     _scan(sa, s, s_type & (np.arange(n) < n - 1), ends - 1, False)
     return sa

@@ -170,17 +170,19 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, ho
     filed = written(keyed.mapInArrow(_filed(length, gram), "__id long, __hash long, first long, count long, anchor long, c1 long, c2 long"), "contexts")
     seen = filed.groupBy(context).agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "first", "count")).alias("at"))
     seen = written(seen, "seen")
-    kinds = seen.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    kinds = seen.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum(F.col("at.count") + length - 1).alias("bytes")).where("kinds > 1")
     whole = filed.join(seen.where("n > 1").select(*context), context, "left_semi").select(*KEY, "first", "count")
-    mixed = seen.join(kinds, "anchor").select("anchor", "kinds", "n", "at.*")
-    wanted = mixed.groupBy(KEY).agg(F.collect_list(F.struct("anchor", "kinds", "n", "first", "count")).alias("pieces"))  # at most the contexts of a text
+    mixed = seen.join(kinds, "anchor").select("anchor", "kinds", "bytes", "n", "at.*")
+    wanted = mixed.groupBy(KEY).agg(F.collect_list(F.struct("anchor", "kinds", "bytes", "n", "first", "count")).alias("pieces"))  # at most the contexts of a text
     piece = F.substring(F.col("__text"), F.col("p.first").cast("int") + 1, F.col("p.count").cast("int") + length - 1)
     pieces = keyed.join(wanted, KEY).select(*KEY, "__text", F.explode("pieces").alias("p"))
-    pieces = pieces.select(*KEY, "p.anchor", "p.kinds", "p.n", "p.first", piece.alias("piece"))
+    pieces = pieces.select(*KEY, "p.anchor", "p.kinds", "p.bytes", "p.n", "p.first", piece.alias("piece"))
     pieces = written(pieces, "pieces")
     total = pieces.where(F.col("kinds") <= hot).agg(F.sum(F.length("piece"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
-    sharded = pieces.where(F.col("kinds") <= hot).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+    # an anchor that fills a shard has one to itself
+    shard = F.when(F.col("bytes") * 2 > shard_bytes, F.xxhash64("anchor")).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+    sharded = pieces.where(F.col("kinds") <= hot).select("__id", "__hash", "n", "first", "piece", shard.alias("shard"))
     schema = "__id long, __hash long, first long, count long"
     by_array = sharded.groupBy("shard").applyInPandas(_repeats(length), schema)
     single = pieces.where(F.col("kinds") > hot).select(*KEY, "first", "n", "piece").mapInArrow(_strings(length), "__id long, __hash long, first long, w1 long, w2 long, n long")
