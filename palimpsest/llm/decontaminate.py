@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import KEY, document_key, own_names, whole, written
+from palimpsest.llm.shared import KEY, document_key, let, own_names, whole, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -70,7 +70,8 @@ def contaminated(
 
     keyed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), *document_key(doc_id, text), words(text).alias("words"))
     starts = listed.select("item", "k", F.size("item_shingles").alias("m"), F.explode("item_shingles").alias("h")).dropDuplicates()
-    marks = starts.select("k", "h").distinct()
+    # an item's length is a number of words, so a shingle's sizes are few
+    marks = written(starts.groupBy("k", "h").agg(F.sort_array(F.collect_set("m")).alias("sizes")), "marks")
     hits = reduce(
         DataFrame.unionByName,
         (
@@ -78,20 +79,20 @@ def contaminated(
             for k in sizes
         ),
     )
-    hits = written(hits.select(*KEY, "k", "at", "h"), "hits")
-    places = hits.groupBy(KEY).agg(F.collect_list(F.struct("k", "at", "h")).alias("places"))  # at most the shingles of a text
-    held = keyed.join(places, KEY)
-    windows = reduce(
-        DataFrame.unionByName,
-        (
-            held.select(*KEY, shingles("words", k).alias("hashes"), F.explode(F.expr(f"array_distinct(filter(places, p -> p.k = {k}))")).alias("p"))
-            .select(*KEY, "hashes", "p.k", "p.at", "p.h")
-            for k in sizes
+    places = hits.groupBy(KEY).agg(F.collect_set(F.struct("k", "at", "h", "sizes")).alias("places"))  # at most the shingles of a text
+    held = keyed.join(written(places, "places"), KEY)
+    # windows are cut while the text's hashes are at hand, so no row carries all of them
+    cut_at = lambda k: let(
+        shingles("words", k),
+        lambda hashes: F.flatten(
+            F.transform(
+                F.filter("places", lambda p: p["k"] == k),
+                lambda p: F.transform(p["sizes"], lambda m: F.struct(p["k"].alias("k"), p["at"].alias("at"), p["h"].alias("h"), m.alias("m"), F.slice(hashes, p["at"] + 1, m).alias("window"))),
+            )
         ),
     )
-    kinds = starts.groupBy("k", "h").agg(F.collect_set("m").alias("sizes"))  # an item's length is a number of words, so these are few
-    windows = windows.join(small(kinds), ["k", "h"]).select(*KEY, "k", "at", "h", F.explode("sizes").alias("m"), "hashes")
-    cut = windows.select(*KEY, "k", "at", "h", "m", F.slice("hashes", F.col("at") + 1, F.col("m")).alias("window"))
+    windows = held.select(*KEY, F.explode(F.concat(*(cut_at(k) for k in sizes))).alias("w"))
+    cut = windows.select(*KEY, "w.*")
     content = [F.xxhash64("window", "m").alias("w1"), F.xxhash64(F.lit(1), F.reverse("window")).alias("w2")]
     cut = written(cut.select(*KEY, "k", "at", "h", "m", *content, "window"), "windows")
 

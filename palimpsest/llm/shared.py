@@ -59,6 +59,11 @@ def whole(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed once, also where ``then`` uses it inside another lambda."""
+    return F.get(F.transform(F.array(value), lambda v: then(v)), 0)
+
+
 def document_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     """Two longs that stand for a document: rows equal in id and text are one document.
 
