@@ -36,7 +36,7 @@ RULES: tuple[tuple[int, str, str], ...] = (
     (6, "capitals", "2 * n_capital_words > n_words"),
     (7, "marks", "2 * n_marked_words > n_words"),
     (8, "one_word", "100 * most_common_word > 40 * n_words"),
-    (9, "poor_vocabulary", "n_words >= 50 and 20 * n_distinct_words < n_words and n_words < 2000"),
+    (9, "poor_vocabulary", "n_words >= 50 and n_distinct_words * n_distinct_words < 2 * n_words"),
 )
 BASE = ("few_words", "repeated_windows")
 #: Rules of each policy version; documents keep the verdict of the version they are judged by.
@@ -59,7 +59,7 @@ def _measure(text: bytes | None) -> list[int]:
     blank = int(per_byte[[9, 10, 11, 12, 13, 32]].sum())
     lines = [line for line in text.split(b"\n") if line.split()]
     times = np.bincount(codes, minlength=len(ids)) if n else np.zeros(0, np.int64)
-    capital = sum(int(times[k]) for w, k in ids.items() if w.isupper() and len(w) > 1)
+    capital = sum(int(times[k]) for w, k in ids.items() if len(w) > 1 and (w.isupper() if w.isascii() else _in_capitals(w.decode())))
     marked = sum(int(times[k]) for w, k in ids.items() if w.endswith(MARKS))
     return [
         n, chars - blank, int(sum(per_byte[s] for s in SYMBOLS)), len(lines) - len(set(lines)), _in_repeats(codes, len(ids)),
@@ -67,6 +67,12 @@ def _measure(text: bytes | None) -> list[int]:
     ]
 
 
+def _in_capitals(word: str) -> bool:
+    """Two letters or more, none of which has a capital form of its own length and one of which has a small one."""
+    other = lambda c, form: len(form) == 1 and form != c
+    return len(word) > 1 and not any(other(c, c.upper()) for c in word) and any(other(c, c.lower()) for c in word)
+
+
 def _in_repeats(codes: np.ndarray, kinds: int, size: int = 3) -> int:
     """Words inside windows of ``size`` words that occur twice or more."""
     if len(codes) < size:
@@ -116,6 +122,13 @@ def mask(rules: tuple[str, ...]) -> int:
     return sum(1 << numbers[name] for name in rules)
 
 
+def verdicts(entries: DataFrame) -> DataFrame:
+    """``entries`` with ``kept_<version>`` for every policy, and ``only_rule``, the bit of the rule that alone failed (null otherwise)."""
+    kept = {f"kept_{v}": F.col("failed").bitwiseAND(F.lit(mask(rules))) == 0 for v, rules in POLICIES.items()}
+    alone = F.when(F.bit_count("failed") == 1, F.log2("failed").cast("int"))
+    return entries.withColumns(kept | {"only_rule": alone})
+
+
 def apply_policy(entries: DataFrame, version: str) -> DataFrame:
     """``entries`` with ``kept``: no rule of the policy failed."""
     return entries.withColumn("kept", F.col("failed").bitwiseAND(F.lit(mask(POLICIES[version]))) == 0)

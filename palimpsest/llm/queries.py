@@ -54,15 +54,17 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return suffix.deduplicated(table(spark, folder, "documents")).drop("kept")
+    """Cut inside a code point, ``text`` has a replacement character there; the digest is of the bytes."""
+    return suffix.deduplicated(table(spark, folder, "documents")).withColumn("text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")
 
 
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
-    entries = quality.apply_policy(quality.ledger(table(spark, folder, "documents")), "v2")
+    entries = quality.verdicts(quality.apply_policy(quality.ledger(table(spark, folder, "documents")), "v2"))
     base = F.col("failed").bitwiseAND(F.lit(quality.mask(quality.BASE))) != 0
     return entries.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", F.col("failed").alias("failed_rules")
-    )
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", F.col("failed").alias("failed_rules"),
+        "kept_base", "kept_v1", "kept_v2", "only_rule",
+    )
 
 
 def op7_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -230,9 +232,11 @@ with words as (
     + case when word_chars < 2 * n_words then 16 else 0 end + case when word_chars > 20 * n_words then 32 else 0 end
     + case when 2 * n_capital > n_words then 64 else 0 end + case when 2 * n_marked > n_words then 128 else 0 end
     + case when 100 * top > 40 * n_words then 256 else 0 end
-    + case when n_words >= 50 and 20 * n_kinds < n_words and n_words < 2000 then 512 else 0 end)::bigint as failed_rules from m
+    + case when n_words >= 50 and n_kinds * n_kinds < 2 * n_words then 512 else 0 end)::bigint as failed_rules from m
 )
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_rules & 3 <> 0 as base_failed, failed_rules = 0 as kept, failed_rules from bits""",
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_rules & 3 <> 0 as base_failed, failed_rules = 0 as kept, failed_rules,
+ failed_rules & 3 = 0 as kept_base, failed_rules & 63 = 0 as kept_v1, failed_rules = 0 as kept_v2,
+ case when bit_count(failed_rules) = 1 then log2(failed_rules)::INT end as only_rule from bits""",
     # all windows that start with a shingle of an item, compared by counts of shingles (every item has five words or more)
     "op4_decontamination": """
 with split as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x20\\x09-\\x0D]+') as w from documents

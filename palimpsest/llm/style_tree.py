@@ -74,16 +74,26 @@ MAIN = frozenset(("article", "main"))
 TOKEN = re.compile(
     r"""<(?:!--(?:-?>|.*?(?:--!?>|\Z))|(/?)([a-zA-Z][^\s/>]*)((?>[^>"'=]|=\s*"[^"]*"|=\s*'[^']*'|=|["'])*+)>|[!?/][^>]*>)""", re.S
 )
+#: Tags of the rest of a page, once one has been found that never closes outside its quotes.
+PLAIN_TOKEN = re.compile(r"<(?:!--(?:-?>|.*?(?:--!?>|\Z))|(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[!?/][^>]*>)", re.S)
+#: Elements further down than this share the node of their ancestor there; their texts stay blocks of their own.
+DEPTH = 100
+LISTS = ("ul", "ol", "dl", "table", "select")
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 NAMES = re.compile(r"[^a-zA-Z]+")
 
 
 class _Node:
-    __slots__ = ("tag", "sign", "path", "drop", "named", "held", "main", "children")
+    __slots__ = ("tag", "path", "drop", "named", "held", "main", "children", "block")
 
     def __init__(self, tag: str, sign: str, parent: _Node | None, drop: bool, named: int = 0, number: int = 0) -> None:
-        self.tag, self.sign = tag, sign
-        self.path: tuple[int, ...] = (*parent.path, xxhash.xxh64_intdigest(f"{parent.path[-1]}>{sign}") - 2**63) if parent else (0,)
+        self.tag = tag
+        if parent is None:
+            self.path: tuple[int, ...] = (0,)
+        elif len(parent.path) < DEPTH:
+            self.path = (*parent.path, xxhash.xxh64_intdigest(f"{parent.path[-1]}>{sign}") - 2**63)
+        else:
+            self.path = parent.path
         self.drop = drop or bool(parent and parent.drop)
         self.main = len(self.path) if tag in MAIN and not (parent and parent.main) else parent.main if parent else 0
         # the outermost element that a name calls noise, (number of it, how sure); of an article the one it lies in is ``held``
@@ -92,6 +102,28 @@ class _Node:
         self.held = above if begins else parent.held if parent else None
         self.named = own if begins or above is None else (above[0], max(above[1], named))
         self.children: list[str] = []
+        self.block = parent.block if parent and tag in INLINE else self  # the innermost element that isn't inline
+
+
+def _tokens(page: str) -> Iterator[re.Match | None]:
+    """The page's tags and comments, each asked for with the place to go on from; None once there are no more.
+
+    A tag that closes nowhere outside its quotes is text, and so that no later one looks as far for its end again, quotes count for nothing
+    behind it. Behind the last > there is no tag.
+    """
+    token, last, at = TOKEN, page.rfind(">"), 0
+    while True:
+        at = page.find("<", at)
+        if at < 0 or (at > last and not page.startswith("<!--", at)):
+            return
+        match = token.match(page, at)
+        if match is None:
+            if token is TOKEN and re.match("<[a-zA-Z/]", page[at : at + 2]):
+                token = PLAIN_TOKEN  # the same place once more
+                continue
+            at += 1
+            continue
+        at = (yield match) or match.end()
 
 
 class Block:
@@ -159,57 +191,70 @@ def chosen(blocks: list[Block]) -> list[Block]:
 
 
 def parse(page: str) -> tuple[list[Block], list[tuple[tuple[int, ...], int]]]:
-    """Blocks of text in page order, without what marks itself as noise, and the children of each element."""
+    """Blocks of text in page order, without what marks itself as noise, and the children of each element.
+
+    Time and memory are linear in the page, whatever its form: what is open is looked up by tag, not searched for.
+    """
     root = _Node("", "", None, False)
     stack, blocks, shapes, pieces = [root], [], [], []
+    opened: dict[str, list[int]] = {}  # places in the stack of the open elements of a tag
 
-    def flush() -> None:
-        text = " ".join("".join(pieces).split())
-        pieces.clear()
-        if text and not stack[-1].drop:
-            blocks.append(Block(text, stack[-1]))
+    def push(node: _Node) -> None:
+        opened.setdefault(node.tag, []).append(len(stack))
+        stack.append(node)
 
     def pop() -> None:
         node = stack.pop()
+        if stack:
+            opened[node.tag].pop()
         if node.children:
             shapes.append((node.path, xxhash.xxh64_intdigest(" ".join(node.children)) - 2**63))
 
+    def innermost(tag: str) -> int:
+        places = opened.get(tag)
+        return places[-1] if places else 0
+
     def close(tag: str) -> None:
         """Close the innermost open ``tag`` and all inside it; without one, nothing."""
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag == tag:
-                if any(n.tag not in INLINE for n in stack[k:]):
-                    flush_at(k)
-                while len(stack) > k:
-                    pop()
-                return
-
-    def flush_at(k: int) -> None:
+        k = innermost(tag)
+        if k:
+            if any(n.tag not in INLINE for n in stack[k:]):
+                flush()
+            while len(stack) > k:
+                pop()
+
+    def flush() -> None:
         # text belongs to the innermost open block, not to open inline tags such as an unclosed <b>
-        inner = next((n for n in reversed(stack) if n.tag not in INLINE), root)
+        if not pieces:
+            return
+        inner = stack[-1].block
         text = " ".join("".join(pieces).split())
         pieces.clear()
         if text and not inner.drop:
             blocks.append(Block(text, inner))
 
-    at = 0
-    while True:
-        match = TOKEN.search(page, at)
-        end = match.start() if match else len(page)
-        if end > at and not stack[-1].drop:
-            text = page[at:end]
+    def said(text: str) -> None:
+        if text and not stack[-1].drop:
             pieces.append(html.unescape(text) if "&" in text else text)
-        if match is None:
+
+    tokens, at, go_on = _tokens(page), 0, None
+    while True:
+        try:
+            match = tokens.send(go_on)
+        except StopIteration:
+            said(page[at:])
             break
+        go_on = None
+        said(page[at : match.start()])
         at = match.end()
         tag = match[2]
         if tag is None:
             continue
         tag = tag.lower()
         if match[1]:
-            if tag == "p" and not any(n.tag == "p" for n in stack):
-                flush_at(0)
-            elif tag in ("br",):
+            if tag == "p" and not innermost("p"):
+                flush()
+            elif tag == "br":
                 pieces.append(" ")
             else:
                 if tag in ("td", "th"):
@@ -220,18 +265,14 @@ def parse(page: str) -> tuple[list[Block], list[tuple[tuple[int, ...], int]]]:
             pieces.append(" " if tag == "br" else "")
             continue
         if tag not in INLINE:
-            flush_at(0)
+            flush()
             while stack[-1].tag in INLINE and stack[-1].tag not in ("td", "th"):  # open inline tags don't carry over into the next block
                 pop()
             if stack[-1].tag == "p":
                 pop()
         for other in CLOSES.get(tag, ()):
-            for n in reversed(stack):
-                if n.tag == other:
-                    close(other)
-                    break
-                if n.tag in ("ul", "ol", "dl", "table", "select"):
-                    break
+            if innermost(other) > max(map(innermost, LISTS)):
+                close(other)
         if tag in ("td", "th", "img"):
             pieces.append(" ")
         if tag in VOID:
@@ -241,13 +282,14 @@ def parse(page: str) -> tuple[list[Block], list[tuple[tuple[int, ...], int]]]:
         stack[-1].children.append(sign)
         if tag in RAW:
             ending = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = ending.end() if ending else len(page)
+            at = go_on = ending.end() if ending else len(page)
             continue
         node = _Node(sign.split(".")[0] if sign.startswith("main") else tag, sign, stack[-1], drop, named, at)
-        node.tag = node.tag if node.tag in MAIN else tag
+        if node.tag not in MAIN:
+            node.tag = tag
         if not match[3].endswith("/") or tag not in ("path", "svg", "use"):
-            stack.append(node)
-    flush_at(0)
+            push(node)
+    flush()
     while stack:
         pop()
     return chosen(blocks), shapes
