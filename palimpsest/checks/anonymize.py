@@ -145,7 +145,7 @@ QUERIES: dict[str, Query] = {
     "anonymized_declared_strategies": rewritten("auto", table=C.DECLARED_STRATEGIES),
     "anonymized_without_format": rewritten("auto", preserve_format="false"),
     "anonymized_without_names": rewritten("auto", realistic_names="false"),
-    "value_mapping": lambda s, d: mapping(log_rewritten(s, d)).select(
+    "value_mapping": lambda s, d: mapping(log_rewritten(s, d), one_row_each=True).select(
         "doc_id", "original", "anonymized"
     ),
     "combined_mapping": lambda s, d: combined_mapping(mapping(log_rewritten(s, d))),

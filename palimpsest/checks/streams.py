@@ -11,7 +11,7 @@ from palimpsest.checks import sql as S
 from palimpsest.checks.anonymize import _MAPPING, log_rewritten
 from palimpsest.checks.boxes import LOGO_CTES
 from palimpsest.checks.detect import ENGINES, FULL
-from palimpsest.checks.documents import _TURNS, batches, scans
+from palimpsest.checks.documents import _DOCS, _TURNS, batches, scans
 from palimpsest.checks.documents import ORACLES as DOCUMENT_SQL
 from palimpsest.checks.ocr import ocr_tables
 from palimpsest.checks.tables import table, with_tables
@@ -20,11 +20,12 @@ from palimpsest.operators.engines import union_raw
 from palimpsest.operators.rewrite import anonymize, mapping
 from palimpsest.operators.scan import explode_findings
 from palimpsest.operators.skew import shared_folder, spread
+from palimpsest.operators.stats import batch_summary, entity_statistics
 from palimpsest.plans.detection import detect
 from palimpsest.plans.documents import process_batch, process_documents
 from palimpsest.plans.findings import analysis_rows, detect_rows
 from palimpsest.sources.intake import batch_documents
-from palimpsest.sources.sinks import save_batch_results, saved_batch, stored_mapping, upsert_mapping, write_bucketed
+from palimpsest.sources.sinks import reports, save_batch_results, saved_batch, stored_mapping, upsert_mapping, write_bucketed
 from palimpsest.streaming.streams import deliveries, document_stream, run_available, running_metrics, with_engine_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -183,7 +184,26 @@ def bucketed(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def nothing_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Statistics of the entities that are surer than sure, of which there are none, beside those of runs that all failed."""
+    entities = explode_findings(log_rewritten(spark, sf), "entities", arrival=False).where("confidence > 1")
+    runs = table(spark, sf, "runs").where("not success")
+    one = entity_statistics(entities).select(*(F.col(c).alias(f"{c}") for c in ("total_entities", "unique_labels", "mean_confidence", "median_confidence", "sensitive_entities")))
+    failed = batch_summary(runs).select("total_documents", "successful", F.col("average_processing_time").alias("average_time"))
+    return one.crossJoin(F.broadcast(failed))  # one row each
+
+
+def report_mapping(spark: SparkSession, sf: str) -> DataFrame:
+    """The value pairs inside the download reports, in their order."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.lit(1.5).alias("total_time"))
+    fields = "struct<document_id:bigint,anonymization_mapping:array<struct<original:string,anonymized:string>>>"
+    parsed = reports(process_documents(docs, boxes=table(spark, sf, "detections_raw")).documents).select(F.from_json("report", fields).alias("r"))
+    return parsed.select(F.col("r.document_id").alias("doc_id"), F.posexplode("r.anonymization_mapping").alias("place", "m")).select("doc_id", "place", "m.*")
+
+
 QUERIES: dict[str, Query] = {
+    "statistics_of_nothing": nothing_found,
+    "report_mapping": report_mapping,
     "streamed_findings": streamed_findings,
     "late_engine_rows": late_rows,
     "streamed_metrics": streamed_metrics,
@@ -212,6 +232,10 @@ _LARGE = S.detection(
 )
 
 ORACLES: dict[str, str] = {
+    "statistics_of_nothing": f"""{with_tables('runs')} select 0::BIGINT as total_entities, 0::BIGINT as unique_labels, null::DOUBLE as mean_confidence,
+ null::DOUBLE as median_confidence, 0::BIGINT as sensitive_entities, count(*) as total_documents, 0::BIGINT as successful, 0::DOUBLE as average_time
+from runs where not success""",
+    "report_mapping": f"""{_DOCS} select doc_id, (row_number() over (partition by doc_id order by start) - 1)::INT as place, text as original, anonymized from replaced""",
     "streamed_findings": f"{FULL} {S.by_arrival('found')}",
     "late_engine_rows": f"""{ENGINES} select doc_id, engine, raw_label, start, "end" from (
  select doc_id, 'spacy' as engine, raw_label, start::INT as start, end_pos::INT as "end" from ner_raw

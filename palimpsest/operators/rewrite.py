@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.functions import constants as C
-from palimpsest.functions.arrays import fold_to_array, let, one_of, text_literal
+from palimpsest.functions.arrays import empty_array, fold_to_array, let, one_of, text_literal
 from palimpsest.functions.text import DEFAULT_SALT, rewritten
 
 AUTO = "auto"
@@ -88,17 +88,30 @@ def anonymize(
     )
 
 
-def mapping(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Original and replacement per document; the first occurrence of a value counts."""
-    rows = (
-        docs.select(key, F.explode_outer("replacements").alias("r"))
-        .where(F.col("r").isNotNull())
-        .select(key, "r.start", F.col("r.text").alias("original"), "r.anonymized")
+def distinct_values(replacements: str) -> str:
+    """Each replaced value once: original, its first replacement, and where it stands first and last."""
+    ordered = f"array_sort(transform({replacements}, r -> named_struct('original', r.text, 'start', r.start, 'anonymized', r.anonymized)))"
+    firsts = "filter(sequence(0, size(v) - 1), i -> i = 0 or get(v, i - 1).original <> get(v, i).original)"
+    item = (
+        "named_struct('original', get(v, i).original, 'anonymized', get(v, i).anonymized, 'first_start', get(v, i).start, "
+        "'last_start', get(v, coalesce(get(f, k + 1), size(v)) - 1).start)"
     )
+    each = let(f"if(size(v) = 0, {empty_array('int')}, {firsts})", "f", f"transform(f, (i, k) -> {item})")
+    return let(ordered, "v", each)
+
+
+def mapping(docs: DataFrame, key: str = "doc_id", one_row_each: bool = False) -> DataFrame:
+    """Original and replacement per document; the first occurrence of a value counts.
+
+    Values are told apart inside the row. Where the documents are known to have `one_row_each`, nothing is shuffled.
+    """
+    rows = docs.select(key, F.explode(F.expr(distinct_values("replacements"))).alias("v")).select(key, "v.*")
+    if one_row_each:
+        return rows
     return rows.groupBy(key, "original").agg(
-        F.min_by("anonymized", "start").alias("anonymized"),
-        F.min("start").alias("first_start"),
-        F.max("start").alias("last_start"),
+        F.min_by("anonymized", "first_start").alias("anonymized"),
+        F.min("first_start").alias("first_start"),
+        F.max("last_start").alias("last_start"),
     )
 
 

@@ -5,86 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.operators.skew import checkpointed
-
-
 STAGES = ("ocr", "pii", "logo", "anonymization")
-# Value ranges per level of the exact median; two levels leave few distinct values in one range.
-MEDIAN_RANGES = 65_536
 
 
 def exact_median(df: DataFrame, value: str) -> DataFrame:
-    """One row with the exact median of values in 0..1, null when there are none.
-
-    The values are counted per distinct value once; see `median_of_counts`.
-    """
-    known = df.where(F.col(value).isNotNull())
-    counts = known.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    return median_of_counts(checkpointed(counts))
-
-
-def median_of_counts(counts: DataFrame) -> DataFrame:
-    """Median of values `v` with their number `n`.
+    """One row with the exact median of a column, null when there are no values.
 
-    Two rounds of range counts find the narrow ranges that hold the middle, and only the values
-    in these are put in order.
+    Each task counts its values per distinct value, and scores have few.
     """
-    total = counts.agg(F.sum("n").alias("total"))
-    # The middle row of an odd count, or the two middle rows of an even count.
-    middle_rows = F.expr("array_distinct(array((total + 1) div 2, total div 2 + 1))")
-    wanted = total.select(F.explode(middle_rows).alias("row"))
-    coarse = F.floor(F.col("v") * MEDIAN_RANGES)
-    fine = F.floor((F.col("v") * MEDIAN_RANGES - coarse) * MEDIAN_RANGES)
-    placed = counts.withColumn("r1", coarse).withColumn("r2", fine)
-    spots = wanted.withColumn("before", F.lit(0).cast("bigint"))
-    for level in (["r1"], ["r1", "r2"]):
-        outer = level[:-1]
-        ranges = placed.groupBy(*level).agg(F.sum("n").alias("n"))
-        if outer:
-            ranges = ranges.join(F.broadcast(spots), outer)
-        else:
-            ranges = ranges.crossJoin(F.broadcast(spots))
-        # At most MEDIAN_RANGES rows per window.
-        window = Window.partitionBy("row").orderBy(level[-1])
-        upto = F.col("before") + F.sum("n").over(window)
-        spots = (
-            ranges.withColumn("upto", upto)
-            .where((F.col("row") > F.col("upto") - F.col("n")) & (F.col("row") <= F.col("upto")))
-            .select("row", *level, (F.col("upto") - F.col("n")).alias("before"))
-        )
-    last = placed.join(F.broadcast(spots), ["r1", "r2"])
-    upto = F.col("before") + F.sum("n").over(Window.partitionBy("row").orderBy("v"))
-    middle = last.withColumn("upto", upto).where(
-        (F.col("row") > F.col("upto") - F.col("n")) & (F.col("row") <= F.col("upto"))
-    )
-    return middle.agg(F.avg("v").alias("median"))
+    return df.agg(F.percentile(value, 0.5).alias("median"))
 
 
 def entity_statistics(entities: DataFrame) -> DataFrame:
-    """One row: totals, confidence statistics and sensitive entities; zeros when empty.
-
-    The entities are read once and reduced to counts per label, score and sensitivity; all
-    figures come from these.
-    """
-    counts = checkpointed(
-        entities.groupBy("label", "is_sensitive", F.col("confidence").alias("v")).agg(
-            F.count("*").alias("n")
-        )
-    )
-    n, v = F.col("n"), F.col("v")
-    rows = F.sum("n")
-    mean = F.try_divide(F.sum(n * v), rows)
-    stats = counts.crossJoin(F.broadcast(counts.agg(mean.alias("_mean")))).agg(  # one row
-        F.coalesce(rows, F.lit(0)).alias("total_entities"),
-        F.count_distinct("label").alias("unique_labels"),
-        mean.alias("mean_confidence"),
-        F.sqrt(F.try_divide(F.sum(n * (v - F.col("_mean")) * (v - F.col("_mean"))), rows)).alias("std_confidence"),
-        F.min("v").alias("min_confidence"),
-        F.max("v").alias("max_confidence"),
-        F.coalesce(F.sum(F.when(F.col("is_sensitive"), n)), F.lit(0)).alias("sensitive_entities"),
+    """One row: totals, confidence statistics and sensitive entities; zeros when empty. One pass, a row per task is shuffled."""
+    return entities.agg(
+        F.count("*").alias("total_entities"),
+        F.size(F.collect_set("label")).cast("bigint").alias("unique_labels"),  # labels are few
+        F.avg("confidence").alias("mean_confidence"),
+        F.stddev_pop("confidence").alias("std_confidence"),
+        F.min("confidence").alias("min_confidence"),
+        F.max("confidence").alias("max_confidence"),
+        F.count_if("is_sensitive").alias("sensitive_entities"),
+        F.percentile("confidence", 0.5).alias("median_confidence"),
     )
-    median = median_of_counts(counts.groupBy("v").agg(F.sum("n").alias("n"))).withColumnRenamed("median", "median_confidence")
-    return stats.crossJoin(F.broadcast(median))
 
 
 def counts_by(entities: DataFrame, column: str) -> DataFrame:
