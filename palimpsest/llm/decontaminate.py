@@ -80,7 +80,10 @@ def contaminated(
         ),
     )
     places = hits.groupBy(KEY).agg(F.collect_set(F.struct("k", "at", "h", "sizes")).alias("places"))  # at most the shingles of a text
-    held = keyed.join(written(places, "places"), KEY)
+    places = written(places, "places")
+    # few texts share a shingle with an item: counted to be few, their keys alone are sent out, and no other text moves
+    near = keyed.join(F.broadcast(places.select(*KEY)), KEY, "left_semi") if places.count() <= broadcast else keyed
+    held = near.join(places, KEY)
     # windows are cut while the text's hashes are at hand, so no row carries all of them
     cut_at = lambda k: let(
         shingles("words", k),

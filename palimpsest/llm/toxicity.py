@@ -31,8 +31,9 @@ from palimpsest.llm.shared import own_names, written
 
 #: Marked rows that the model is fitted on, at most.
 SAMPLE = 10_000
-#: Lexicon voters, at most, and how a candidate qualifies: rows with it, and log odds of its rate.
-VOTERS, SUPPORT, LOG_ODDS = 200, 6, 2.0
+#: How a lexicon voter qualifies: rows with it, and log odds of its rate; and how many a model has at most, those on most toxic rows first.
+#: The size of the model is a parameter of the fit, as the sample's is.
+SUPPORT, LOG_ODDS, VOTERS = 6, 2.0, 400
 BEGINNINGS = (4, 5, 6, 7)
 FOLDS = 5
 #: How often a row is marked toxic if it isn't, and if it is.
@@ -111,7 +112,12 @@ def _candidates(sample: DataFrame, most: int) -> list[str]:
     shorter = counts.select(F.explode(F.array_compact(F.array(*starts))).alias("word"), "t", "c").groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     odds = F.log((F.col("t") + 0.5) / F.lit(size["T"] + 1.0)) - F.log((F.col("c") + 0.5) / F.lit(size["C"] + 1.0))
     good = counts.unionByName(shorter).withColumn("odds", odds).where((F.col("t") >= SUPPORT) & (F.col("odds") >= LOG_ODDS))
-    rows = good.orderBy(F.col("t").desc(), F.col("odds").desc(), "word").limit(most).collect()
+    # a beginning or word that speaks as often as a shorter beginning of it speaks on the same rows: the shorter one stands for both
+    known = good.select(F.col("word").alias("shorter"), F.col("t").alias("t0"), F.col("c").alias("c0"))
+    bare = F.regexp_replace("word", r"\*$", "")
+    above = F.explode(F.array_compact(F.array(*(F.when(F.length(bare) > n, F.concat(F.substring(bare, 1, n), F.lit("*"))) for n in BEGINNINGS))))
+    same = good.withColumn("shorter", above).join(known, "shorter").where("t = t0 and c = c0").select("word").distinct()
+    rows = good.join(same, "word", "left_anti").orderBy(F.col("t").desc(), F.col("odds").desc(), "word").limit(most).collect()
     return [r["word"] for r in rows]
 
 
