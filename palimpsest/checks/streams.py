@@ -24,7 +24,7 @@ from palimpsest.operators.stats import batch_summary, entity_statistics
 from palimpsest.plans.detection import detect
 from palimpsest.plans.documents import process_batch, process_documents
 from palimpsest.plans.findings import analysis_rows, detect_rows
-from palimpsest.sources.intake import batch_documents
+from palimpsest.sources.intake import batch_documents, unknown_documents
 from palimpsest.sources.sinks import reports, save_batch_results, saved_batch, stored_mapping, upsert_mapping, write_bucketed
 from palimpsest.streaming.streams import deliveries, document_stream, run_available, running_metrics, with_engine_rows
 
@@ -201,7 +201,14 @@ def report_mapping(spark: SparkSession, sf: str) -> DataFrame:
     return parsed.select(F.col("r.document_id").alias("doc_id"), F.posexplode("r.anonymization_mapping").alias("place", "m")).select("doc_id", "place", "m.*")
 
 
+def unknown_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens and boxes of a run that has nine documents in ten."""
+    docs = scans(spark, sf).where("doc_id % 10 <> 0")
+    return unknown_documents({"easyocr": table(spark, sf, "easyocr_flat"), "tesseract": table(spark, sf, "tesseract_raw"), "boxes": table(spark, sf, "detections_raw")}, docs)
+
+
 QUERIES: dict[str, Query] = {
+    "unknown_document_rows": unknown_rows,
     "statistics_of_nothing": nothing_found,
     "report_mapping": report_mapping,
     "streamed_findings": streamed_findings,
@@ -232,6 +239,9 @@ _LARGE = S.detection(
 )
 
 ORACLES: dict[str, str] = {
+    "unknown_document_rows": f"""{with_tables('easyocr_flat', 'tesseract_raw', 'detections_raw')} select doc_id, source, seq, 'unknown document' as reason from (
+ select doc_id, 'easyocr' as source, seq from easyocr_flat union all select doc_id, 'tesseract', seq from tesseract_raw
+ union all select doc_id, 'boxes', seq from detections_raw) where doc_id % 10 = 0""",
     "statistics_of_nothing": f"""{with_tables('runs')} select 0::BIGINT as total_entities, 0::BIGINT as unique_labels, null::DOUBLE as mean_confidence,
  null::DOUBLE as median_confidence, 0::BIGINT as sensitive_entities, count(*) as total_documents, 0::BIGINT as successful, 0::DOUBLE as average_time
 from runs where not success""",

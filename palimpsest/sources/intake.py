@@ -172,3 +172,18 @@ def unknown_labels(entities: DataFrame, catalogue: DataFrame) -> DataFrame:
     known = catalogue.where("kind <> 'engines'").select(F.col("name").alias("label"))
     counts = entities.groupBy("label").agg(F.count("*").alias("entities"))
     return counts.join(known, "label", "left_anti")
+
+
+def unknown_documents(tables: dict[str, DataFrame], docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows of token and box tables whose document is not there: they take no part in a run, and are listed with their source and why.
+
+    `tables` has them by source; each has `key` and `seq`. Rows without a document's id are listed as well.
+    """
+    known = docs.select(key).distinct()
+    out = None
+    for source, rows in tables.items():
+        lost = rows.select(key, F.lit(source).alias("source"), "seq").join(known, key, "left_anti")
+        out = lost if out is None else out.unionByName(lost)
+    if out is None:
+        raise ValueError("no tables")
+    return out.withColumn("reason", F.when(F.col(key).isNull(), "no document id").otherwise("unknown document"))
