@@ -31,8 +31,8 @@ def test_query_against_sql(spark, name):
     cursor = con.execute(queries.ORACLES[name])
     names = [d[0] for d in cursor.description]
     assert sorted(names) == columns
-    want = sorted(tuple(r[names.index(c)] for c in columns) for r in cursor.fetchall())
-    assert sorted(tuple(r[c] for c in columns) for r in got.collect()) == want
+    want = sorted((tuple(r[names.index(c)] for c in columns) for r in cursor.fetchall()), key=repr)
+    assert sorted((tuple(r[c] for c in columns) for r in got.collect()), key=repr) == want
 
 
 WORDS = [f"w{k}" for k in range(40)]
