@@ -94,7 +94,7 @@ def streamed_metrics(spark: SparkSession, sf: str) -> DataFrame:
     run_available(out, f"{folder}/out", f"{folder}/checkpoint")
     done = spark.read.schema(out.schema).parquet(f"{folder}/out")
     return done.select(
-        F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "total_processed", "successful", F.round("average_time", 4).alias("average_time")
+        F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "total_processed", "successful", F.round("average_time", 9).alias("average_time")
     )
 
 
@@ -254,7 +254,7 @@ from runs where not success""",
     "streamed_metrics": f"""{with_tables('runs')}, marks as (select max(ts) as last, max(ts) - interval 2 hour as closed from runs),
 placed as (select ts, success, total_time, case when ts > last - interval 1 hour then 0 else doc_id % 10 end as piece, date_trunc('hour', ts) as w, closed from runs, marks)
 select strftime(w, '%Y-%m-%d %H:%M:%S') as window_start, count(*) as total_processed, count(*) filter (success) as successful,
- round(avg(total_time) filter (success), 4) as average_time from placed where (piece < 9 or w + interval 1 hour > closed) and w + interval 1 hour <= closed
+ round(avg(total_time) filter (success), 9) as average_time from placed where (piece < 9 or w + interval 1 hour > closed) and w + interval 1 hour <= closed
 group by w""",
     "repeated_deliveries": _TURNS.partition("batch_texts as (")[0] + "batch_texts as (" + _TURNS.partition("batch_texts as (")[2].partition("from conversations))")[0]
     + "from conversations)) select conv_id, batch_pos, doc_id, text from batch_texts",
