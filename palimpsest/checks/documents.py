@@ -17,7 +17,7 @@ from palimpsest.plans.detection import detect
 from palimpsest.plans.documents import Processed, process_batch, process_documents
 from palimpsest.sources import intake
 from palimpsest.sources.sinks import detection_rows, reports, responses, written_in_order
-from palimpsest.streaming.streams import anonymized_stream, run_available
+from palimpsest.streaming.streams import anonymized_stream, document_stream, run_available
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -227,12 +227,8 @@ def streamed(spark: SparkSession, sf: str) -> DataFrame:
     """Documents read as a stream, rewritten, appended to a table; the table is the result."""
     folder = shared_folder(spark)
     schema = table(spark, sf, "documents").schema
-    stream = (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", "documents.parquet")
-        .parquet(sf)
-        .select("doc_id", "text")
-    )
+    # as a glob the name stands for a file as well as for a folder of files
+    stream = document_stream(spark, f"{sf}/documents.parque[t]", schema).select("doc_id", "text")
     out = anonymized_stream(stream).select("doc_id", "anonymized_text", "entities_processed")
     run_available(out, f"{folder}/out", f"{folder}/checkpoint")
     return spark.read.schema(out.schema).parquet(f"{folder}/out")

@@ -1,6 +1,7 @@
 import datetime as dt
 import time
 
+from palimpsest.checks.documents import QUERIES
 from palimpsest.plans.detection import detect
 from palimpsest.operators.rewrite import anonymize
 from palimpsest.streaming.streams import anonymized_stream, document_stream, run_available, running_metrics
@@ -46,3 +47,12 @@ def test_late_runs_are_dropped(spark, tmp_path):
     rows = {r.window_start.hour: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert (rows[1].total_processed, rows[1].successful, rows[1].average_time) == (2, 1, 1.0)
     assert rows[9].total_processed == 2 and 20 not in rows
+
+
+def test_streamed_documents_from_a_folder_of_files(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["streamed_documents"](spark, str(tmp_path))
+    want = QUERIES["streamed_documents"](spark, "/root/testdata/sf0.001")
+    assert docs.count() == want.count()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
