@@ -65,6 +65,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
 
 
+def where_computed(df: DataFrame, condition: Column | str) -> DataFrame:
+    """Rows where a costly column holds. The outer form keeps the test behind what computes the column, which would else be
+    computed again inside the test."""
+    test = F.col(condition) if isinstance(condition, str) else condition
+    return df.select("*", F.explode_outer(F.array(test)).alias("_holds")).where("_holds").drop("_holds")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder all executors reach: below the checkpoint folder the session names.
 

@@ -23,7 +23,7 @@ from palimpsest.operators.ocr import all_tokens, combined_tokens, count_tokens,
 from palimpsest.operators.rewrite import anonymize, audit_rows, mapping
 from palimpsest.operators.rules import MaskingRule, apply_rules
 from palimpsest.operators.scan import explode_findings
-from palimpsest.operators.skew import join_documents
+from palimpsest.operators.skew import join_documents, where_computed
 from palimpsest.plans.detection import detect
 from palimpsest.sources.intake import batch_documents, with_options
 from palimpsest.sources.sinks import save_batch_results
@@ -62,7 +62,7 @@ class Processed:
         return mapping(self.documents)
 
     def audit(self, run_ts: Column) -> DataFrame:
-        return audit_rows(self.documents.where("success"), run_ts)
+        return audit_rows(where_computed(self.documents, "success"), run_ts)
 
 
 def recognised_text(
@@ -187,7 +187,7 @@ def cover_plan(
 ) -> DataFrame:
     """Regions to cover: blocks (with image size) of documents with entities, and logos."""
     planned = region_plan(blocks, method).withColumn("seq", F.col("place"))
-    return redaction_plan(planned, docs.where("image_anonymized"), removals, key)
+    return redaction_plan(planned, where_computed(docs.select(key, "image_anonymized"), "image_anonymized"), removals, key)
 
 
 def process_batch(
