@@ -201,3 +201,18 @@ def test_engine_rows_meet_their_documents_on_streams(spark, tmp_path):
     assert held[2] == ("", []) and held[3] == ("three", [9]) and held[4] == ("four", [8]) and held[1][0] == "one" and 1 in held[1][1]
     assert (77, 7, 0, 3) in late and (1, 8, 0, 3) in late
     assert sorted(held[1][1] + [seq for d, seq, _, _ in late if d == 1]) == [1, 2, 8]  # nothing is lost, whenever it came
+
+
+def test_documents_of_one_group_are_held_apart(spark, tmp_path):
+    docs = spark.range(1, 501).selectExpr("id as doc_id", "concat('text ', id) as text", "timestamp_seconds(86400 * (1 + id % 2)) as ts")
+    clock = [spark.sql(f"select -1L as doc_id, '' as text, timestamp_seconds({day * 86_400}) as ts") for day in (90, 180)]
+    raw = spark.range(1, 501).selectExpr("'spacy' as engine", "'PERSON' as raw_label", "0 as start", "3 as end", "cast(null as double) as score", "cast(null as string) as word", "id as seq", "id as doc_id")
+    left = delivered([docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1"), *clock], str(tmp_path / "d"))
+    right = delivered([raw.where("doc_id % 5 > 0"), raw.where("false"), raw.where("false"), raw.where("doc_id % 5 = 0 and doc_id % 2 = 0")], str(tmp_path / "r"))
+    out = with_engine_rows(left, right, "1 hour", groups=1)
+    run_available(out, str(tmp_path / "out"), str(tmp_path / "cp"))
+    rows = spark.read.schema(out.schema).parquet(str(tmp_path / "out")).where("doc_id > 0").collect()
+    held = {r.doc_id: (r.text, [x.seq for x in r.raw]) for r in rows if not r.late}
+    late = sorted((r.doc_id, x.seq) for r in rows if r.late for x in r.raw)
+    assert held == {k: (f"text {k}", [k] if k % 5 else []) for k in range(1, 501)}
+    assert late == [(k, k) for k in range(10, 501, 10)]
