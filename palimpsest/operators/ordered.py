@@ -15,6 +15,8 @@ from palimpsest.operators.skew import join_dimension, shared_folder
 
 # Rows of a range, about; sampled cuts may make one up to twice as long.
 RANGE_ROWS = 100_000
+# Partitions that the ranges are cut in, at most, and room for the ranges of a partition in their number.
+RANGE_PARTS, PART_RANGES = 2_000, 1 << 20
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -30,15 +32,19 @@ def in_ranges(
     """The rows, written in ranges of `order`, with the number of their range in column `name`.
 
     Numbers grow with the order, and some may be left out. Range cuts rest on a sample, so they are
-    drawn from written rows: a repeated task finds them again.
+    drawn from written rows: a repeated task finds them again. A partition is sorted and holds many ranges where these are short,
+    so their number does not make tasks or files.
     """
     kept = stored(df.withColumn(name, F.lit(0)))
     total = kept.count()
     if total <= rows:
         return kept
-    cuts = -(-2 * total // rows)
-    spread = kept.repartitionByRange(cuts, *order, F.monotonically_increasing_id())
-    return stored(spread.withColumn(name, F.spark_partition_id()))
+    cuts = min(max(-(-2 * total // max(rows, RANGE_ROWS)), 2), RANGE_PARTS)
+    spread = kept.repartitionByRange(cuts, *order, F.monotonically_increasing_id()).sortWithinPartitions(*order)
+    placed = spread.withColumn("_at", F.monotonically_increasing_id())
+    inside = F.expr(f"(_at & {(1 << 33) - 1}L) div {rows}")
+    number = (F.shiftright("_at", 33) * PART_RANGES + inside).cast("int")
+    return stored(placed.withColumn(name, number).drop("_at"))
 
 
 def running_counts(counted: DataFrame, place: str, count: str, name: str) -> DataFrame:

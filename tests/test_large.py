@@ -216,3 +216,15 @@ def test_documents_of_one_group_are_held_apart(spark, tmp_path):
     late = sorted((r.doc_id, x.seq) for r in rows if r.late for x in r.raw)
     assert held == {k: (f"text {k}", [k] if k % 5 else []) for k in range(1, 501)}
     assert late == [(k, k) for k in range(10, 501, 10)]
+
+
+def test_short_ranges_take_few_partitions(spark):
+    from palimpsest.operators.ordered import in_ranges
+
+    rows = spark.range(20_000).selectExpr("(id * 7919) % 20000 div 3 as v", "id")
+    ranged = in_ranges(rows, [F.col("v"), F.col("id")], "place", 100)
+    got = ranged.orderBy("v", "id").select("place").collect()
+    numbers = [r.place for r in got]
+    assert len(numbers) == 20_000 and numbers == sorted(numbers)
+    assert max(numbers.count(n) for n in set(numbers)) <= 100
+    assert len(ranged.inputFiles()) <= 4  # a file for each of 400 ranges before
