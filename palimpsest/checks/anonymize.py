@@ -23,7 +23,7 @@ from palimpsest.operators.rewrite import (
 )
 from palimpsest.operators.rules import MaskingRule, apply_rule_table, apply_rules
 from palimpsest.operators.scan import explode_findings
-from palimpsest.operators.skew import spread
+from palimpsest.operators.skew import spread, spread_by
 from palimpsest.operators.stats import anonymization_report
 from palimpsest.plans.detection import detect
 
@@ -49,7 +49,7 @@ RULES = [
 def log_entities(spark: SparkSession, sf: str) -> DataFrame:
     """Entities of the access log, names included, at the document threshold."""
     return detect(
-        spread(table(spark, sf, "access_log")),
+        spread_by(table(spark, sf, "access_log"), "doc_id"),
         engines=C.DOCUMENT_ENGINES,
         raw_tables={"spacy": table(spark, sf, "ner_raw")},
         threshold=C.DOCUMENT_THRESHOLD,

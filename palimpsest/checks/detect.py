@@ -19,7 +19,7 @@ from palimpsest.functions.recognisers import (
 from palimpsest.operators.engines import rejected_rows, union_raw
 from palimpsest.operators.fuse import of_types, with_context
 from palimpsest.operators.scan import explode_findings, scan_patterns
-from palimpsest.operators.skew import spread
+from palimpsest.operators.skew import spread, spread_by
 from palimpsest.operators.stats import counts_rollup
 from palimpsest.plans.detection import detect
 from palimpsest.sources.intake import entity_catalogue, unknown_labels
@@ -53,7 +53,7 @@ def found_in(docs: DataFrame, rules: list[Recogniser], first_rule: int = 0) -> D
 def all_engines(spark: SparkSession, sf: str) -> DataFrame:
     """Detection over the access log with every engine."""
     return detect(
-        spread(table(spark, sf, "access_log")),
+        spread_by(table(spark, sf, "access_log"), "doc_id"),
         raw_tables={
             "presidio": table(spark, sf, "analyzer_raw"),
             "spacy": table(spark, sf, "ner_raw"),
@@ -95,7 +95,7 @@ def counters(spark: SparkSession, sf: str) -> DataFrame:
 
 def per_row_engines(spark: SparkSession, sf: str) -> DataFrame:
     """Engines and threshold chosen by each document."""
-    docs = table(spark, sf, "access_log").withColumn(
+    docs = spread_by(table(spark, sf, "access_log"), "doc_id").withColumn(
         "wanted",
         F.expr("if(doc_id % 2 = 0, array('spacy', 'custom_patterns'), array('presidio'))"),
     )
@@ -110,7 +110,7 @@ def per_row_engines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def context(spark: SparkSession, sf: str) -> DataFrame:
-    docs = spread(table(spark, sf, "access_log"))
+    docs = spread_by(table(spark, sf, "access_log"), "doc_id")
     rules = standard_recognisers() + security_recognisers()
     found = docs.withColumn("findings", F.expr(scan_patterns(rules)))
     return explode_findings(found.withColumn("scored", F.expr(with_context("findings"))), "scored")
@@ -146,7 +146,7 @@ QUERIES: dict[str, Query] = {
         spread(table(s, d, "documents")), security_recognisers(("IP_ADDRESS",))
     ),
     "security_findings_access_log": lambda s, d: found_in(
-        spread(table(s, d, "access_log")), security_recognisers()
+        spread_by(table(s, d, "access_log"), "doc_id"), security_recognisers()
     ),
     "security_findings_documents": lambda s, d: found_in(
         spread(table(s, d, "documents")), security_recognisers()
@@ -156,13 +156,13 @@ QUERIES: dict[str, Query] = {
         spread(turn_texts(s, d)), standard_recognisers() + security_recognisers(), 100
     ),
     "security_id_findings": lambda s, d: found_in(
-        spread(table(s, d, "access_log")), security_id_recognisers()
+        spread_by(table(s, d, "access_log"), "doc_id"), security_id_recognisers()
     ),
     "standard_findings_documents": lambda s, d: found_in(
         spread(table(s, d, "documents")), standard_recognisers()
     ),
     "standard_findings_access_log": lambda s, d: found_in(
-        spread(table(s, d, "access_log")), standard_recognisers()
+        spread_by(table(s, d, "access_log"), "doc_id"), standard_recognisers()
     ),
     "ner_findings": lambda s, d: external_only(s, d, "spacy", "mixed_ner_raw"),
     "transformer_findings": lambda s, d: external_only(s, d, "transformers", "transformer_raw"),

@@ -65,6 +65,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
 
 
+def spread_by(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt by a key that each has its own value of, for work that takes far longer than moving them.
+
+    How many pieces an input is read in says little of how its rows lie in them: a row group of a file is read by one task, whatever
+    its rows. A join by the key that follows moves nothing again. The number of tasks is given, or else Spark would
+    join them by their bytes.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def where_computed(df: DataFrame, condition: Column | str) -> DataFrame:
     """Rows where a costly column holds. The outer form keeps the test behind what computes the column, which would else be
     computed again inside the test."""
