@@ -27,6 +27,11 @@ def let(value: str, name: str, body: str) -> str:
     return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
+def let_array(value: str, name: str, body: str, element: str) -> str:
+    """`let` for a body that is an array of `element`. It is handed on as it is, where `let` copies it with all it holds."""
+    return f"aggregate(array({value}), {empty_array(element)}, (_none, {name}) -> {body})"
+
+
 def empty_array(element: str) -> str:
     return f"cast(array() as array<{element}>)"
 
@@ -65,8 +70,10 @@ def fold_to_array(
         "flatten(transform(parts, (part, part_no) -> "
         "if(part_no < size(parts) - 1, slice(part, 1, size(part) - 1), part)))"
     )
-    folded = f"if(size(all_items) = 0, {none}, {let(blocks, 'parts', joined)})"
-    return let(items, "all_items", folded)
+    short = f"aggregate(all_items, {none}, ({state}, {item}) -> {step})"
+    long = let(blocks, "parts", joined)
+    folded = f"if(size(all_items) <= {block}, {short}, {long})"
+    return let_array(items, "all_items", folded, element)
 
 
 def characters(text: str) -> str:

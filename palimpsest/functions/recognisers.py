@@ -29,6 +29,42 @@ _GATES = {
 }
 
 
+# What stands where a match can start. It is quicker to test than the pattern's own start, and every match passes it.
+_LETTER = r"[A-Za-zſıİ\u212A]"
+_STARTS = {
+    ("EMPLOYEE_ID", 2): rf"(?<![A-Za-z0-9])(?={_LETTER}{{2,3}}[-_\p{{Nd}}])",
+    ("ACCESS_CARD", 2): rf"(?<![A-Za-z0-9])(?={_LETTER}{{2}}[-_])",
+    "EMPLOYEE_ID": "(?=[Ee])",
+    ("ACCESS_CARD", 0): "(?=[Aa])",
+    ("ACCESS_CARD", 1): "(?=[Cc])",
+    "POLICY_NUMBER": "(?=[Pp])",
+    "SYSTEM_ID": "(?=[Ssſ])",
+    "BADGE_NUMBER": "(?=[Bb])",
+    "AUDIT_REF": "(?=[Aa])",
+    "CREDENTIAL_ID": "(?=[Cc])",
+    ("ROOM_NUMBER", 0): "(?=[Rr])",
+}
+
+# A second test for patterns that share a gate: every match holds one of these pieces, capitals and small letters alike.
+_PIECES = {
+    ("EMPLOYEE_ID", 0): ("EMP",),
+    ("EMPLOYEE_ID", 1): ("EMP",),
+    ("ACCESS_CARD", 0): ("AC",),
+    ("ACCESS_CARD", 1): ("CARD",),
+    ("POLICY_NUMBER", 0): ("POL",),
+    ("POLICY_NUMBER", 2): ("POLICY",),
+    ("SYSTEM_ID", 0): ("SYS",),
+    ("SYSTEM_ID", 1): ("SRV",),
+    ("SYSTEM_ID", 2): ("SERVER",),
+    ("BADGE_NUMBER", 1): ("BDG",),
+    ("AUDIT_REF", 0): ("AUD",),
+    ("AUDIT_REF", 1): ("AUDIT",),
+    ("CREDENTIAL_ID", 0): ("CRED",),
+    ("CREDENTIAL_ID", 1): ("CRED",),
+    ("ROOM_NUMBER", 0): ("ROOM", "RM"),
+}
+
+
 @dataclass(frozen=True)
 class Recogniser:
     """One pattern of one engine. `score` None means the length and separator rule."""
@@ -39,16 +75,24 @@ class Recogniser:
     score: float | None = None
     gate: str | None = None
     luhn: bool = False
+    pieces: tuple[str, ...] = ()
+    start: str = ""
 
     @property
     def regex(self) -> str:
-        return FLAGS + self.pattern
+        return self.start + FLAGS + self.pattern
 
 
 def security_recognisers(labels: tuple[str, ...] | None = None) -> list[Recogniser]:
     """The identifier patterns, all or those of some labels."""
     return [
-        Recogniser(label, pattern, gate=_GATES.get((label, i), LETTER_THEN_DIGITS))
+        Recogniser(
+            label,
+            pattern,
+            gate=_GATES.get((label, i), LETTER_THEN_DIGITS),
+            pieces=_PIECES.get((label, i), ()),
+            start=_STARTS.get((label, i), _STARTS.get(label, "")),
+        )
         for label, patterns in C.SECURITY_PATTERNS.items()
         if labels is None or label in labels
         for i, pattern in enumerate(patterns)
@@ -59,9 +103,11 @@ def security_id_recognisers() -> list[Recogniser]:
     """The combined security identifier of the analyzer engine."""
     policy, system = FLAGS + "-(?<=POL-)", FLAGS + "-(?<=SYS-)"
     gates = (LETTER_THEN_DIGITS, LETTER_THEN_DIGITS, policy, LETTER_THEN_DIGITS, system)
+    pieces = ("EMP", "AC-", "POL-", "B-", "SYS-")
+    starts = ("(?=[Ee])", "(?=[Aa])", "(?=[Pp])", "(?=[Bb])", "(?=[Ssſ])")
     return [
-        Recogniser("SECURITY_ID", p, engine="presidio", score=C.SECURITY_ID_SCORE, gate=g)
-        for p, g in zip(C.SECURITY_ID_PATTERNS, gates, strict=True)
+        Recogniser("SECURITY_ID", p, engine="presidio", score=C.SECURITY_ID_SCORE, gate=g, pieces=(piece,), start=start)
+        for p, g, piece, start in zip(C.SECURITY_ID_PATTERNS, gates, pieces, starts, strict=True)
     ]
 
 

@@ -77,10 +77,13 @@ def same_format(text: str, salt: str) -> str:
     """Digits become digits, capitals capitals, other letters small letters; the rest stays."""
     ten = keyed_draw(text, "cast(place as string)", 10, salt)
     letter = keyed_draw(text, "cast(place as string)", 26, salt)
+    # The usual characters are told by plain comparison, which is the first thing asked.
+    digit = f"(c between '0' and '9' or c > '~' and {matches('c', DIGIT)})"
+    capital = f"(c between 'A' and 'Z' or c > '~' and {matches('c', quoted_class('Lu'))})"
+    small = f"(c between 'a' and 'z' or c > '~' and {matches('c', quoted_class('L'))})"
     surrogate = (
-        f"case when {matches('c', DIGIT)} then cast({ten} as string) "
-        f"when {matches('c', quoted_class('Lu'))} then char(65 + {letter}) "
-        f"when {matches('c', quoted_class('L'))} then char(97 + {letter}) else c end"
+        f"case when {digit} then cast({ten} as string) when {capital} then char(65 + {letter}) "
+        f"when {small} then char(97 + {letter}) else c end"
     )
     return f"array_join(transform({characters(text)}, (c, place) -> {surrogate}), '')"
 

@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.functions import constants as C
-from palimpsest.functions.arrays import empty_array, fold_to_array, let, one_of, text_literal
+from palimpsest.functions.arrays import empty_array, fold_to_array, let, let_array, one_of, text_literal
 from palimpsest.functions.text import DEFAULT_SALT, rewritten
 
 AUTO = "auto"
 AUDIT_METHOD = "advanced_anonymization"
 OVERLAP_ERROR = "overlapping entities"
+REPLACEMENT = "struct<start:int,end:int,label:string,text:string,strategy:string,anonymized:string>"
 # Values that are put back one after another; each is a pass over the text.
 FEW_VALUES = 16
 
@@ -40,13 +41,18 @@ def with_replacements(
     salt: str = DEFAULT_SALT,
 ) -> str:
     """Entities with the strategy applied to each and the value that takes its place."""
-    value = rewritten("e.text", "e.label", "how", preserve_format, realistic_names, salt)
+    chosen = chosen_strategy("e.label", strategy, table)
+    # One strategy for all is a literal, and Spark leaves out the other ways to rewrite.
+    how = "get(hows, i)" if strategy == AUTO else chosen
+    value = rewritten("e.text", "e.label", how, preserve_format, realistic_names, salt)
     item = (
         "named_struct('start', e.start, 'end', e.end, 'label', e.label, 'text', e.text, "
-        f"'strategy', how, 'anonymized', {value})"
+        f"'strategy', {how}, 'anonymized', {value})"
     )
-    chosen = chosen_strategy("e.label", strategy, table)
-    return f"transform({entities}, e -> {let(chosen, 'how', item)})"
+    if strategy != AUTO:
+        return f"transform({entities}, e -> {item})"
+    items = let_array(f"transform(es, e -> {chosen})", "hows", f"transform(es, (e, i) -> {item})", REPLACEMENT)
+    return let_array(entities, "es", items, REPLACEMENT)
 
 
 def overlapping(items: str) -> str:
@@ -90,7 +96,7 @@ def anonymize(
 
 def distinct_values(replacements: str) -> str:
     """Each replaced value once: original, its first replacement, and where it stands first and last."""
-    ordered = f"array_sort(transform({replacements}, r -> named_struct('original', r.text, 'start', r.start, 'anonymized', r.anonymized)))"
+    ordered = f"sort_array(transform({replacements}, r -> named_struct('original', r.text, 'start', r.start, 'anonymized', r.anonymized)))"
     firsts = "filter(sequence(0, size(v) - 1), i -> i = 0 or get(v, i - 1).original <> get(v, i).original)"
     item = (
         "named_struct('original', get(v, i).original, 'anonymized', get(v, i).anonymized, 'first_start', get(v, i).start, "

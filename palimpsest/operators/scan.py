@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import constants as C
-from palimpsest.functions.arrays import empty_array, fold_to_array, let, quoted, text_literal
+from palimpsest.functions.arrays import empty_array, fold_to_array, let_array, quoted, text_literal
 from palimpsest.functions.recognisers import Recogniser
 from palimpsest.functions.text import matches, passes_luhn
 
@@ -39,50 +39,53 @@ def finding(old: str | None = None, **fields: str) -> str:
     return f"named_struct({', '.join(parts)})"
 
 
-def match_spans(found: str, gaps: str) -> str:
-    """Offsets of the matches of one pattern: running sums of gap and match lengths.
+# Matches of one pattern that are looked up in the text one by one.
+FEW_MATCHES = 4
 
-    Splitting a text by the pattern it was searched with gives the gaps.
-    """
-    span = (
-        "named_struct('start', span_from, 'end', span_from + length(piece.text), "
-        "'text', piece.text)"
-    )
-    step = let(
-        "coalesce(try_element_at(spans, -1).end, 0) + piece.gap",
-        "span_from",
-        f"array_append(spans, {span})",
-    )
-    pieces = (
-        f"transform({found}, (m, i) -> "
-        f"named_struct('gap', length(get({gaps}, i)), 'text', m))"
-    )
-    # Most values match once, and then there is nothing to sum up.
-    only = f"named_struct('start', length(get({gaps}, 0)), 'end', length(get({gaps}, 0)) + length(get({found}, 0)), 'text', get({found}, 0))"
-    return f"if(size({found}) = 1, array({only}), {fold_to_array(pieces, SPAN, 'spans', 'piece', step)})"
+
+def places(text: str, found: str) -> str:
+    """Where few matches end, or null unless each of them stands in the text just once."""
+    once = f"forall({found}, m -> locate(m, {text}, locate(m, {text}) + 1) = 0)"
+    return f"if(size({found}) <= {FEW_MATCHES} and {once}, transform({found}, m -> locate(m, {text}) - 1 + length(m)), null)"
+
+
+def match_ends(pieces: str) -> str:
+    """Where the matches of one pattern end: running sums of the lengths of `pieces`, each a match and the gap before it."""
+    step = "array_append(ends, coalesce(try_element_at(ends, -1), 0) + length(piece))"
+    return fold_to_array(pieces, "int", "ends", "piece", step)
 
 
 def pattern_confidence(text: str, base: float = C.PATTERN_BASE) -> str:
     """Base score, more for long values and for values with a separator, at most 1."""
     longer = f"if(length({text}) > {C.PATTERN_LONG_CHARS}, {C.PATTERN_LONG_BONUS}D, 0.0D)"
-    parted = f"if({matches(text, '[-_]')}, {C.PATTERN_SEPARATOR_BONUS}D, 0.0D)"
+    parted = f"if(contains({text}, '-') or contains({text}, '_'), {C.PATTERN_SEPARATOR_BONUS}D, 0.0D)"
     return f"least({float(base)}D + {longer} + {parted}, 1.0D)"
 
 
+def folded(text: str) -> str:
+    """Capitals for letters as the patterns compare them: dotted and dotless i, long s and the kelvin sign are ASCII letters."""
+    odd = f"upper(translate({text}, 'ſıİ\u212a', 'SIIK'))"
+    return f"if(octet_length({text}) = length({text}), upper({text}), {odd})"
+
+
 def _hits(text: str, rule: Recogniser, rule_no: int) -> str:
-    """Matches of one rule and the gaps between them. The text is split only after a match."""
+    """Matches of one rule beside what is fixed of it, which Spark folds into one literal."""
     engine_no = C.ENGINES.index(rule.engine) if rule.engine in C.ENGINES else len(C.ENGINES)
-    regex = quoted(rule.regex)
     score = "cast(null as double)" if rule.score is None else f"{float(rule.score)}D"
-    return let(
-        f"regexp_extract_all({text}, {regex}, 0)",
-        "m",
-        f"named_struct('engine_no', {engine_no}, 'rule_no', {rule_no}, "
-        f"'label', {text_literal(rule.label)}, "
-        f"'engine', {text_literal(C.ENGINE_NAMES.get(rule.engine, rule.engine))}, "
-        f"'score', {score}, 'luhn', {str(rule.luhn).lower()}, 'found', m, "
-        f"'gaps', if(size(m) > 0, split({text}, {regex}, -1), null))",
+    fixed = (
+        f"named_struct('engine_no', {engine_no}, 'rule_no', {rule_no}, 'label', {text_literal(rule.label)}, "
+        f"'engine', {text_literal(C.ENGINE_NAMES.get(rule.engine, rule.engine))}, 'score', {score}, 'luhn', {str(rule.luhn).lower()})"
     )
+    hits = f"named_struct('rule', {fixed}, 'found', regexp_extract_all({text}, {quoted(rule.regex)}, 0))"
+    held = " or ".join(f"contains(folded, {text_literal(p)})" for p in rule.pieces)
+    return f"if({held}, {hits}, null)" if held else hits
+
+
+def _with_gaps(text: str, rules: list[tuple[int, Recogniser]]) -> str:
+    """Each match of rule `hit.rule` with the text between it and the match before."""
+    regexes = {number: quoted(rf"(?s)\G.*?(?-s:{rule.regex})") for number, rule in rules}
+    cases = " ".join(f"when {number} then regexp_extract_all({text}, {regex}, 0)" for number, regex in regexes.items())
+    return f"case hit.rule.rule_no {cases} end"
 
 
 def scan_patterns(
@@ -98,21 +101,21 @@ def scan_patterns(
         groups.append(hits if gate is None else f"if({matches(text, gate)}, {hits}, null)")
     passed = f"filter(array({', '.join(groups)}), g -> g is not null)"
     hit_rules = f"filter(flatten({passed}), h -> size(h.found) > 0)"
-    spans = f"filter({match_spans('hit.found', 'hit.gaps')}, s -> not hit.luhn or {passes_luhn('s.text')})"
     found = finding(
-        start="span.start",
-        engine_no="hit.engine_no",
-        rule_no="hit.rule_no",
-        end="span.end",
-        label="hit.label",
-        text="span.text",
-        confidence=f"coalesce(hit.score, {pattern_confidence('span.text', base)})",
-        engine="hit.engine",
-    )
-    return (
-        f"cast(flatten(transform({hit_rules}, hit -> transform({spans}, span -> {found}))) "
-        f"as array<{FINDING}>)"
+        start="get(ends, i) - length(m)",
+        engine_no="hit.rule.engine_no",
+        rule_no="hit.rule.rule_no",
+        end="get(ends, i)",
+        label="hit.rule.label",
+        text="m",
+        confidence=f"coalesce(hit.rule.score, {pattern_confidence('m', base)})",
+        engine="hit.rule.engine",
     )
+    each = f"cast(transform(hit.found, (m, i) -> {found}) as array<{FINDING}>)"
+    ends = f"coalesce({places(text, 'hit.found')}, {match_ends(_with_gaps(text, numbered))})"
+    spans = let_array(ends, "ends", each, FINDING)
+    valid = f"filter({spans}, f -> not hit.rule.luhn or {passes_luhn('f.text')})"
+    return let_array(folded(text), "folded", f"flatten(transform({hit_rules}, hit -> {valid}))", FINDING)
 
 
 def explode_findings(

@@ -1,5 +1,6 @@
 import random
 import re
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,3 +115,23 @@ def test_scan_runs_once_and_without_shuffle(spark):
     assert "Exchange" not in plan and "Python" not in plan
     gate = r"\.(?<=[0-9]\.)[0-9]{1,3}\.[0-9]"
     assert plan.count(gate) == 1
+
+
+def test_quick_tests_let_every_match_through(spark):
+    rng = random.Random(23)
+    letters = ["ſ", "ı", "İ", "K", "ß", "é", "_", "٣", "😀", "emp", "Emp", "sRv", "poL", "crEd", "rM", "ac"]
+    parts = SAMPLES + ODD + letters + ["1", "-", " ", "SYS-", "POL_"]
+    texts = [rng.choice(["", " "]).join(rng.choice(parts) for _ in range(rng.randint(1, 8))) for _ in range(1500)]
+    texts = [t.replace("S", "ſ") if rng.random() < 0.2 else t.replace("I", "İ") if rng.random() < 0.2 else t for t in texts]
+    rules = security_recognisers() + security_id_recognisers()
+    assert any(rule.pieces for rule in rules) and any(rule.start for rule in rules)
+    plain = [replace(rule, gate=None, pieces=(), start="") for rule in rules]
+    assert found(spark, texts, rules) == found(spark, texts, plain)
+
+
+def test_places_of_values_that_stand_elsewhere_too(spark):
+    # the value's text stands before its match, inside another word, or twice
+    texts = ["xEMP123456 EMP123456", "EMP123456x EMP123456", "EMP123456 EMP123456", "aB-1234 B-1234 B-12345", "é😀 EMP1234 EMP12345 EMP1234"]
+    got = found(spark, texts, security_recognisers())
+    for i, text in enumerate(texts):
+        assert got[i] == sorted(model.scan(text)), text
