@@ -15,6 +15,7 @@ FLAGS = "(?iU)"
 LETTER_THEN_DIGITS = FLAGS + r"\d{3}(?<=[A-Z][-_]?\d{3})"
 NAMED_PREFIX = FLAGS + r"[-_](?<=(?:POL|POLICY|SYS|SYSTEM|SERVER|AUDIT)[-_])"
 DIGITS_BEFORE_PLACE = FLAGS + r"\d{3}[A-Z]?\s*(?:room|office|door)"
+LETTERS_BEFORE_DIGITS = FLAGS + r"[-_](?<=[A-Z]{2}[-_])\d{6}"
 DOTTED_DIGITS = r"\.(?<=[0-9]\.)[0-9]{1,3}\.[0-9]"
 HEX_PAIRS = r"[:-](?<=[0-9A-Fa-f]{2}[:-])[0-9A-Fa-f]{2}[:-]"
 
@@ -26,6 +27,7 @@ _GATES = {
     ("ROOM_NUMBER", 1): DIGITS_BEFORE_PLACE,
     ("IP_ADDRESS", 0): DOTTED_DIGITS,
     ("MAC_ADDRESS", 0): HEX_PAIRS,
+    ("ACCESS_CARD", 2): LETTERS_BEFORE_DIGITS,
 }
 
 
@@ -45,23 +47,36 @@ _STARTS = {
     ("ROOM_NUMBER", 0): "(?=[Rr])",
 }
 
-# A second test for patterns that share a gate: every match holds one of these pieces, capitals and small letters alike.
+# A test before the gate: the marks of a text with a match (see `scan.marks`) hold one of these pieces.
+_AFTER_NAME = ("0", "-0", "_0")
 _PIECES = {
-    ("EMPLOYEE_ID", 0): ("EMP",),
-    ("EMPLOYEE_ID", 1): ("EMP",),
-    ("ACCESS_CARD", 0): ("AC",),
-    ("ACCESS_CARD", 1): ("CARD",),
-    ("POLICY_NUMBER", 0): ("POL",),
-    ("POLICY_NUMBER", 2): ("POLICY",),
-    ("SYSTEM_ID", 0): ("SYS",),
-    ("SYSTEM_ID", 1): ("SRV",),
-    ("SYSTEM_ID", 2): ("SERVER",),
-    ("BADGE_NUMBER", 1): ("BDG",),
-    ("AUDIT_REF", 0): ("AUD",),
-    ("AUDIT_REF", 1): ("AUDIT",),
-    ("CREDENTIAL_ID", 0): ("CRED",),
-    ("CREDENTIAL_ID", 1): ("CRED",),
-    ("ROOM_NUMBER", 0): ("ROOM", "RM"),
+    ("EMPLOYEE_ID", 0): tuple(name + after for name in ("EMP", "EMPLOYEE") for after in _AFTER_NAME),
+    ("EMPLOYEE_ID", 1): ("EMP0",),
+    ("ACCESS_CARD", 0): tuple(name + after for name in ("AC", "ACCESS") for after in _AFTER_NAME),
+    ("ACCESS_CARD", 1): ("CARD0", "CARD-0", "CARD_0"),
+    ("POLICY_NUMBER", 0): ("POL-", "POL_", "POLICY-", "POLICY_"),
+    ("POLICY_NUMBER", 1): ("P0-0", "P0_0"),
+    ("POLICY_NUMBER", 2): ("POLICY-0", "POLICY_0"),
+    ("SYSTEM_ID", 0): ("SYS-", "SYS_", "SYSTEM-", "SYSTEM_"),
+    ("SYSTEM_ID", 1): ("SRV-0", "SRV_0"),
+    ("SYSTEM_ID", 2): ("SERVER-", "SERVER_"),
+    ("BADGE_NUMBER", 0): tuple(name + after for name in ("B", "BADGE") for after in _AFTER_NAME),
+    ("BADGE_NUMBER", 1): ("BDG0",),
+    ("AUDIT_REF", 0): ("AUD-0", "AUD_0", "AUDIT-0", "AUDIT_0"),
+    ("AUDIT_REF", 1): ("AUDIT-REF", "AUDIT_REF"),
+    ("CREDENTIAL_ID", 0): ("CRED-0", "CRED_0", "CREDENTIAL-0", "CREDENTIAL_0"),
+    ("CREDENTIAL_ID", 1): ("CRED0",),
+    ("ROOM_NUMBER", 0): tuple(name + after for name in ("ROOM", "RM") for after in _AFTER_NAME),
+    ("IP_ADDRESS", 0): ("0.0",),
+}
+# Up to so many digits are one 0 among the marks, so a card number without gaps is two.
+MARK_DIGITS = 12
+_STANDARD_PIECES = {
+    "EMAIL_ADDRESS": ("@",),
+    "PHONE_NUMBER": ("0-0", "0 0", "0.0"),
+    "CREDIT_CARD": ("00", "0-0", "0 0"),
+    "SSN": ("0-0-0",),
+    "URL": ("://",),
 }
 
 
@@ -103,7 +118,7 @@ def security_id_recognisers() -> list[Recogniser]:
     """The combined security identifier of the analyzer engine."""
     policy, system = FLAGS + "-(?<=POL-)", FLAGS + "-(?<=SYS-)"
     gates = (LETTER_THEN_DIGITS, LETTER_THEN_DIGITS, policy, LETTER_THEN_DIGITS, system)
-    pieces = ("EMP", "AC-", "POL-", "B-", "SYS-")
+    pieces = ("EMP0", "AC-0", "POL-", "B-0", "SYS-")
     starts = ("(?=[Ee])", "(?=[Aa])", "(?=[Pp])", "(?=[Bb])", "(?=[Ssſ])")
     return [
         Recogniser("SECURITY_ID", p, engine="presidio", score=C.SECURITY_ID_SCORE, gate=g, pieces=(piece,), start=start)
@@ -128,6 +143,7 @@ def standard_recognisers() -> list[Recogniser]:
             score=score,
             gate=gates[label],
             luhn=label == "CREDIT_CARD",
+            pieces=_STANDARD_PIECES[label],
         )
         for label, (pattern, score) in C.STANDARD_PATTERNS.items()
     ]

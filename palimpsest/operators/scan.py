@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import constants as C
-from palimpsest.functions.arrays import empty_array, fold_to_array, let_array, quoted, text_literal
-from palimpsest.functions.recognisers import Recogniser
+from palimpsest.functions.arrays import empty_array, fold_to_array, let, let_array, quoted, text_literal
+from palimpsest.functions.recognisers import MARK_DIGITS, Recogniser
 from palimpsest.functions.text import matches, passes_luhn
 
 SPAN = "struct<start:int,end:int,text:string>"
@@ -45,8 +45,9 @@ FEW_MATCHES = 4
 
 def places(text: str, found: str) -> str:
     """Where few matches end, or null unless each of them stands in the text just once."""
-    once = f"forall({found}, m -> locate(m, {text}, locate(m, {text}) + 1) = 0)"
-    return f"if(size({found}) <= {FEW_MATCHES} and {once}, transform({found}, m -> locate(m, {text}) - 1 + length(m)), null)"
+    again = f"filter({found}, (m, i) -> contains(substring({text}, get(at, i) + 1), m))"
+    ends = f"if(size({again}) = 0, transform({found}, (m, i) -> get(at, i) - 1 + length(m)), null)"
+    return f"if(size({found}) <= {FEW_MATCHES}, {let(f'transform({found}, m -> locate(m, {text}))', 'at', ends)}, null)"
 
 
 def match_ends(pieces: str) -> str:
@@ -62,13 +63,25 @@ def pattern_confidence(text: str, base: float = C.PATTERN_BASE) -> str:
     return f"least({float(base)}D + {longer} + {parted}, 1.0D)"
 
 
-def folded(text: str) -> str:
-    """Capitals for letters as the patterns compare them: dotted and dotless i, long s and the kelvin sign are ASCII letters."""
+def marks(text: str) -> str:
+    """What is left of a text without its plain words, in the form that pieces of patterns are looked up in.
+
+    Letters are capitals as the patterns compare them (dotted and dotless i, long s and the kelvin sign are ASCII letters), digits are 0.
+    Words that neither a digit nor `-` or `_` follows are left out with the blanks behind them.
+    """
     odd = f"upper(translate({text}, 'ſıİ\u212a', 'SIIK'))"
-    return f"if(octet_length({text}) = length({text}), upper({text}), {odd})"
+    capitals = f"if(octet_length({text}) = length({text}), upper({text}), {odd})"
+    rest = f"regexp_replace({capitals}, {quoted(r'[A-Z]++(?![-_\p{Nd}])[ ,]*+')}, '')"
+    return f"regexp_replace({rest}, {quoted(rf'\p{{Nd}}{{1,{MARK_DIGITS}}}')}, '0')"
+
+
+def _holds(pieces: list[str]) -> str:
+    """Whether the marks of a text hold any of the pieces. A piece within another one stands for it too."""
+    fewest = [p for p in dict.fromkeys(pieces) if not any(q != p and q in p for q in pieces)]
+    return "(" + " or ".join(f"contains(marks, {text_literal(p)})" for p in fewest) + ")"
 
 
-def _hits(text: str, rule: Recogniser, rule_no: int) -> str:
+def _hits(text: str, rule: Recogniser, rule_no: int, alone: bool) -> str:
     """Matches of one rule beside what is fixed of it, which Spark folds into one literal."""
     engine_no = C.ENGINES.index(rule.engine) if rule.engine in C.ENGINES else len(C.ENGINES)
     score = "cast(null as double)" if rule.score is None else f"{float(rule.score)}D"
@@ -77,8 +90,15 @@ def _hits(text: str, rule: Recogniser, rule_no: int) -> str:
         f"'engine', {text_literal(C.ENGINE_NAMES.get(rule.engine, rule.engine))}, 'score', {score}, 'luhn', {str(rule.luhn).lower()})"
     )
     hits = f"named_struct('rule', {fixed}, 'found', regexp_extract_all({text}, {quoted(rule.regex)}, 0))"
-    held = " or ".join(f"contains(folded, {text_literal(p)})" for p in rule.pieces)
-    return f"if({held}, {hits}, null)" if held else hits
+    return f"if({_holds(list(rule.pieces))}, {hits}, null)" if rule.pieces and not alone else hits
+
+
+def _group(text: str, gate: str | None, members: list[tuple[int, Recogniser]]) -> str:
+    """Matches of the rules that share a gate. Where each of them has pieces, these are looked for before the gate."""
+    hits = f"array({', '.join(_hits(text, rule, number, len(members) == 1) for number, rule in members)})"
+    tests = [_holds([p for _, rule in members for p in rule.pieces])] if all(rule.pieces for _, rule in members) else []
+    tests += [matches(text, gate)] if gate is not None else []
+    return f"if({' and '.join(tests)}, {hits}, null)" if tests else hits
 
 
 def _with_gaps(text: str, rules: list[tuple[int, Recogniser]]) -> str:
@@ -89,16 +109,18 @@ def _with_gaps(text: str, rules: list[tuple[int, Recogniser]]) -> str:
 
 
 def scan_patterns(
-    rules: list[Recogniser], text: str = "text", base: float = C.PATTERN_BASE, first_rule: int = 0
+    rules: list[Recogniser],
+    text: str = "text",
+    base: float = C.PATTERN_BASE,
+    first_rule: int = 0,
+    numbers: list[int] | None = None,
 ) -> str:
-    """Array of findings of all `rules` in one text."""
+    """Array of findings of all `rules` in one text. Rules are numbered from `first_rule`, or as `numbers` has it."""
     if not rules:
         return empty_array(FINDING)
-    numbered = sorted(enumerate(rules, first_rule), key=lambda r: r[1].gate or "")
-    groups = []
-    for gate, members in groupby(numbered, key=lambda r: r[1].gate):
-        hits = f"array({', '.join(_hits(text, rule, number) for number, rule in members)})"
-        groups.append(hits if gate is None else f"if({matches(text, gate)}, {hits}, null)")
+    numbers = numbers or list(range(first_rule, first_rule + len(rules)))
+    numbered = sorted(zip(numbers, rules, strict=True), key=lambda r: r[1].gate or "")
+    groups = [_group(text, gate, list(members)) for gate, members in groupby(numbered, key=lambda r: r[1].gate)]
     passed = f"filter(array({', '.join(groups)}), g -> g is not null)"
     hit_rules = f"filter(flatten({passed}), h -> size(h.found) > 0)"
     found = finding(
@@ -111,11 +133,11 @@ def scan_patterns(
         confidence=f"coalesce(hit.rule.score, {pattern_confidence('m', base)})",
         engine="hit.rule.engine",
     )
-    each = f"cast(transform(hit.found, (m, i) -> {found}) as array<{FINDING}>)"
+    each = f"transform(hit.found, (m, i) -> {found})"
     ends = f"coalesce({places(text, 'hit.found')}, {match_ends(_with_gaps(text, numbered))})"
     spans = let_array(ends, "ends", each, FINDING)
     valid = f"filter({spans}, f -> not hit.rule.luhn or {passes_luhn('f.text')})"
-    return let_array(folded(text), "folded", f"flatten(transform({hit_rules}, hit -> {valid}))", FINDING)
+    return let_array(marks(text), "marks", f"flatten(transform({hit_rules}, hit -> {valid}))", FINDING)
 
 
 def explode_findings(

@@ -56,10 +56,9 @@ def detect(
         used = f"array_intersect({used}, {row_engines})"
     analyzer = [r for r in rules if r.engine == "presidio"]
     others = [r for r in rules if r.engine != "presidio"]
-    found = (
-        f"concat({scan_patterns(analyzer, first_rule=ANALYZER_FIRST_RULE)}, "
-        f"{scan_patterns(others)})"
-    )
+    # One scan for all: what is looked up before the patterns is the same for each.
+    numbers = [*range(ANALYZER_FIRST_RULE, ANALYZER_FIRST_RULE + len(analyzer)), *range(len(others))]
+    found = scan_patterns(analyzer + others, numbers=numbers)
     if row_engines is not None:
         found = of_engines(found, "engines_used")
     out = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn(

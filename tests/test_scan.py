@@ -12,7 +12,8 @@ from palimpsest.functions.recognisers import (
     standard_recognisers,
 )
 from palimpsest.functions.text import passes_luhn
-from palimpsest.operators.scan import explode_findings, scan_patterns
+from palimpsest.operators.scan import explode_findings, marks, scan_patterns
+from palimpsest.plans.detection import detect
 
 SAMPLES = [
     "EMPLOYEE-1234", "EMP123456", "AB-12345", "ACCESS_12345", "CARD-12345", "AB-123456",
@@ -135,3 +136,29 @@ def test_places_of_values_that_stand_elsewhere_too(spark):
     got = found(spark, texts, security_recognisers())
     for i, text in enumerate(texts):
         assert got[i] == sorted(model.scan(text)), text
+
+
+def test_marks_leave_plain_words_out(spark):
+    text = "Visitor: Ada Novak, staff ſys-prod id EMP000123, card 5105-1051-0510-1051 or 4111111111111111 at ٣.٣"
+    row = spark.createDataFrame([(text,)], "text string").select(F.expr(marks("text")).alias("m")).first()
+    assert row.m == ": SYS-EMP0, 0-0-0-0 00 0.0"
+
+
+def test_standard_types_pass_their_pieces(spark):
+    rng = random.Random(31)
+    parts = ["x-", "b ", "4111 1111", "41111111", "1111", "(555)", "555", "123-4567", "a.b@c.org", "http://x.y", "123-45-6789", "٣٣٣", " ", "-", ".", ", ", "EMP"]
+    texts = ["X-41111111 11111111 9", "x-4111111111111111", "EMP-555-123-4567", "a(555) 123.4567", "call,555 123 4567"]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randint(1, 8))) for _ in range(1500)]
+    rules = standard_recognisers()
+    assert all(rule.pieces for rule in rules)
+    plain = [replace(rule, gate=None, pieces=()) for rule in rules]
+    assert found(spark, texts, rules) == found(spark, texts, plain)
+
+
+def test_one_scan_for_all_engines(spark):
+    docs = spark.createDataFrame([(1, "AC-123456 and EMP123456")], "doc_id long, text string")
+    done = detect(docs)
+    plan = done.select("findings")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(regexp_replace(") == 1
+    numbers = {(f.engine, f.rule_no) for f in done.first().findings}
+    assert {("presidio", 105), ("presidio", 106), ("custom_patterns", 0), ("custom_patterns", 5)} <= numbers
