@@ -112,7 +112,9 @@ def hashed(text: str) -> str:
 def encoded(text: str) -> str:
     """`ENC_` and the code point of each character in hex. Reversible, so not a protection."""
     code = let("lower(hex(ascii(c)))", "h", "if(length(h) < 2, concat('0', h), h)")
-    return f"concat('ENC_', array_join(transform({characters(text)}, c -> {code}), ''))"
+    each = f"array_join(transform({characters(text)}, c -> {code}), '')"
+    # The bytes of ASCII text are its code points.
+    return f"concat('ENC_', if(octet_length({text}) = length({text}), lower(hex({text})), {each}))"
 
 
 def rewritten(

@@ -142,3 +142,9 @@ def test_rules_in_row_and_by_table_agree(spark):
 def test_safe_file_names(spark, name, safe):
     df = spark.createDataFrame([(name,)], "n string")
     assert df.select(F.expr(safe_file_name("n")).alias("s")).first().s == safe
+
+
+def test_plain_values_are_encoded_by_their_bytes(spark):
+    plain = "".join(map(chr, range(128)))
+    for text in (plain, plain + "é"):
+        assert one(spark, text, "encrypt") == "ENC_" + "".join(f"{ord(c):02x}" for c in text)
