@@ -18,6 +18,7 @@ from palimpsest.operators.rewrite import (
     combined_mapping,
     mapping,
     mapping_export,
+    originals,
     restore_by_mapping,
     restore_by_offsets,
 )
@@ -135,7 +136,7 @@ def reversible(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def report(spark: SparkSession, sf: str) -> DataFrame:
-    out = anonymization_report(table(spark, sf, "runs"), mapping(log_rewritten(spark, sf), one_row_each=True))
+    out = anonymization_report(table(spark, sf, "runs"), originals(log_entities(spark, sf)))
     return (
         out.withColumn("total_processing_time", F.round("total_processing_time", 4))
         .withColumn("average_processing_time", F.round("average_processing_time", 6))

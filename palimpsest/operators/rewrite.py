@@ -121,6 +121,11 @@ def mapping(docs: DataFrame, key: str = "doc_id", one_row_each: bool = False) ->
     )
 
 
+def originals(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The originals of `mapping` alone, from the entities: for counts, which need no replacement."""
+    return docs.select(key, F.explode(F.expr("array_distinct(transform(entities, e -> e.text))")).alias("original"))
+
+
 def combined_mapping(mappings: DataFrame, order: str = "doc_id") -> DataFrame:
     """One replacement per original over all documents; the last document counts."""
     return mappings.groupBy("original").agg(F.max_by("anonymized", order).alias("anonymized"))

@@ -10,6 +10,7 @@ from palimpsest.operators.rewrite import (
     anonymize,
     combined_mapping,
     mapping,
+    originals,
     restore_by_mapping,
     restore_by_offsets,
 )
@@ -148,3 +149,12 @@ def test_plain_values_are_encoded_by_their_bytes(spark):
     plain = "".join(map(chr, range(128)))
     for text in (plain, plain + "é"):
         assert one(spark, text, "encrypt") == "ENC_" + "".join(f"{ord(c):02x}" for c in text)
+
+
+def test_originals_are_those_of_the_mapping(spark):
+    docs = spark.createDataFrame([(1, "EMP123456, EMP123456 and B-123456"), (2, "nothing"), (3, "B-123456")], "doc_id long, text string")
+    found = detect(docs)
+    want = {(r.doc_id, r.original) for r in mapping(anonymize(found)).collect()}
+    rows = [(r.doc_id, r.original) for r in originals(found).collect()]
+    assert len(rows) == len(want) and set(rows) == want
+    assert "replace_format" not in originals(found)._jdf.queryExecution().optimizedPlan().toString()
