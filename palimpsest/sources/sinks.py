@@ -213,9 +213,10 @@ def write_bucketed(df: DataFrame, table: str, key: str = "doc_id", buckets: int
     """A table of the session's catalogue, bucketed and sorted by document, and read back.
 
     Tables of one number of buckets meet and are gathered per document without a shuffle. Choose the number so that a bucket of the
-    largest table is a partition's worth; a document with a large share of the rows makes its bucket long.
+    largest table is a partition's worth; a document with a large share of the rows makes its bucket long. A bucket is one task later
+    on, so there should be more of them than cores. Each is written by one task as one file; else every task would write a file a bucket.
     """
-    df.write.mode(mode).bucketBy(buckets, key).sortBy(key).format("parquet").saveAsTable(table)
+    df.repartition(buckets, key).write.mode(mode).bucketBy(buckets, key).sortBy(key).format("parquet").saveAsTable(table)
     return df.sparkSession.table(table)
 
 

@@ -1,11 +1,12 @@
 """Documents, pages and tables with more rows than one task should hold: the same results by the other way."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.checks.streams import delivered
+from palimpsest.checks.streams import QUERIES, delivered
 from palimpsest.operators import ordered
 from palimpsest.operators.boxes import suppress
 from palimpsest.operators.components import components
@@ -177,6 +178,20 @@ def test_bucketed_tables_meet_without_a_shuffle(spark):
         spark.sql("drop table large_spans")
 
 
+def test_a_bucket_is_one_file(spark):
+    """However many tasks write a table; and the registered job has as many buckets as a shuffle has partitions."""
+    sinks.write_bucketed(spark.range(0, 600, 1, 12).withColumnRenamed("id", "doc_id"), "large_ids", buckets=5)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        assert len(spark.table("large_ids").inputFiles()) == 5
+        job = QUERIES["processed_bucketed"](spark, "/root/testdata/sf0.001")
+        assert set(re.findall(r"SelectedBucketsCount: (\d+) out of (\d+)", plan_of(job))) == {("3", "3")}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.sql("drop table large_ids")
+
+
 def test_several_batches_need_a_key(spark):
     two = spark.createDataFrame([(["a"],), (["b"],)], "texts array<string>")
     with pytest.raises(ValueError, match="batch_key"):
