@@ -92,6 +92,8 @@ class Recogniser:
     luhn: bool = False
     pieces: tuple[str, ...] = ()
     start: str = ""
+    # No match holds, or depends on, a word of letters alone that stands between blanks (see `scan.brief`).
+    wordless: bool = False
 
     @property
     def regex(self) -> str:
@@ -107,6 +109,7 @@ def security_recognisers(labels: tuple[str, ...] | None = None) -> list[Recognis
             gate=_GATES.get((label, i), LETTER_THEN_DIGITS),
             pieces=_PIECES.get((label, i), ()),
             start=_STARTS.get((label, i), _STARTS.get(label, "")),
+            wordless=(label, i) != ("ROOM_NUMBER", 1),
         )
         for label, patterns in C.SECURITY_PATTERNS.items()
         if labels is None or label in labels
@@ -121,7 +124,7 @@ def security_id_recognisers() -> list[Recogniser]:
     pieces = ("EMP0", "AC-0", "POL-", "B-0", "SYS-")
     starts = ("(?=[Ee])", "(?=[Aa])", "(?=[Pp])", "(?=[Bb])", "(?=[Ssſ])")
     return [
-        Recogniser("SECURITY_ID", p, engine="presidio", score=C.SECURITY_ID_SCORE, gate=g, pieces=(piece,), start=start)
+        Recogniser("SECURITY_ID", p, engine="presidio", score=C.SECURITY_ID_SCORE, gate=g, pieces=(piece,), start=start, wordless=True)
         for p, g, piece, start in zip(C.SECURITY_ID_PATTERNS, gates, pieces, starts, strict=True)
     ]
 
@@ -144,6 +147,7 @@ def standard_recognisers() -> list[Recogniser]:
             gate=gates[label],
             luhn=label == "CREDIT_CARD",
             pieces=_STANDARD_PIECES[label],
+            wordless=True,
         )
         for label, (pattern, score) in C.STANDARD_PATTERNS.items()
     ]

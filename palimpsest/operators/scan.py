@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import constants as C
-from palimpsest.functions.arrays import empty_array, fold_to_array, let, let_array, quoted, text_literal
+from palimpsest.functions.arrays import empty_array, fold_to_array, let_array, quoted, text_literal
 from palimpsest.functions.recognisers import MARK_DIGITS, Recogniser
 from palimpsest.functions.text import matches, passes_luhn
 
@@ -45,9 +45,9 @@ FEW_MATCHES = 4
 
 def places(text: str, found: str) -> str:
     """Where few matches end, or null unless each of them stands in the text just once."""
-    again = f"filter({found}, (m, i) -> contains(substring({text}, get(at, i) + 1), m))"
+    again = f"filter({found}, (m, i) -> locate(m, {text}, get(at, i) + 1) > 0)"
     ends = f"if(size({again}) = 0, transform({found}, (m, i) -> get(at, i) - 1 + length(m)), null)"
-    return f"if(size({found}) <= {FEW_MATCHES}, {let(f'transform({found}, m -> locate(m, {text}))', 'at', ends)}, null)"
+    return f"if(size({found}) <= {FEW_MATCHES}, {let_array(f'transform({found}, m -> locate(m, {text}))', 'at', ends, 'int')}, null)"
 
 
 def match_ends(pieces: str) -> str:
@@ -63,6 +63,15 @@ def pattern_confidence(text: str, base: float = C.PATTERN_BASE) -> str:
     return f"least({float(base)}D + {longer} + {parted}, 1.0D)"
 
 
+def brief(text: str) -> str:
+    """A text with `;` for its plain words, which patterns that hold or look at none are looked up in.
+
+    Plain words are of ASCII letters, stand behind a blank or at the start, and before a blank or a comma and a blank. What is
+    left keeps the blanks on both sides, and no pattern goes on from a blank into a letter or `;`. So such patterns have the same matches.
+    """
+    return f"regexp_replace({text}, {quoted(r'(?<!\S)(?:[A-Za-z]++,?+ ++)++')}, '; ')"
+
+
 def marks(text: str) -> str:
     """What is left of a text without its plain words, in the form that pieces of patterns are looked up in.
 
@@ -81,6 +90,11 @@ def _holds(pieces: list[str]) -> str:
     return "(" + " or ".join(f"contains(marks, {text_literal(p)})" for p in fewest) + ")"
 
 
+def _looked_up(text: str, rules: list[Recogniser]) -> str:
+    """What the rules are looked up in."""
+    return "brief" if all(rule.wordless for rule in rules) else text
+
+
 def _hits(text: str, rule: Recogniser, rule_no: int, alone: bool) -> str:
     """Matches of one rule beside what is fixed of it, which Spark folds into one literal."""
     engine_no = C.ENGINES.index(rule.engine) if rule.engine in C.ENGINES else len(C.ENGINES)
@@ -89,7 +103,7 @@ def _hits(text: str, rule: Recogniser, rule_no: int, alone: bool) -> str:
         f"named_struct('engine_no', {engine_no}, 'rule_no', {rule_no}, 'label', {text_literal(rule.label)}, "
         f"'engine', {text_literal(C.ENGINE_NAMES.get(rule.engine, rule.engine))}, 'score', {score}, 'luhn', {str(rule.luhn).lower()})"
     )
-    hits = f"named_struct('rule', {fixed}, 'found', regexp_extract_all({text}, {quoted(rule.regex)}, 0))"
+    hits = f"named_struct('rule', {fixed}, 'found', regexp_extract_all({_looked_up(text, [rule])}, {quoted(rule.regex)}, 0))"
     return f"if({_holds(list(rule.pieces))}, {hits}, null)" if rule.pieces and not alone else hits
 
 
@@ -97,7 +111,7 @@ def _group(text: str, gate: str | None, members: list[tuple[int, Recogniser]]) -
     """Matches of the rules that share a gate. Where each of them has pieces, these are looked for before the gate."""
     hits = f"array({', '.join(_hits(text, rule, number, len(members) == 1) for number, rule in members)})"
     tests = [_holds([p for _, rule in members for p in rule.pieces])] if all(rule.pieces for _, rule in members) else []
-    tests += [matches(text, gate)] if gate is not None else []
+    tests += [matches(_looked_up(text, [rule for _, rule in members]), gate)] if gate is not None else []
     return f"if({' and '.join(tests)}, {hits}, null)" if tests else hits
 
 
@@ -137,7 +151,8 @@ def scan_patterns(
     ends = f"coalesce({places(text, 'hit.found')}, {match_ends(_with_gaps(text, numbered))})"
     spans = let_array(ends, "ends", each, FINDING)
     valid = f"filter({spans}, f -> not hit.rule.luhn or {passes_luhn('f.text')})"
-    return let_array(marks(text), "marks", f"flatten(transform({hit_rules}, hit -> {valid}))", FINDING)
+    scanned = f"flatten(transform({hit_rules}, hit -> {valid}))"
+    return let_array(brief(text), "brief", let_array(marks("brief"), "marks", scanned, FINDING), FINDING)
 
 
 def explode_findings(

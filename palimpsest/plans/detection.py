@@ -15,7 +15,7 @@ from palimpsest.functions.recognisers import (
 )
 from palimpsest.operators.engines import RAW, adapt, attach_raw, of_engines, union_raw
 from palimpsest.operators.fuse import above, mean_confidence, merge_overlaps, with_context
-from palimpsest.operators.scan import scan_patterns
+from palimpsest.operators.scan import FINDING, scan_patterns
 
 ANALYZER_FIRST_RULE = 100
 
@@ -72,8 +72,10 @@ def detect(
     if raw_column is not None:
         found = f"concat({found}, {of_engines(adapt(f'coalesce({raw_column}, {empty_array(RAW)})'), 'engines_used')})"
     out = out.withColumn("findings", F.expr(found))
+    # Asked for twice, the findings are made in a step of their own, and the next step copies them as bytes and not field by field.
+    merged = f"if(size(findings) = 0, {empty_array(FINDING)}, {merge_overlaps(scored)})"
     return (
-        out.withColumn("merged", F.expr(merge_overlaps(scored)))
+        out.withColumn("merged", F.expr(merged))
         .withColumn("entities", F.expr(above("merged", threshold)))
         .withColumn("engine_confidence", F.expr(engine_means("findings")))
         .withColumn(

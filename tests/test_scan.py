@@ -12,7 +12,7 @@ from palimpsest.functions.recognisers import (
     standard_recognisers,
 )
 from palimpsest.functions.text import passes_luhn
-from palimpsest.operators.scan import explode_findings, marks, scan_patterns
+from palimpsest.operators.scan import brief, explode_findings, marks, scan_patterns
 from palimpsest.plans.detection import detect
 
 SAMPLES = [
@@ -144,6 +144,21 @@ def test_marks_leave_plain_words_out(spark):
     assert row.m == ": SYS-EMP0, 0-0-0-0 00 0.0"
 
 
+def test_brief_texts_have_the_same_matches(spark):
+    """Plain words are left out of what patterns are looked up in, and nothing comes to stand together by that."""
+    text = "Visitor: Ada Novak, staff id EMP000123, na na ſys-prod-01 ab-12345 in 456 office"
+    row = spark.createDataFrame([(text,)], "text string").select(F.expr(brief("text")).alias("b")).first()
+    assert row.b == "Visitor: ; EMP000123, ; ſys-prod-01 ab-12345 ; 456 office"
+    rng = random.Random(47)
+    parts = ["call ", "id, ", "in  ", "EMP", "naſys-prod-01", "abc", "12", "555 ", "(555) ", "123 4567", "-", "456B ", "office", "room", "ROOM-101", "4111 1111 ", "1111 1111",
+             "a.b@c.org", "http://x.y", "é", "\u00a0", "\n", ";", " ", ", ", "+1 "]
+    texts = ["555 abc 123 4567", "(555) call 123-4567", "4111 1111 or 1111 1111", "naſys-prod-01", "é abc, EMP1234", "ROOM-123abc x", "456 in office", "456  office"]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randint(1, 9))) for _ in range(1500)]
+    rules = standard_recognisers() + security_id_recognisers() + security_recognisers()
+    assert [rule.label for rule in rules if not rule.wordless] == ["ROOM_NUMBER"]
+    assert found(spark, texts, rules) == found(spark, texts, [replace(rule, wordless=False) for rule in rules])
+
+
 def test_standard_types_pass_their_pieces(spark):
     rng = random.Random(31)
     parts = ["x-", "b ", "4111 1111", "41111111", "1111", "(555)", "555", "123-4567", "a.b@c.org", "http://x.y", "123-45-6789", "٣٣٣", " ", "-", ".", ", ", "EMP"]
