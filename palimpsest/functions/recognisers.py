@@ -80,6 +80,12 @@ _STANDARD_PIECES = {
 }
 
 
+# Where a long text may be cut: behind a blank before a word, or at a line's start. No pattern of ours goes on from a blank into a letter, none holds a
+# line end, and what rooms are looked for by behind blanks (room, office, door) starts with neither.
+_NOT_PLACE = "RODrod"
+CUT = rf"(?:[ \t\r\n](?=[A-Za-z&&[^{_NOT_PLACE}]])|\n(?=(?U:[^\s{_NOT_PLACE}])))"
+
+
 @dataclass(frozen=True)
 class Recogniser:
     """One pattern of one engine. `score` None means the length and separator rule."""
@@ -94,6 +100,8 @@ class Recogniser:
     start: str = ""
     # No match holds, or depends on, a word of letters alone that stands between blanks (see `scan.brief`).
     wordless: bool = False
+    # No match holds, or depends on, what stands on the other side of a place that CUT ends at.
+    parted: bool = False
 
     @property
     def regex(self) -> str:
@@ -110,6 +118,7 @@ def security_recognisers(labels: tuple[str, ...] | None = None) -> list[Recognis
             pieces=_PIECES.get((label, i), ()),
             start=_STARTS.get((label, i), _STARTS.get(label, "")),
             wordless=(label, i) != ("ROOM_NUMBER", 1),
+            parted=True,
         )
         for label, patterns in C.SECURITY_PATTERNS.items()
         if labels is None or label in labels
@@ -124,7 +133,7 @@ def security_id_recognisers() -> list[Recogniser]:
     pieces = ("EMP0", "AC-0", "POL-", "B-0", "SYS-")
     starts = ("(?=[Ee])", "(?=[Aa])", "(?=[Pp])", "(?=[Bb])", "(?=[Ssſ])")
     return [
-        Recogniser("SECURITY_ID", p, engine="presidio", score=C.SECURITY_ID_SCORE, gate=g, pieces=(piece,), start=start, wordless=True)
+        Recogniser("SECURITY_ID", p, engine="presidio", score=C.SECURITY_ID_SCORE, gate=g, pieces=(piece,), start=start, wordless=True, parted=True)
         for p, g, piece, start in zip(C.SECURITY_ID_PATTERNS, gates, pieces, starts, strict=True)
     ]
 
@@ -148,6 +157,7 @@ def standard_recognisers() -> list[Recogniser]:
             luhn=label == "CREDIT_CARD",
             pieces=_STANDARD_PIECES[label],
             wordless=True,
+            parted=True,
         )
         for label, (pattern, score) in C.STANDARD_PATTERNS.items()
     ]

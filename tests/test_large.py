@@ -63,6 +63,27 @@ def test_a_winner_over_a_whole_text_is_carried_through_every_range(spark):
     assert [(r.start, r.end) for r in found.entities.collect()] == [(0, 5000)] and found.findings.count() == 4000
 
 
+def test_long_texts_are_scanned_in_passages(spark, monkeypatch):
+    """Of any text: cut behind blanks and line ends, where no pattern looks across; and no scan sees more than a passage of a text that has such places."""
+    from palimpsest.plans import findings
+
+    rng = random.Random(11)
+    parts = ["456 ", "456B\n", "office ", "Room-101 ", "555 ", "(555) ", "123-4567", "4111 1111 ", "1111 1111 ", "a.b@c.org ", "http://x.y/z ", "EMP123456 ", "SYS-", "ab-12345", "\n", "\t", "\u00a0",
+             "é", "\u0301", "😀 ", "password of ", "access ", "the employee, ", "10.1.2.3 ", "id "]
+    texts = ["".join(rng.choice(parts) for _ in range(900)) for _ in range(12)] + ["EMP123456-" * 400, "x" * 3000, "1 " * 2000 + "AC-123456", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    raw = {"spacy": spark.createDataFrame([(d, "PERSON", 0, min(len(t), 2500), k) for d, t in enumerate(texts) for k in range(2)], "doc_id long, raw_label string, start int, end_pos int, seq long")}
+    want = detect(docs, raw_tables=raw).select("doc_id", F.explode("findings").alias("f")).select("doc_id", "f.*").collect()
+    monkeypatch.setattr(findings, "PASSAGE", 100)
+    monkeypatch.setattr(findings, "BLOCK_PIECES", 1)
+    monkeypatch.setattr(findings, "BLOCK", findings.PIECE)
+    got = detect_rows(docs, raw_tables=raw, limit=1, rows=10**6).findings.collect()
+    assert len(want) > 500 and sorted(map(tuple, got)) == sorted(map(tuple, want))
+    scan = findings.scan_patterns
+    monkeypatch.setattr(findings, "scan_patterns", lambda *a, **b: f"if(length(text) > 1000, raise_error('too long'), {scan(*a, **b)})")
+    assert detect_rows(docs.where("doc_id < 12"), raw_tables=raw, limit=1, rows=10**6, context=False).findings.count() > 400
+
+
 @pytest.mark.parametrize("swept", [50_000, 4_000])
 def test_a_long_chain_of_boxes(spark, swept):
     n = 5_000  # each overlaps the next two or so, and each is less sure than the one before
